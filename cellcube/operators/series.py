@@ -22,8 +22,12 @@ from cellcube.operators.joins import bounded_broadcast
 MAX_MONTHS = 12_000
 
 
+def _keys(key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
 def _series_window(key="pixel_idx", order="t"):
-    return Window.partitionBy(key).orderBy(order)
+    return Window.partitionBy(*_keys(key)).orderBy(order)
 
 
 def temporal_lags(df: DataFrame, cols: list[str], ks=(1, 2, 3), key: str = "pixel_idx", order: str = "t",
@@ -123,7 +127,7 @@ def interpolate_series(df: DataFrame, value: str, key: str = "pixel_idx", order:
     known = F.when(v.isNotNull(), F.struct(F.col(order).alias("t"), v.alias("v")))
     prev = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     nxt = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    n_valid = F.count(v).over(Window.partitionBy(key))
+    n_valid = F.count(v).over(Window.partitionBy(*_keys(key)))
     d = df.withColumns({"_p": prev, "_n": nxt, "_k": n_valid})
     t = F.col(order).cast("double")
     filled = (F.when(v.isNotNull(), v)
