@@ -97,7 +97,7 @@ def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
         truth.alias("true_log_ndvi"),
         (F.lit(0.9) * truth + F.lit(0.01) * (F.col("t") % 7)).alias("GLM_pred"),
         (F.lit(0.8) * truth - F.lit(0.02) * (F.col("pixel_idx") % 5)).alias("RF_pred"),
-        (truth + F.lit(0.05) * F.sin(F.col("t").cast("double"))).alias("XGBoost_pred"),
+        (truth + F.lit(0.05) * F.sin((F.col("t") * 7 + F.col("pixel_idx")).cast("double"))).alias("XGBoost_pred"),
     )
 
 
@@ -131,7 +131,7 @@ FIXTURE_SQL: dict[str, str] = {
                ln(ndvi) AS true_log_ndvi,
                0.9e0 * ln(ndvi) + 0.01e0 * (t % 7) AS GLM_pred,
                0.8e0 * ln(ndvi) - 0.02e0 * (pixel_idx % 5) AS RF_pred,
-               ln(ndvi) + 0.05e0 * sin(CAST(t AS DOUBLE)) AS XGBoost_pred
+               ln(ndvi) + 0.05e0 * sin(CAST(t * 7 + pixel_idx AS DOUBLE)) AS XGBoost_pred
         FROM cells WHERE ndvi > 0""",
 }
 
@@ -144,6 +144,8 @@ def with_fixtures(body: str, names: list[str]) -> str:
         need.add("cells")
     ctes = [f"{n} AS ({FIXTURE_SQL[n]})" for n in order if n in need]
     body = body.strip()
+    if not ctes:
+        return body
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body
