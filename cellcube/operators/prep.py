@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellcube.config import BASELINE_CONTINUOUS, INTERACTIONS
-from cellcube.operators.quantile import exact_quantile, kth_values
+from cellcube.operators.quantile import exact_quantiles, kth_values
 
 MAX_CATEGORIES = 1_000
 
@@ -51,7 +51,7 @@ def one_hot(df: DataFrame, col: str = "soil_snum", cats: list | None = None, dro
 def fit_medians(df: DataFrame, cols: list[str], split: str = "split", fit_on: str = "train") -> dict:
     """Exact train-split medians (linear interpolation) per column."""
     train = df.where(F.col(split) == fit_on) if fit_on else df
-    return {c: exact_quantile(train, c, 0.5) for c in cols}
+    return exact_quantiles(train, cols, 0.5)
 
 
 def impute_median(df: DataFrame, cols: list[str], medians: dict | None = None, split: str = "split",
@@ -109,7 +109,8 @@ def prepare_baseline(df: DataFrame, train_end: int, val_end: int) -> tuple[DataF
     imputation, train scaling of the continuous block, cast to double."""
     from cellcube.operators.mask import cyclic_month, interactions, year_trend
 
-    d = year_trend(cyclic_month(df))
+    # statistics take several passes: cut the feature-build lineage once
+    d = year_trend(cyclic_month(df.checkpoint()))
     d, soil = one_hot(d, "soil_snum")
     d = interactions(d)
     d = chrono_split(d, train_end, val_end)
