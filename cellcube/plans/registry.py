@@ -2,8 +2,8 @@
 
 Every query reads the driver's tables through ``cellcube.sources.fixtures`` and
 runs a library operator over the whole input.  Floating outputs are rounded the
-same way in both engines (``round(x * 1e6) / 1e6``, negative zero folded to
-zero) so that value hashes compare equal.
+same way in both engines (snap to 1e-12, then ``round(x * 1e6) / 1e6``,
+negative zero folded to zero) so that value hashes compare equal.
 """
 
 from __future__ import annotations
@@ -36,15 +36,22 @@ def register(name: str, sql: str | None = None, fixtures: tuple[str, ...] = ()):
 
 
 def rnd(c) -> Column:
-    """Spark side of the output rounding."""
+    """Spark side of the output rounding.
+
+    Two stages: snapping to 1e-12 first removes last-bit noise (one engine's
+    ``exp(ln(x))`` is x + 1 ulp, the other's x), so a value sitting exactly on
+    a 6-decimal tie reaches the second rounding as the same double in both
+    engines."""
     c = F.col(c) if isinstance(c, str) else c
-    r = F.round(c.cast("double") * F.lit(1e6)) / F.lit(1e6)
+    snap = F.round(c.cast("double") * F.lit(1e12)) / F.lit(1e12)
+    r = F.round(snap * F.lit(1e6)) / F.lit(1e6)
     return F.when(r == 0, F.lit(0.0)).otherwise(r)
 
 
 def rnd_sql(e: str) -> str:
-    """DuckDB side of the output rounding."""
-    return f"(CASE WHEN round(({e}) * 1e6) = 0 THEN 0e0 ELSE round(({e}) * 1e6) / 1e6 END)"
+    """DuckDB side of the output rounding (same two stages)."""
+    snap = f"(round(({e}) * 1e12) / 1e12)"
+    return f"(CASE WHEN round({snap} * 1e6) = 0 THEN 0e0 ELSE round({snap} * 1e6) / 1e6 END)"
 
 
 def round_doubles(df: DataFrame) -> DataFrame:
