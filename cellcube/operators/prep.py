@@ -136,6 +136,7 @@ def time_series_folds(df: DataFrame, n_splits: int = 3, t: str = "t", cell: str
     counts (one row per month) locate each boundary's month, and the boundary
     cell inside that month is an exact order statistic of the cell ids there.
     """
+    df = df.checkpoint()  # several passes below: month counts, boundary cells, the labelling
     counts = sorted((r[0], r[1]) for r in df.groupBy(t).count().collect())  # month dimension
     n = sum(c for _, c in counts)
     size = n // (n_splits + 1)

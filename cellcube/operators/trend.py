@@ -101,7 +101,7 @@ def to_long(df: DataFrame, variables: list[str], keys=("pixel_idx", "t")) -> Dat
 
 def trend_pipeline(spark: SparkSession, long_df: DataFrame, n_cells: int, t_first: int, t_last: int,
                    nodata: float = -9999.0, min_valid: int = TREND_MIN_VALID,
-                   alpha: float = TREND_ALPHA) -> DataFrame:
+                   alpha: float = TREND_ALPHA, variables: list[str] | None = None) -> DataFrame:
     """T-04: gap-filled Mann–Kendall / Sen layers per (variable, cell).
 
     ``long_df(variable, pixel_idx, t, value)``: values equal to ``nodata`` (or
@@ -116,7 +116,7 @@ def trend_pipeline(spark: SparkSession, long_df: DataFrame, n_cells: int, t_firs
                        {"value": f"not_equal:{nodata}"})
     # the variable dimension is a handful of names; the grid is generated from a
     # partitioned range so the T x N expansion is spread over all tasks
-    names = [r[0] for r in obs.select("variable").distinct().collect()]
+    names = variables or [r[0] for r in obs.select("variable").distinct().collect()]
     dense = (spark.range(n_cells).select(
                 F.col("id").cast("int").alias("pixel_idx"),
                 F.explode(F.array(*[F.lit(v) for v in sorted(names)])).alias("variable"))

@@ -74,6 +74,13 @@ def training(spark, sf_dir):
     return build_training_table(fx.cells(spark, sf_dir), fx.pop(spark, sf_dir), fx.static(spark, sf_dir), GRID)
 
 
+def training_stored(spark, sf_dir):
+    """The training table materialised once (reliable checkpoint in the shared
+    folder) for plans that read it several times (statistics, then the pass
+    that uses them) — the role the stored table plays in the pipeline."""
+    return training(spark, sf_dir).checkpoint()
+
+
 @register("training_table", WITH_TRAINING(f"SELECT {training_select_sql()} FROM tt"), TRAINING_FIXTURES)
 def q_training_table(spark, sf_dir):
     """Flagship: valid (cell, month) rows with 3 exact-offset lags of

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellcube.operators import prep as M
 from cellcube.operators import series as N
 from cellcube.operators import summary as A
-from cellcube.plans.q_features import TRAINING_FIXTURES, WITH_TRAINING, training
+from cellcube.plans.q_features import TRAINING_FIXTURES, WITH_TRAINING, training, training_stored
 from cellcube.plans.registry import register, rnd, rnd_sql, round_doubles
 from cellcube.sources import fixtures as fx
 
@@ -37,7 +37,7 @@ sc AS (SELECT dn.*, {", ".join(f"coalesce((dn.{c} - m_{c}) / CASE WHEN s_{c} = 0
 
 
 def _dense(spark, sf_dir):
-    t = training(spark, sf_dir)
+    t = training_stored(spark, sf_dir)
     times = N.timesteps(t, calendar=False)
     return N.dense_grid(spark, t, GRID.n_cells, times, ["log_ndvi", "lst_driver_lag1", "pop_density"])
 
@@ -88,10 +88,11 @@ def q_zero_fill(spark, sf_dir):
     FROM sc, st WHERE sc.log_ndvi IS NOT NULL"""), TRAINING_FIXTURES)
 def q_inverse_scale(spark, sf_dir):
     """M-07: scaled target back to log space with the stored train scaler."""
-    d, sc = _dense_scaled(spark, sf_dir, ["log_ndvi"])
-    obs = _dense(spark, sf_dir).where(F.col("log_ndvi").isNotNull()).select("t_idx", "pixel_idx")
+    dense = M.chrono_split(_dense(spark, sf_dir), SPLIT.train_end, SPLIT.val_end)
+    sc = M.fit_scaler(dense, ["log_ndvi"])
+    observed = dense.where(F.col("log_ndvi").isNotNull())
     m, s = sc["log_ndvi"]
-    back = M.inverse_scale(d.join(obs, ["t_idx", "pixel_idx"], "left_semi"), "log_ndvi", m, s)
+    back = M.inverse_scale(M.standardize(observed, ["log_ndvi"], sc), "log_ndvi", m, s)
     return round_doubles(back.select("t_idx", "pixel_idx", "log_ndvi"))
 
 
@@ -249,7 +250,7 @@ def q_feature_list(spark, sf_dir):
 def q_time_series_folds(spark, sf_dir):
     """M-15: expanding-window fold blocks (3 folds) by position in (month, cell)
     order over the train split; block 0 trains only."""
-    t = training(spark, sf_dir).where(F.col("year") <= SPLIT.train_end)
+    t = training_stored(spark, sf_dir).where(F.col("year") <= SPLIT.train_end)
     t = t.withColumn("t", F.col("year") * 12 + F.col("month"))
     return M.time_series_folds(t, 3).select("year", "month", "pixel_idx", "block")
 

@@ -39,7 +39,7 @@ def _t_range(spark, sf_dir):
 
 def trends(spark, sf_dir):
     t0, t1 = _t_range(spark, sf_dir)
-    return T.trend_pipeline(spark, _long(spark, sf_dir), GRID.n_cells, t0, t1)
+    return T.trend_pipeline(spark, _long(spark, sf_dir), GRID.n_cells, t0, t1, variables=["ndvi", "lst"])
 
 
 # dense, gap-filled series per (variable, cell) in DuckDB
@@ -107,7 +107,7 @@ def q_mann_kendall(spark, sf_dir):
     """T-01: Mann–Kendall S, tie-corrected variance, z and two-sided p of NDVI per cell."""
     t0, t1 = _t_range(spark, sf_dir)
     long_ndvi = _long(spark, sf_dir).where(F.col("variable") == "ndvi")
-    r = T.trend_pipeline(spark, long_ndvi, GRID.n_cells, t0, t1)
+    r = T.trend_pipeline(spark, long_ndvi, GRID.n_cells, t0, t1, variables=["ndvi"])
     return round_doubles(r.select("pixel_idx", "s", "var_s", "z", "p"))
 
 
@@ -124,7 +124,8 @@ def q_sens_slope(spark, sf_dir):
     """T-03: Sen's slope (median pairwise slope) of gap-filled LST per cell."""
     t0, t1 = _t_range(spark, sf_dir)
     long_lst = _long(spark, sf_dir).where(F.col("variable") == "lst")
-    return round_doubles(T.trend_pipeline(spark, long_lst, GRID.n_cells, t0, t1).select("pixel_idx", "slope"))
+    return round_doubles(T.trend_pipeline(spark, long_lst, GRID.n_cells, t0, t1, variables=["lst"])
+                         .select("pixel_idx", "slope"))
 
 
 @register("t05_trend_summary", f"""WITH {SQL_MK}
