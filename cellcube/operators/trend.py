@@ -15,12 +15,11 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellcube.config import TREND_ALPHA, TREND_MIN_VALID
 from cellcube.operators.mask import mask_invalid
-from cellcube.operators.series import interpolate_series
 
 MK_FIELDS = "n_obs int, s long, var_s double, z double, p double, trend int, slope double"
 
@@ -99,30 +98,72 @@ def to_long(df: DataFrame, variables: list[str], keys=("pixel_idx", "t")) -> Dat
     return df.unpivot(list(keys), variables, "variable", "value")
 
 
+def fill_gaps(obs: DataFrame, keys: list[str], value: str, t_first: int, t_last: int,
+              order: str = "t", min_valid: int = TREND_MIN_VALID, keep_empty: bool = False) -> DataFrame:
+    """N-06 without a dense grid: linear gap fill by explosion.
+
+    Only observed rows are shuffled (one exchange on ``keys``).  Each valid
+    observation, knowing the next one through ``lead``, emits the months of
+    its own segment: from itself up to the month before the next observation
+    (linear in between), from ``t_first`` for the first observation and up to
+    ``t_last`` for the last (ends clamped).  A series with fewer than
+    ``min_valid`` valid values emits nothing, or — with ``keep_empty`` — one
+    row with NULL month and value (rows with a NULL month may be included in
+    ``obs`` as markers for series that have no observation at all).  Output
+    ``(keys, order, value)``, still hash-partitioned on ``keys`` for a
+    following grouped step.  Same arithmetic as ``np.interp``.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_first())
+    o = obs.select(*keys, order, value)
+    o = o.withColumns({"_t1": F.lead(order).over(w), "_v1": F.lead(value).over(w),
+                       "_t0": F.lag(order).over(w), "_rn": F.row_number().over(w),
+                       "_n": F.count(value).over(Window.partitionBy(*keys))})
+    v, t = F.col(value), F.col(order)
+    start = F.when(F.col("_t0").isNull(), F.lit(t_first)).otherwise(t)
+    end = F.when(F.col("_t1").isNull(), F.lit(t_last)).otherwise(F.col("_t1") - 1)
+    enough = F.col("_n") >= min_valid
+    empty = F.array().cast("array<int>")
+    steps = F.when(enough & v.isNotNull() & t.isNotNull(), F.sequence(start, end))
+    if keep_empty:
+        steps = steps.when(~enough & (F.col("_rn") == 1), F.array(F.lit(None).cast("int")))
+    e = o.select(*keys, order, value, "_t1", "_v1", F.explode(steps.otherwise(empty)).alias("_s"))
+    s = F.col("_s")
+    filled = (F.when(s.isNull(), F.lit(None).cast("double"))
+              .when((s <= t) | F.col("_t1").isNull(), v)
+              .otherwise((F.col("_v1") - v) / (F.col("_t1") - t).cast("double")
+                         * (s.cast("double") - t.cast("double")) + v))
+    return e.select(*keys, s.cast("int").alias(order), filled.alias(value))
+
+
 def trend_pipeline(spark: SparkSession, long_df: DataFrame, n_cells: int, t_first: int, t_last: int,
                    nodata: float = -9999.0, min_valid: int = TREND_MIN_VALID,
                    alpha: float = TREND_ALPHA, variables: list[str] | None = None) -> DataFrame:
     """T-04: gap-filled Mann–Kendall / Sen layers per (variable, cell).
 
     ``long_df(variable, pixel_idx, t, value)``: values equal to ``nodata`` (or
-    NaN) are missing.  Every cell of the grid and every month of
-    ``[t_first, t_last]`` is placed on a dense axis, gaps are filled linearly
-    (ends clamped, fewer than ``min_valid`` valid -> all missing), then the
-    test runs per (variable, cell).  The window of the gap fill and the
-    grouping of the test share one exchange on (variable, pixel_idx).
-    Output ``(variable, pixel_idx, n_obs, s, var_s, z, p, trend, slope)``.
+    NaN) are missing.  Each cell's series on the month axis ``[t_first,
+    t_last]`` is gap-filled linearly (ends clamped) by ``fill_gaps`` and tested
+    per (variable, cell) in one pass: one marker row per grid cell joins the
+    observations so that cells with fewer than ``min_valid`` valid months (or
+    none) reach the test as an empty series and get NULL statistics; every
+    layer covers the whole grid.  The fill's window and the grouped test share
+    one exchange on (variable, pixel_idx).  Output ``(variable, pixel_idx,
+    n_obs, s, var_s, z, p, trend, slope)``.
     """
     obs = mask_invalid(long_df.select("variable", "pixel_idx", "t", "value"),
                        {"value": f"not_equal:{nodata}"})
-    # the variable dimension is a handful of names; the grid is generated from a
-    # partitioned range so the T x N expansion is spread over all tasks
+    obs = obs.where(F.col("t").between(t_first, t_last) & F.col("value").isNotNull())
+    # one value per (variable, cell, month): repeated observations of a cell are
+    # averaged with a map-side partial aggregate, so every test group below is
+    # one series of at most (t_last - t_first + 1) months however hot a cell is
+    obs = obs.groupBy("variable", "pixel_idx", "t").agg(F.avg("value").alias("value"))
     names = variables or [r[0] for r in obs.select("variable").distinct().collect()]
-    dense = (spark.range(n_cells).select(
-                F.col("id").cast("int").alias("pixel_idx"),
-                F.explode(F.array(*[F.lit(v) for v in sorted(names)])).alias("variable"))
-             .select("variable", "pixel_idx", F.explode(F.sequence(F.lit(t_first), F.lit(t_last))).alias("t")))
-    d = dense.join(obs, ["variable", "pixel_idx", "t"], "left")
-    filled = interpolate_series(d, "value", key=["variable", "pixel_idx"], order="t", min_valid=min_valid)
+    markers = spark.range(n_cells).select(
+        F.explode(F.array(*[F.lit(v) for v in sorted(names)])).alias("variable"),
+        F.col("id").cast("int").alias("pixel_idx"), F.lit(None).cast("int").alias("t"),
+        F.lit(None).cast("double").alias("value"))
+    filled = fill_gaps(obs.unionByName(markers), ["variable", "pixel_idx"], "value", t_first, t_last, "t",
+                       min_valid, keep_empty=True)
     return mann_kendall(filled, "value", keys=("variable", "pixel_idx"), order="t", alpha=alpha)
 
 

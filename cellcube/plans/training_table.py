@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cellcube.config import TRAINING_COLUMNS, GridConfig
 from cellcube.functions.scalar import log1p_driver, log_target
 from cellcube.operators.grid import spatial_lag
-from cellcube.operators.joins import join_static, join_yearly
+from cellcube.operators.joins import dedupe_static, join_static, join_yearly
 from cellcube.operators.mask import mask_invalid, valid_rows
 from cellcube.operators.series import temporal_lags
 
@@ -43,7 +43,9 @@ def build_training_table(cells: DataFrame, pop: DataFrame, static: DataFrame, gr
     t = drivers.join(neighbourhood, ["pixel_idx", "t"], "left")
     t = join_yearly(t, mask_invalid(pop.select("pixel_idx", "year", "pop_density"), {"pop_density": "non_negative"}),
                     grid.n_cells, n_years)
-    t = join_static(t, static.select("pixel_idx", "twi", "soil_snum"), grid.n_cells)
+    # a static layer has one row per cell: enforcing it proves the n_cells bound
+    # under which the static side may be broadcast
+    t = join_static(t, dedupe_static(static.select("pixel_idx", "twi", "soil_snum")), grid.n_cells)
     t = t.withColumn("log_ndvi", log_target("ndvi"))
     return valid_rows(t.select(*TRAINING_COLUMNS), TRAINING_COLUMNS)
 

@@ -69,3 +69,25 @@ def test_regional_linear_trend(spark):
     assert np.isclose(fit["slope"], 2.0) and np.isclose(fit["intercept"], 1.0)
     line = T.trend_line(df, T.linear_trend(df))
     assert line.where(F.abs(F.col("fitted") - F.col("regional_mean")) > 1e-9).count() == 0
+
+
+def test_fill_gaps_equals_np_interp(spark):
+    rng = np.random.default_rng(9)
+    rows, ref = [], {}
+    for p in range(4):
+        s = rng.normal(size=30)
+        s[rng.uniform(size=30) < 0.35] = np.nan
+        s[0] = np.nan
+        ref[p] = s
+        rows += [("v", p, t + 1, float(x)) for t, x in enumerate(s) if not np.isnan(x)]
+    df = spark.createDataFrame(rows, "variable string, pixel_idx int, t int, value double")
+    out = T.fill_gaps(df, ["variable", "pixel_idx"], "value", 1, 30, "t", 12).collect()
+    x = np.arange(30)
+    for p, s in ref.items():
+        got = sorted((r["t"], r["value"]) for r in out if r["pixel_idx"] == p)
+        m = ~np.isnan(s)
+        if m.sum() < 12:
+            assert got == []
+            continue
+        assert [t for t, _ in got] == list(range(1, 31))
+        np.testing.assert_allclose([v for _, v in got], np.interp(x, x[m], s[m]), atol=1e-12)
