@@ -315,3 +315,19 @@ def q_composite_stream(spark, sf_dir):
     W.run_to_table(agg, out, ck)
     d = W.read_composite(spark, out)
     return round_doubles(d.select("pixel_idx", F.to_date("bucket_start").alias("day"), "mean", "n_scenes"))
+
+
+@register("w01_monthly_rollup", f"""
+    SELECT pixel_idx, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
+           {rnd_sql('avg(dn)')} AS mean, count(*) AS n_scenes
+    FROM scenes GROUP BY 1, 2, 3""", ("scenes",))
+def q_stream_monthly(spark, sf_dir):
+    """W-01 + C-01: calendar-month composite rolled up from the streaming daily
+    sums and counts (months are not a valid streaming window length)."""
+    src = fx.read_table(spark, sf_dir, "events")
+    stream = (spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+              .select((F.col("user_id") % fx.N_CELLS).cast("int").alias("pixel_idx"),
+                      F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("dn")))
+    out, ck = TB.scratch_path(spark, "composite-m"), TB.scratch_path(spark, "composite-m-ckpt")
+    W.run_to_table(W.composite_stream(stream, "ts", "dn"), out, ck)
+    return round_doubles(W.monthly_from_daily(W.read_composite(spark, out)))

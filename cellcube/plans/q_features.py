@@ -239,3 +239,33 @@ def q_valid_rows(spark, sf_dir):
     t = training(spark, sf_dir)
     return t.agg(F.count(F.lit(1)).alias("n_valid"),
                  F.countDistinct(F.col("year") * 12 + F.col("month")).alias("n_months"))
+
+
+@register("j04_attach_pixel", WITH_TRAINING(f"""
+    SELECT tt.pixel_idx, tt.year, tt.month, {rnd_sql('tt.log_ndvi')} AS log_ndvi, {rnd_sql('r.RF_pred')} AS RF_pred
+    FROM tt JOIN residuals r ON r.pixel_idx = tt.pixel_idx AND r.year = tt.year AND r.month = tt.month"""),
+          ("cells", "pop", "static", "residuals"))
+def q_attach_pixel(spark, sf_dir):
+    """J-04: keyed predictions attached to the training rows on (pixel_idx, year, month)."""
+    preds = fx.residuals(spark, sf_dir).select("pixel_idx", "year", "month", "RF_pred")
+    t = training(spark, sf_dir).select("pixel_idx", "year", "month", "log_ndvi")
+    return round_doubles(J.attach_pixel(preds, t))
+
+
+@register("j05_attach_truth", f"""
+    WITH tm AS (SELECT DISTINCT t FROM residuals WHERE split = 'test'),
+    cellax AS (SELECT CAST(range AS INTEGER) AS pixel_idx FROM range(0, 80)),
+    tr AS (SELECT pixel_idx, t, arg_min(true_log_ndvi, month) AS true_log_ndvi FROM residuals GROUP BY 1, 2)
+    SELECT c.pixel_idx, tm.t, {rnd_sql('tr.true_log_ndvi')} AS true_log_ndvi
+    FROM tm CROSS JOIN cellax c JOIN tr ON tr.pixel_idx = c.pixel_idx AND tr.t = tm.t""",
+          ("cells", "residuals"))
+def q_attach_truth(spark, sf_dir):
+    """J-05: every (test month, grid cell) gets its truth (first value per key),
+    cells without truth dropped."""
+    r = fx.residuals(spark, sf_dir)
+    months = r.where(F.col("split") == "test").select("t").distinct()
+    # the grid is the month dimension exploded over the cell ids (no join)
+    grid = months.select("t", F.explode(F.sequence(F.lit(0), F.lit(GRID.n_cells - 1))).alias("pixel_idx"))
+    out = J.attach_truth(grid, r.select("pixel_idx", "t", "month", "true_log_ndvi"), "true_log_ndvi",
+                         order_col="month")
+    return round_doubles(out.select("pixel_idx", "t", "true_log_ndvi"))
