@@ -8,11 +8,13 @@ negative zero folded to zero) so that value hashes compare equal.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellcube.session import apply_sql_defaults, checkpoint_dir
 from cellcube.sources.fixtures import with_fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,7 +28,16 @@ def register(name: str, sql: str | None = None, fixtures: tuple[str, ...] = ()):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # any caller's session: library SQL defaults (UTC, AQE) and a
+            # checkpoint folder (the cluster's spark.checkpoint.dir when set)
+            apply_sql_defaults(spark)
+            checkpoint_dir(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         DOCS[name] = (fn.__doc__ or "").strip()
         if sql is not None:
             ORACLES[name] = with_fixtures(sql, list(fixtures))

@@ -32,11 +32,16 @@ def build_training_table(cells: DataFrame, pop: DataFrame, static: DataFrame, gr
                          n_years: int | None = None) -> DataFrame:
     """S-04's table built from layers: P-01 -> G-03, G-04 -> J-02, J-03 -> P-02, P-03 -> P-04.
 
-    ``cells(pixel_idx, t, year, month, ndvi, lst, precip)`` must be unique per
-    (pixel_idx, t) with ``t`` a calendar month index.
+    ``cells(pixel_idx, t, year, month, ndvi, lst, precip)`` with ``t`` a calendar
+    month index; several rows of one (cell, month) are averaged after masking.
     """
     m = mask_invalid(cells.select("pixel_idx", "t", "year", "month", "ndvi", "lst", "precip"),
                      {"ndvi": "positive", "lst": "lst", "precip": "non_negative"})
+    # one row per (cell, month): repeated valid readings are averaged by a
+    # partial aggregate before any cell-partitioned window, so a hot cell
+    # cannot pile its duplicates into one window task
+    m = m.groupBy("pixel_idx", "t", "year", "month").agg(
+        F.avg("ndvi").alias("ndvi"), F.avg("lst").alias("lst"), F.avg("precip").alias("precip"))
     drivers = temporal_lags(m.withColumn("log_precip", log1p_driver("precip")),
                             ["lst", "log_precip"], (1, 2, 3), names=LAG_NAMES)
     neighbourhood = spatial_lag(m, grid, value="ndvi", lag=1, out="ndvi_spatial_lag")

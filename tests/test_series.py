@@ -66,3 +66,19 @@ def test_grid_rows_and_unflatten(spark):
     assert len(out) == 12
     got = {(r["t_idx"], r["pixel_idx"]): r["pred"] for r in out if r["pred"] is not None}
     assert got == {(0, 0): 1.0, (1, 1): 2.0}
+
+
+def test_training_table_averages_duplicate_cell_months(spark):
+    from cellcube.config import GridConfig
+    from cellcube.plans.training_table import build_training_table
+
+    g = GridConfig(1, 2)
+    rows = [(p, t, 2000, t, 0.5, 20.0, 1.0) for p in range(2) for t in range(1, 6)]
+    rows += [(0, 5, 2000, 5, 0.7, -9999.0, 3.0)]          # duplicate reading with an LST sentinel
+    cells = spark.createDataFrame(rows, "pixel_idx int, t int, year int, month int, ndvi double, lst double, precip double")
+    pop = spark.createDataFrame([(0, 2000, 1.0), (1, 2000, 1.0)], "pixel_idx int, year int, pop_density double")
+    static = spark.createDataFrame([(0, 1.0, 1), (1, 2.0, 2)], "pixel_idx int, twi double, soil_snum int")
+    out = {(r["pixel_idx"], r["month"]): r for r in build_training_table(cells, pop, static, g).collect()}
+    assert set(out) == {(0, 4), (0, 5), (1, 4), (1, 5)}
+    assert abs(out[(0, 5)]["log_ndvi"] - __import__("math").log(0.6)) < 1e-12   # mean of 0.5 and 0.7
+    assert out[(1, 5)]["ndvi_spatial_lag"] == 0.5
