@@ -24,6 +24,11 @@ SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # streaming state off the JVM heap, checkpointed incrementally: state of
+    # the composite grows with cells x open buckets, not with executor memory
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
@@ -49,7 +54,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def apply_sql_defaults(spark: SparkSession) -> None:
     """Runtime SQL settings the plans rely on (safe to call on any session)."""
     for k in ("spark.sql.adaptive.enabled", "spark.sql.requireAllClusterKeysForCoPartition",
-              "spark.sql.session.timeZone"):
+              "spark.sql.session.timeZone", "spark.sql.streaming.stateStore.providerClass",
+              "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"):
         spark.conf.set(k, SESSION_DEFAULTS[k])
 
 

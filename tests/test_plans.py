@@ -51,3 +51,27 @@ def test_every_query_has_a_docstring_and_sql_or_reason():
     rows_only = set(catalog.QUERIES) - set(catalog.ORACLES)
     assert all(n.startswith(("m09_fit", "m10", "m11", "m12", "m16", "m17", "m18", "r04", "s05")) for n in rows_only), \
         rows_only
+
+
+def test_year_filter_prunes_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from cellcube.plans.q_features import training
+    from cellcube.sources import tabular as TB
+
+    path = TB.scratch_path(spark, "pruning")
+    TB.write_tabular(training(spark, SF_SMALL), path)
+    df = TB.scan_tabular(spark, path).where(F.col("year") <= 1999).select("pixel_idx", "log_ndvi")
+    plan = _plan(df)
+    assert "PartitionFilters: [isnotnull(year" in plan and "(year" in plan and "<= 1999" in plan
+    assert "ReadSchema: struct<pixel_idx:int,log_ndvi:double>" in plan
+
+
+def test_no_single_partition_window_in_feature_plans(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("training_table", "g04_temporal_lags", "n06_interpolate_series", "t04_trend_pipeline"):
+            plan = _plan(catalog.QUERIES[name](spark, SF_SMALL))
+            assert "SinglePartition" not in plan, name
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
