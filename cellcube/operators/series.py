@@ -11,6 +11,8 @@ group-by, so a hot cell can never pile up rows in one window partition.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,8 +84,7 @@ def dense_grid(spark: SparkSession, df: DataFrame, n_cells: int, times: DataFram
 
 def static_by_pixel(df: DataFrame, cols: list[str], order: str = "t_idx") -> DataFrame:
     """N-03: static vector per cell from the cell's earliest observation with any value."""
-    present = F.coalesce(*[F.col(c).isNotNull() for c in cols]) if len(cols) == 1 else \
-        F.greatest(*[F.col(c).isNotNull().cast("int") for c in cols]) == 1
+    present = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in cols])
     s = (df.where(present)
          .groupBy("pixel_idx")
          .agg(F.min_by(F.struct(*cols), F.col(order)).alias("_s")))

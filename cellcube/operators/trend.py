@@ -135,7 +135,7 @@ def fill_gaps(obs: DataFrame, keys: list[str], value: str, t_first: int, t_last:
     return e.select(*keys, s.cast("int").alias(order), filled.alias(value))
 
 
-def trend_pipeline(spark: SparkSession, long_df: DataFrame, n_cells: int, t_first: int, t_last: int,
+def trend_layers(spark: SparkSession, long_df: DataFrame, n_cells: int, t_first: int, t_last: int,
                    nodata: float = -9999.0, min_valid: int = TREND_MIN_VALID,
                    alpha: float = TREND_ALPHA, variables: list[str] | None = None) -> DataFrame:
     """T-04: gap-filled Mann–Kendall / Sen layers per (variable, cell).

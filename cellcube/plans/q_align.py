@@ -209,9 +209,12 @@ def q_materialize(spark, sf_dir):
     (footer schema check) on the second; rows of the reused table."""
     path = TB.scratch_path(spark, "materialized")
     first = TB.materialize_if_absent(spark, lambda: training(spark, sf_dir), path, ["pixel_idx", "log_ndvi"])
-    again = TB.materialize_if_absent(spark, lambda: (_ for _ in ()).throw(RuntimeError("rebuilt")), path,
-                                     ["pixel_idx", "log_ndvi"])
-    assert first.columns == again.columns
+    def must_not_rebuild():
+        raise RuntimeError(f"{path} was rebuilt although it holds the required columns")
+
+    again = TB.materialize_if_absent(spark, must_not_rebuild, path, ["pixel_idx", "log_ndvi"])
+    if first.columns != again.columns:
+        raise RuntimeError("stored table changed shape")
     return again
 
 

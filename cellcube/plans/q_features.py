@@ -77,7 +77,7 @@ def training(spark, sf_dir):
 def training_stored(spark, sf_dir):
     """The training table materialised once (reliable checkpoint in the shared
     folder) for plans that read it several times (statistics, then the pass
-    that uses them) — the role the stored table plays in the pipeline."""
+    that uses them) — the role the stored table plays in the workflow."""
     return training(spark, sf_dir).checkpoint()
 
 
@@ -224,12 +224,17 @@ def q_join_drivers(spark, sf_dir):
 
 @register("j06_mask_by_static", """
     SELECT c.pixel_idx, c.t FROM cells c
-    WHERE c.pixel_idx IN (SELECT pixel_idx FROM static WHERE twi IS NOT NULL AND twi > 5e0)""",
+    WHERE c.pixel_idx IN (SELECT pixel_idx FROM static
+                          WHERE twi IS NOT NULL AND twi > (SELECT median(twi) FROM static))""",
           ("cells", "static"))
 def q_mask_by_static(spark, sf_dir):
-    """J-06: keep cells whose static TWI is present and above a floor (semi join)."""
+    """J-06: keep cell-months whose static TWI is present and above a floor (semi
+    join); the floor here is the exact median TWI, so about half the cells stay."""
+    from cellcube.operators.quantile import exact_quantile
+
+    st = fx.static(spark, sf_dir)
     c = fx.cells(spark, sf_dir).select("pixel_idx", "t")
-    return J.mask_by_static(c, fx.static(spark, sf_dir), GRID.n_cells, floor=5.0)
+    return J.mask_by_static(c, st, GRID.n_cells, floor=exact_quantile(st, "twi", 0.5))
 
 
 @register("p04_valid_rows", WITH_TRAINING("""

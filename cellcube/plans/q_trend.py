@@ -39,7 +39,7 @@ def _t_range(spark, sf_dir):
 
 def trends(spark, sf_dir):
     t0, t1 = _t_range(spark, sf_dir)
-    return T.trend_pipeline(spark, _long(spark, sf_dir), GRID.n_cells, t0, t1, variables=["ndvi", "lst"])
+    return T.trend_layers(spark, _long(spark, sf_dir), GRID.n_cells, t0, t1, variables=["ndvi", "lst"])
 
 
 # dense, gap-filled series per (variable, cell) in DuckDB
@@ -90,11 +90,11 @@ layers AS (SELECT vars.variable, cellax.pixel_idx, mk.n_obs, mk.s, mk.var_s, mk.
            LEFT JOIN mk ON mk.variable = vars.variable AND mk.pixel_idx = cellax.pixel_idx)"""
 
 
-@register("t04_trend_pipeline", f"""WITH {SQL_MK}
+@register("t04_trend_layers", f"""WITH {SQL_MK}
     SELECT variable, pixel_idx, n_obs, s, {rnd_sql('var_s')} AS var_s, {rnd_sql('z')} AS z,
            {rnd_sql('p')} AS p, trend, {rnd_sql('slope')} AS slope
     FROM layers""", ("cells",))
-def q_trend_pipeline(spark, sf_dir):
+def q_trend_layers(spark, sf_dir):
     """T-04: Mann–Kendall z, p, trend flag and Sen's slope layers for NDVI and LST
     over the gap-filled dense month axis of every grid cell."""
     return round_doubles(trends(spark, sf_dir))
@@ -107,7 +107,7 @@ def q_mann_kendall(spark, sf_dir):
     """T-01: Mann–Kendall S, tie-corrected variance, z and two-sided p of NDVI per cell."""
     t0, t1 = _t_range(spark, sf_dir)
     long_ndvi = _long(spark, sf_dir).where(F.col("variable") == "ndvi")
-    r = T.trend_pipeline(spark, long_ndvi, GRID.n_cells, t0, t1, variables=["ndvi"])
+    r = T.trend_layers(spark, long_ndvi, GRID.n_cells, t0, t1, variables=["ndvi"])
     return round_doubles(r.select("pixel_idx", "s", "var_s", "z", "p"))
 
 
@@ -124,7 +124,7 @@ def q_sens_slope(spark, sf_dir):
     """T-03: Sen's slope (median pairwise slope) of gap-filled LST per cell."""
     t0, t1 = _t_range(spark, sf_dir)
     long_lst = _long(spark, sf_dir).where(F.col("variable") == "lst")
-    return round_doubles(T.trend_pipeline(spark, long_lst, GRID.n_cells, t0, t1, variables=["lst"])
+    return round_doubles(T.trend_layers(spark, long_lst, GRID.n_cells, t0, t1, variables=["lst"])
                          .select("pixel_idx", "slope"))
 
 

@@ -34,7 +34,7 @@ def test_spatial_lag_has_no_join(spark):
 def test_trend_groups_on_the_window_partitioning(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        plan = _plan(catalog.QUERIES["t04_trend_pipeline"](spark, SF_SMALL))
+        plan = _plan(catalog.QUERIES["t04_trend_layers"](spark, SF_SMALL))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "FlatMapGroupsInPandas" in plan
@@ -70,7 +70,7 @@ def test_year_filter_prunes_partitions(spark):
 def test_no_single_partition_window_in_feature_plans(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        for name in ("training_table", "g04_temporal_lags", "n06_interpolate_series", "t04_trend_pipeline"):
+        for name in ("training_table", "g04_temporal_lags", "n06_interpolate_series", "t04_trend_layers"):
             plan = _plan(catalog.QUERIES[name](spark, SF_SMALL))
             assert "SinglePartition" not in plan, name
     finally:

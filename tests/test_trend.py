@@ -53,12 +53,12 @@ def test_grouped_test_in_spark_matches_numpy(spark):
         assert out[p]["s"] == ref["s"] and np.isclose(out[p]["z"], ref["z"]) and out[p]["trend"] == ref["trend"]
 
 
-def test_pipeline_fills_gaps_and_nulls_short_series(spark):
+def test_trend_layers_fill_gaps_and_null_short_series(spark):
     rows = [("ndvi", 0, t, float(t)) for t in range(1, 25) if t not in (5, 6)]
     rows += [("ndvi", 1, t, 1.0) for t in range(1, 11)]        # 10 valid -> missing
     rows += [("ndvi", 2, t, -9999.0) for t in range(1, 25)]    # all nodata
     df = spark.createDataFrame(rows, "variable string, pixel_idx int, t int, value double")
-    out = {r["pixel_idx"]: r for r in T.trend_pipeline(spark, df, 3, 1, 24).collect()}
+    out = {r["pixel_idx"]: r for r in T.trend_layers(spark, df, 3, 1, 24).collect()}
     assert out[0]["trend"] == 1 and np.isclose(out[0]["slope"], 1.0)
     assert out[1]["z"] is None and out[2]["slope"] is None
 
