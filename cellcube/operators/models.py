@@ -24,6 +24,10 @@ from cellcube.config import (SEARCH_DRAWS, SEARCH_FOLDS, SEARCH_SPACE, SEARCH_TR
 from cellcube.operators.metrics import regression_metrics
 
 MAX_BINS = 256  # histogram split finding, as in the boosted baseline
+# deep trees: keep each row's node id cached (checkpointed every 10 iterations
+# into the shared folder) instead of shipping the trees each level, and let
+# one pass over the data split more nodes
+TREE_SPEED = dict(cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=10)
 
 
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
@@ -61,7 +65,7 @@ def fit_rf(spark: SparkSession, train: DataFrame, features: list[str], label: st
     """M-10: random forest (trees, depth, minimum leaf size, feature fraction, seed); importances."""
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=p.num_trees, maxDepth=p.max_depth,
                                minInstancesPerNode=p.min_instances_per_node, featureSubsetStrategy=p.feature_subset,
-                               seed=p.seed, maxBins=MAX_BINS)
+                               seed=p.seed, maxBins=MAX_BINS, **TREE_SPEED)
     model = rf.fit(train)
     return model, importance_table(spark, model, features)
 
@@ -94,7 +98,7 @@ def fit_gbt(spark: SparkSession, train_val: DataFrame, features: list[str], labe
     ``patience=None`` uses Spark's own ``validationTol`` rule instead."""
     kw = dict(featuresCol="features", labelCol=label, maxIter=p.max_iter, maxDepth=p.max_depth, stepSize=p.step_size,
               subsamplingRate=p.subsampling_rate, featureSubsetStrategy=p.feature_subset, seed=p.seed,
-              maxBins=MAX_BINS)
+              maxBins=MAX_BINS, **TREE_SPEED)
     if val_col and patience is None:
         kw.update(validationIndicatorCol=val_col, validationTol=p.validation_tol)
         model = GBTRegressor(**kw).fit(train_val)
@@ -165,7 +169,7 @@ def random_search(spark: SparkSession, frame: DataFrame, label: str = "log_ndvi"
         m = GBTRegressor(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=int(prm["max_depth"]),
                          stepSize=float(prm["learning_rate"]), subsamplingRate=float(prm["subsample"]),
                          featureSubsetStrategy=str(float(prm["colsample_bytree"])) if prm["colsample_bytree"] < 1
-                         else "all", seed=seed, maxBins=MAX_BINS).fit(tr)
+                         else "all", seed=seed, maxBins=MAX_BINS, **TREE_SPEED).fit(tr)
         r = regression_metrics(m.transform(te).withColumn("fold", F.lit(i)), label, "prediction", keys=("fold",)).first()
         return (d, i, *[float(prm[k]) for k in space], float(r["r2"]))
 

@@ -36,7 +36,7 @@ def test_staged_gbt_keeps_best_rounds(spark):
     model, imp = ML.fit_gbt(spark, frame, ["a", "b"], p=p, patience=5)
     full = ML.GBTRegressor(featuresCol="features", labelCol="log_ndvi", maxIter=40, maxDepth=3, stepSize=0.3,
                            subsamplingRate=p.subsampling_rate, featureSubsetStrategy=p.feature_subset, seed=p.seed,
-                           maxBins=ML.MAX_BINS).fit(frame.where(~F.col("is_val")))
+                           maxBins=ML.MAX_BINS, **ML.TREE_SPEED).fit(frame.where(~F.col("is_val")))
     keep = ML.best_round(list(full.evaluateEachIteration(frame.where(F.col("is_val")), "squared")), 5)
     assert model.getNumTrees == keep
     assert imp.count() == 2
