@@ -197,3 +197,21 @@ def trend_line(series: DataFrame, fit: DataFrame, x: str = "t", keys=()) -> Data
         row = fit.first()
         j = series.withColumns({"slope": F.lit(row["slope"]), "intercept": F.lit(row["intercept"])})
     return j.withColumn("fitted", F.col("slope") * F.col(x) + F.col("intercept"))
+
+
+# Names of the four trend layers per variable (lower case).
+TREND_LAYER_NAMES = {"z": "{v}_mk_zscore", "p": "{v}_mk_pvalue", "trend": "{v}_mk_trend", "slope": "{v}_sens_slope"}
+
+
+def trend_layer_rows(trends: DataFrame, nodata: float = -9999.0) -> DataFrame:
+    """T-04 output as layer rows ``(layer, pixel_idx, value)``: four layers per
+    variable (z-score, p-value, trend flag, Sen slope), missing -> ``nodata``,
+    ready for ``sources.layers.write_layer``-style storage."""
+    stacked = trends.select("variable", "pixel_idx", *[F.col(c).cast("double").alias(c) for c in TREND_LAYER_NAMES]) \
+        .unpivot(["variable", "pixel_idx"], list(TREND_LAYER_NAMES), "stat", "value")
+    name = F.lit(None).cast("string")
+    for stat, pattern in TREND_LAYER_NAMES.items():
+        prefix, suffix = pattern.split("{v}")
+        name = F.when(F.col("stat") == stat, F.concat(F.lit(prefix), F.lower("variable"), F.lit(suffix))).otherwise(name)
+    return stacked.select(name.alias("layer"), "pixel_idx",
+                          F.coalesce(F.col("value"), F.lit(float(nodata))).alias("value"))

@@ -193,3 +193,18 @@ def q_trend_line(spark, sf_dir):
     """T-08: regional series with its fitted linear trend value per month."""
     reg = _regional(spark, sf_dir)
     return round_doubles(T.trend_line(reg, T.linear_trend(reg)).select("t", "regional_mean", "fitted"))
+
+
+@register("t04_trend_layer_rows", f"""WITH {SQL_MK},
+    st AS (SELECT variable, pixel_idx, 'z' AS stat, z AS value FROM layers
+           UNION ALL SELECT variable, pixel_idx, 'p', p FROM layers
+           UNION ALL SELECT variable, pixel_idx, 'trend', CAST(trend AS DOUBLE) FROM layers
+           UNION ALL SELECT variable, pixel_idx, 'slope', slope FROM layers)
+    SELECT CASE stat WHEN 'z' THEN lower(variable) || '_mk_zscore' WHEN 'p' THEN lower(variable) || '_mk_pvalue'
+                     WHEN 'trend' THEN lower(variable) || '_mk_trend' ELSE lower(variable) || '_sens_slope' END AS layer,
+           pixel_idx, {rnd_sql('coalesce(value, -9999e0)')} AS value
+    FROM st""", ("cells",))
+def q_trend_layer_rows(spark, sf_dir):
+    """T-04 as stored layers: per variable the z-score, p-value, trend and Sen
+    slope layers over all grid cells, missing written as -9999."""
+    return round_doubles(T.trend_layer_rows(trends(spark, sf_dir)))

@@ -45,6 +45,18 @@ def require_complete(found: DataFrame, expected: DataFrame, keys=("year", "month
     return found
 
 
+def count_mismatch(df: DataFrame, variable: str = "variable", keys=("year", "month")) -> list[tuple]:
+    """S-02 (build path): layers per variable; a warning lists the counts when
+    variables disagree.  Returns ``[(variable, n_layers)]`` (one row per
+    variable, so bounded by the variable dimension)."""
+    keys = list(keys)
+    counts = sorted(tuple(r) for r in df.select(variable, *keys).distinct()
+                    .groupBy(variable).count().collect())
+    if len({c for _, c in counts}) > 1:
+        warnings.warn(f"layer count mismatch: {counts}", stacklevel=2)
+    return counts
+
+
 def write_layer(df: DataFrame, path: str, variable: str | None = None, value: str = "value",
                 nodata: float = NODATA, mode: str = "overwrite") -> None:
     """S-08: write layer rows, missing -> ``nodata``, partitioned by variable/year/month."""

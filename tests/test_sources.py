@@ -44,3 +44,14 @@ def test_materialize_if_absent_reuses_and_rebuilds(spark):
     assert a.count() == b.count() == 5 and len(calls) == 1
     TB.materialize_if_absent(spark, build, path, ["pixel_idx", "absent_col"])   # missing column -> rebuild
     assert len(calls) == 2
+
+
+def test_count_mismatch_warns(spark):
+    import warnings
+
+    df = spark.createDataFrame([("ndvi", 2006, 1), ("ndvi", 2006, 2), ("lst", 2006, 1)],
+                               "variable string, year int, month int")
+    with warnings.catch_warnings(record=True) as w:
+        warnings.simplefilter("always")
+        assert L.count_mismatch(df) == [("lst", 1), ("ndvi", 2)]
+    assert any("mismatch" in str(x.message) for x in w)
