@@ -190,7 +190,7 @@ def q_expected_months(spark, sf_dir):
 
 
 @register("s04_s06_tabular_roundtrip", WITH_TRAINING(f"""
-    SELECT year, count(*) AS n_rows, sum(pixel_idx) AS sum_pixel, {rnd_sql('sum(log_ndvi)')} AS sum_log_ndvi
+    SELECT year, count(*) AS n_rows, CAST(sum(pixel_idx) AS BIGINT) AS sum_pixel, {rnd_sql('sum(log_ndvi)')} AS sum_log_ndvi
     FROM tt GROUP BY year"""), TRAINING_FIXTURES)
 def q_tabular_roundtrip(spark, sf_dir):
     """S-06 then S-04: training table written partitioned by year, read back with
@@ -255,7 +255,7 @@ def q_khop_mean(spark, sf_dir):
 
 @register("g06_edges_cached", """
     WITH cellids AS (SELECT DISTINCT pixel_idx FROM cells), off AS (SELECT unnest([-1, 0, 1]) AS d)
-    SELECT count(*) AS n_edges, sum(CAST(c.pixel_idx AS BIGINT)) AS sum_src
+    SELECT count(*) AS n_edges, CAST(sum(CAST(c.pixel_idx AS BIGINT)) AS BIGINT) AS sum_src
     FROM cellids c, off a, off b
     WHERE NOT (a.d = 0 AND b.d = 0) AND c.pixel_idx // 10 + a.d BETWEEN 0 AND 7 AND c.pixel_idx % 10 + b.d BETWEEN 0 AND 9""",
           ("cells",))

@@ -155,7 +155,8 @@ def q_spatial_lag(spark, sf_dir):
 @register("g01_grid_edges", """
     WITH cellids AS (SELECT DISTINCT pixel_idx FROM cells),
          off AS (SELECT unnest([-1, 0, 1]) AS d)
-    SELECT count(*) AS n_edges, count(DISTINCT e.src) AS n_src, sum(e.src) AS sum_src, sum(e.dst) AS sum_dst
+    SELECT count(*) AS n_edges, count(DISTINCT e.src) AS n_src, CAST(sum(e.src) AS BIGINT) AS sum_src,
+           CAST(sum(e.dst) AS BIGINT) AS sum_dst
     FROM (SELECT CAST(c.pixel_idx AS BIGINT) AS src,
                  CAST((c.pixel_idx // 10 + a.d) * 10 + (c.pixel_idx % 10 + b.d) AS BIGINT) AS dst
           FROM cellids c, off a, off b
