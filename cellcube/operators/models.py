@@ -169,7 +169,8 @@ def random_search(spark: SparkSession, frame: DataFrame, label: str = "log_ndvi"
         m = GBTRegressor(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=int(prm["max_depth"]),
                          stepSize=float(prm["learning_rate"]), subsamplingRate=float(prm["subsample"]),
                          featureSubsetStrategy=str(float(prm["colsample_bytree"])) if prm["colsample_bytree"] < 1
-                         else "all", seed=seed, maxBins=MAX_BINS, **TREE_SPEED).fit(tr)
+                         else "all", seed=seed, maxBins=MAX_BINS,
+                         maxMemoryInMB=TREE_SPEED["maxMemoryInMB"]).fit(tr)
         r = regression_metrics(m.transform(te).withColumn("fold", F.lit(i)), label, "prediction", keys=("fold",)).first()
         return (d, i, *[float(prm[k]) for k in space], float(r["r2"]))
 
