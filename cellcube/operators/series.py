@@ -64,6 +64,19 @@ def timesteps(df: DataFrame, calendar: bool = True) -> DataFrame:
     return months.withColumn("t_idx", (F.dense_rank().over(Window.orderBy("year", "month")) - 1).cast("int"))
 
 
+def _cell_time_grid(spark: SparkSession, n_cells: int, times: DataFrame) -> DataFrame:
+    """Every (cell, timestep) of ``times``: ``range(n_cells)`` exploded over the
+    timestep index range (partitioned, no join of two big sides), then the
+    month-bounded ``times`` table broadcast on ``t_idx``.  No timesteps -> empty."""
+    n_t = times.agg(F.max("t_idx")).first()[0]
+    cells = spark.range(n_cells).select(F.col("id").cast("int").alias("pixel_idx"))
+    if n_t is None or n_t < 0:
+        return cells.where(F.lit(False)).withColumn("t_idx", F.lit(None).cast("int")) \
+            .join(times, "t_idx")
+    return (cells.select("pixel_idx", F.explode(F.sequence(F.lit(0), F.lit(int(n_t)))).alias("t_idx"))
+            .join(bounded_broadcast(times, MAX_MONTHS), "t_idx"))
+
+
 def dense_grid(spark: SparkSession, df: DataFrame, n_cells: int, times: DataFrame, cols: list[str],
                keys=("year", "month")) -> DataFrame:
     """N-02: every (cell, timestep) of ``times`` x ``[0, n_cells)``, with ``cols``
@@ -73,11 +86,7 @@ def dense_grid(spark: SparkSession, df: DataFrame, n_cells: int, times: DataFram
     index range of ``times`` and the (month-bounded) ``times`` table is
     broadcast on ``t_idx``.
     """
-    n_t = times.agg(F.max("t_idx")).first()[0]
-    n_t = -1 if n_t is None else int(n_t)
-    g = (spark.range(n_cells).select(F.col("id").cast("int").alias("pixel_idx"),
-                                     F.explode(F.sequence(F.lit(0), F.lit(n_t))).alias("t_idx"))
-         .join(bounded_broadcast(times, MAX_MONTHS), "t_idx"))
+    g = _cell_time_grid(spark, n_cells, times)
     obs = df.select("pixel_idx", *keys, *cols)
     return g.join(obs, ["pixel_idx", *keys], "left")
 
@@ -165,9 +174,5 @@ def unflatten_predictions(spark: SparkSession, flat: DataFrame, n_cells: int, ti
     keyed = flat.select((F.col(pos) / F.lit(n_cells)).cast("long").cast("int").alias("t_idx"),
                         (F.col(pos) % F.lit(n_cells)).cast("int").alias("pixel_idx"),
                         F.col(value))
-    n_t = times.agg(F.max("t_idx")).first()[0]
-    n_t = -1 if n_t is None else int(n_t)
-    g = (spark.range(n_cells).select(F.col("id").cast("int").alias("pixel_idx"),
-                                     F.explode(F.sequence(F.lit(0), F.lit(n_t))).alias("t_idx"))
-         .join(bounded_broadcast(times, MAX_MONTHS), "t_idx"))
+    g = _cell_time_grid(spark, n_cells, times)
     return g.join(keyed, ["t_idx", "pixel_idx"], "left")

@@ -82,3 +82,11 @@ def test_training_table_averages_duplicate_cell_months(spark):
     assert set(out) == {(0, 4), (0, 5), (1, 4), (1, 5)}
     assert abs(out[(0, 5)]["log_ndvi"] - __import__("math").log(0.6)) < 1e-12   # mean of 0.5 and 0.7
     assert out[(1, 5)]["ndvi_spatial_lag"] == 0.5
+
+
+def test_dense_grid_with_no_timesteps_is_empty(spark):
+    times = spark.createDataFrame([], "year int, month int, t_idx int")
+    df = spark.createDataFrame([], "pixel_idx int, year int, month int, v double")
+    assert N.dense_grid(spark, df, 4, times, ["v"]).count() == 0
+    flat = spark.createDataFrame([], "pos long, pred double")
+    assert N.unflatten_predictions(spark, flat, 4, times).count() == 0
