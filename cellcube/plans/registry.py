@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcube.session import apply_sql_defaults, checkpoint_dir
+from cellcube.session import apply_sql_defaults, checkpoint_dir, ship_package
 from cellcube.sources.fixtures import with_fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,7 @@ def register(name: str, sql: str | None = None, fixtures: tuple[str, ...] = ()):
             # checkpoint folder (the cluster's spark.checkpoint.dir when set)
             apply_sql_defaults(spark)
             checkpoint_dir(spark)
+            ship_package(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run

@@ -7,7 +7,10 @@ unset, which happens in local tests.
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -60,14 +63,48 @@ def apply_sql_defaults(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a scratch one only when the session has none."""
+    """The shared checkpoint folder; a scratch one only on a local master that names none.
+
+    On any other master an unset ``spark.checkpoint.dir`` is an error: a folder
+    of our own would be a different folder on every machine."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # local runs only: a cluster always names a shared folder
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="cellcube-ckpt-", dir="/tmp")
+        _delete_on_exit(spark, configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system drop ``path`` when the driver's JVM ends."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared folder, dropped when the driver ends."""
+    path = f"{checkpoint_dir(spark)}/{name}-{os.urandom(8).hex()}"
+    _delete_on_exit(spark, path)
+    return path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per Spark context, so that Python
+    functions run there whatever directory or machine the driver started in."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cellcube_shipped", False):
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="cellcube-zip-")) / "cellcube_package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._cellcube_shipped = True
