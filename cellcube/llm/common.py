@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +66,15 @@ def splits(rows: int, each: int = 100_000) -> int:
     return max(1, math.ceil(rows / each))
 
 
-def drop_file(path: str) -> None:
-    if os.path.exists(path):
-        os.unlink(path)
+def inverse(matrix: np.ndarray) -> np.ndarray:
+    """Inverse by Gauss-Jordan with row pivots; needs no linear-algebra threads beside the JVM."""
+    n = len(matrix)
+    work = np.hstack([matrix, np.eye(n)])
+    for j in range(n):
+        k = j + int(np.abs(work[j:, j]).argmax())
+        work[[j, k]] = work[[k, j]]
+        work[j] /= work[j, j]
+        factors = work[:, j].copy()
+        factors[j] = 0
+        work -= factors[:, None] * work[j]
+    return work[:, n:]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellcube.llm.common import chunks, prepare, splits, stored, text_bytes
+from cellcube.llm.common import chunks, inverse, prepare, splits, stored, text_bytes
 from cellcube.llm.tokens import document_ids
 
 LENGTH = 2048
@@ -61,20 +61,6 @@ def knapsack(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), counts
 
 
-def _inverse(matrix: np.ndarray) -> np.ndarray:
-    """Gauss-Jordan with row pivots: clears the rounding that basis changes gather."""
-    n = len(matrix)
-    work = np.hstack([matrix, np.eye(n)])
-    for j in range(n):
-        k = j + int(np.abs(work[j:, j]).argmax())
-        work[[j, k]] = work[[k, j]]
-        work[j] /= work[j, j]
-        factors = work[:, j].copy()
-        factors[j] = 0
-        work -= factors[:, None] * work[j]
-    return work[:, n:]
-
-
 def column_generation(demand: np.ndarray, capacity: int, gap: float = 1e-4) -> list[tuple[np.ndarray, float]]:
     """Patterns and their fractional numbers: least sequences that hold ``demand[k - 1]`` pieces of k units.
 
@@ -85,10 +71,10 @@ def column_generation(demand: np.ndarray, capacity: int, gap: float = 1e-4) -> l
     need = demand[rows].astype(float)
     columns = np.diag(capacity // (rows + 1)).astype(float)
     cost = np.ones(len(rows))
-    inverse = np.diag(1 / np.diag(columns))
-    amount = inverse @ need
+    basis = np.diag(1 / np.diag(columns))     # inverse of the basis
+    amount = basis @ need
     for step in range(50 * len(rows) + 200):
-        price = cost @ inverse
+        price = cost @ basis
         low = int(price.argmin())
         if price[low] < -1e-9:              # a surplus column brings a negative price back to zero
             entering, entering_cost = np.zeros(len(rows)), 0.0
@@ -101,7 +87,7 @@ def column_generation(demand: np.ndarray, capacity: int, gap: float = 1e-4) -> l
             if worth <= 1 + 1e-9 or (price @ need) / worth >= (1 - gap) * (cost @ amount):
                 break
             entering, entering_cost = counts[rows].astype(float), 1.0
-        direction = inverse @ entering
+        direction = basis @ entering
         able = direction > 1e-10
         if not able.any():
             break
@@ -110,12 +96,12 @@ def column_generation(demand: np.ndarray, capacity: int, gap: float = 1e-4) -> l
         out = int(ratio.argmin())
         columns[:, out], cost[out] = entering, entering_cost
         if step % 200 == 199:
-            inverse = _inverse(columns)
+            basis = inverse(columns)
         else:
-            row = inverse[out] / direction[out]
-            inverse -= np.outer(direction, row)
-            inverse[out] = row
-        amount = np.maximum(inverse @ need, 0)
+            row = basis[out] / direction[out]
+            basis -= np.outer(direction, row)
+            basis[out] = row
+        amount = np.maximum(basis @ need, 0)
     out = []
     for j in range(len(rows)):
         if cost[j] and amount[j] > 0:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcube.llm import mixing, packing, sharding
+from cellcube.llm import mixing, packing, quality, ranking, sharding, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,22 @@ def op7_sharding(spark, sf_dir):
     out = sharding.shard_rows(_table(spark, sf_dir, "documents"), 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op8_simhash(spark, sf_dir):
+    """SimHash fingerprints of all documents and their components at 2 or fewer differing bits."""
+    out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), 3, 2)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_quality(spark, sf_dir):
+    """Base rules and Jensen-Shannon verdict of all documents."""
+    return quality.judge(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_ranking(spark, sf_dir):
+    """Bradley-Terry quality scores of all documents, learned from the labels' training part."""
+    return ranking.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
