@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcube.llm import mixing, packing, quality, ranking, sharding, simhash
+from cellcube.llm import mixing, packing, quality, ranking, sharding, simhash, suffix
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,9 @@ def op6_quality(spark, sf_dir):
 def op9_ranking(spark, sf_dir):
     """Bradley-Terry quality scores of all documents, learned from the labels' training part."""
     return ranking.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_suffix_dedup(spark, sf_dir):
+    """Bytes of all documents left after cutting 50-byte strings that an earlier document has."""
+    return suffix.digest(_table(spark, sf_dir, "documents"))

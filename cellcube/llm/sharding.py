@@ -73,5 +73,5 @@ def shard_rows(docs: DataFrame, shards: int = 24) -> DataFrame:
             .withColumn("base", F.sum("n").over(W.partitionBy("shard").orderBy("unit", "part")) - F.col("n"))
             .select("unit", "part", "base"))
     rank = F.row_number().over(W.partitionBy("unit", "part").orderBy("doc_id", "size", "text_crc32"))
-    return (rows.withColumn("rank", rank).join(F.broadcast(base), ["unit", "part"])
+    return (rows.withColumn("rank", rank).join(base, ["unit", "part"])
             .select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - 1).alias("slot")))
