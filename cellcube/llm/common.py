@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` written once to the shared folder in buckets of ``key``: a join by the
+    key later leaves it where it is."""
+    spark = df.sparkSession
+    path, table = scratch_path(spark, f"llm-{name}"), f"llm_{os.urandom(8).hex()}"
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.option("path", path).option("compression", "uncompressed").bucketBy(parts, key).saveAsTable(table)
+    return spark.table(table)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
@@ -61,7 +72,7 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def splits(rows: int, each: int = 100_000) -> int:
+def splits(rows: int, each: int = 1_000) -> int:
     """Hash splits that hold about ``each`` rows."""
     return max(1, math.ceil(rows / each))
 

@@ -8,7 +8,7 @@ about one long document of the target.
 
 The prefix sum needs no task that holds a source: ranks are taken inside
 (source, size class, hash split) and the groups' counts are prefix-summed; the
-number of splits follows the largest group.  Only the table of sources (one row
+number of splits follows each group's size.  Only the table of sources (one row
 each) goes through the driver.
 
 Null text has size 0; a null source is a source of its own, last in order; a source
@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellcube.llm.common import n_words, prepare, splits, stored
+from cellcube.llm.common import n_words, prepare, stored
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEATS = 3
 SEED = 20_26
+EACH = 1_000        # rows ranked together
 
 
 def targets(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, cap: float = MAX_REPEATS) -> dict[str | None, float]:
@@ -81,13 +82,15 @@ def _sample(rows: DataFrame, weights: Sequence[float], cap: float, seed: int) ->
     counts = stored(rows.groupBy("src", "cls").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-counts")
     by_source = {r["src"]: r["words"] for r in counts.groupBy("src").agg(F.sum("words").alias("words")).collect()}
     goal = targets(by_source, weights, cap)
-    n_splits = splits((counts.agg(F.max("n")).first()[0] or 0))
     plan = spark.createDataFrame(
         [(s, i, by_source[s], goal[s], goal[s] / by_source[s] if by_source[s] else 0.0,
           random.Random(f"{seed} {s!r}").random()) for i, s in enumerate(goal)],
         "p_src string, sid int, source_size long, target double, rate double, start double")
-    rows = (rows.join(F.broadcast(plan), F.col("src").eqNullSafe(F.col("p_src"))).drop("p_src", "src")
-            .withColumn("part", F.pmod("h", F.lit(n_splits)).cast("int")))
+    # a row for each source and size class (eight classes a doubling): bounded by the sources
+    plan = (counts.select(F.col("src").alias("c_src"), F.col("cls").alias("c_cls"), F.ceil(F.col("n") / EACH).alias("parts"))
+            .join(F.broadcast(plan), F.col("c_src").eqNullSafe(F.col("p_src"))).drop("p_src"))
+    rows = (rows.join(F.broadcast(plan), F.col("src").eqNullSafe(F.col("c_src")) & (F.col("cls") == F.col("c_cls"))).drop("c_src", "c_cls", "src")
+            .withColumn("part", F.pmod("h", F.col("parts"))))
     before = (rows.groupBy("sid", "cls", "part").agg(F.count("*").alias("n"))
               .withColumn("before", F.sum("n").over(W.partitionBy("sid").orderBy("cls", "part")) - F.col("n"))
               .drop("n"))

@@ -183,7 +183,8 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, leng
         sequence += n
     places = spark.createDataFrame(places, "cls int, first long, until long, each long, sequence long")
 
-    cut = cut.withColumn("part", F.pmod("h", F.lit(splits(max(counted.values(), default=0)))).cast("int"))
+    parts = spark.createDataFrame([(c, splits(n)) for c, n in counted.items()], "cls int, parts int")    # a row for each class
+    cut = cut.join(F.broadcast(parts), "cls").withColumn("part", F.pmod("h", "parts").cast("int"))
     before = (cut.groupBy("cls", "part").agg(F.count("*").alias("n"))
               .withColumn("before", F.sum("n").over(W.partitionBy("cls").orderBy("part")) - F.col("n")).drop("n"))
     order = ["h", "doc_id", "start", "ids_crc32", "doc_tokens"]

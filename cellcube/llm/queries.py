@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcube.llm import mixing, packing, quality, ranking, sharding, simhash, suffix
+from cellcube.llm import mixing, ngram, packing, quality, ranking, sharding, simhash, suffix
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,9 @@ def op9_ranking(spark, sf_dir):
 def op4_suffix_dedup(spark, sf_dir):
     """Bytes of all documents left after cutting 50-byte strings that an earlier document has."""
     return suffix.digest(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_lm_scoring(spark, sf_dir):
+    """Bigram scores of all documents, learned from the training part of all documents."""
+    return ngram.score(_table(spark, sf_dir, "documents"), 7, 2)

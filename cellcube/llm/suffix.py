@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,8 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellcube.llm.blobs import get, put, squeeze, unsqueeze
-from cellcube.llm.common import chunks, prepare, stored, text_bytes
-from cellcube.session import scratch_path
+from cellcube.llm.common import bucketed, chunks, prepare, stored, text_bytes
 
 SPAN = 50               # bytes of a string that counts as repeated
 GRAM = 16               # bytes of an anchor: two leading tokens
@@ -190,9 +188,8 @@ def multikey_sort(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 # ---------------------------------------------------------------- blocks
 
-def _blocks(docs: DataFrame, n_buckets: int | None = None) -> tuple[DataFrame, int]:
+def _blocks(docs: DataFrame) -> tuple[DataFrame, int]:
     """The documents as stored blocks, bucketed by block; and their bytes of text."""
-    spark = docs.sparkSession
     names = docs.columns
     text_at = [c.lower() for c in names].index("text")
 
@@ -218,12 +215,7 @@ def _blocks(docs: DataFrame, n_buckets: int | None = None) -> tuple[DataFrame, i
                     [x.split()[0] for x in BLOCKS.split(", ")])
                 number += 1
 
-    made = docs.mapInArrow(run, BLOCKS)
-    path = scratch_path(spark, "llm-blocks")
-    table = f"llm_blocks_{os.urandom(8).hex()}"
-    parts = n_buckets or max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    made.write.option("path", path).option("compression", "uncompressed").bucketBy(parts, "block").saveAsTable(table)
-    blocks = spark.table(table)
+    blocks = bucketed(docs.mapInArrow(run, BLOCKS), "block", "blocks")
     return blocks, blocks.agg(F.sum("n_bytes")).first()[0] or 0
 
 
