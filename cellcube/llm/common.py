@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,17 +46,22 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def chunks(texts: list[bytes], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def byte_lengths(column: pa.Array) -> list[int]:
+    """Bytes of each text, null as none."""
+    return pc.binary_length(column).fill_null(0).to_pylist()
+
+
+def chunks(lengths: list[int], limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts with about ``limit`` bytes; a longer text is a range of its own."""
     start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+    for i, n in enumerate(lengths):
+        if size and size + n > limit:
             yield start, i
             start = i
             size = 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
+    if start < len(lengths):
+        yield start, len(lengths)
 
 
 def free_name(df: DataFrame, stem: str) -> str:

@@ -215,7 +215,7 @@ def score(docs: DataFrame, modulus: int = 7, part: int = 2) -> DataFrame:
         names = ["words", "trained", "follow", "second", "times", "counted", "doc", "sample"]
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), text_bytes(batch.column("text"))
-            for a, b in chunks(texts, BLOCK):
+            for a, b in chunks(list(map(len, texts)), BLOCK):
                 row = _index(ids[a:b], texts[a:b], modulus, part)
                 numbers = np.array([0 if i is None else i for i in ids[a:b]], np.int64)
                 nulls = np.packbits([i is None for i in ids[a:b]]).tobytes()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellcube.llm.common import chunks, inverse, prepare, splits, stored, text_bytes
+from cellcube.llm.common import byte_lengths, chunks, inverse, prepare, splits, stored
 from cellcube.llm.tokens import document_ids
 
 LENGTH = 2048
@@ -145,14 +145,17 @@ def patterns(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
     """The whole sequences and the tail of every document, with the CRC-32 of their ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        closing = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), text_bytes(batch.column("text"))
+            docs, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             out: list[tuple] = []
-            for a, b in chunks(texts):
-                for doc, body in zip(ids[a:b], document_ids(texts[a:b], tokenizer)):
-                    body = memoryview(body + closing)
-                    total = len(body) // 4
+            for a, b in chunks(byte_lengths(texts)):
+                ids, sizes = document_ids(texts.slice(a, b - a), tokenizer)
+                ends = np.cumsum(sizes)
+                ids = memoryview(np.insert(ids, ends, end_id).astype("<u4")).cast("B")
+                begin = 0
+                for doc, total in zip(docs[a:b], (sizes + 1).tolist()):
+                    body = ids[4 * begin:4 * (begin + total)]
+                    begin += total
                     for start in range(0, total, length):
                         piece = body[4 * start:4 * (start + length)]
                         out.append((doc, start, len(piece) // 4, zlib.crc32(piece), total))

@@ -199,7 +199,7 @@ def _blocks(docs: DataFrame) -> tuple[DataFrame, int]:
             texts = text_bytes(batch.column(text_at))
             absent = np.asarray(batch.column(text_at).is_null())
             rest = batch.select([i for i in range(len(names)) if i != text_at])
-            for a, b in chunks(texts, BLOCK):
+            for a, b in chunks(list(map(len, texts)), BLOCK):
                 body = b"".join(texts[a:b])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, rest.schema) as writer:

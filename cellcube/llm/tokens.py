@@ -1,15 +1,22 @@
 """Token ids of whole texts by an installed public tokenizer.
 
-The tokenizer splits at white space before anything else, so the ids of a text are
-those of its words in order.  A worker therefore encodes each distinct word once and
-keeps the ids of a bounded number of words between batches.
+The tokenizer lower-cases, splits at white space and parts letters from punctuation
+before anything else, so the ids of a text are those of its words in order, and those
+of an ASCII word with closing punctuation are those of the letters and then those of
+the punctuation.  A worker therefore encodes each distinct part once and keeps the ids
+of a bounded number of words between batches.
 """
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHED = 300_000
+CACHED = 900_000
+CLOSING = b'.,;:!?#*$%&|<>()-"'
 
 _ids: dict[str, dict[bytes, bytes]] = {}
 _tokenizers: dict = {}
@@ -27,33 +34,62 @@ def _tokenizer(name: str):
     return _tokenizers[name]
 
 
-def _encode(words: list[bytes], tokenizer: str) -> list[bytes]:
-    """Ids of each word: one call for many words, parted by a special token no word holds."""
-    coder = _tokenizer(tokenizer)
-    part = coder.id_to_token(max(coder.get_added_tokens_decoder()))
-    mark = coder.token_to_id(part)
-    out = []
-    for i in range(0, len(words), 2000):
-        some = [w.decode("utf-8", "replace") for w in words[i:i + 2000]]
-        if any(part in w for w in some):
-            out += [np.array(c.ids, "<u4").tobytes() for c in coder.encode_batch_fast(some, add_special_tokens=False)]
-            continue
-        ids = np.array(coder.encode(part.join(some), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(ids == mark)
-        raw = ids.tobytes()
-        starts, ends = [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)]
-        out += [raw[a:b] for a, b in zip(starts, ends)]
+def _word_ids(words: list[bytes], tokenizer: str) -> list[bytes]:
+    """Ids of distinct words."""
+    known = _ids.setdefault(tokenizer, {})
+    if len(known) + len(words) > CACHED:
+        known.clear()
+    get = known.get
+    out = [get(w) for w in words]
+    parted, ask = [], set()
+    for i, ids in enumerate(out):
+        if ids is None:
+            w = words[i]
+            letters = w.rstrip(CLOSING).lower()
+            if letters.isalpha():                       # ASCII letters
+                closing = w[len(letters):]
+                a, b = get(letters), get(closing) if closing else b""
+                if a is not None and b is not None:
+                    out[i] = a + b
+                else:
+                    ask.update((letters, closing))
+                    parted.append((i, letters, closing))
+            else:
+                ask.add(w)
+                parted.append((i, w, b""))
+    ask.discard(b"")
+    new = [w for w in ask if w not in known]
+    if new:
+        coded = _tokenizer(tokenizer).encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        known.update((w, struct.pack(f"<{len(c)}I", *c.ids)) for w, c in zip(new, coded))
+    for i, word, closing in parted:
+        out[i] = known[word] + known[closing] if closing else known[word] if word else b""
     return out
 
 
-def document_ids(texts: list[bytes], tokenizer: str) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text, without special tokens."""
-    known = _ids.setdefault(tokenizer, {})
-    words = [t.split() for t in texts]
-    new = [w for w in set().union(*words) if w not in known]
-    if len(known) + len(new) > CACHED:
-        known.clear()
-        new = list(set().union(*words))
-    known.update(zip(new, _encode(new, tokenizer)))
-    get = known.__getitem__
-    return [b"".join(map(get, ws)) for ws in words]
+def _distinct(words: pa.Array) -> list[bytes]:
+    """The bytes of each string of an array without nulls."""
+    data = words.cast(pa.large_string())
+    _, offsets, body = data.buffers()
+    at = np.frombuffer(offsets, np.int64)[data.offset:data.offset + len(data) + 1].tolist()
+    body = body.to_pybytes() if body is not None else b""
+    return [body[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
+def document_ids(texts: pa.Array, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
+    """Unsigned 32-bit ids of all texts in a row (null: none), without special tokens, and the number of each text's ids."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    split = pc.ascii_split_whitespace(texts)
+    coded = split.flatten().dictionary_encode()
+    words = _word_ids(_distinct(coded.dictionary), tokenizer)
+    flat = np.frombuffer(b"".join(words), "<u4")
+    wide = np.fromiter(map(len, words), np.int64, len(words)) // 4
+    at = coded.indices.to_numpy()
+    n = wide[at]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    # each token's ids lie together in flat: its place there, less its place in the result
+    ids = flat[np.repeat((np.cumsum(wide) - wide)[at] - (ends - n), n) + np.arange(total)]
+    bounds = split.offsets.to_numpy()
+    upto = np.concatenate([[0], ends])[bounds - bounds[0]]
+    return ids, np.diff(upto)
