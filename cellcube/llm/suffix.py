@@ -11,16 +11,16 @@ leading 8-byte tokens and a hash of the bytes that the run's windows span.
 2. Each block sorts its entries, keeps one of each kind with its least document, and
    sends them to the bucket that sampled splitters give for the leading tokens.
 3. Buckets sort by multikey quicksort over the tokens and compare neighbours: equal
-   entries get the least document.  Entries that share an anchor but not their span
-   (repeats end inside one of them) are handed back.  Equal tokens never lie on both
+   entries get the least document.  Entries that share an anchor and the 17 bytes on
+   one side of it, but not their span (repeats end inside one of them), are handed back.  Equal tokens never lie on both
    sides of a splitter.
 4. For entries handed back, blocks send the hash of each 50-byte window, which is
    resolved in the same way, so that results are exact to the byte.
 5. Blocks mark what is covered and cut it out.
 
 A block sends each kind of entry once, so a passage that a third of all documents
-share weighs one entry a block.  Hashes are 48 bits beside 128 bits of plain tokens,
-and 64 bits for windows.
+share weighs one entry a block.  Spans are told apart by 64 bits beside 128 bits of
+plain tokens, windows by 64 bits.
 
 Null text counts as empty (and stays null in ``cut``); null ids come after all others;
 rows with equal ids never remove from each other; texts under 50 bytes stay whole; very
@@ -46,7 +46,8 @@ from cellcube.llm.common import bucketed, chunks, prepare, stored, text_bytes
 SPAN = 50               # bytes of a string that counts as repeated
 GRAM = 16               # bytes of an anchor: two leading tokens
 WIDTH = SPAN - GRAM + 1
-BLOCK = 8 << 20         # bytes of text in a block
+HALF = (SPAN - GRAM) // 2   # a window holds that many bytes before its anchor's gram, or after it
+BLOCK = 4 << 20         # bytes of text in a block
 BUCKET = 16 << 20       # bytes of text for each bucket
 SAMPLES = 20_000        # tokens sampled for the splitters, at most about so many
 LAST = np.iinfo(np.int64).max
@@ -99,7 +100,7 @@ class Block:
         n = self.n - SPAN + 1
         if n <= 0:
             return np.zeros(0, np.int64)
-        out = np.empty(n, np.int64)
+        out = np.empty(n, np.int32)
         low = np.uint64(0xFFFF)
         for c in range(0, n, STEP):
             m = min(STEP, n - c) + WIDTH - 1
@@ -111,7 +112,7 @@ class Block:
                 wide *= 2
             if wide < WIDTH:
                 key = np.minimum(key[:len(key) - (WIDTH - wide)], key[WIDTH - wide:])
-            out[c:c + len(key)] = (key & low).astype(np.int64) + c
+            out[c:c + len(key)] = (key & low).astype(np.int32) + np.int32(c)
         # the last 49 offsets of each document
         tail = (self.ends[:, None] - np.arange(1, SPAN)).ravel()
         starts = np.repeat(self.ends - self.lengths, SPAN - 1)
@@ -125,14 +126,19 @@ class Block:
             stops = np.concatenate([begins[1:], [len(anchor)]])
             used = anchor[begins] >= 0
             self.start, self.windows = begins[used], (stops - begins)[used]
-            at = anchor[self.start]
+            at = anchor[self.start].astype(np.int64)
         else:
             self.start = self.windows = at = np.zeros(0, np.int64)
-        self.doc_at = np.searchsorted(self.ends, self.start, side="right")
-        self.doc = self.ids[self.doc_at] if len(self.ids) else np.zeros(0, np.int64)
+        self.at = at
+        doc_at = np.searchsorted(self.ends, self.start, side="right")
+        self.doc = self.ids[doc_at] if len(self.ids) else np.zeros(0, np.int64)
         t0, t1 = self.words[at].astype(np.uint64), self.words[at + 8].astype(np.uint64)
         span = _span_hash(self.words, self.start, self.windows + SPAN - 1) ^ ((at - self.start).astype(np.uint64) * M2)
-        span = _mix(span) >> np.uint64(16)
+        # 40 bits for the whole span, 12 each for the bytes just before and just after the gram (0: the span ends sooner)
+        n = np.full(len(at), HALF)
+        before = np.where(at - self.start >= HALF, 1 + _span_hash(self.words, np.maximum(at - HALF, 0), n) % np.uint64(4095), np.uint64(0))
+        after = np.where(self.start + self.windows + SPAN - 1 - at - GRAM >= HALF, 1 + _span_hash(self.words, at + GRAM, n) % np.uint64(4095), np.uint64(0))
+        span = (before << np.uint64(52)) | (after << np.uint64(40)) | (_mix(span) >> np.uint64(24))
         order, first = multikey_sort([t0, t1, span])
         self.kind = np.empty(len(order), np.int64)          # entry -> its kind
         self.kind[order] = np.cumsum(first) - 1
@@ -140,18 +146,20 @@ class Block:
         self.t0, self.t1, self.span = t0[lead], t1[lead], span[lead]
         self.least = np.minimum.reduceat(self.doc[order], np.flatnonzero(first)) if len(order) else np.zeros(0, np.int64)
 
-    def open_windows(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Offset of each window of the entries of the given kinds, and its document's id."""
-        picked = np.zeros(len(self.t0), bool)
-        picked[kinds] = True
+    def open_windows(self, kinds: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Offset and document's id of each window of the given kinds that holds the shared side (1 before, 2 after, 3 either)."""
+        picked = np.zeros(len(self.t0), np.int64)
+        picked[kinds] = sides
         e = np.flatnonzero(picked[self.kind])
         n = self.windows[e]
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(self.start[e], n) + inner, np.repeat(self.doc[e], n)
+        at = np.repeat(self.start[e], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        lead, side = np.repeat(self.at[e], n) - at, np.repeat(picked[self.kind[e]], n)
+        keep = ((side & 1 > 0) & (lead >= HALF)) | ((side & 2 > 0) & (lead <= HALF))
+        return at[keep], np.repeat(self.doc[e], n)[keep]
 
-    def window_kinds(self, kinds: np.ndarray) -> tuple[np.ndarray, ...]:
+    def window_kinds(self, kinds: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, ...]:
         """Offsets, documents and kinds of the windows; hash and least document of each kind."""
-        at, doc = self.open_windows(kinds)
+        at, doc = self.open_windows(kinds, sides)
         h = _span_hash(self.words, at, np.full(len(at), SPAN))
         order, first = multikey_sort([h])
         kind = np.empty(len(order), np.int64)
@@ -262,43 +270,59 @@ def _resolve(read: Callable, split_spans: bool) -> Callable[[pa.Table], pa.Table
         run_of = np.cumsum(first) - 1
         best = np.empty(len(doc), np.int64)
         best[order] = least[run_of]
-        unsure = np.zeros(len(doc), bool)
-        if split_spans:                                         # same anchor, several spans, several least documents
-            a, b = keys[0][order[heads]], keys[1][order[heads]]
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            at = np.flatnonzero(new)
-            mixed = np.minimum.reduceat(least, at) != np.maximum.reduceat(least, at)
-            unsure[order] = mixed[np.cumsum(new) - 1][run_of]
+        unsure = np.zeros(len(doc), np.int64)
+        if split_spans:
+            a, b, c = (k[order[heads]] for k in keys)
+            anchor = np.cumsum(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) - 1
+            sides = [_several(anchor, c >> np.uint64(52), least), _several(anchor, (c >> np.uint64(40)) & np.uint64(4095), least)]
+            unsure[order] = (sides[0] + 2 * sides[1])[run_of]
         better = best < doc
         out: dict[str, list] = {"at": [], "doc": [], "open": []}
         for lo, hi in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes)):
             at = np.flatnonzero(better[lo:hi])
             out["at"].append(put(at, 4, True))
             out["doc"].append(put(best[lo:hi][at]))
-            out["open"].append(put(np.flatnonzero(unsure[lo:hi]), 4, True))
+            at = np.flatnonzero(unsure[lo:hi])
+            out["open"].append(put(4 * at + unsure[lo:hi][at], 5, True))
         return pa.table({"block": pa.array([r["block"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()),
                          **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
 
     return run
 
 
+def _several(anchor: np.ndarray, side: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Kinds that share their anchor and the bytes on one side of it with a kind of another least document.
+
+    Two kinds have a window in common only if they agree on one of the sides."""
+    key = (anchor.astype(np.uint64) << np.uint64(12)) | side
+    order = np.argsort(key, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    ranked = least[order]
+    mixed = np.minimum.reduceat(ranked, at) != np.maximum.reduceat(ranked, at)
+    out = np.empty(len(key), bool)
+    out[order] = np.repeat(mixed, np.diff(np.concatenate([at, [len(key)]])))
+    return out & (side > 0)
+
+
 def _read_entries(r: dict) -> tuple[np.ndarray, ...]:
-    return get(r["a"], 8, True), get(r["b"]), get(r["c"], 6), get(r["doc"]).view(np.int64)
+    return get(r["a"], 8, True), get(r["b"]), get(r["c"]), get(r["doc"]).view(np.int64)
 
 
 def _read_windows(r: dict) -> tuple[np.ndarray, ...]:
     return get(r["a"], 8, True), get(r["doc"]).view(np.int64)
 
 
-def _apply(answers: list[dict], bucket: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least documents after the answers, and the kinds that the buckets left open."""
-    least, open_ = least.copy(), []
+def _apply(answers: list[dict], bucket: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least documents after the answers; the kinds that the buckets left open and their shared sides."""
+    least, open_, sides = least.copy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for r in answers or []:
         base = int(np.searchsorted(bucket, r["bucket"]))
         at = get(r["at"], 4, True).astype(np.int64) + base
         least[at] = get(r["doc"]).view(np.int64)
-        open_.append(get(r["open"], 4, True).astype(np.int64) + base)
-    return least, np.concatenate(open_) if open_ else np.zeros(0, np.int64)
+        both = get(r["open"], 5, True).astype(np.int64)
+        open_.append((both >> 2) + base)
+        sides.append(both & 3)
+    return least, np.concatenate(open_), np.concatenate(sides)
 
 
 def _bucket_of(values: np.ndarray, splitters: np.ndarray) -> np.ndarray:
@@ -330,7 +354,7 @@ def _covered(docs: DataFrame, finish: Callable, schema) -> DataFrame:
             for row in batch.to_pylist():
                 b, _, _ = _open(row, id_at)
                 yield _requests(row["block"], _bucket_of(b.t0, splitters),
-                                [(b.t0, 8, True), (b.t1, 8, False), (b.span, 6, False), (b.least, 8, False)])
+                                [(b.t0, 8, True), (b.t1, 8, False), (b.span, 8, False), (b.least, 8, False)])
 
     asked = blocks.select("block", "rest", "lengths", "absent", "text").mapInArrow(entries, REQUEST)
     answered = stored(asked.groupBy("bucket").applyInArrow(_resolve(_read_entries, True), ANSWER), "suffix-answers")
@@ -339,8 +363,8 @@ def _covered(docs: DataFrame, finish: Callable, schema) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 b, _, _ = _open(row, id_at)
-                _, open_ = _apply(row["answers0"], _bucket_of(b.t0, splitters), b.least)
-                _, _, _, h, least = b.window_kinds(open_)
+                _, open_, sides = _apply(row["answers0"], _bucket_of(b.t0, splitters), b.least)
+                _, _, _, h, least = b.window_kinds(open_, sides)
                 none = np.zeros(len(h), np.uint64)
                 yield _requests(row["block"], _bucket_of(h, even), [(h, 8, True), (none, 1, True), (none, 1, True), (least, 8, False)])
 
@@ -351,13 +375,13 @@ def _covered(docs: DataFrame, finish: Callable, schema) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 b, rest, absent = _open(row, id_at)
-                best, open_ = _apply(row["answers0"], _bucket_of(b.t0, splitters), b.least)
+                best, open_, sides = _apply(row["answers0"], _bucket_of(b.t0, splitters), b.least)
                 edge = np.zeros(b.n + 1, np.int32)
                 gone = best[b.kind] < b.doc
                 np.add.at(edge, b.start[gone], 1)
                 np.add.at(edge, (b.start + b.windows + SPAN - 1)[gone], -1)
-                at, doc, kind, h, least = b.window_kinds(open_)
-                best, _ = _apply(row["answers1"], _bucket_of(h, even), least)
+                at, doc, kind, h, least = b.window_kinds(open_, sides)
+                best, _, _ = _apply(row["answers1"], _bucket_of(h, even), least)
                 at = at[best[kind] < doc] if len(at) else at
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + SPAN, -1)
