@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcube.llm import mixing, ngram, packing, quality, ranking, sharding, simhash, suffix
+from cellcube.llm import hnsw, mixing, ngram, packing, quality, ranking, sharding, simhash, suffix
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,9 @@ def op4_suffix_dedup(spark, sf_dir):
 def op5_lm_scoring(spark, sf_dir):
     """Bigram scores of all documents, learned from the training part of all documents."""
     return ngram.score(_table(spark, sf_dir, "documents"), 7, 2)
+
+
+@query
+def op10_hnsw(spark, sf_dir):
+    """Five nearest vectors of every row of ``embeddings`` whose vec_id is divisible by 50."""
+    return hnsw.nearest(_table(spark, sf_dir, "embeddings"), 5, 50)
