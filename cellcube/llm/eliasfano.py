@@ -23,8 +23,9 @@ class EliasFano:
         v = np.asarray(values, np.uint64)
         n = len(v)
         bits = min(56, max(0, (max(int(universe), 1) // max(n, 1)).bit_length() - 1))
-        flat = ((v[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8) if bits else np.zeros((n, 0), np.uint8)
-        low = np.concatenate([np.packbits(flat.ravel(), bitorder="little"), np.zeros(8, np.uint8)])
+        place = np.arange(bits, dtype=np.uint64)
+        parts = [np.packbits(((v[i:i + 8192, None] >> place) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") for i in range(0, n, 8192)]
+        low = np.concatenate([*parts, np.zeros(8, np.uint8)])
         top = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         # one zero after every high value keeps select0 defined up to the universe's end
         length = n + (max(int(universe), 1) >> bits) + 2

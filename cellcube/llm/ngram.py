@@ -43,9 +43,9 @@ from cellcube.llm.common import bucketed, chunks, prepare, stored, text_bytes
 from cellcube.llm.eliasfano import WORD_BITS, Trie, from_code, mapped
 from cellcube.llm.suffix import multikey_sort
 
-BLOCK = 8 << 20
-BUCKET = 16 << 20
-CACHED = 300_000
+BLOCK = 4 << 20         # bytes of text in a block
+BUCKET = 8 << 20        # bytes of text for each shard
+CACHED = 200_000        # words whose hash a worker keeps
 SAMPLES = 20_000
 SEED = 5
 END = 0x9E3779B97F4A7C15        # fixed values: stand for the end token and for the begin of a text
