@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcube.llm import hnsw, mixing, ngram, packing, quality, ranking, sharding, simhash, suffix
+from cellcube.llm import hnsw, mixing, ngram, ordering, packing, quality, ranking, sharding, simhash, suffix
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,9 @@ def op5_lm_scoring(spark, sf_dir):
 def op10_hnsw(spark, sf_dir):
     """Five nearest vectors of every row of ``embeddings`` whose vec_id is divisible by 50."""
     return hnsw.nearest(_table(spark, sf_dir, "embeddings"), 5, 50)
+
+
+@query
+def op2_training_order(spark, sf_dir):
+    """All documents as sequences of 2048 ids, written at their slots of a keyed permutation; one row a sequence."""
+    return ordering.digest(_table(spark, sf_dir, "documents"))
