@@ -4,10 +4,11 @@ Fingerprints are 64 majority bits over the XXH64 values of word shingles.  The
 distinct fingerprints form a binary trie.  Its top is split on the driver from counts
 alone until the leaves are small (a bounded number); pairs of top leaves are found by
 traversing node pairs together, adding up differing bits and pruning above the error
-budget.  Each surviving pair of leaves is one group of a Spark job that goes on
-with the same traversal below them, level by level over arrays of node pairs.
+budget.  Leaves are packed into one row each, and each surviving pair of leaves is one
+row of a Spark job that goes on with the same traversal below them, level by level
+over arrays of node pairs.
 
-A group returns a spanning forest of the links it found (linear in its fingerprints),
+A pair of leaves returns a spanning forest of the links it found (linear in its fingerprints),
 which keeps every connection; components then come from alternating stars.
 
 Bits are first put in order of balance (most even first), which leaves distances as
@@ -35,7 +36,7 @@ from cellcube.llm.components import components
 SHINGLE = 3
 DISTANCE = 2
 SEED = 42
-LEAF = 32_768       # fingerprints in a leaf of the trie's top, or more when there would be too many leaves
+LEAF = 4_096        # fingerprints in a leaf of the trie's top, or more when there would be too many leaves
 LEAVES = 4_096
 TOP = 16            # levels of the trie's top
 
@@ -229,39 +230,36 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFram
         counts[r["p"]] = r["count"]
     leaves = top_leaves(counts, TOP, max(LEAF, n // LEAVES))
     pairs = leaf_pairs(leaves, distance)
-    # prefix -> the pairs its leaf takes part in
-    first = [p << (TOP - d) for d, p in leaves]
-    leaf_of = F.lit(-1)
-    bounds = spark.createDataFrame([(i, f, f + (1 << (TOP - d))) for i, ((d, p), f) in enumerate(zip(leaves, first))], "leaf int, lo int, hi int")
-    by_leaf: dict[int, list[tuple[int, int]]] = {}
-    for k, (a, b) in enumerate(pairs):
-        by_leaf.setdefault(a, []).append((k, 0))
-        if a != b:
-            by_leaf.setdefault(b, []).append((k, 1))
-    tasks = spark.createDataFrame([(leaf, [{"pair": k, "side": s} for k, s in ks]) for leaf, ks in by_leaf.items()],
-                                  "leaf int, tasks array<struct<pair: int, side: int>>")
-    del leaf_of
-    starts = F.explode(F.sequence("lo", F.col("hi") - 1))
-    table = bounds.select("leaf", starts.alias("prefix")).join(tasks, "leaf")           # at most 2 ** TOP rows
-    dealt = (mixed.withColumn("prefix", prefix).join(F.broadcast(table), "prefix")
-             .select("fp", "key", F.explode("tasks").alias("t")).select("t.pair", "t.side", "fp", "key"))
-
-    def join_leaves(group: pa.Table) -> pa.Table:
-        side = group.column("side").to_numpy()
+    # at most 2 ** TOP rows: the leaf of each prefix
+    bounds = [(i, p << (TOP - d), (p + 1) << (TOP - d)) for i, (d, p) in enumerate(leaves)]
+    table = spark.createDataFrame(bounds, "leaf int, lo int, hi int").select("leaf", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("prefix"))
+
+    def gather(group: pa.Table) -> pa.Table:
         key = group.column("key").to_numpy().view(np.uint64)
-        fp = group.column("fp").to_numpy()
-        at = np.argsort(key, kind="stable")
-        key, fp, side = key[at], fp[at], side[at]
-        if side.any():
-            ia, ib = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            found = ((ia[a], ib[b]) for a, b in near_pairs(key[ia], key[ib], distance))
-        else:
-            found = near_pairs(key, None, distance)
-        root = forest(len(key), found)
-        linked = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": fp[linked], "b": fp[root[linked]]})
+        at = np.argsort(key)
+        return pa.table({"leaf": group.column("leaf")[:1], "keys": pa.array([key[at].tobytes()], pa.binary()),
+                         "fps": pa.array([group.column("fp").to_numpy()[at].tobytes()], pa.binary())})
 
-    return dealt.groupBy("pair").applyInArrow(join_leaves, "a long, b long")
+    packed = stored(mixed.withColumn("prefix", prefix).join(F.broadcast(table), "prefix").select("leaf", "fp", "key")
+                    .groupBy("leaf").applyInArrow(gather, "leaf int, keys binary, fps binary"), "simhash-leaves")
+    side = [packed.select(F.col("leaf").alias(x), F.col("keys").alias(f"keys_{x}"), F.col("fps").alias(f"fps_{x}")) for x in "ab"]
+    tasks = spark.createDataFrame(pairs, "a int, b int").join(side[0], "a").join(side[1], "b")
+
+    def join_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                key, fp = np.frombuffer(r["keys_a"], np.uint64), np.frombuffer(r["fps_a"], np.int64)
+                if r["a"] == r["b"]:
+                    found = near_pairs(key, None, distance)
+                else:
+                    other = np.frombuffer(r["keys_b"], np.uint64)
+                    found = ((x, y + len(key)) for x, y in near_pairs(key, other, distance))
+                    fp = np.concatenate([fp, np.frombuffer(r["fps_b"], np.int64)])
+                root = forest(len(fp), found)
+                linked = np.flatnonzero(root != np.arange(len(root)))
+                yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[root[linked]])], ["a", "b"])
+
+    return tasks.mapInArrow(join_leaves, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
