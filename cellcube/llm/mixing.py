@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellcube.llm.common import n_words, prepare, stored
+from cellcube.llm.common import free_name, n_words, prepare, stored
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEATS = 3
@@ -53,16 +53,17 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, ca
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = MAX_REPEATS, seed: int = SEED) -> DataFrame:
-    """All columns of ``docs`` with a struct ``mix`` (size, source_size, target, copies) for every row."""
-    spark = docs.sparkSession
-    prepare(spark)
+    """All columns of ``docs`` with a struct ``mix`` (size, source_size, target, copies) for every row.
+
+    Where ``docs`` has a column of that name, the struct's name starts with an underscore."""
+    prepare(docs.sparkSession)
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     size = n_words(F.col("text"))
     # eight classes for each doubling of the size
     rows = docs.select(kept.alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("src"), size.alias("size"))
     rows = (rows.withColumn("cls", F.floor(8 * F.log2(F.col("size") + 1)).cast("int"))
             .withColumn("h", F.xxhash64("id", F.lit(seed))))
-    return _sample(rows, weights, cap, seed)
+    return _sample(rows, weights, cap, seed).select("row.*", F.col("mix").alias(free_name(docs, "mix")))
 
 
 def mix_digest(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = MAX_REPEATS, seed: int = SEED) -> DataFrame:
@@ -73,7 +74,7 @@ def mix_digest(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float =
             .withColumn("cls", F.floor(8 * F.log2(F.col("size") + 1)).cast("int"))
             .withColumn("h", F.xxhash64("id", F.lit(seed))))
     out = _sample(rows, weights, cap, seed)
-    return out.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.copies",
+    return out.select("row.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.copies",
                       (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
@@ -98,10 +99,11 @@ def _sample(rows: DataFrame, weights: Sequence[float], cap: float, seed: int) ->
     rows = rows.withColumn("rank", rank).join(before, ["sid", "cls", "part"])
     last = F.col("before") + F.col("rank")
     copies = F.floor(last * F.col("rate") + F.col("start")) - F.floor((last - 1) * F.col("rate") + F.col("start"))
-    return rows.select("row.*", F.struct("size", "source_size", "target", copies.cast("long").alias("copies")).alias("mix"))
+    return rows.select("row", F.struct("size", "source_size", "target", copies.cast("long").alias("copies")).alias("mix"))
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as its copies, same columns."""
-    out = mix(docs, **options).filter("mix.copies > 0")
-    return out.withColumn("mix", F.explode(F.sequence(F.lit(1), F.col("mix.copies")))).drop("mix")
+    name = free_name(docs, "mix")
+    out = mix(docs, **options).filter(F.col(f"{name}.copies") > 0)
+    return out.withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{name}.copies")))).drop(name)
