@@ -1,7 +1,7 @@
 """Quality rules (op 6): distribution divergence.
 
-One pass over all documents sums, for every language, the histograms of character
-classes and of common words; these are the language references (one row each
+One pass over all documents sums, for every language, the shares of character
+classes and of common words, each document alike; these are the language references (one row each
 language, over the whole corpus).  A second pass compares each document's own
 histograms with the references by the Jensen-Shannon distance (base 2, 0 to 1).  A
 document is rejected when even the nearest reference is farther than the limit, and
@@ -32,7 +32,7 @@ from cellcube.llm.textstats import CLASSES, WORDS, TextStats
 MIN_WORDS = 50
 MIN_CHARS = 200
 MIN_COMMON = 150
-CLASS_LIMIT = 0.25
+CLASS_LIMIT = 0.28
 WORD_LIMIT = 0.32
 LANGUAGES = 256
 
@@ -54,15 +54,22 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((part(p) + part(q)) / 2, 0, 1))
 
 
+def _shares(counts: np.ndarray) -> np.ndarray:
+    """The histogram in millionths, so that sums are whole numbers and do not depend on their order."""
+    return np.rint(counts * (1_000_000 / max(1, counts.sum()))).astype(np.int64)
+
+
 def references(docs: DataFrame, languages: int = LANGUAGES) -> tuple[np.ndarray, np.ndarray]:
-    """Histograms over all documents, one row each language: character classes, common words."""
+    """Histograms over all documents, one row each language: character classes, common words.
+
+    Each document has the same weight, so that a few very long ones don't make the reference."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums: dict = {}
             for lang, text in zip(batch.column("lang").to_pylist(), text_bytes(batch.column("text"))):
                 stats = TextStats(text)
                 if stats.n_words:
-                    both = np.concatenate([[1], stats.classes(), stats.common()])
+                    both = np.concatenate([[1], _shares(stats.classes()), _shares(stats.common())])
                     for key in (lang, None):
                         sums[key] = sums[key] + both if key in sums else both
                     if lang is None:            # counted once in the pooled row
