@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from cellcube.config import (SEARCH_DRAWS, SEARCH_FOLDS, SEARCH_SPACE, SEARCH_TREES,
                              GbtParams, RfParams)
+from cellcube.operators.mask import residual
 from cellcube.operators.metrics import regression_metrics
 
 MAX_BINS = 256  # histogram split finding, as in the boosted baseline
@@ -127,21 +128,28 @@ def score(models: dict, df: DataFrame, keep: list[str]) -> DataFrame:
     return out.select(*keep, *[f"{n}_pred" for n in models])
 
 
-def predict_month(models: dict, df: DataFrame, year: int, month: int, label: str = "log_ndvi",
-                  keep=("pixel_idx",)) -> tuple[DataFrame, DataFrame]:
-    """M-17: one month's per-cell predictions and residuals, plus that month's
-    R^2 / RMSE over cells whose truth is present and non-zero."""
-    one = df.where((F.col("year") == year) & (F.col("month") == month))
+def month_residuals(preds: DataFrame, models: list[str], year: int, month: int, label: str = "log_ndvi",
+                    keep=("pixel_idx",)) -> tuple[DataFrame, DataFrame]:
+    """M-17 on stored predictions (``<model>_pred`` columns): one month's residuals
+    (truth - prediction) per model and cell, and the month's metrics over cells
+    whose truth is present and non-zero."""
+    one = preds.where((F.col("year") == year) & (F.col("month") == month))
     if one.isEmpty():
         raise ValueError(f"no rows for {year}-{month:02d}")
-    preds = score(models, one, [*keep, label])
-    long = preds.unpivot([*keep, label], [f"{n}_pred" for n in models], "model", "pred") \
-        .withColumn("model", F.regexp_replace("model", "_pred$", "")) \
-        .withColumn("residual", F.col("pred") - F.col(label))
+    long = one.unpivot([*keep, label], [f"{n}_pred" for n in models], "model", "pred") \
+        .withColumn("model", F.regexp_replace("model", "_pred$", ""))
+    long = residual(long, label, "pred", "actual_minus_pred").drop("abs_residual")
     ok = long.where(F.col(label).isNotNull() & (F.col(label) != 0))
     return long, regression_metrics(ok.withColumn("split", F.lit(f"{year}-{month:02d}")), label, "pred")
 
 
+def predict_month(models: dict, df: DataFrame, year: int, month: int, label: str = "log_ndvi",
+                  keep=("pixel_idx",)) -> tuple[DataFrame, DataFrame]:
+    """M-17: one month's per-cell predictions and residuals, plus that month's metrics."""
+    one = df.where((F.col("year") == year) & (F.col("month") == month))
+    return month_residuals(score(models, one, [*dict.fromkeys([*keep, "year", "month", label])]), list(models), year, month, label, keep)
+
+
 def draws(space: dict = SEARCH_SPACE, n_iter: int = SEARCH_DRAWS, seed: int = 42) -> list[dict]:
     """Seeded sample without replacement from the full parameter grid."""
     keys = list(space)
@@ -156,8 +164,8 @@ def random_search(spark: SparkSession, frame: DataFrame, label: str = "log_ndvi"
     """M-16: boosted-tree random search over expanding folds.
 
     ``frame`` is assembled and carries the fold ``block`` of M-15; fold i trains
-    on blocks < i and scores R^2 on block i.  Parameters without a Spark
-    counterpart (L1/L2 leaf penalties) are recorded but not applied.  Fits run
+    on blocks < i and scores R^2 on block i.  The search holds only parameters that
+    Spark's boosted trees have (there are no L1/L2 leaf penalties).  Fits run
     concurrently as independent Spark jobs.  Output ``(draw, fold, <params>, r2)``.
     """
     cand = draws(space, n_iter, seed)
@@ -209,19 +217,32 @@ VAL_LOSS_ALIASES = ["val_loss", "val_mae", "test_loss"]
 
 def loss_curves_from_logs(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame | None, list[str]]:
     """R-04 from stored history CSVs: first present alias of each loss column,
-    all models in one table; models without a log are reported."""
+    all models in one table; models without a log are reported.  A log without an
+    ``epoch`` column counts its rows from 1 (a log has one row per epoch)."""
+    from pyspark.sql import Window
+
     from cellcube.operators.summary import union_blocks
 
     parts, missing = [], []
     for name, path in paths.items():
-        try:
-            h = spark.read.option("header", True).option("inferSchema", True).csv(path)
-        except Exception:  # absent log
+        jp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not jp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jp):
             missing.append(name)
             continue
+        h = spark.read.option("header", True).csv(path)
         tr = next((c for c in TRAIN_LOSS_ALIASES if c in h.columns), None)
         va = next((c for c in VAL_LOSS_ALIASES if c in h.columns), None)
+        if "epoch" not in h.columns:
+            h = h.withColumn("_row", F.monotonically_increasing_id())
+            h = h.withColumn("epoch", F.row_number().over(Window.orderBy("_row")))
         parts.append(h.select(F.lit(name).alias("model"), F.col("epoch").cast("int"),
                               (F.col(tr) if tr else F.lit(None)).cast("double").alias("train_loss"),
                               (F.col(va) if va else F.lit(None)).cast("double").alias("val_loss")))
     return (union_blocks(parts) if parts else None), missing
+
+
+def best_parameters(results: DataFrame, params: list[str] | None = None) -> DataFrame:
+    """M-18 report: parameters and mean fold R^2 of the best draw, one row a parameter."""
+    best = fold_scores(results, params).where(F.col("rank") == 1)
+    names = params or list(SEARCH_SPACE)
+    return best.select("mean_r2", *[F.col(p).cast("double").alias(p) for p in names]).unpivot(["mean_r2"], names, "parameter", "value")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellcube.config import BASELINE_CONTINUOUS, INTERACTIONS
-from cellcube.operators.quantile import exact_quantiles, kth_values
+from cellcube.operators.quantile import exact_quantiles, order_statistics
 
 MAX_CATEGORIES = 1_000
 
@@ -135,24 +135,25 @@ def time_series_folds(df: DataFrame, n_splits: int = 3, t: str = "t", cell: str
     test block holds them.  Positions are never materialised: the month
     counts (one row per month) locate each boundary's month, and the boundary
     cell inside that month is an exact order statistic of the cell ids there.
+    ``df`` is read in several passes: give it stored or checkpointed.
     """
-    df = df.checkpoint()  # several passes below: month counts, boundary cells, the labelling
     counts = sorted((r[0], r[1]) for r in df.groupBy(t).count().collect())  # month dimension
     n = sum(c for _, c in counts)
     size = n // (n_splits + 1)
     if size == 0:
         raise ValueError("too few rows for the requested folds")
     starts = [n - (n_splits - i) * size for i in range(n_splits)]
-    bounds = []  # (month, first cell id at/after the boundary)
-    for s in starts:
+    wanted = {}  # fold -> (month of its first row, rank of that row's cell in the month)
+    for fold, s in enumerate(starts):
         acc = 0
         for month, c in counts:
             if acc + c > s:
-                rank = s - acc
-                cell_at = kth_values(df.where(F.col(t) == month), cell, [rank])[rank]
-                bounds.append((month, cell_at))
+                wanted[fold] = (month, s - acc)
                 break
             acc += c
+    # all boundary cells in the same passes
+    cells = order_statistics(df, {str(f): (F.when(F.col(t) == F.lit(m), F.col(cell)), [k]) for f, (m, k) in wanted.items()})
+    bounds = [(m, cells[str(f)][k]) for f, (m, k) in wanted.items()]
     blk = F.lit(0)
     for i, (month, cell_at) in enumerate(bounds, start=1):
         after = (F.col(t) > F.lit(month)) | ((F.col(t) == F.lit(month)) & (F.col(cell) >= F.lit(cell_at)))

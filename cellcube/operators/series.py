@@ -51,15 +51,18 @@ def temporal_lags(df: DataFrame, cols: list[str], ks=(1, 2, 3), key: str = "pixe
 def timesteps(df: DataFrame, calendar: bool = True) -> DataFrame:
     """N-01: distinct (year, month), sorted, with a 0-based position ``t_idx``.
 
-    ``calendar=True`` counts calendar months from the first one, so a missing
-    month leaves a hole in the index; ``calendar=False`` is the positional
-    index (gaps compressed).  The table has at most one row per calendar month.
+    ``calendar=True`` has every calendar month from the first to the last, also
+    those without a row; ``calendar=False`` is the positional index (gaps
+    compressed).  The table has at most one row per calendar month.
     """
-    months = df.select("year", "month").distinct()
     if calendar:
         ym = F.col("year") * 12 + F.col("month") - 1
-        first = months.agg(F.min(ym)).first()[0]
-        return months.withColumn("t_idx", (ym - F.lit(first)).cast("int"))
+        r = df.agg(F.min(ym).alias("first"), F.max(ym).alias("last")).first()
+        first, last = (int(r["first"]), int(r["last"])) if r["first"] is not None else (0, -1)
+        return df.sparkSession.range(first, last + 1).select(
+            F.floor(F.col("id") / 12).cast("int").alias("year"), (F.col("id") % 12 + 1).cast("int").alias("month"),
+            (F.col("id") - first).cast("int").alias("t_idx"))
+    months = df.select("year", "month").distinct()
     # single-partition window over the (bounded) month dimension only
     return months.withColumn("t_idx", (F.dense_rank().over(Window.orderBy("year", "month")) - 1).cast("int"))
 
@@ -107,6 +110,8 @@ def sequences(dense: DataFrame, cols: list[str], label: str, window: int = SEQUE
     Input is the dense (scaled, zero-filled) grid.  Output ``(pixel_idx, t_idx,
     year, month, x array<array<double>>, y)``; only targets with a full history
     (``t_idx >= window``) are emitted.  History may reach across a split boundary.
+    With the calendar index of N-01 the window is the ``window`` months before the
+    target, also where a month has no observation at all.
     """
     w = _series_window("pixel_idx", order).rowsBetween(-window, -1)
     feats = F.array(*[F.col(c).cast("double") for c in cols])
@@ -136,7 +141,9 @@ def interpolate_series(df: DataFrame, value: str, key: str = "pixel_idx", order:
     w = _series_window(key, order)
     known = F.when(v.isNotNull(), F.struct(F.col(order).alias("t"), v.alias("v")))
     prev = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # the next known value is the last one seen from the other end (a growing frame, not a shrinking one)
+    back = Window.partitionBy(*_keys(key)).orderBy(F.col(order).desc())
+    nxt = F.last(known, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     n_valid = F.count(v).over(Window.partitionBy(*_keys(key)))
     d = df.withColumns({"_p": prev, "_n": nxt, "_k": n_valid})
     t = F.col(order).cast("double")

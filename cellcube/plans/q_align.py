@@ -11,15 +11,13 @@ from cellcube.operators import align as C
 from cellcube.operators import grid as G
 from cellcube.operators import summary as A
 from cellcube.operators.mask import mask_invalid
-from cellcube.plans.q_features import SQL_MASKED, TRAINING_FIXTURES, WITH_TRAINING, training, training_stored
+from cellcube.plans.q_features import SQL_MASKED, TRAINING_FIXTURES, WITH_TRAINING, training, training_select_sql, training_stored
 from cellcube.plans.registry import register, rnd, rnd_sql, round_doubles
 from cellcube.sources import fixtures as fx
 from cellcube.sources import layers as L
 from cellcube.sources import tabular as TB
 from cellcube.streaming import composite as W
 
-GRID = fx.FIXTURE_GRID
-FINE = GridConfig(height=16, width=20, origin_year=1995)        # same extent, half the cell size
 COMMON = GridConfig(height=6, width=7, origin_year=1995)        # a smaller grid sharing the corner
 BOX = {"north": 0.8, "west": 36.6, "south": 0.0, "east": 37.5}  # query box inside the fixture extent
 PERIODS = ((1995, 1997, "1995_1997"), (1998, 2000, "1998_2000"), (2001, 2001, "2001"))
@@ -68,12 +66,12 @@ def q_rescale(spark, sf_dir):
 
 @register("c04_clip_bbox", f"""
     WITH xy AS (SELECT pixel_idx, t, 36.5e0 + ((pixel_idx % 10) + 0.5e0) * 0.125e0 AS x,
-                       1.0e0 - ((pixel_idx // 10) + 0.5e0) * 0.15625e0 AS y FROM cells)
+                       1.0e0 - ((pixel_idx // 10) + 0.5e0) * (1.25e0 / (SELECT h FROM dims)) AS y FROM cells)
     SELECT pixel_idx, t, {rnd_sql('x')} AS x, {rnd_sql('y')} AS y FROM xy
     WHERE y BETWEEN 0.0e0 AND 0.8e0 AND x BETWEEN 36.6e0 AND 37.5e0""", ("cells",))
 def q_clip_bbox(spark, sf_dir):
     """C-04 + C-07: cell centres of the observed cells, kept inside a lat/lon box."""
-    xy = C.pixel_to_xy(fx.cells(spark, sf_dir).select("pixel_idx", "t"), GRID)
+    xy = C.pixel_to_xy(fx.cells(spark, sf_dir).select("pixel_idx", "t"), fx.grid(spark, sf_dir))
     return round_doubles(C.clip_bbox(xy, "y", "x", BOX))
 
 
@@ -97,34 +95,36 @@ def q_year_chunks(spark, sf_dir):
 
 @register("c07_pixel_to_xy", f"""
     SELECT DISTINCT pixel_idx, {rnd_sql('36.5e0 + ((pixel_idx % 10) + 0.5e0) * 0.125e0')} AS x,
-           {rnd_sql('1.0e0 - ((pixel_idx // 10) + 0.5e0) * 0.15625e0')} AS y FROM cells""", ("cells",))
+           {rnd_sql('1.0e0 - ((pixel_idx // 10) + 0.5e0) * (1.25e0 / (SELECT h FROM dims))')} AS y FROM cells""", ("cells",))
 def q_pixel_to_xy(spark, sf_dir):
     """C-07: cell-centre coordinates from the grid's corner and cell size."""
     p = fx.cells(spark, sf_dir).select("pixel_idx").distinct()
-    return round_doubles(C.pixel_to_xy(p, GRID))
+    return round_doubles(C.pixel_to_xy(p, fx.grid(spark, sf_dir)))
 
 
 @register("c08_align_nearest", f"""
     WITH dst AS (SELECT CAST(range AS INTEGER) AS pixel_idx,
                         36.5e0 + ((range % 20) + 0.5e0) * 0.0625e0 AS x,
-                        1.0e0 - ((range // 20) + 0.5e0) * 0.078125e0 AS y FROM range(0, 320)),
-    mp AS (SELECT pixel_idx, CAST(floor((1.0e0 - y) / 0.15625e0) AS INTEGER) AS r,
+                        1.0e0 - ((range // 20) + 0.5e0) * (0.625e0 / (SELECT h FROM dims)) AS y FROM (SELECT unnest(range(4 * (SELECT nc FROM dims))) AS range) u),
+    mp AS (SELECT pixel_idx, CAST(floor((1.0e0 - y) / (1.25e0 / (SELECT h FROM dims))) AS INTEGER) AS r,
                   CAST(floor((x - 36.5e0) / 0.125e0) AS INTEGER) AS c FROM dst)
     SELECT mp.pixel_idx, cells.t, {rnd_sql('cells.ndvi')} AS ndvi
     FROM mp JOIN cells ON cells.pixel_idx = mp.r * 10 + mp.c
-    WHERE mp.r BETWEEN 0 AND 7 AND mp.c BETWEEN 0 AND 9""", ("cells",))
+    WHERE mp.r BETWEEN 0 AND (SELECT h - 1 FROM dims) AND mp.c BETWEEN 0 AND 9""", ("cells",))
 def q_align_nearest(spark, sf_dir):
-    """C-08: the 8 x 10 layer resampled onto a 16 x 20 grid of the same extent by
+    """C-08: the layer resampled onto a grid of the same extent and half the cell size by
     nearest cell centre (computed source id, equi-join)."""
+    grid = fx.grid(spark, sf_dir)
+    fine = GridConfig(height=2 * grid.height, width=2 * grid.width, origin_year=grid.origin_year)     # same extent, half the cell size
     c = fx.cells(spark, sf_dir).select("pixel_idx", "t", "ndvi")
-    return round_doubles(C.align_nearest(spark, c, GRID, FINE))
+    return round_doubles(C.align_nearest(spark, c, grid, fine))
 
 
 @register("c09_crop_common", """
     SELECT pixel_idx, t FROM cells WHERE pixel_idx // 10 < 6 AND pixel_idx % 10 < 7""", ("cells",))
 def q_crop_common(spark, sf_dir):
-    """C-09: cells inside the common top-left window of the 8 x 10 and 6 x 7 grids."""
-    return C.crop_common(fx.cells(spark, sf_dir).select("pixel_idx", "t"), GRID, COMMON)
+    """C-09: cells inside the common top-left window of the grid and a 6 x 7 grid."""
+    return C.crop_common(fx.cells(spark, sf_dir).select("pixel_idx", "t"), fx.grid(spark, sf_dir), COMMON)
 
 
 def _layer_rows(spark, sf_dir):
@@ -203,7 +203,7 @@ def q_tabular_roundtrip(spark, sf_dir):
         rnd(F.sum("log_ndvi")).alias("sum_log_ndvi"))
 
 
-@register("s05_materialize_if_absent")
+@register("s05_materialize_if_absent", WITH_TRAINING(f"SELECT {training_select_sql()} FROM tt"), TRAINING_FIXTURES)
 def q_materialize(spark, sf_dir):
     """S-05: the training table is built and stored on first use and reused
     (footer schema check) on the second; rows of the reused table."""
@@ -215,32 +215,81 @@ def q_materialize(spark, sf_dir):
     again = TB.materialize_if_absent(spark, must_not_rebuild, path, ["pixel_idx", "log_ndvi"])
     if first.columns != again.columns:
         raise RuntimeError("stored table changed shape")
-    return again
+    return round_doubles(again)
+
+
+@register("s05_half_written", WITH_TRAINING("SELECT year, count(*) AS n_rows FROM tt GROUP BY year"), TRAINING_FIXTURES)
+def q_half_written(spark, sf_dir):
+    """S-05: a folder whose write was never committed (part files, no success mark) is not
+    taken for the table; it is built anew."""
+    path = TB.scratch_path(spark, "half")
+    t = training(spark, sf_dir)
+    t.where(F.col("year") == 1997).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    out = TB.materialize_if_absent(spark, lambda: t, path, ["pixel_idx", "log_ndvi"])
+    return out.groupBy("year").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("s04_csv_by_name", WITH_TRAINING(f"SELECT {training_select_sql()} FROM tt"), TRAINING_FIXTURES)
+def q_csv_by_name(spark, sf_dir):
+    """S-04 on CSV with the columns in another order and one more: found by name, cast to the
+    schema; a file without a required column is refused."""
+    path, short = TB.scratch_path(spark, "csv"), TB.scratch_path(spark, "csv-short")
+    t = training(spark, sf_dir)
+    t.select(F.lit("x").alias("extra"), *reversed(t.columns)).write.option("header", True).csv(path)
+    t.drop("pixel_idx").limit(5).write.option("header", True).csv(short)
+    try:
+        TB.scan_tabular(spark, short, "csv")
+    except ValueError:
+        return round_doubles(TB.scan_tabular(spark, path, "csv"))
+    raise RuntimeError("a table without pixel_idx was accepted")
+
+
+@register("s01_layers_by_file_name", f"""
+    SELECT year, month, pixel_idx, {rnd_sql('CASE WHEN ndvi <> -9999e0 THEN ndvi END')} AS value FROM cells""", ("cells",))
+def q_layers_by_file_name(spark, sf_dir):
+    """S-01 on a flat folder: year and month come from names like ``ndvi_1996_03``; the
+    files of another variable are left out."""
+    path, flat = TB.scratch_path(spark, "months"), TB.scratch_path(spark, "flat")
+    rows = _layer_rows(spark, sf_dir).repartition("variable", "year", "month")
+    L.write_layer(rows, path)
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(flat))
+    # one file a variable and month: the calendar dimension
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/variable=*/year=*/month=*/part-*.parquet")):
+        at = dict(x.split("=") for x in str(status.getPath().toString()).split("/") if "=" in x)
+        name = f"{at['variable']}_{int(at['year']):04d}_{int(at['month']):02d}.parquet"
+        fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(flat, name))
+    return round_doubles(L.scan_layers(spark, flat, "ndvi").select("year", "month", F.col("pixel_idx").cast("int"), "value"))
 
 
 @register("s07_write_report", f"""
     WITH lp AS (
       SELECT split, true_log_ndvi, 'GLM' AS model, GLM_pred AS pred FROM residuals
-      UNION ALL SELECT split, true_log_ndvi, 'RF', RF_pred FROM residuals)
-    SELECT model, split, count(*) AS n, {rnd_sql('avg(abs(true_log_ndvi - pred))')} AS mae
+      UNION ALL SELECT split, true_log_ndvi, 'RF', RF_pred FROM residuals
+      UNION ALL SELECT split, true_log_ndvi, 'XGBoost', XGBoost_pred FROM residuals)
+    SELECT model, split, count(*) AS n,
+           {rnd_sql('1 - sum((true_log_ndvi - pred) * (true_log_ndvi - pred)) / (count(*) * var_pop(true_log_ndvi))')} AS r2,
+           {rnd_sql('sqrt(avg((true_log_ndvi - pred) * (true_log_ndvi - pred)))')} AS rmse,
+           {rnd_sql('avg(abs(true_log_ndvi - pred))')} AS mae
     FROM lp GROUP BY 1, 2""", ("cells", "residuals"))
 def q_write_report(spark, sf_dir):
     """S-07: a small metrics table written as one CSV with header and read back."""
     from cellcube.operators.metrics import regression_metrics
 
-    lp = A.long_predictions(fx.residuals(spark, sf_dir), ["GLM", "RF"], ["pixel_idx", "split"])
-    m = round_doubles(regression_metrics(lp, "true_log_ndvi", "pred").select("model", "split", "n", "mae"))
+    lp = A.long_predictions(fx.residuals(spark, sf_dir), ["GLM", "RF", "XGBoost"], ["pixel_idx", "split"])
+    m = round_doubles(regression_metrics(lp, "true_log_ndvi", "pred"))
     path = TB.scratch_path(spark, "report")
     TB.write_report(m, path)
-    return spark.read.schema("model string, split string, n long, mae double").option("header", True).csv(path)
+    return spark.read.schema("model string, split string, n long, r2 double, rmse double, mae double").option("header", True).csv(path)
 
 
 @register("g05_khop_mean", f"""
     WITH {SQL_MASKED},
     off AS (SELECT unnest([-1, 0, 1]) AS d),
     e AS (SELECT p.pixel_idx AS src, (p.pixel_idx // 10 + a.d) * 10 + (p.pixel_idx % 10 + b.d) AS dst
-          FROM (SELECT CAST(range AS INTEGER) AS pixel_idx FROM range(0, 80)) p, off a, off b
-          WHERE NOT (a.d = 0 AND b.d = 0) AND p.pixel_idx // 10 + a.d BETWEEN 0 AND 7
+          FROM (SELECT CAST(unnest(range((SELECT nc FROM dims))) AS INTEGER) AS pixel_idx) p, off a, off b
+          WHERE NOT (a.d = 0 AND b.d = 0) AND p.pixel_idx // 10 + a.d BETWEEN 0 AND (SELECT h - 1 FROM dims)
             AND p.pixel_idx % 10 + b.d BETWEEN 0 AND 9),
     h1 AS (SELECT e.dst AS pixel_idx, m.t, avg(m.ndvi) AS v FROM m JOIN e ON e.src = m.pixel_idx
            WHERE m.ndvi IS NOT NULL GROUP BY 1, 2),
@@ -249,22 +298,22 @@ def q_write_report(spark, sf_dir):
 def q_khop_mean(spark, sf_dir):
     """G-05: two rounds of row-normalised queen-neighbour mean of masked NDVI per month."""
     m = mask_invalid(fx.cells(spark, sf_dir).select("pixel_idx", "t", "ndvi"), {"ndvi": "positive"})
-    e = G.grid_edges(spark, GRID)
-    return round_doubles(G.khop_mean(m, e, "ndvi", 2, n_cells=GRID.n_cells))
+    e = G.grid_edges(spark, fx.grid(spark, sf_dir))
+    return round_doubles(G.khop_mean(m, e, "ndvi", 2, n_cells=fx.grid(spark, sf_dir).n_cells))
 
 
 @register("g06_edges_cached", """
     WITH cellids AS (SELECT DISTINCT pixel_idx FROM cells), off AS (SELECT unnest([-1, 0, 1]) AS d)
     SELECT count(*) AS n_edges, CAST(sum(CAST(c.pixel_idx AS BIGINT)) AS BIGINT) AS sum_src
     FROM cellids c, off a, off b
-    WHERE NOT (a.d = 0 AND b.d = 0) AND c.pixel_idx // 10 + a.d BETWEEN 0 AND 7 AND c.pixel_idx % 10 + b.d BETWEEN 0 AND 9""",
+    WHERE NOT (a.d = 0 AND b.d = 0) AND c.pixel_idx // 10 + a.d BETWEEN 0 AND (SELECT h - 1 FROM dims) AND c.pixel_idx % 10 + b.d BETWEEN 0 AND 9""",
           ("cells",))
 def q_edges_cached(spark, sf_dir):
     """G-06: edges built and stored on first use, then read from storage; edges
     leaving the observed cells counted."""
     path = TB.scratch_path(spark, "edges")
-    G.edges_cached(spark, GRID, path)
-    e = G.edges_cached(spark, GRID, path)
+    G.edges_cached(spark, fx.grid(spark, sf_dir), path)
+    e = G.edges_cached(spark, fx.grid(spark, sf_dir), path)
     present = fx.cells(spark, sf_dir).select(F.col("pixel_idx").cast("long").alias("src")).distinct()
     return e.join(present, "src", "left_semi").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("src").alias("sum_src"))
 
@@ -312,7 +361,7 @@ def q_composite_stream(spark, sf_dir):
     files (watermark 1 day, update mode, versioned upserts), read back."""
     src = fx.read_table(spark, sf_dir, "events")
     stream = (spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-              .select((F.col("user_id") % fx.N_CELLS).cast("int").alias("pixel_idx"),
+              .select((F.col("user_id") % fx.grid(spark, sf_dir).n_cells).cast("int").alias("pixel_idx"),
                       F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("dn")))
     agg = W.composite_stream(stream, "ts", "dn")
     out, ck = TB.scratch_path(spark, "composite"), TB.scratch_path(spark, "composite-ckpt")
@@ -330,7 +379,7 @@ def q_stream_monthly(spark, sf_dir):
     sums and counts (months are not a valid streaming window length)."""
     src = fx.read_table(spark, sf_dir, "events")
     stream = (spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-              .select((F.col("user_id") % fx.N_CELLS).cast("int").alias("pixel_idx"),
+              .select((F.col("user_id") % fx.grid(spark, sf_dir).n_cells).cast("int").alias("pixel_idx"),
                       F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("dn")))
     out, ck = TB.scratch_path(spark, "composite-m"), TB.scratch_path(spark, "composite-m-ckpt")
     W.run_to_table(W.composite_stream(stream, "ts", "dn"), out, ck)

@@ -14,7 +14,6 @@ from cellcube.plans.registry import register, rnd, rnd_sql, round_doubles
 from cellcube.plans.training_table import build_training_table, with_split
 from cellcube.sources import fixtures as fx
 
-GRID = fx.FIXTURE_GRID
 SPLIT = fx.FIXTURE_SPLIT
 
 # --- shared DuckDB fragments ------------------------------------------------
@@ -32,7 +31,7 @@ SQL_MASKED = """m AS (
 SQL_SPATIAL_LAG = """off AS (SELECT unnest([-1, 0, 1]) AS d),
 gat AS (
   SELECT x.pixel_idx, x.t,
-         least(greatest(x.pixel_idx // 10 + dr.d, 0), 7) * 10 + least(greatest(x.pixel_idx % 10 + dc.d, 0), 9) AS src,
+         least(greatest(x.pixel_idx // 10 + dr.d, 0), (SELECT h - 1 FROM dims)) * 10 + least(greatest(x.pixel_idx % 10 + dc.d, 0), 9) AS src,
          count(*) AS w
   FROM (SELECT DISTINCT pixel_idx, t FROM m) x, off dr, off dc
   GROUP BY 1, 2, 3),
@@ -71,7 +70,7 @@ def WITH_TRAINING(tail: str) -> str:
 
 
 def training(spark, sf_dir):
-    return build_training_table(fx.cells(spark, sf_dir), fx.pop(spark, sf_dir), fx.static(spark, sf_dir), GRID)
+    return build_training_table(fx.cells(spark, sf_dir), fx.pop(spark, sf_dir), fx.static(spark, sf_dir), fx.grid(spark, sf_dir))
 
 
 def training_stored(spark, sf_dir):
@@ -148,7 +147,7 @@ def q_spatial_lag(spark, sf_dir):
     observed (cell, month) that has at least one positive neighbour value."""
     c = fx.cells(spark, sf_dir)
     m = P.mask_invalid(c.select("pixel_idx", "t", "ndvi"), {"ndvi": "positive"})
-    sl = G.spatial_lag(m, GRID, "ndvi", 1)
+    sl = G.spatial_lag(m, fx.grid(spark, sf_dir), "ndvi", 1)
     return round_doubles(m.select("pixel_idx", "t").join(sl, ["pixel_idx", "t"], "inner"))
 
 
@@ -161,13 +160,13 @@ def q_spatial_lag(spark, sf_dir):
                  CAST((c.pixel_idx // 10 + a.d) * 10 + (c.pixel_idx % 10 + b.d) AS BIGINT) AS dst
           FROM cellids c, off a, off b
           WHERE NOT (a.d = 0 AND b.d = 0)
-            AND c.pixel_idx // 10 + a.d BETWEEN 0 AND 7 AND c.pixel_idx % 10 + b.d BETWEEN 0 AND 9) e""",
+            AND c.pixel_idx // 10 + a.d BETWEEN 0 AND (SELECT h - 1 FROM dims) AND c.pixel_idx % 10 + b.d BETWEEN 0 AND 9) e""",
           ("cells",))
 def q_grid_edges(spark, sf_dir):
     """G-01: queen-contiguity edges among the grid cells that occur in the data
     (edge count, distinct sources, id sums)."""
     present = fx.cells(spark, sf_dir).select(F.col("pixel_idx").cast("long").alias("src")).distinct()
-    e = G.grid_edges(spark, GRID).join(present, "src", "left_semi")
+    e = G.grid_edges(spark, fx.grid(spark, sf_dir)).join(present, "src", "left_semi")
     return e.agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("src").alias("n_src"),
                  F.sum("src").alias("sum_src"), F.sum("dst").alias("sum_dst"))
 
@@ -176,7 +175,7 @@ def q_grid_edges(spark, sf_dir):
     WITH {SQL_MASKED},
     off AS (SELECT unnest([-1, 0, 1]) AS d),
     st AS (SELECT p.pixel_idx,
-                  least(greatest(p.pixel_idx // 10 + a.d, 0), 7) * 10 + least(greatest(p.pixel_idx % 10 + b.d, 0), 9) AS src_idx
+                  least(greatest(p.pixel_idx // 10 + a.d, 0), (SELECT h - 1 FROM dims)) * 10 + least(greatest(p.pixel_idx % 10 + b.d, 0), 9) AS src_idx
            FROM (SELECT DISTINCT pixel_idx FROM m) p, off a, off b)
     SELECT st.pixel_idx, x.t, {rnd_sql('avg(x.lst)')} AS lst_mean3x3, count(*) AS n_terms
     FROM st JOIN m x ON x.pixel_idx = st.src_idx
@@ -187,7 +186,7 @@ def q_stencil_mean(spark, sf_dir):
     table (weights count the clamped duplicates)."""
     m = P.mask_invalid(fx.cells(spark, sf_dir).select("pixel_idx", "t", "lst"), {"lst": "lst"})
     present = m.select("pixel_idx").distinct()
-    st = G.stencil(spark, GRID).join(present, "pixel_idx", "left_semi")
+    st = G.stencil(spark, fx.grid(spark, sf_dir)).join(present, "pixel_idx", "left_semi")
     x = m.where(F.col("lst").isNotNull()).withColumnRenamed("pixel_idx", "src_idx")
     return (st.join(x, "src_idx")
             .groupBy("pixel_idx", "t")
@@ -203,8 +202,8 @@ def q_stencil_mean(spark, sf_dir):
 def q_join_layers(spark, sf_dir):
     """J-02 yearly and J-03 static layers attached by key (absent year -> NULL)."""
     c = fx.cells(spark, sf_dir).select("pixel_idx", "t", "year")
-    t = J.join_yearly(c, fx.pop(spark, sf_dir), GRID.n_cells, 10)
-    return J.join_static(t, fx.static(spark, sf_dir), GRID.n_cells).select(
+    t = J.join_yearly(c, fx.pop(spark, sf_dir), fx.grid(spark, sf_dir).n_cells, 10)
+    return J.join_static(t, fx.static(spark, sf_dir), fx.grid(spark, sf_dir).n_cells).select(
         "pixel_idx", "t", "year", "pop_density", "twi", "soil_snum")
 
 
@@ -235,7 +234,7 @@ def q_mask_by_static(spark, sf_dir):
 
     st = fx.static(spark, sf_dir)
     c = fx.cells(spark, sf_dir).select("pixel_idx", "t")
-    return J.mask_by_static(c, st, GRID.n_cells, floor=exact_quantile(st, "twi", 0.5))
+    return J.mask_by_static(c, st, fx.grid(spark, sf_dir).n_cells, floor=exact_quantile(st, "twi", 0.5))
 
 
 @register("p04_valid_rows", WITH_TRAINING("""
@@ -260,7 +259,7 @@ def q_attach_pixel(spark, sf_dir):
 
 @register("j05_attach_truth", f"""
     WITH tm AS (SELECT DISTINCT t FROM residuals WHERE split = 'test'),
-    cellax AS (SELECT CAST(range AS INTEGER) AS pixel_idx FROM range(0, 80)),
+    cellax AS (SELECT CAST(unnest(range((SELECT nc FROM dims))) AS INTEGER) AS pixel_idx),
     tr AS (SELECT pixel_idx, t, arg_min(true_log_ndvi, month) AS true_log_ndvi FROM residuals GROUP BY 1, 2)
     SELECT c.pixel_idx, tm.t, {rnd_sql('tr.true_log_ndvi')} AS true_log_ndvi
     FROM tm CROSS JOIN cellax c JOIN tr ON tr.pixel_idx = c.pixel_idx AND tr.t = tm.t""",
@@ -270,8 +269,10 @@ def q_attach_truth(spark, sf_dir):
     cells without truth dropped."""
     r = fx.residuals(spark, sf_dir)
     months = r.where(F.col("split") == "test").select("t").distinct()
-    # the grid is the month dimension exploded over the cell ids (no join)
-    grid = months.select("t", F.explode(F.sequence(F.lit(0), F.lit(GRID.n_cells - 1))).alias("pixel_idx"))
+    # every cell id exploded over the months of the split (the calendar dimension)
+    steps = sorted(r[0] for r in months.collect())
+    grid = spark.range(fx.grid(spark, sf_dir).n_cells).select(
+        F.explode(F.array(*[F.lit(t) for t in steps]).cast("array<int>")).alias("t"), F.col("id").cast("int").alias("pixel_idx"))
     out = J.attach_truth(grid, r.select("pixel_idx", "t", "month", "true_log_ndvi"), "true_log_ndvi",
                          order_col="month")
     return round_doubles(out.select("pixel_idx", "t", "true_log_ndvi"))

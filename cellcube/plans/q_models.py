@@ -16,7 +16,9 @@ from cellcube.operators import models as ML
 from cellcube.operators import prep as M
 from cellcube.plans.q_features import TRAINING_FIXTURES, WITH_TRAINING, training
 from cellcube.plans.registry import register, rnd_sql, round_doubles
+from cellcube.session import scratch_path
 from cellcube.sources import fixtures as fx
+from cellcube.sources.tabular import write_report
 
 SPLIT = fx.FIXTURE_SPLIT
 KEYS = ["pixel_idx", "year", "month", "split"]
@@ -107,11 +109,27 @@ def q_baseline_scores(spark, sf_dir):
 
 @register("m17_predict_month")
 def q_predict_month(spark, sf_dir):
-    """M-17: per-cell predictions and residuals of every baseline for 2001-06,
-    plus that month's R^2 / RMSE (rows: cells x models)."""
+    """M-17: per-cell predictions and residuals (truth - prediction) of every baseline
+    for 2001-06, with that month's R^2 / RMSE of the model (rows: cells x models)."""
     frame, _, models = _fitted(spark, sf_dir)
-    long, _ = ML.predict_month(models, frame, 2001, 6)
-    return long
+    long, metrics = ML.predict_month(models, frame, 2001, 6)
+    return long.join(F.broadcast(metrics.select("model", "n", "r2", "rmse")), "model")
+
+
+@register("m17_month_residuals", f"""
+    WITH lp AS (
+      SELECT pixel_idx, true_log_ndvi AS y, 'GLM' AS model, GLM_pred AS pred FROM residuals WHERE year = 2001 AND month = 6
+      UNION ALL SELECT pixel_idx, true_log_ndvi, 'RF', RF_pred FROM residuals WHERE year = 2001 AND month = 6),
+    mt AS (SELECT model, count(*) AS n, 1 - sum((y - pred) * (y - pred)) / (count(*) * var_pop(y)) AS r2,
+                  sqrt(avg((y - pred) * (y - pred))) AS rmse
+           FROM lp WHERE y <> 0 GROUP BY model)
+    SELECT lp.model, lp.pixel_idx, {rnd_sql('lp.y')} AS true_log_ndvi, {rnd_sql('lp.pred')} AS pred,
+           {rnd_sql('lp.y - lp.pred')} AS residual, mt.n, {rnd_sql('mt.r2')} AS r2, {rnd_sql('mt.rmse')} AS rmse
+    FROM lp JOIN mt ON mt.model = lp.model""", ("cells", "residuals"))
+def q_month_residuals(spark, sf_dir):
+    """M-17 on stored predictions: residuals of 2001-06 per model and cell, with the month's metrics."""
+    long, metrics = ML.month_residuals(fx.residuals(spark, sf_dir), ["GLM", "RF"], 2001, 6, "true_log_ndvi")
+    return round_doubles(long.join(F.broadcast(metrics.select("model", "n", "r2", "rmse")), "model"))
 
 
 def _search(spark, sf_dir, n_iter, trees):
@@ -137,6 +155,63 @@ def q_fold_scores(spark, sf_dir):
     return ML.fold_scores(_search(spark, sf_dir, n_iter=3, trees=20))
 
 
+SQL_SEARCH = """rs AS (
+    SELECT CAST(l_suppkey % 30 AS INTEGER) AS draw, CAST(l_linenumber % 3 + 1 AS INTEGER) AS fold,
+           CAST(l_suppkey % 30 % 4 AS DOUBLE) AS max_depth, CAST(l_suppkey % 30 AS DOUBLE) / 100 AS learning_rate,
+           avg(l_discount) AS r2
+    FROM lineitem GROUP BY 1, 2, 3, 4)"""
+
+
+def _search_table(spark, sf_dir):
+    """A stored result table of a search: 30 draws by 3 folds from the line items (stand-in values)."""
+    li = fx.read_table(spark, sf_dir, "lineitem")
+    draw = F.col("l_suppkey") % 30
+    return (li.select(draw.cast("int").alias("draw"), (F.col("l_linenumber") % 3 + 1).cast("int").alias("fold"),
+                      (draw % 4).cast("double").alias("max_depth"), (draw.cast("double") / 100).alias("learning_rate"), "l_discount")
+            .groupBy("draw", "fold", "max_depth", "learning_rate").agg(F.avg("l_discount").alias("r2")))
+
+
+@register("m18_fold_scores_table", f"""
+    WITH {SQL_SEARCH},
+    g AS (SELECT draw, avg(r2) AS mean_r2, count(*) AS n_folds, min(max_depth) AS max_depth, min(learning_rate) AS learning_rate FROM rs GROUP BY draw)
+    SELECT draw, {rnd_sql('mean_r2')} AS mean_r2, n_folds, {rnd_sql('max_depth')} AS max_depth, {rnd_sql('learning_rate')} AS learning_rate,
+           CAST(rank() OVER (ORDER BY mean_r2 DESC, draw) AS INTEGER) AS rank
+    FROM g""", ())
+def q_fold_scores_table(spark, sf_dir):
+    """M-18 on a stored result table of 30 draws by 3 folds: mean fold R^2 and rank of each draw."""
+    return round_doubles(ML.fold_scores(_search_table(spark, sf_dir), ["max_depth", "learning_rate"]))
+
+
+@register("m18_best_parameters", f"""
+    WITH {SQL_SEARCH},
+    g AS (SELECT draw, avg(r2) AS mean_r2, min(max_depth) AS max_depth, min(learning_rate) AS learning_rate FROM rs GROUP BY draw),
+    b AS (SELECT * FROM g ORDER BY mean_r2 DESC, draw LIMIT 1)
+    SELECT {rnd_sql('mean_r2')} AS mean_r2, 'max_depth' AS parameter, {rnd_sql('max_depth')} AS value FROM b
+    UNION ALL SELECT {rnd_sql('mean_r2')}, 'learning_rate', {rnd_sql('learning_rate')} FROM b""", ())
+def q_best_parameters(spark, sf_dir):
+    """M-18 report: the best draw's parameters and its mean fold R^2."""
+    return round_doubles(ML.best_parameters(_search_table(spark, sf_dir), ["max_depth", "learning_rate"]))
+
+
+@register("r04_loss_logs", f"""
+    WITH h AS (SELECT CAST(year(o_orderdate) - 1991 AS INTEGER) AS epoch, avg(o_totalprice) / 1e5 AS a, max(o_totalprice) / 1e5 AS b
+               FROM orders GROUP BY 1)
+    SELECT 'named' AS model, epoch, {rnd_sql('a')} AS train_loss, {rnd_sql('b')} AS val_loss FROM h
+    UNION ALL SELECT 'counted', CAST(row_number() OVER (ORDER BY epoch) AS INTEGER), {rnd_sql('b')}, NULL FROM h""", ())
+def q_loss_logs(spark, sf_dir):
+    """R-04 from stored logs: one with an epoch column and aliases, one that counts its rows; an absent log is left out."""
+    o = fx.read_table(spark, sf_dir, "orders")
+    h = (o.groupBy((F.year("o_orderdate") - 1991).cast("int").alias("epoch"))
+         .agg((F.avg("o_totalprice") / 1e5).alias("loss"), (F.max("o_totalprice") / 1e5).alias("val_mae")).orderBy("epoch"))
+    paths = {n: scratch_path(spark, f"log-{n}") for n in ("named", "counted", "absent")}
+    write_report(h, paths["named"])
+    h.select(F.col("val_mae").alias("train_mae")).coalesce(1).write.option("header", True).csv(paths["counted"])
+    out, missing = ML.loss_curves_from_logs(spark, paths)
+    if missing != ["absent"]:
+        raise RuntimeError(f"logs reported absent: {missing}")
+    return round_doubles(out)
+
+
 @register("r04_loss_curves")
 def q_loss_curves(spark, sf_dir):
     """R-04: squared-error loss per boosting round on train and validation rows."""

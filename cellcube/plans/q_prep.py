@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cellcube.config import DYNAMIC_COLUMNS
 from cellcube.operators import prep as M
 from cellcube.operators import series as N
 from cellcube.operators import summary as A
@@ -12,14 +13,14 @@ from cellcube.plans.q_features import TRAINING_FIXTURES, WITH_TRAINING, training
 from cellcube.plans.registry import register, rnd, rnd_sql, round_doubles
 from cellcube.sources import fixtures as fx
 
-GRID = fx.FIXTURE_GRID
 SPLIT = fx.FIXTURE_SPLIT
-SEQ_COLS = ["log_ndvi", "lst_driver_lag1"]
+SEQ_COLS = DYNAMIC_COLUMNS
+GONE = (1998, 5)     # a month whose layers are taken out, so that the calendar has a hole
 
 SQL_TS = """ts AS (SELECT year, month, CAST(row_number() OVER (ORDER BY year, month) - 1 AS INTEGER) AS t_idx
            FROM (SELECT DISTINCT year, month FROM tt) d)"""
 SQL_DENSE = SQL_TS + """,
-cellax AS (SELECT CAST(range AS INTEGER) AS pixel_idx FROM range(0, 80)),
+cellax AS (SELECT CAST(unnest(range((SELECT nc FROM dims))) AS INTEGER) AS pixel_idx),
 dn AS (SELECT ts.t_idx, c.pixel_idx, ts.year, ts.month, tt.log_ndvi, tt.lst_driver_lag1, tt.pop_density
        FROM ts CROSS JOIN cellax c
        LEFT JOIN tt ON tt.pixel_idx = c.pixel_idx AND tt.year = ts.year AND tt.month = ts.month)"""
@@ -36,15 +37,17 @@ sc AS (SELECT dn.*, {", ".join(f"coalesce((dn.{c} - m_{c}) / CASE WHEN s_{c} = 0
        FROM dn, st)"""
 
 
-def _dense(spark, sf_dir):
-    t = training_stored(spark, sf_dir)
+def _dense(spark, sf_dir, t=None):
+    t = training_stored(spark, sf_dir) if t is None else t
     times = N.timesteps(t, calendar=False)
-    return N.dense_grid(spark, t, GRID.n_cells, times, ["log_ndvi", "lst_driver_lag1", "pop_density"])
+    return N.dense_grid(spark, t, fx.grid(spark, sf_dir).n_cells, times, ["log_ndvi", "lst_driver_lag1", "pop_density"])
 
 
 def _dense_scaled(spark, sf_dir, cols):
-    d = M.chrono_split(_dense(spark, sf_dir), SPLIT.train_end, SPLIT.val_end)
-    sc = M.fit_scaler(d, cols)
+    t = training_stored(spark, sf_dir)
+    # cells without a row do not count: the stored table gives the same statistics as the dense grid
+    sc = M.fit_scaler(t.where(F.col("year") <= SPLIT.train_end), cols, split=None, fit_on=None)
+    d = _dense(spark, sf_dir, t)
     return M.zero_fill(M.standardize(d, cols, sc), cols), sc
 
 
@@ -96,39 +99,77 @@ def q_inverse_scale(spark, sf_dir):
     return round_doubles(back.select("t_idx", "pixel_idx", "log_ndvi"))
 
 
-SQL_SEQ = f""", {SQL_DENSE}, {_scaled_sql(SEQ_COLS)},
+_Z = ", ".join(f"coalesce((c.{x} - m_{x}) / CASE WHEN s_{x} = 0 OR s_{x} IS NULL THEN 1e0 ELSE s_{x} END, 0e0) AS z_{x}" for x in SEQ_COLS)
+_STATS = ", ".join(f"avg({x}) AS m_{x}, stddev_pop({x}) AS s_{x}" for x in SEQ_COLS)
+_STEPS = ", ".join("(" + " + ".join(f"{13 - k} * lag(z_{x}, {k}) OVER w" for k in range(12, 0, -1)) + f") AS x_{x}" for x in SEQ_COLS)
+SQL_CALENDAR = f"""tg AS (SELECT * FROM tt WHERE NOT (year = {GONE[0]} AND month = {GONE[1]})),
+ends AS (SELECT min(year * 12 + month - 1) AS a, max(year * 12 + month - 1) AS b FROM tg),
+cal AS (SELECT CAST(ym // 12 AS INTEGER) AS year, CAST(ym % 12 + 1 AS INTEGER) AS month, CAST(ym - (SELECT a FROM ends) AS INTEGER) AS t_idx
+        FROM (SELECT unnest(range((SELECT a FROM ends), (SELECT b + 1 FROM ends))) AS ym) u)"""
+SQL_SEQ = f""", {SQL_CALENDAR},
+cellax AS (SELECT CAST(unnest(range((SELECT nc FROM dims))) AS INTEGER) AS pixel_idx),
+c AS (SELECT cal.t_idx, cal.year, cal.month, cellax.pixel_idx, {", ".join("tg." + x for x in SEQ_COLS)}
+      FROM cal CROSS JOIN cellax LEFT JOIN tg ON tg.pixel_idx = cellax.pixel_idx AND tg.year = cal.year AND tg.month = cal.month),
+st AS (SELECT {_STATS} FROM c WHERE year <= 1999),
+sc AS (SELECT c.t_idx, c.year, c.month, c.pixel_idx, {_Z} FROM c, st),
 sq AS (SELECT pixel_idx, t_idx, year, month, z_log_ndvi AS y,
-              count(*) OVER (PARTITION BY pixel_idx ORDER BY t_idx ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS n_steps,
-              lag(z_log_ndvi, 12) OVER (PARTITION BY pixel_idx ORDER BY t_idx) AS x_first,
-              lag(z_log_ndvi, 1) OVER (PARTITION BY pixel_idx ORDER BY t_idx) AS x_last,
-              lag(z_lst_driver_lag1, 1) OVER (PARTITION BY pixel_idx ORDER BY t_idx) AS x_last_lst
-       FROM sc)"""
+              count(*) OVER (PARTITION BY pixel_idx ORDER BY t_idx ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS n_steps, {_STEPS}
+       FROM sc WINDOW w AS (PARTITION BY pixel_idx ORDER BY t_idx)),
+sp AS (SELECT pixel_idx, arg_min(twi, t) AS twi, arg_min(CAST(soil_snum AS DOUBLE), t) AS soil FROM tg GROUP BY 1),
+ss AS (SELECT avg(twi) AS mt, stddev_pop(twi) AS dt, avg(soil) AS ms, stddev_pop(soil) AS ds FROM sp),
+sz AS (SELECT pixel_idx, (twi - mt) / CASE WHEN dt = 0 THEN 1e0 ELSE dt END AS twi, (soil - ms) / CASE WHEN ds = 0 THEN 1e0 ELSE ds END AS soil FROM sp, ss)"""
 
 
 def _sequences(spark, sf_dir):
-    d, _ = _dense_scaled(spark, sf_dir, SEQ_COLS)
-    s = N.sequences(d, SEQ_COLS, "log_ndvi", window=12)
-    return s.select("pixel_idx", "t_idx", "year", "month", F.size("x").alias("n_steps"),
-                    F.col("x")[0][0].alias("x_first"), F.col("x")[11][0].alias("x_last"),
-                    F.col("x")[11][1].alias("x_last_lst"), "y")
+    """All dynamic columns and the static block.  Every element of a window enters the
+    result: column ``x_<name>`` weighs its twelve steps 1 to 12."""
+    gone = (F.col("year") == GONE[0]) & (F.col("month") == GONE[1])
+    t = training_stored(spark, sf_dir).where(~gone)
+    grid = fx.grid(spark, sf_dir)
+    times = N.timesteps(t)
+    # scaler statistics from the stored table: cells without a row do not count
+    sc = M.fit_scaler(t.where(F.col("year") <= SPLIT.train_end), SEQ_COLS, split=None, fit_on=None)
+    dense = M.zero_fill(M.standardize(N.dense_grid(spark, t, grid.n_cells, times, SEQ_COLS), SEQ_COLS, sc), SEQ_COLS)
+    s = N.sequences(dense, SEQ_COLS, "log_ndvi", window=12)
+    fixed = N.static_by_pixel(t.withColumn("t_idx", F.col("year") * 12 + F.col("month")), ["twi", "soil_snum"])
+    fixed = M.standardize_static(fixed.withColumn("soil_snum", F.col("soil_snum").cast("double")).checkpoint(), ["twi", "soil_snum"])
+
+    def weighed(j: int):
+        steps = F.transform("x", lambda step, k: (k + 1) * step[j])
+        return F.aggregate(steps, F.lit(0.0), lambda total, v: total + v)
+
+    out = s.select("pixel_idx", "t_idx", "year", "month", F.size("x").alias("n_steps"),
+                   *[weighed(j).alias(f"x_{c}") for j, c in enumerate(SEQ_COLS)], "y")
+    return out.join(fixed.select("pixel_idx", F.col("twi").alias("static_twi"), F.col("soil_snum").alias("static_soil")), "pixel_idx", "left")
+
+
+_SEQ_OUT = ", ".join(f"{rnd_sql('sq.x_' + x)} AS x_{x}" for x in SEQ_COLS)
+
+
+@register("n01_timesteps_calendar", WITH_TRAINING(f", {SQL_CALENDAR} SELECT year, month, t_idx FROM cal"), TRAINING_FIXTURES)
+def q_timesteps_calendar(spark, sf_dir):
+    """N-01 by calendar: every month from the first to the last, also the one without layers."""
+    gone = (F.col("year") == GONE[0]) & (F.col("month") == GONE[1])
+    return N.timesteps(training_stored(spark, sf_dir).where(~gone))
 
 
 @register("n04_sequences", WITH_TRAINING(SQL_SEQ + f"""
-    SELECT pixel_idx, t_idx, year, month, CAST(n_steps AS INTEGER) AS n_steps, {rnd_sql('x_first')} AS x_first,
-           {rnd_sql('x_last')} AS x_last, {rnd_sql('x_last_lst')} AS x_last_lst, {rnd_sql('y')} AS y
-    FROM sq WHERE t_idx >= 12"""), TRAINING_FIXTURES)
+    SELECT sq.pixel_idx, t_idx, year, month, CAST(n_steps AS INTEGER) AS n_steps, {_SEQ_OUT}, {rnd_sql('y')} AS y,
+           {rnd_sql('sz.twi')} AS static_twi, {rnd_sql('sz.soil')} AS static_soil
+    FROM sq LEFT JOIN sz ON sz.pixel_idx = sq.pixel_idx WHERE t_idx >= 12"""), TRAINING_FIXTURES)
 def q_sequences(spark, sf_dir):
-    """N-04: 12-month feature windows on the dense, train-scaled, zero-filled grid
-    (summarised per sample: steps, first/last step, label)."""
+    """N-04: 12-month windows of all dynamic columns with the scaled static block, on the
+    calendar grid (one month has no layers), train-scaled and zero-filled."""
     return round_doubles(_sequences(spark, sf_dir))
 
 
 @register("n05_find_window", WITH_TRAINING(SQL_SEQ + f"""
-    SELECT pixel_idx, {rnd_sql('x_last')} AS x_last, {rnd_sql('y')} AS y
+    SELECT sq.pixel_idx, {_SEQ_OUT}, {rnd_sql('y')} AS y
     FROM sq WHERE t_idx >= 12 AND year = 2000 AND month = 6"""), TRAINING_FIXTURES)
 def q_find_window(spark, sf_dir):
-    """N-05: the samples whose target month is 2000-06."""
-    return round_doubles(N.find_window(_sequences(spark, sf_dir), 2000, 6).select("pixel_idx", "x_last", "y"))
+    """N-05: the samples whose target month is 2000-06, all dynamic columns."""
+    found = N.find_window(_sequences(spark, sf_dir).checkpoint(), 2000, 6)
+    return round_doubles(found.select("pixel_idx", *[f"x_{c}" for c in SEQ_COLS], "y"))
 
 
 @register("n07_grid_rows", f"""
@@ -145,12 +186,12 @@ def q_grid_rows(spark, sf_dir):
     matrix (one array per grid row), summarised per row."""
     per_cell = A.observed_vs_predicted(fx.residuals(spark, sf_dir).where(F.col("split") == "test"),
                                        "true_log_ndvi", "XGBoost_pred")
-    g = N.grid_rows(spark, per_cell, GRID, "mean_true_ndvi")
+    g = N.grid_rows(spark, per_cell, fx.grid(spark, sf_dir), "mean_true_ndvi")
     present = F.filter("values", lambda x: x.isNotNull())
     return g.select("row", F.size("values").alias("n_cols"), F.size(present).alias("n_present"),
                     rnd(F.when(F.size(present) > 0, F.aggregate(present, F.lit(0.0), lambda a, x: a + x))).alias("row_sum"),
                     rnd(F.col("values")[0]).alias("first_value"),
-                    rnd(F.col("values")[GRID.width - 1]).alias("last_value"))
+                    rnd(F.col("values")[fx.grid(spark, sf_dir).width - 1]).alias("last_value"))
 
 
 @register("n08_unflatten_predictions", f"""
@@ -158,7 +199,7 @@ def q_grid_rows(spark, sf_dir):
                 FROM (SELECT DISTINCT year, month FROM residuals WHERE split = 'test') d),
     fl AS (SELECT ts.t_idx, r.pixel_idx, r.RF_pred AS pred
            FROM residuals r JOIN ts ON ts.year = r.year AND ts.month = r.month WHERE r.split = 'test'),
-    cellax AS (SELECT CAST(range AS INTEGER) AS pixel_idx FROM range(0, 80))
+    cellax AS (SELECT CAST(unnest(range((SELECT nc FROM dims))) AS INTEGER) AS pixel_idx)
     SELECT ts.t_idx, c.pixel_idx, ts.year, ts.month, {rnd_sql('fl.pred')} AS pred
     FROM ts CROSS JOIN cellax c LEFT JOIN fl ON fl.t_idx = ts.t_idx AND fl.pixel_idx = c.pixel_idx""",
           ("cells", "residuals"))
@@ -168,9 +209,9 @@ def q_unflatten(spark, sf_dir):
     r = fx.residuals(spark, sf_dir).where(F.col("split") == "test")
     times = N.timesteps(r, calendar=False)
     flat = (r.join(F.broadcast(times), ["year", "month"])
-            .select((F.col("t_idx").cast("long") * GRID.n_cells + F.col("pixel_idx")).alias("pos"),
+            .select((F.col("t_idx").cast("long") * fx.grid(spark, sf_dir).n_cells + F.col("pixel_idx")).alias("pos"),
                     F.col("RF_pred").alias("pred")))
-    out = N.unflatten_predictions(spark, flat, GRID.n_cells, times)
+    out = N.unflatten_predictions(spark, flat, fx.grid(spark, sf_dir).n_cells, times)
     return round_doubles(out.select("t_idx", "pixel_idx", "year", "month", "pred"))
 
 

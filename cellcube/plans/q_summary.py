@@ -10,10 +10,9 @@ from cellcube.operators import metrics as MT
 from cellcube.operators import summary as A
 from cellcube.plans.q_features import TRAINING_FIXTURES, WITH_TRAINING, training
 from cellcube.plans.q_trend import SQL_MK, trends
-from cellcube.plans.registry import register, rnd, rnd_sql, round_doubles
+from cellcube.plans.registry import register, rnd, rnd_fine_sql, rnd_sql, round_doubles
 from cellcube.sources import fixtures as fx
 
-GRID = fx.FIXTURE_GRID
 MODELS = ["GLM", "RF", "XGBoost", "STID"]  # STID has no column in the table: skipped
 RES = ("cells", "residuals")
 
@@ -83,7 +82,7 @@ def q_hotspots(spark, sf_dir):
 def q_hotspot_context(spark, sf_dir):
     """A-04: mean TWI and cell count inside / outside the 90th-percentile hotspots."""
     h = A.hotspots(_xgb_cell_errors(spark, sf_dir).select("pixel_idx", "mae"), "mae", 0.9)
-    return round_doubles(A.hotspot_context(h, fx.static(spark, sf_dir), GRID.n_cells))
+    return round_doubles(A.hotspot_context(h, fx.static(spark, sf_dir), fx.grid(spark, sf_dir).n_cells))
 
 
 def _edge_sql(k: str) -> str:
@@ -99,13 +98,13 @@ def _edge_sql(k: str) -> str:
     i2 AS (SELECT CASE WHEN x >= {_edge_sql('i + 1')} AND i <> 49 THEN i + 1 ELSE i END AS bin FROM i1, pr),
     cnt AS (SELECT bin, count(*) AS n FROM i2 GROUP BY bin),
     bins AS (SELECT CAST(range AS INTEGER) AS bin FROM range(0, 50))
-    SELECT b.bin, {rnd_sql(_edge_sql('b.bin'))} AS lower, {rnd_sql(_edge_sql('b.bin + 1'))} AS upper,
+    SELECT b.bin, {rnd_fine_sql(_edge_sql('b.bin'))} AS lower, {rnd_fine_sql(_edge_sql('b.bin + 1'))} AS upper,
            CAST(coalesce(c.n, 0) AS BIGINT) AS count
     FROM bins b CROSS JOIN pr LEFT JOIN cnt c ON c.bin = b.bin""", ("cells",))
 def q_histogram(spark, sf_dir):
     """A-05: 50 equal-width bins of the NDVI Sen-slope layer (last bin closed)."""
     s = trends(spark, sf_dir).where((F.col("variable") == "ndvi") & F.col("slope").isNotNull())
-    return round_doubles(A.histogram(spark, s, "slope", 50))
+    return round_doubles(A.histogram(spark, s, "slope", 50), ("lower", "upper"))
 
 
 @register("a06_symmetric_limit", f"""WITH {SQL_CELL_ERR}
@@ -242,11 +241,11 @@ def q_derived_features(spark, sf_dir):
 
 
 @register("p10_wrap_pixel", """
-    SELECT CAST(user_id % 80 AS INTEGER) AS pixel_idx, count(*) AS n_events FROM events GROUP BY 1""", ())
+    SELECT CAST(user_id % (SELECT nc FROM dims) AS INTEGER) AS pixel_idx, count(*) AS n_events FROM events GROUP BY 1""", ())
 def q_wrap_pixel(spark, sf_dir):
     """P-10: raw ids folded into the 80-cell grid, then counted per cell."""
     e = fx.read_table(spark, sf_dir, "events").select(F.col("user_id").alias("pixel_idx"))
-    return P.wrap_pixel(e, GRID.n_cells).groupBy("pixel_idx").agg(F.count(F.lit(1)).alias("n_events"))
+    return P.wrap_pixel(e, fx.grid(spark, sf_dir).n_cells).groupBy("pixel_idx").agg(F.count(F.lit(1)).alias("n_events"))
 
 
 @register("p12_cast_features", WITH_TRAINING("""

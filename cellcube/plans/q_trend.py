@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from cellcube.operators import series as N
 from cellcube.operators import trend as T
 from cellcube.operators.mask import mask_invalid
-from cellcube.plans.registry import register, rnd, rnd_sql, round_doubles
+from cellcube.plans.registry import register, rnd, rnd_fine_sql, rnd_sql, round_doubles
 from cellcube.sources import fixtures as fx
 
-GRID = fx.FIXTURE_GRID
 ZC = repr(T.z_critical())
 
 
@@ -39,7 +38,7 @@ def _t_range(spark, sf_dir):
 
 def trends(spark, sf_dir):
     t0, t1 = _t_range(spark, sf_dir)
-    return T.trend_layers(spark, _long(spark, sf_dir), GRID.n_cells, t0, t1, variables=["ndvi", "lst"])
+    return T.trend_layers(spark, _long(spark, sf_dir), fx.grid(spark, sf_dir).n_cells, t0, t1, variables=["ndvi", "lst"])
 
 
 # dense, gap-filled series per (variable, cell) in DuckDB
@@ -49,7 +48,7 @@ SQL_FILLED = """obs AS (
   SELECT 'lst' AS variable, pixel_idx, t, CASE WHEN lst <> -9999e0 THEN lst END AS v FROM cells),
 tax AS (SELECT unnest(generate_series((SELECT min(t) FROM cells), (SELECT max(t) FROM cells))) AS t),
 vars AS (SELECT DISTINCT variable FROM obs),
-cellax AS (SELECT CAST(range AS INTEGER) AS pixel_idx FROM range(0, 80)),
+cellax AS (SELECT CAST(unnest(range((SELECT nc FROM dims))) AS INTEGER) AS pixel_idx),
 d AS (SELECT vars.variable, cellax.pixel_idx, CAST(tax.t AS INTEGER) AS t, obs.v
       FROM vars CROSS JOIN cellax CROSS JOIN tax
       LEFT JOIN obs ON obs.variable = vars.variable AND obs.pixel_idx = cellax.pixel_idx AND obs.t = tax.t),
@@ -92,12 +91,12 @@ layers AS (SELECT vars.variable, cellax.pixel_idx, mk.n_obs, mk.s, mk.var_s, mk.
 
 @register("t04_trend_layers", f"""WITH {SQL_MK}
     SELECT variable, pixel_idx, n_obs, s, {rnd_sql('var_s')} AS var_s, {rnd_sql('z')} AS z,
-           {rnd_sql('p')} AS p, trend, {rnd_sql('slope')} AS slope
+           {rnd_sql('p')} AS p, trend, {rnd_fine_sql('slope')} AS slope
     FROM layers""", ("cells",))
 def q_trend_layers(spark, sf_dir):
     """T-04: Mann–Kendall z, p, trend flag and Sen's slope layers for NDVI and LST
     over the gap-filled dense month axis of every grid cell."""
-    return round_doubles(trends(spark, sf_dir))
+    return round_doubles(trends(spark, sf_dir), ("slope",))
 
 
 @register("t01_mann_kendall", f"""WITH {SQL_MK}
@@ -107,7 +106,7 @@ def q_mann_kendall(spark, sf_dir):
     """T-01: Mann–Kendall S, tie-corrected variance, z and two-sided p of NDVI per cell."""
     t0, t1 = _t_range(spark, sf_dir)
     long_ndvi = _long(spark, sf_dir).where(F.col("variable") == "ndvi")
-    r = T.trend_layers(spark, long_ndvi, GRID.n_cells, t0, t1, variables=["ndvi"])
+    r = T.trend_layers(spark, long_ndvi, fx.grid(spark, sf_dir).n_cells, t0, t1, variables=["ndvi"])
     return round_doubles(r.select("pixel_idx", "s", "var_s", "z", "p"))
 
 
@@ -119,24 +118,24 @@ def q_trend_flag(spark, sf_dir):
 
 
 @register("t03_sens_slope", f"""WITH {SQL_MK}
-    SELECT pixel_idx, {rnd_sql('slope')} AS slope FROM layers WHERE variable = 'lst'""", ("cells",))
+    SELECT pixel_idx, {rnd_fine_sql('slope')} AS slope FROM layers WHERE variable = 'lst'""", ("cells",))
 def q_sens_slope(spark, sf_dir):
     """T-03: Sen's slope (median pairwise slope) of gap-filled LST per cell."""
     t0, t1 = _t_range(spark, sf_dir)
     long_lst = _long(spark, sf_dir).where(F.col("variable") == "lst")
-    return round_doubles(T.trend_layers(spark, long_lst, GRID.n_cells, t0, t1, variables=["lst"])
-                         .select("pixel_idx", "slope"))
+    return round_doubles(T.trend_layers(spark, long_lst, fx.grid(spark, sf_dir).n_cells, t0, t1, variables=["lst"])
+                         .select("pixel_idx", "slope"), ("slope",))
 
 
 @register("t05_trend_summary", f"""WITH {SQL_MK}
-    SELECT variable, {rnd_sql('avg(slope)')} AS mean_slope,
+    SELECT variable, {rnd_fine_sql('avg(slope)')} AS mean_slope,
            count(*) FILTER (WHERE trend = 1) AS n_increasing,
            count(*) FILTER (WHERE trend = -1) AS n_decreasing,
            count(*) FILTER (WHERE trend = 0) AS n_no_trend
     FROM layers GROUP BY variable""", ("cells",))
 def q_trend_summary(spark, sf_dir):
     """T-05: mean Sen slope and counts of increasing / decreasing / stable cells per variable."""
-    return round_doubles(T.trend_summary(trends(spark, sf_dir)))
+    return round_doubles(T.trend_summary(trends(spark, sf_dir)), ("mean_slope",))
 
 
 @register("n06_interpolate_series", f"""WITH {SQL_FILLED}
@@ -147,7 +146,7 @@ def q_interpolate(spark, sf_dir):
     t0, t1 = _t_range(spark, sf_dir)
     obs = mask_invalid(_long(spark, sf_dir), {"value": "not_equal:-9999.0"})
     names = ["lst", "ndvi"]
-    dense = (spark.range(GRID.n_cells).select(F.col("id").cast("int").alias("pixel_idx"),
+    dense = (spark.range(fx.grid(spark, sf_dir).n_cells).select(F.col("id").cast("int").alias("pixel_idx"),
                                               F.explode(F.array(*[F.lit(v) for v in names])).alias("variable"))
              .select("variable", "pixel_idx", F.explode(F.sequence(F.lit(t0), F.lit(t1))).alias("t")))
     d = dense.join(obs, ["variable", "pixel_idx", "t"], "left")
@@ -157,7 +156,7 @@ def q_interpolate(spark, sf_dir):
 
 SQL_REGIONAL = """reg AS (
   SELECT t, avg(CASE WHEN ndvi <> -9999e0 THEN ndvi END) AS regional_mean FROM cells
-  WHERE pixel_idx // 10 < 8 AND pixel_idx % 10 < 10 GROUP BY t)"""
+  WHERE pixel_idx // 10 < (SELECT h FROM dims) AND pixel_idx % 10 < 10 GROUP BY t)"""
 
 
 def _regional(spark, sf_dir):
@@ -165,7 +164,7 @@ def _regional(spark, sf_dir):
 
     c = fx.cells(spark, sf_dir)
     nd = mask_invalid(c.select("pixel_idx", "t", "ndvi"), {"ndvi": "not_equal:-9999.0"})
-    nd = crop_common(nd, GRID, GRID)
+    nd = crop_common(nd, fx.grid(spark, sf_dir), fx.grid(spark, sf_dir))
     return T.regional_series(nd, "ndvi")
 
 
@@ -177,11 +176,11 @@ def q_regional_series(spark, sf_dir):
 
 
 @register("t07_linear_trend", f"""WITH {SQL_REGIONAL}
-    SELECT {rnd_sql('regr_slope(regional_mean, CAST(t AS DOUBLE))')} AS slope,
+    SELECT {rnd_fine_sql('regr_slope(regional_mean, CAST(t AS DOUBLE))')} AS slope,
            {rnd_sql('regr_intercept(regional_mean, CAST(t AS DOUBLE))')} AS intercept FROM reg""", ("cells",))
 def q_linear_trend(spark, sf_dir):
     """T-07: least-squares slope and intercept of the regional NDVI series."""
-    return round_doubles(T.linear_trend(_regional(spark, sf_dir)))
+    return round_doubles(T.linear_trend(_regional(spark, sf_dir)), ("slope",))
 
 
 @register("t08_trend_line", f"""WITH {SQL_REGIONAL},

@@ -66,6 +66,18 @@ def rnd_sql(e: str) -> str:
     return f"(CASE WHEN round({snap} * 1e6) = 0 THEN 0e0 ELSE round({snap} * 1e6) / 1e6 END)"
 
 
-def round_doubles(df: DataFrame) -> DataFrame:
-    """Round every double column of a result for output."""
-    return df.select(*[rnd(c).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+def rnd_fine(c) -> Column:
+    """Spark side of the rounding of slopes (values near 1e-5): twelve decimals."""
+    c = F.col(c) if isinstance(c, str) else c
+    r = F.round(c.cast("double") * F.lit(1e12)) / F.lit(1e12)
+    return F.when(r == 0, F.lit(0.0)).otherwise(r)
+
+
+def rnd_fine_sql(e: str) -> str:
+    """DuckDB side of ``rnd_fine``."""
+    return f"(CASE WHEN round(({e}) * 1e12) = 0 THEN 0e0 ELSE round(({e}) * 1e12) / 1e12 END)"
+
+
+def round_doubles(df: DataFrame, fine: tuple[str, ...] = ()) -> DataFrame:
+    """Round every double column of a result for output; those in ``fine`` to twelve decimals."""
+    return df.select(*[rnd_fine(c).alias(c) if c in fine else rnd(c).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])

@@ -38,7 +38,7 @@ def require_complete(found: DataFrame, expected: DataFrame, keys=("year", "month
     missing = expected.select(*keys).join(found.select(*keys).distinct(), keys, "left_anti")
     miss = [tuple(r) for r in missing.orderBy(*keys).collect()]
     if miss:
-        msg = f"missing {label} for {len(miss)} key(s): {miss[:24]}"
+        msg = f"missing {label} for {len(miss)} key(s): {miss}"
         if on_missing == "raise":
             raise FileNotFoundError(msg)
         warnings.warn(msg, stacklevel=2)

@@ -6,12 +6,13 @@ where the table has one), so the reference's 100k-row CSV chunking disappears.
 
 from __future__ import annotations
 
-import uuid
+import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellcube.session import checkpoint_dir
+from cellcube.session import scratch_path  # noqa: F401
 
 TRAINING_SCHEMA = T.StructType([
     T.StructField("year", T.IntegerType()),
@@ -27,28 +28,31 @@ TRAINING_SCHEMA = T.StructType([
 ])
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the session's shared checkpoint directory."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+def _fs(spark: SparkSession, path: str):
+    jp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jp
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    jp = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(jp)
+def _complete(spark: SparkSession, path: str) -> bool:
+    """The folder holds a table whose write was committed."""
+    fs, _ = _fs(spark, path)
+    return fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
 
 
 def scan_tabular(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
-    """S-04: read the training table with an explicit schema; it must carry ``pixel_idx``."""
+    """S-04: read the training table with an explicit schema.
+
+    Columns are found by name, whatever their order in the file, and cast to the
+    schema's types; a missing column is an error, other columns are dropped."""
     schema = schema or TRAINING_SCHEMA
     if fmt == "csv":
-        df = spark.read.schema(schema).option("header", True).csv(path)
+        df = spark.read.option("header", True).csv(path)
     else:
         df = spark.read.parquet(path)
-    if "pixel_idx" not in df.columns:
-        raise ValueError(f"{path} has no pixel_idx column; rebuild the table")
-    return df
+    missing = [f.name for f in schema.fields if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; rebuild the table")
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
 def write_tabular(df: DataFrame, path: str, fmt: str = "parquet", partition_by=("year",), mode: str = "overwrite") -> None:
@@ -67,19 +71,30 @@ def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """S-07: a small result table (metrics, importances, parameters, history) as
     one CSV with header.  Only for tables bounded by models x splits x
     features; cell tables go through ``write_tabular``."""
-    df.coalesce(1).write.mode(mode).option("header", True).csv(path)
+    df.repartition(1).write.mode(mode).option("header", True).csv(path)
 
 
 def materialize_if_absent(spark: SparkSession, build, path: str, required_cols: list[str]) -> DataFrame:
-    """S-05: reuse the stored table when it exists and has ``required_cols``
-    (schema read from the Parquet footer); else build, refuse an empty result,
-    write and read back (which also cuts the lineage)."""
-    if _exists(spark, path):
+    """S-05: reuse the stored table when its write was committed and it has
+    ``required_cols`` (schema read from the Parquet footer); else build, store and
+    read back (which also cuts the lineage).
+
+    The table is written beside ``path`` and moved there when it is whole, so a build
+    that breaks off leaves nothing that could be taken for the table.  A table
+    without rows is refused, by the count of what was stored."""
+    if _complete(spark, path):
         stored = spark.read.parquet(path)
         if all(c in stored.columns for c in required_cols):
             return stored
-    df = build()
-    if df.isEmpty():
+    fresh = f"{path.rstrip('/')}-building-{os.urandom(6).hex()}"
+    build().write.parquet(fresh)
+    fs, target = _fs(spark, path)
+    _, made = _fs(spark, fresh)
+    if spark.read.parquet(fresh).limit(1).count() == 0:
+        fs.delete(made, True)
         raise RuntimeError(f"building {path} produced no rows")
-    df.write.mode("overwrite").parquet(path)
+    if fs.exists(target):
+        fs.delete(target, True)
+    if not fs.rename(made, target):
+        raise RuntimeError(f"could not move {fresh} to {path}")
     return spark.read.parquet(path)

@@ -90,3 +90,15 @@ def test_dense_grid_with_no_timesteps_is_empty(spark):
     assert N.dense_grid(spark, df, 4, times, ["v"]).count() == 0
     flat = spark.createDataFrame([], "pos long, pred double")
     assert N.unflatten_predictions(spark, flat, 4, times).count() == 0
+
+
+def test_calendar_windows_span_a_month_without_rows(spark):
+    rows = [(0, 2000 + m // 12, m % 12 + 1, float(m)) for m in range(20) if m != 5]
+    df = spark.createDataFrame(rows, "pixel_idx int, year int, month int, v double")
+    times = N.timesteps(df)
+    assert sorted(r["t_idx"] for r in times.collect()) == list(range(20))
+    dense = N.dense_grid(spark, df, 1, times, ["v"]).fillna(-1.0)
+    out = {r["t_idx"]: [x[0] for x in r["x"]] for r in N.sequences(dense, ["v"], "v", window=12).collect()}
+    assert sorted(out) == list(range(12, 20))
+    assert out[12] == [0.0, 1.0, 2.0, 3.0, 4.0, -1.0, 6.0, 7.0, 8.0, 9.0, 10.0, 11.0]
+    assert N.timesteps(df.where("year < 0")).count() == 0

@@ -55,3 +55,50 @@ def test_count_mismatch_warns(spark):
         warnings.simplefilter("always")
         assert L.count_mismatch(df) == [("lst", 1), ("ndvi", 2)]
     assert any("mismatch" in str(x.message) for x in w)
+
+
+def test_half_written_folder_is_built_anew(spark):
+    path = TB.scratch_path(spark, "half")
+    spark.range(3).withColumnRenamed("id", "pixel_idx").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    out = TB.materialize_if_absent(spark, lambda: spark.range(9).withColumnRenamed("id", "pixel_idx"), path, ["pixel_idx"])
+    assert out.count() == 9
+
+
+def test_empty_build_leaves_nothing(spark):
+    import pytest
+
+    path = TB.scratch_path(spark, "none")
+    with pytest.raises(RuntimeError):
+        TB.materialize_if_absent(spark, lambda: spark.range(0).withColumnRenamed("id", "pixel_idx"), path, ["pixel_idx"])
+    assert not TB._complete(spark, path)
+
+
+def test_missing_columns_are_refused(spark):
+    import pytest
+
+    path = TB.scratch_path(spark, "short")
+    spark.range(3).selectExpr("id AS month", "id AS year").write.option("header", True).csv(path)
+    with pytest.raises(ValueError, match="pixel_idx"):
+        TB.scan_tabular(spark, path, "csv")
+
+
+def test_no_shared_folder_off_local_is_an_error(spark, monkeypatch):
+    import pytest
+
+    from cellcube import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session())

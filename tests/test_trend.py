@@ -91,3 +91,19 @@ def test_fill_gaps_equals_np_interp(spark):
             continue
         assert [t for t, _ in got] == list(range(1, 31))
         np.testing.assert_allclose([v for _, v in got], np.interp(x, x[m], s[m]), atol=1e-12)
+
+
+def test_batch_equals_one_series_at_a_time():
+    import numpy as np
+
+    from cellcube.operators.trend import mann_kendall_batch, mann_kendall_np
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, (40, 17)).astype(float)
+    x[0] = 2.0                                       # all tied
+    got = mann_kendall_batch(x[1:], pairs_at_once=500)
+    for r in range(39):
+        want = mann_kendall_np(x[r + 1])
+        assert all(np.isclose(got[k][r], want[k]) for k in want)
+    flat = mann_kendall_batch(x[:1])
+    assert flat["s"][0] == 0 and flat["z"][0] == 0 and flat["trend"][0] == 0 and flat["slope"][0] == 0
