@@ -6,12 +6,20 @@ import numpy as np
 import zstandard
 
 
+# made once in each process: a context costs more than a small blob
+_tools: dict = {}
+
+
 def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    if "in" not in _tools:
+        _tools["in"] = zstandard.ZstdCompressor(level=1)
+    return _tools["in"].compress(data)
 
 
 def unsqueeze(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+    if "out" not in _tools:
+        _tools["out"] = zstandard.ZstdDecompressor()
+    return _tools["out"].decompress(data)
 
 
 def put(values: np.ndarray, width: int = 8, rising: bool = False) -> bytes:

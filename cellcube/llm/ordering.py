@@ -2,8 +2,9 @@
 
 1. Documents are tokenised once and joined, each with its closing id, into streams; a
    stream (a few megabytes of text) is cut into sequences of ``length`` ids, the last
-   padded.  Sequences are stored, numbered inside their stream.
-2. Streams' counts are prefix-summed, so that sequence numbers are dense.
+   padded.  Sequences are stored, numbered inside the task that made them.
+2. The tasks' counts are prefix-summed, so that sequence numbers are dense; that table has
+   one row a task, fewer than the driver itself keeps of its tasks.
 3. A keyed Feistel network over the next even power of two, walked along its cycle
    until it lands below the number of sequences, gives every sequence its global
    slot: a permutation that needs no sort and no memory, and can be inverted.
@@ -25,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,13 +40,13 @@ STRIDE = 4096       # sequences in a shard file
 PAD_ID = 0
 ROUNDS = 4
 
-SEQUENCES = "stream long, part long, n_tokens int, tokens binary"
+SEQUENCES = "task int, part long, n_tokens int, tokens binary"
 
 
 def sequences(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """Compressed unpadded ids of each sequence of each stream."""
+    """Compressed unpadded ids of each sequence, numbered within its task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        task, made = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column("text")
             for a, b in chunks(byte_lengths(texts)):
@@ -55,9 +55,9 @@ def sequences(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH,
                 parts = [body[i:i + 4 * length] for i in range(0, len(body), 4 * length)]
                 n = len(parts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([len(x) // 4 for x in parts], pa.int32()),
+                    [pa.array([task] * n, pa.int32()), pa.array(range(made, made + n), pa.int64()), pa.array([len(x) // 4 for x in parts], pa.int32()),
                      pa.array([_narrow(x) for x in parts], pa.binary())], [c.split()[0] for c in SEQUENCES.split(", ")])
-                number += 1
+                made += n
 
     return docs.select("text").mapInArrow(run, SEQUENCES)
 
@@ -128,16 +128,13 @@ def materialise(docs: DataFrame, path: str | None = None, tokenizer: str = TOKEN
     spark = docs.sparkSession
     prepare(spark)
     cut = stored(sequences(docs, tokenizer, length, end_id), "order-sequences")
-    counts = cut.groupBy("stream").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    # streams are grouped, so that no task sums all of them
-    grp = F.shiftrightunsigned("stream", 32)
-    counts = counts.withColumn("grp", grp)
-    groups = counts.groupBy("grp").agg(F.sum("n").alias("m"))
-    groups = groups.withColumn("before", F.sum("m").over(W.orderBy("grp")) - F.col("m")).drop("m")
-    first = (counts.join(groups, "grp").withColumn("first", F.col("before") + F.sum("n").over(W.partitionBy("grp").orderBy("stream")) - F.col("n"))
-             .select("stream", "first"))
-    placed = permuted(cut.join(first, "stream").withColumn("sequence", F.col("first") + F.col("part")), "sequence", "slot", max(1, total), key)
+    counts = sorted((r["task"], r["n"]) for r in cut.groupBy("task").agg(F.count("*").alias("n")).collect())     # one row a task
+    firsts, total = [], 0
+    for task, n in counts:
+        firsts.append((task, total))
+        total += n
+    first = F.broadcast(spark.createDataFrame(firsts, "task int, first long"))
+    placed = permuted(cut.join(first, "task").withColumn("sequence", F.col("first") + F.col("part")), "sequence", "slot", max(1, total), key)
     shards = max(1, -(-total // stride))
     placed = (placed.select("sequence", "slot", (F.col("slot") / stride).cast("long").alias("shard"), "n_tokens", "tokens")
               .repartitionByRange(min(shards, 20_000), "shard").sortWithinPartitions("slot"))
