@@ -35,17 +35,31 @@ def dedupe_static(static: DataFrame, key: str = "pixel_idx") -> DataFrame:
 
 
 def join_drivers(ndvi: DataFrame, *drivers: DataFrame, keys=("pixel_idx", "t")) -> DataFrame:
-    """J-01: align same-(cell, month) layers by calendar key (left join on the target layer)."""
-    out = ndvi
+    """J-01: align same-(cell, month) layers by calendar key (left join on the target layer).
+
+    Every side is first reduced to one row per key (repeated readings are averaged by a
+    partial aggregate), so repeated rows cannot multiply across the joins; the joins
+    re-use the aggregates' partitioning."""
+    keys = list(keys)
+
+    def one(d: DataFrame) -> DataFrame:
+        return d.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in d.columns if c not in keys])
+
+    out = one(ndvi)
     for d in drivers:
-        out = out.join(d, list(keys), "left")
+        out = out.join(one(d), keys, "left")
     return out
 
 
 def join_yearly(df: DataFrame, pop: DataFrame, n_cells: int | None = None, n_years: int | None = None) -> DataFrame:
-    """J-02: attach the yearly layer on (pixel_idx, year); an absent year stays missing."""
+    """J-02: attach the yearly layer on (pixel_idx, year); an absent year stays missing.
+
+    The layer is reduced to one row per cell and year; with that and ``n_years`` the
+    number of years it covers, ``n_cells * n_years`` bounds its rows."""
+    rest = [c for c in pop.columns if c not in ("pixel_idx", "year")]
+    one = pop.groupBy("pixel_idx", "year").agg(*[F.first(c, ignorenulls=True).alias(c) for c in rest])
     bound = n_cells * n_years if n_cells and n_years else None
-    return df.join(bounded_broadcast(pop, bound), ["pixel_idx", "year"], "left")
+    return df.join(bounded_broadcast(one, bound), ["pixel_idx", "year"], "left")
 
 
 def join_static(df: DataFrame, static: DataFrame, n_cells: int | None = None) -> DataFrame:
@@ -74,5 +88,5 @@ def attach_truth(grid: DataFrame, truth: DataFrame, value: str, keys=("pixel_idx
 def mask_by_static(df: DataFrame, static: DataFrame, n_cells: int | None = None,
                    col: str = "twi", floor: float = -9000.0) -> DataFrame:
     """J-06: keep cells inside the valid basin (static value present and > floor)."""
-    basin = static.where(F.col(col).isNotNull() & (F.col(col) > floor)).select("pixel_idx")
+    basin = static.where(F.col(col).isNotNull() & (F.col(col) > floor)).select("pixel_idx").distinct()   # at most n_cells rows
     return df.join(bounded_broadcast(basin, n_cells), ["pixel_idx"], "left_semi")

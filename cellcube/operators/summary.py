@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcube.operators.joins import bounded_broadcast
+from cellcube.operators.joins import bounded_broadcast, dedupe_static
 from cellcube.operators.quantile import exact_quantile
 
 
@@ -47,6 +47,7 @@ def model_maps(df: DataFrame, models: list[str], true_col: str = "true_log_ndvi"
 
 def hotspots(per_cell: DataFrame, col: str = "mae", q: float = 0.9) -> DataFrame:
     """A-03: flag cells whose value is >= the exact ``q`` quantile of all cells."""
+    per_cell = per_cell.checkpoint()        # read by every pass of the quantile and once more for the flags
     thr = exact_quantile(per_cell, col, q)
     return per_cell.withColumns({"threshold": F.lit(thr).cast("double"),
                                  "is_hot": (F.col(col) >= F.lit(thr)).cast("int")})
@@ -54,7 +55,7 @@ def hotspots(per_cell: DataFrame, col: str = "mae", q: float = 0.9) -> DataFrame
 
 def hotspot_context(hot: DataFrame, static: DataFrame, n_cells: int | None = None, col: str = "twi") -> DataFrame:
     """A-04: mean static value and cell count inside / outside the hotspots."""
-    j = hot.join(bounded_broadcast(static.select("pixel_idx", col), n_cells), "pixel_idx", "left")
+    j = hot.join(bounded_broadcast(dedupe_static(static.select("pixel_idx", col)), n_cells), "pixel_idx", "left")
     return j.groupBy("is_hot").agg(F.avg(col).alias(f"mean_{col}"), F.count(F.lit(1)).alias("n_cells"))
 
 

@@ -99,16 +99,16 @@ def q_chrono_split(spark, sf_dir):
                                   F.min("year").alias("first_year"), F.max("year").alias("last_year"))
 
 
-@register("p01_mask_invalid", """
+@register("p01_mask_invalid", f"""
     SELECT pixel_idx, t,
-           CASE WHEN ndvi > 0 THEN ndvi END AS ndvi,
-           CASE WHEN lst >= -100 THEN lst END AS lst,
-           CASE WHEN precip >= 0 THEN precip END AS precip
+           {rnd_sql("CASE WHEN ndvi > 0 THEN ndvi END")} AS ndvi,
+           {rnd_sql("CASE WHEN lst >= -100 THEN lst END")} AS lst,
+           {rnd_sql("CASE WHEN precip >= 0 THEN precip END")} AS precip
     FROM cells""", ("cells",))
 def q_mask_invalid(spark, sf_dir):
-    """P-01: per-variable sentinel rules on the raw layers (values pass through unrounded)."""
+    """P-01: per-variable sentinel rules on the raw layers."""
     c = fx.cells(spark, sf_dir)
-    return P.mask_invalid(c.select("pixel_idx", "t", "ndvi", "lst", "precip"))
+    return round_doubles(P.mask_invalid(c.select("pixel_idx", "t", "ndvi", "lst", "precip")))
 
 
 @register("p02_p03_log_transforms", f"""
@@ -202,13 +202,13 @@ def q_stencil_mean(spark, sf_dir):
 def q_join_layers(spark, sf_dir):
     """J-02 yearly and J-03 static layers attached by key (absent year -> NULL)."""
     c = fx.cells(spark, sf_dir).select("pixel_idx", "t", "year")
-    t = J.join_yearly(c, fx.pop(spark, sf_dir), fx.grid(spark, sf_dir).n_cells, 10)
+    t = J.join_yearly(c, fx.pop(spark, sf_dir))
     return J.join_static(t, fx.static(spark, sf_dir), fx.grid(spark, sf_dir).n_cells).select(
         "pixel_idx", "t", "year", "pop_density", "twi", "soil_snum")
 
 
-@register("j01_join_drivers", """
-    SELECT n.pixel_idx, n.t, n.ndvi, l.lst, p.precip
+@register("j01_join_drivers", f"""
+    SELECT n.pixel_idx, n.t, {rnd_sql('n.ndvi')} AS ndvi, {rnd_sql('l.lst')} AS lst, {rnd_sql('p.precip')} AS precip
     FROM (SELECT pixel_idx, t, ndvi FROM cells WHERE ndvi > 0) n
     LEFT JOIN (SELECT pixel_idx, t, lst FROM cells WHERE lst >= -100) l ON l.pixel_idx = n.pixel_idx AND l.t = n.t
     LEFT JOIN (SELECT pixel_idx, t, precip FROM cells WHERE precip >= 0) p ON p.pixel_idx = n.pixel_idx AND p.t = n.t""",
@@ -219,7 +219,7 @@ def q_join_drivers(spark, sf_dir):
     nd = c.select("pixel_idx", "t", "ndvi").where(F.col("ndvi") > 0)
     ls = c.select("pixel_idx", "t", "lst").where(F.col("lst") >= -100)
     pr = c.select("pixel_idx", "t", "precip").where(F.col("precip") >= 0)
-    return J.join_drivers(nd, ls, pr)
+    return round_doubles(J.join_drivers(nd, ls, pr))
 
 
 @register("j06_mask_by_static", """

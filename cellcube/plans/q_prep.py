@@ -174,7 +174,7 @@ def q_find_window(spark, sf_dir):
 
 @register("n07_grid_rows", f"""
     WITH mt AS (SELECT pixel_idx, avg(exp(true_log_ndvi)) AS v FROM residuals WHERE split = 'test' GROUP BY pixel_idx),
-    rows_ AS (SELECT CAST(range AS INTEGER) AS "row" FROM range(0, 8))
+    rows_ AS (SELECT CAST(unnest(range((SELECT h FROM dims))) AS INTEGER) AS "row")
     SELECT r."row", 10 AS n_cols, CAST(count(mt.v) AS INTEGER) AS n_present,
            {rnd_sql('sum(mt.v)')} AS row_sum,
            {rnd_sql('max(CASE WHEN mt.pixel_idx % 10 = 0 THEN mt.v END)')} AS first_value,

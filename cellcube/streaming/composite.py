@@ -27,8 +27,9 @@ def composite_stream(scenes: DataFrame, ts: str = "ts", value: str = "dn", keys=
             .select(*keys, F.col("w.start").alias("bucket_start"), "v_sum", "v_n"))
 
 
-def run_to_table(agg: DataFrame, table_path: str, checkpoint_path: str, name: str = "composite") -> None:
-    """Drain the available input once (``availableNow``) into the version log."""
+def run_to_table(agg: DataFrame, table_path: str, checkpoint_path: str, name: str = "composite") -> int:
+    """Drain the available input once (``availableNow``) into the version log; returns
+    how many rows came behind the watermark and were dropped (0 when all arrived in time)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
@@ -38,21 +39,30 @@ def run_to_table(agg: DataFrame, table_path: str, checkpoint_path: str, name: st
          .option("checkpointLocation", checkpoint_path)
          .foreachBatch(write).trigger(availableNow=True).start())
     q.awaitTermination()
+    return sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
+
+
+def _latest(log: DataFrame, keys: list[str]) -> DataFrame:
+    return (log.groupBy(*keys, "bucket_start").agg(F.max_by(F.struct("v_sum", "v_n", "batch_id"), "batch_id").alias("v"))
+            .select(*keys, "bucket_start", "v.*"))
 
 
 def read_composite(spark: SparkSession, table_path: str, keys=("pixel_idx",)) -> DataFrame:
-    """Current composite: latest version of every (keys, bucket) -> mean and count."""
-    log = spark.read.parquet(table_path)
-    keys = list(keys)
-    last = log.groupBy(*keys, "bucket_start").agg(
-        F.max_by(F.struct("v_sum", "v_n"), "batch_id").alias("v"))
-    return last.select(*keys, "bucket_start", (F.col("v.v_sum") / F.col("v.v_n")).alias("mean"),
-                       F.col("v.v_n").alias("n_scenes"))
+    """Current composite: latest version of every (keys, bucket) -> sum, mean and count."""
+    last = _latest(spark.read.parquet(table_path), list(keys))
+    return last.select(*keys, "bucket_start", "v_sum", (F.col("v_sum") / F.col("v_n")).alias("mean"), F.col("v_n").alias("n_scenes"))
+
+
+def compact(spark: SparkSession, table_path: str, into: str, keys=("pixel_idx",)) -> None:
+    """Write the latest versions alone to ``into``: the log's next start, and what readers
+    scan instead of every version ever written.  Batch ids are kept, so versions that
+    are appended to ``into`` later still win."""
+    _latest(spark.read.parquet(table_path), list(keys)).write.parquet(into)
 
 
 def monthly_from_daily(daily: DataFrame, keys=("pixel_idx",)) -> DataFrame:
     """Roll daily sums/counts up to calendar months (exact: sums of sums)."""
     d = daily.withColumn("_m", F.date_trunc("month", "bucket_start"))
     return (d.groupBy(*keys, F.year("_m").alias("year"), F.month("_m").alias("month"))
-            .agg((F.sum(F.col("mean") * F.col("n_scenes")) / F.sum("n_scenes")).alias("mean"),
+            .agg((F.sum("v_sum") / F.sum("n_scenes")).alias("mean"),
                  F.sum("n_scenes").alias("n_scenes")))

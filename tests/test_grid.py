@@ -78,3 +78,15 @@ def test_khop_mean_one_round_is_neighbour_mean(spark):
     out = {r["pixel_idx"]: r["x_hop1"] for r in G.khop_mean(df, G.grid_edges(spark, g), "x", 1, 6).collect()}
     # cell 0 (0,0) neighbours: 1, 3, 4
     assert np.isclose(out[0], np.mean(vals[[1, 3, 4]]))
+
+
+def test_repeated_readings_do_not_multiply_in_joins(spark):
+    from cellcube.operators import joins as J
+
+    a = spark.createDataFrame([(0, 1, 2.0), (0, 1, 4.0), (1, 1, 7.0)], "pixel_idx int, t int, ndvi double")
+    b = spark.createDataFrame([(0, 1, 1.0), (0, 1, 3.0), (0, 1, 5.0)], "pixel_idx int, t int, lst double")
+    got = sorted(tuple(r) for r in J.join_drivers(a, b).collect())
+    assert got == [(0, 1, 3.0, 3.0), (1, 1, 7.0, None)]
+    pop = spark.createDataFrame([(0, 2000, 5.0), (0, 2000, 5.0)], "pixel_idx int, year int, pop_density double")
+    cells = spark.createDataFrame([(0, 2000), (1, 2000)], "pixel_idx int, year int")
+    assert J.join_yearly(cells, pop).count() == 2
