@@ -14,6 +14,7 @@ from cellcube.config import GbtParams, RfParams
 from cellcube.operators import metrics as MT
 from cellcube.operators import models as ML
 from cellcube.operators import prep as M
+from cellcube.operators.mask import residual
 from cellcube.plans.q_features import TRAINING_FIXTURES, WITH_TRAINING, training
 from cellcube.plans.registry import register, rnd_sql, round_doubles
 from cellcube.session import scratch_path
@@ -59,6 +60,41 @@ def q_glm_single(spark, sf_dir):
     return round_doubles(table.select("term", "estimate"))
 
 
+@register("m09_glm_two_features", WITH_TRAINING(f""",
+    c AS (SELECT covar_pop(lst_driver_lag1, lst_driver_lag1) AS s11, covar_pop(pop_density, pop_density) AS s22,
+                 covar_pop(lst_driver_lag1, pop_density) AS s12, covar_pop(lst_driver_lag1, log_ndvi) AS s1y,
+                 covar_pop(pop_density, log_ndvi) AS s2y, avg(log_ndvi) AS my, avg(lst_driver_lag1) AS m1, avg(pop_density) AS m2
+          FROM tt WHERE year <= 1999),
+    b AS (SELECT (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2, my, m1, m2 FROM c)
+    SELECT 'lst_driver_lag1' AS term, {rnd_sql('b1')} AS estimate FROM b
+    UNION ALL SELECT 'pop_density', {rnd_sql('b2')} FROM b
+    UNION ALL SELECT 'intercept', {rnd_sql('my - b1 * m1 - b2 * m2')} FROM b"""), TRAINING_FIXTURES)
+def q_glm_two(spark, sf_dir):
+    """M-09 (two features): Gaussian GLM of log NDVI over the train split, against the normal equations."""
+    feats = ["lst_driver_lag1", "pop_density"]
+    frame = ML.fit_frame(training(spark, sf_dir).where(F.col("year") <= SPLIT.train_end), feats)
+    _, table = ML.fit_glm(spark, frame, feats)
+    return round_doubles(table.select("term", "estimate"))
+
+
+@register("e2e_glm_residual_map", WITH_TRAINING(f""",
+    f AS (SELECT regr_slope(log_ndvi, lst_driver_lag1) AS a, regr_intercept(log_ndvi, lst_driver_lag1) AS b FROM tt WHERE year <= 1999),
+    r AS (SELECT pixel_idx, log_ndvi, a * lst_driver_lag1 + b AS pred FROM tt, f WHERE year > 2000)
+    SELECT pixel_idx, count(*) AS n_months, {rnd_sql('avg(abs(log_ndvi - pred))')} AS mae, {rnd_sql('avg(log_ndvi - pred)')} AS bias
+    FROM r GROUP BY pixel_idx"""), TRAINING_FIXTURES)
+def q_end_to_end(spark, sf_dir):
+    """M-01, M-09, M-12, P-11, A-01 in a row: split, GLM on the train split, keyed scores of the
+    test split, residuals (truth - prediction), per-cell map."""
+    feats = ["lst_driver_lag1"]
+    table = M.chrono_split(training(spark, sf_dir), SPLIT.train_end, SPLIT.val_end)
+    frame = ML.fit_frame(table, feats, keep=KEYS)
+    glm, _ = ML.fit_glm(spark, frame.where(F.col("split") == "train"), feats)
+    scored = ML.score({"GLM": glm}, frame.where(F.col("split") == "test"), [*KEYS, "log_ndvi"])
+    per_cell = residual(scored, "log_ndvi", "GLM_pred").groupBy("pixel_idx").agg(
+        F.count(F.lit(1)).alias("n_months"), F.avg("abs_residual").alias("mae"), F.avg("residual").alias("bias"))
+    return round_doubles(per_cell)
+
+
 @register("m09_fit_glm")
 def q_fit_glm(spark, sf_dir):
     """M-09: Gaussian GLM on the prepared baseline features (train split):

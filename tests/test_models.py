@@ -46,3 +46,46 @@ def test_draws_are_seeded_and_distinct():
     a = ML.draws(n_iter=30, seed=42)
     assert a == ML.draws(n_iter=30, seed=42)
     assert len({tuple(d.values()) for d in a}) == 30
+
+
+def _signal(spark):
+    from cellcube.operators import models as ML
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 3))
+    y = 2 * x[:, 0] - np.abs(x[:, 1]) + 0.1 * rng.normal(size=1200)
+    rows = [(i, 2000 + i % 3, 1 + i % 12, *map(float, x[i]), float(y[i]), bool(i % 5 == 0)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "pixel_idx int, year int, month int, a double, b double, c double, log_ndvi double, is_val boolean")
+    return ML.fit_frame(df, ["a", "b", "c"], keep=["pixel_idx", "year", "month", "is_val"])
+
+
+def test_trees_learn_a_known_signal_and_keep_keys(spark):
+    from cellcube.config import GbtParams, RfParams
+    from cellcube.operators import models as ML
+    from cellcube.operators.metrics import regression_metrics
+
+    frame = _signal(spark)
+    train, val = frame.where(~F.col("is_val")), frame.where(F.col("is_val"))
+    rf, rf_imp = ML.fit_rf(spark, train, ["a", "b", "c"], p=RfParams(num_trees=20, max_depth=8, min_instances_per_node=5, feature_subset="0.7"))
+    gbt, gbt_imp = ML.fit_gbt(spark, frame, ["a", "b", "c"], p=GbtParams(max_iter=24, max_depth=4, step_size=0.2), patience=6)
+    assert gbt.getNumTrees > 5
+    for imp in (rf_imp, gbt_imp):
+        w = {r["feature"]: r["importance"] for r in imp.collect()}
+        assert w["a"] > w["b"] > w["c"]
+    scored = ML.score({"RF": rf, "GBT": gbt}, val, ["pixel_idx", "year", "month", "log_ndvi"])
+    assert {r["pixel_idx"] for r in scored.collect()} == set(range(0, 1200, 5))
+    long = scored.unpivot(["pixel_idx", "log_ndvi"], ["RF_pred", "GBT_pred"], "model", "pred").withColumn("split", F.lit("val"))
+    assert all(r["r2"] > 0.8 for r in regression_metrics(long, "log_ndvi", "pred").collect())
+    month, metrics = ML.predict_month({"RF": rf}, val, 2000, 1)
+    one = {r["pixel_idx"]: r for r in month.collect()}
+    assert all(abs(r["residual"] - (r["log_ndvi"] - r["pred"])) < 1e-12 for r in one.values())
+    assert metrics.first()["n"] == len(one)
+
+
+def test_search_draws_only_parameters_that_act():
+    from cellcube.config import SEARCH_SPACE
+    from cellcube.operators.models import draws
+
+    d = draws()
+    assert len(d) == 30 and len({tuple(sorted(x.items())) for x in d}) == 30
+    assert set(SEARCH_SPACE) == {"max_depth", "learning_rate", "subsample", "colsample_bytree"}
