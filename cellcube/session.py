@@ -107,4 +107,5 @@ def ship_package(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
     sc.addPyFile(str(archive))
+    _delete_on_exit(spark, archive.parent.as_uri())
     sc._cellcube_shipped = True
