@@ -38,7 +38,10 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     path, table = scratch_path(spark, f"llm-{name}"), f"llm_{os.urandom(8).hex()}"
     parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     df.write.option("path", path).option("compression", "uncompressed").bucketBy(parts, key).saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    # the frame knows its files and buckets; the name is not needed any more
+    spark.sql(f"DROP TABLE {table}")
+    return out
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

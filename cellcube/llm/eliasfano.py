@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
 import tempfile
 
 import numpy as np
@@ -135,34 +135,33 @@ class Trie:
                   "suc": EliasFano.build(rising, max(1, len(heads)) << WORD_BITS)}
         return cls(levels, to_code(p))
 
-    def save(self, folder: str) -> str:
-        """All levels as one flat file."""
-        path = os.path.join(folder, "trie.npy")
-        with open(path, "wb") as f:
-            for name in self.FIELDS:
-                e = self.levels[name]
-                np.save(f, np.array([e.n, e.bits], np.int64))
-                for part in (e.low, e.high, e.ones):
-                    np.save(f, part)
-            np.save(f, self.codes)
-        return path
+    def save(self, file) -> None:
+        """All levels, one after the other, in a file."""
+        for name in self.FIELDS:
+            e = self.levels[name]
+            np.save(file, np.array([e.n, e.bits], np.int64))
+            for part in (e.low, e.high, e.ones):
+                np.save(file, part)
+        np.save(file, self.codes)
+        file.flush()
 
     @classmethod
-    def open(cls, path: str) -> Trie:
+    def open(cls, file) -> Trie:
         """The levels as maps of the file."""
-        def array(f):
-            np.lib.format.read_magic(f)
-            shape, _, kind = np.lib.format.read_array_header_1_0(f)
-            at = f.tell()
-            f.seek(at + int(np.prod(shape)) * kind.itemsize)
-            return np.memmap(path, kind, "r", at, shape) if np.prod(shape) else np.zeros(shape, kind)
-
-        with open(path, "rb") as f:
-            levels = {}
-            for name in cls.FIELDS:
-                n, bits = array(f).tolist()
-                levels[name] = EliasFano(array(f), array(f), array(f), n, bits)
-            return cls(levels, array(f))
+        def array():
+            np.lib.format.read_magic(file)
+            shape, _, kind = np.lib.format.read_array_header_1_0(file)
+            at = file.tell()
+            out = np.memmap(file, kind, "r", at, shape) if np.prod(shape) else np.zeros(shape, kind)
+            file.seek(at + int(np.prod(shape)) * kind.itemsize)
+            return out
+
+        file.seek(0)
+        levels = {}
+        for name in cls.FIELDS:
+            n, bits = array().tolist()
+            levels[name] = EliasFano(array(), array(), array(), n, bits)
+        return cls(levels, array())
 
     def codes_of(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Code of each pair, 0 where the trie does not hold it."""
@@ -185,14 +184,9 @@ class Trie:
         return out
 
 
+@contextlib.contextmanager
 def mapped(trie: Trie):
-    """The trie read back from a file of its own, which goes when the block ends."""
-    class Mapped:
-        def __enter__(self) -> Trie:
-            self.folder = tempfile.TemporaryDirectory()
-            return Trie.open(trie.save(self.folder.name))
-
-        def __exit__(self, *_) -> None:
-            self.folder.cleanup()
-
-    return Mapped()
+    """The trie read back from a file without a name, which is the task's alone and goes with it."""
+    with tempfile.TemporaryFile() as file:
+        trie.save(file)
+        yield Trie.open(file)
