@@ -101,7 +101,7 @@ def q_inverse_scale(spark, sf_dir):
 
 _Z = ", ".join(f"coalesce((c.{x} - m_{x}) / CASE WHEN s_{x} = 0 OR s_{x} IS NULL THEN 1e0 ELSE s_{x} END, 0e0) AS z_{x}" for x in SEQ_COLS)
 _STATS = ", ".join(f"avg({x}) AS m_{x}, stddev_pop({x}) AS s_{x}" for x in SEQ_COLS)
-_STEPS = ", ".join("(" + " + ".join(f"{13 - k} * lag(z_{x}, {k}) OVER w" for k in range(12, 0, -1)) + f") AS x_{x}" for x in SEQ_COLS)
+_STEPS = ", ".join("(" + " + ".join(f"{13 - k} * lag(z_{x}, {k}) OVER w" for k in range(12, 0, -1)) + f") / 78e0 AS x_{x}" for x in SEQ_COLS)
 SQL_CALENDAR = f"""tg AS (SELECT * FROM tt WHERE NOT (year = {GONE[0]} AND month = {GONE[1]})),
 ends AS (SELECT min(year * 12 + month - 1) AS a, max(year * 12 + month - 1) AS b FROM tg),
 cal AS (SELECT CAST(ym // 12 AS INTEGER) AS year, CAST(ym % 12 + 1 AS INTEGER) AS month, CAST(ym - (SELECT a FROM ends) AS INTEGER) AS t_idx
@@ -122,7 +122,7 @@ sz AS (SELECT pixel_idx, (twi - mt) / CASE WHEN dt = 0 THEN 1e0 ELSE dt END AS t
 
 def _sequences(spark, sf_dir):
     """All dynamic columns and the static block.  Every element of a window enters the
-    result: column ``x_<name>`` weighs its twelve steps 1 to 12."""
+    result: column ``x_<name>`` is the mean of its twelve steps with weights 1 to 12."""
     gone = (F.col("year") == GONE[0]) & (F.col("month") == GONE[1])
     t = training_stored(spark, sf_dir).where(~gone)
     grid = fx.grid(spark, sf_dir)
@@ -136,7 +136,7 @@ def _sequences(spark, sf_dir):
 
     def weighed(j: int):
         steps = F.transform("x", lambda step, k: (k + 1) * step[j])
-        return F.aggregate(steps, F.lit(0.0), lambda total, v: total + v)
+        return F.aggregate(steps, F.lit(0.0), lambda total, v: total + v) / 78
 
     out = s.select("pixel_idx", "t_idx", "year", "month", F.size("x").alias("n_steps"),
                    *[weighed(j).alias(f"x_{c}") for j, c in enumerate(SEQ_COLS)], "y")
