@@ -122,29 +122,39 @@ class _Read:
         self.begins = np.concatenate([[0], np.cumsum(self.follow)])
         self.first = np.repeat(np.arange(len(self.words)), self.follow)
 
-    def _place(self, v: int, w: int) -> int:
-        """Number of pairs below (v, w)."""
-        i = int(np.searchsorted(self.words, np.uint64(v)))
-        if i == len(self.words) or int(self.words[i]) != v:
-            return int(self.begins[i])
-        a, b = int(self.begins[i]), int(self.begins[i + 1])
-        return a + int(np.searchsorted(self.words[self.second[a:b]], np.uint64(w)))
-
-    def slices(self, splitters: list[tuple[int, int]]) -> Iterator[tuple[int, slice, slice, np.ndarray, np.ndarray]]:
-        """For each shard: its words, its pairs, its contexts and their numbers of pairs."""
-        n = len(splitters) + 1
-        pair_cuts = [0, *[self._place(v, w) for v, w in splitters], len(self.second)]
-        word_cuts = [0, *np.searchsorted(self.words, np.array([(i << 64) // n for i in range(1, n)], np.uint64)).tolist(), len(self.words)]
-        for k in range(n):
-            a, b = pair_cuts[k], pair_cuts[k + 1]
-            contexts, counts = np.unique(self.first[a:b], return_counts=True)
-            # a context that a splitter parts goes to every shard that may hold a part of it
-            parted = {s[0] for s in splitters[max(0, k - 1):k + 1]}
-            more = [i for i in (int(np.searchsorted(self.words, np.uint64(x))) for x in parted) if i < len(self.words) and int(self.words[i]) in parted]
-            more = np.setdiff1d(np.array(more, np.int64), contexts)
-            contexts, counts = np.concatenate([contexts, more]), np.concatenate([counts, np.zeros(len(more), np.int64)])
-            by = np.argsort(contexts)
-            yield k, slice(word_cuts[k], word_cuts[k + 1]), slice(a, b), contexts[by], counts[by]
+    def slices(self, splitters: np.ndarray) -> Iterator[tuple[int, slice, slice, np.ndarray, np.ndarray]]:
+        """For each shard the block has to do with: its words, its pairs, its contexts and their numbers of pairs.
+
+        ``splitters`` are (context, word) pairs in order; a pair's shard is the number of
+        splitters not above it.  The work follows the block, not the number of shards."""
+        n, sv, sw = len(splitters) + 1, splitters[:, 0], splitters[:, 1]
+        shard = np.searchsorted(sv, self.words[self.first], side="right")
+        contexts, of, counts = [], [], []
+        # a context that splitters part goes to every shard that may hold a part of it
+        for i in np.flatnonzero(np.isin(self.words, sv)).tolist():
+            a, b = int(self.begins[i]), int(self.begins[i + 1])
+            lo, hi = int(np.searchsorted(sv, self.words[i], side="left")), int(np.searchsorted(sv, self.words[i], side="right"))
+            shard[a:b] = lo + np.searchsorted(sw[lo:hi], self.words[self.second[a:b]], side="right")
+            of.append(np.arange(lo, hi + 1))
+            contexts.append(np.full(hi + 1 - lo, i))
+            counts.append(np.zeros(hi + 1 - lo, np.int64))
+        if len(shard):
+            at = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (self.first[1:] != self.first[:-1])]))
+            of.append(shard[at])
+            contexts.append(self.first[at])
+            counts.append(np.diff(np.concatenate([at, [len(shard)]])))
+        of, contexts, counts = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (of, contexts, counts))
+        order = np.lexsort((contexts, of))
+        of, contexts, counts = of[order], contexts[order], counts[order]
+        first = np.ones(len(of), bool)
+        first[1:] = (of[1:] != of[:-1]) | (contexts[1:] != contexts[:-1])
+        of, contexts, counts = of[first], contexts[first], _sum_runs(counts, first)
+        home = ((self.words >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+        for k in np.union1d(of, home.astype(np.int64)).tolist():
+            w0, w1 = np.searchsorted(home, [k, k + 1])
+            p0, p1 = np.searchsorted(shard, [k, k + 1])
+            c0, c1 = np.searchsorted(of, [k, k + 1])
+            yield k, slice(int(w0), int(w1)), slice(int(p0), int(p1)), contexts[c0:c1], counts[c0:c1]
 
 
 def _shard(group: pa.Table) -> pa.Table:
@@ -194,12 +204,13 @@ def _shard(group: pa.Table) -> pa.Table:
                      "n_tokens": pa.array([int(total.sum())] * n, pa.int64()), "n_distinct": pa.array([int((total > 0).sum())] * n, pa.int64())})
 
 
-def _splitters(index: DataFrame, n: int) -> list[tuple[int, int]]:
-    """Pairs that part a bounded sample of the distinct pairs evenly."""
+def _splitters(index: DataFrame, n: int) -> np.ndarray:
+    """Pairs (context, word) that part a bounded sample of the distinct pairs evenly."""
     share = min(1.0, SAMPLES / max(1, 64 * index.count()))
     rows = (index.sample(share, seed=1) if share < 1 else index).select("sample").limit(SAMPLES // 16).collect()
     pairs = sorted((s["v"] % (1 << 64), s["w"] % (1 << 64)) for r in rows for s in r["sample"])
-    return sorted(set(pairs[len(pairs) * i // n] for i in range(1, n))) if pairs else []
+    picked = sorted(set(pairs[len(pairs) * i // n] for i in range(1, n))) if pairs else []
+    return np.array(picked, np.uint64).reshape(-1, 2)
 
 
 def score(docs: DataFrame, modulus: int = 7, part: int = 2) -> DataFrame:

@@ -347,7 +347,9 @@ def _covered(docs: DataFrame, finish: Callable, schema) -> DataFrame:
     blocks, n_bytes = _blocks(docs)
     n = max(1, math.ceil(n_bytes / BUCKET))
     splitters = _splitters(blocks, n)
-    even = np.array([(i << 64) // n for i in range(1, n)], np.uint64)       # window hashes are spread evenly
+
+    def evenly(h: np.ndarray) -> np.ndarray:        # window hashes are spread evenly
+        return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,7 +368,7 @@ def _covered(docs: DataFrame, finish: Callable, schema) -> DataFrame:
                 _, open_, sides = _apply(row["answers0"], _bucket_of(b.t0, splitters), b.least)
                 _, _, _, h, least = b.window_kinds(open_, sides)
                 none = np.zeros(len(h), np.uint64)
-                yield _requests(row["block"], _bucket_of(h, even), [(h, 8, True), (none, 1, True), (none, 1, True), (least, 8, False)])
+                yield _requests(row["block"], evenly(h), [(h, 8, True), (none, 1, True), (none, 1, True), (least, 8, False)])
 
     asked = _with_answers(blocks, answered).mapInArrow(windows, REQUEST)
     exact = stored(asked.groupBy("bucket").applyInArrow(_resolve(_read_windows, False), ANSWER), "suffix-windows")
@@ -381,7 +383,7 @@ def _covered(docs: DataFrame, finish: Callable, schema) -> DataFrame:
                 np.add.at(edge, b.start[gone], 1)
                 np.add.at(edge, (b.start + b.windows + SPAN - 1)[gone], -1)
                 at, doc, kind, h, least = b.window_kinds(open_, sides)
-                best, _, _ = _apply(row["answers1"], _bucket_of(h, even), least)
+                best, _, _ = _apply(row["answers1"], evenly(h), least)
                 at = at[best[kind] < doc] if len(at) else at
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + SPAN, -1)
