@@ -1,17 +1 @@
 """Column-level functions (JVM-side expressions, no Python per row)."""
-
-from cellcube.functions.scalar import (  # noqa: F401
-    back_transform_col,
-    cell_col,
-    cell_row,
-    clamp,
-    log1p_driver,
-    log_target,
-    month_index,
-    month_key,
-    null_nan,
-    pixel_x,
-    pixel_y,
-    rescale,
-    round_out,
-)

@@ -25,11 +25,6 @@ def null_nan(c) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
-def round_out(c, decimals: int = OUT_DECIMALS) -> Column:
-    """Round a result column for output (never round inputs)."""
-    return F.round(_c(c), decimals)
-
-
 def log_target(c) -> Column:
     """P-02: ``ln(x)`` when x > 0, otherwise missing."""
     c = null_nan(c)
@@ -42,11 +37,6 @@ def log1p_driver(c) -> Column:
     return F.when(c >= 0, F.log1p(c))
 
 
-def back_transform_col(c) -> Column:
-    """P-08: log space back to index space."""
-    return F.exp(_c(c))
-
-
 def rescale(c, scale: float, offset: float = 0.0) -> Column:
     """C-03: digital number -> physical value, ``dn * scale + offset``."""
     return _c(c).cast("double") * F.lit(float(scale)) + F.lit(float(offset))

@@ -150,7 +150,6 @@ def model_error_grid(df: DataFrame, models: list[str], true_col: str = "true_log
                      keys=("pixel_idx",)) -> DataFrame:
     """R-03: every model's MAE and bias per cell side by side (index space, pred - actual)."""
     maps = model_maps(df, models, true_col, space="ndvi", sign="pred_minus_actual", keys=keys)
-    present = [r[0] for r in maps.select("model").distinct().collect()]  # bounded by the model list
-    present = [m for m in models if m in present]
+    present = [m for m in models if f"{m}_pred" in df.columns]
     return (maps.groupBy(*keys).pivot("model", present)
             .agg(F.first("mae").alias("mae"), F.first("bias").alias("bias")))

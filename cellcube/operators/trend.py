@@ -29,31 +29,9 @@ def z_critical(alpha: float = TREND_ALPHA) -> float:
     return NormalDist().inv_cdf(1 - alpha / 2)
 
 
-def mann_kendall_np(x: np.ndarray, alpha: float = TREND_ALPHA) -> dict:
-    """Mann–Kendall S, tie-corrected variance, continuity-corrected z, two-sided
-    p, trend flag and Sen's slope of one complete series (positions 0..n-1)."""
-    n = len(x)
-    i, j = np.triu_indices(n, 1)
-    d = x[j] - x[i]
-    s = int(np.sign(d).sum())
-    _, counts = np.unique(x, return_counts=True)
-    tie = float(np.sum(counts * (counts - 1) * (2 * counts + 5)))
-    var_s = (n * (n - 1) * (2 * n + 5) - tie) / 18.0
-    if s > 0:
-        z = (s - 1) / math.sqrt(var_s)
-    elif s < 0:
-        z = (s + 1) / math.sqrt(var_s)
-    else:
-        z = 0.0
-    p = math.erfc(abs(z) / math.sqrt(2.0))
-    zc = z_critical(alpha)
-    trend = 1 if (z > 0 and abs(z) > zc) else (-1 if (z < 0 and abs(z) > zc) else 0)
-    slope = float(np.median(d / (j - i))) if n > 1 else float("nan")
-    return {"n_obs": n, "s": s, "var_s": var_s, "z": z, "p": p, "trend": trend, "slope": slope}
-
-
 def mann_kendall_batch(x: np.ndarray, alpha: float = TREND_ALPHA, pairs_at_once: int = 4_000_000) -> dict[str, np.ndarray]:
-    """``mann_kendall_np`` of many complete series of one length (rows of ``x``).
+    """Mann–Kendall S, tie-corrected variance, continuity-corrected z, two-sided p, trend
+    flag and Sen's slope of complete series of one length (rows of ``x``, positions 0..n-1).
 
     The pairs of a series stay in the task: n (n - 1) / 2 of them, 3,486 for 84 months
     and 28,680 for 240; at most ``pairs_at_once`` (or one series) are held together."""
@@ -80,6 +58,11 @@ def mann_kendall_batch(x: np.ndarray, alpha: float = TREND_ALPHA, pairs_at_once:
     return {"n_obs": np.full(m, n, np.int32), "s": s, "var_s": var_s, "z": z, "p": p, "trend": trend, "slope": slope}
 
 
+def mann_kendall_np(x: np.ndarray, alpha: float = TREND_ALPHA) -> dict:
+    """``mann_kendall_batch`` of one complete series."""
+    return {k: v[0].item() for k, v in mann_kendall_batch(np.asarray(x, float)[None, :], alpha).items()}
+
+
 def mann_kendall(df: DataFrame, value: str, keys=("pixel_idx",), order: str = "t",
                  alpha: float = TREND_ALPHA) -> DataFrame:
     """T-01 + T-02 + T-03 on complete (gap-filled) series, one output row per group.
@@ -119,6 +102,12 @@ def mann_kendall(df: DataFrame, value: str, keys=("pixel_idx",), order: str = "t
     return series.mapInArrow(run, schema)
 
 
+def trend_flag(z_col, alpha: float = TREND_ALPHA):
+    """T-02 as a column: +1 / -1 when |z| exceeds the critical value, else 0; NULL without a z."""
+    z = F.col(z_col) if isinstance(z_col, str) else z_col
+    return F.when(z.isNotNull(), F.when(F.abs(z) > F.lit(z_critical(alpha)), F.signum(z).cast("int")).otherwise(F.lit(0)))
+
+
 def to_long(df: DataFrame, variables: list[str], keys=("pixel_idx", "t")) -> DataFrame:
     """Stack per-variable columns into ``(variable, *keys, value)``."""
     return df.unpivot(list(keys), variables, "variable", "value")

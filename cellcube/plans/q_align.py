@@ -11,7 +11,7 @@ from cellcube.operators import align as C
 from cellcube.operators import grid as G
 from cellcube.operators import summary as A
 from cellcube.operators.mask import mask_invalid
-from cellcube.plans.q_features import SQL_MASKED, TRAINING_FIXTURES, WITH_TRAINING, training, training_select_sql, training_stored
+from cellcube.plans.q_features import SQL_MASKED, TRAINING_FIXTURES, WITH_TRAINING, training, training_select_sql
 from cellcube.plans.registry import register, rnd, rnd_sql, round_doubles
 from cellcube.sources import fixtures as fx
 from cellcube.sources import layers as L
@@ -339,9 +339,11 @@ def q_top_cells(spark, sf_dir):
 @register("o03_union_blocks", WITH_TRAINING("SELECT year, count(*) AS n_rows FROM tt GROUP BY year"),
           TRAINING_FIXTURES)
 def q_union_blocks(spark, sf_dir):
-    """O-03: per-year blocks of the (stored) training table concatenated by name,
-    counted per year; every block reads the stored table, not the feature build."""
-    t = training_stored(spark, sf_dir)
+    """O-03: per-year blocks of the stored training table concatenated by name, counted
+    per year; the table is stored by year, so a block reads its own folder alone."""
+    path = TB.scratch_path(spark, "by-year")
+    TB.write_tabular(training(spark, sf_dir), path)
+    t = TB.scan_tabular(spark, path)
     years = sorted(r[0] for r in t.select("year").distinct().collect())  # calendar dimension
     u = A.union_blocks([t.where(F.col("year") == y) for y in years])
     return u.groupBy("year").agg(F.count(F.lit(1)).alias("n_rows"))

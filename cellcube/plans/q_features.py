@@ -11,7 +11,8 @@ from cellcube.operators import joins as J
 from cellcube.operators import mask as P
 from cellcube.operators import series as N
 from cellcube.plans.registry import register, rnd, rnd_sql, round_doubles
-from cellcube.plans.training_table import build_training_table, with_split
+from cellcube.operators.prep import chrono_split
+from cellcube.plans.training_table import build_training_table
 from cellcube.sources import fixtures as fx
 
 SPLIT = fx.FIXTURE_SPLIT
@@ -94,7 +95,7 @@ def q_training_table(spark, sf_dir):
     FROM tt GROUP BY 1"""), TRAINING_FIXTURES)
 def q_chrono_split(spark, sf_dir):
     """M-01 over the training table: rows, cells and year range per split."""
-    t = with_split(training(spark, sf_dir), SPLIT.train_end, SPLIT.val_end)
+    t = chrono_split(training(spark, sf_dir), SPLIT.train_end, SPLIT.val_end)
     return t.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("pixel_idx").alias("n_cells"),
                                   F.min("year").alias("first_year"), F.max("year").alias("last_year"))
 

@@ -114,7 +114,8 @@ def q_mann_kendall(spark, sf_dir):
     SELECT variable, trend, count(*) AS n_cells FROM layers GROUP BY 1, 2""", ("cells",))
 def q_trend_flag(spark, sf_dir):
     """T-02: cells per (variable, trend flag); NULL flag = fewer than 12 valid months."""
-    return trends(spark, sf_dir).groupBy("variable", "trend").agg(F.count(F.lit(1)).alias("n_cells"))
+    flagged = trends(spark, sf_dir).withColumn("trend", T.trend_flag("z"))
+    return flagged.groupBy("variable", "trend").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
 @register("t03_sens_slope", f"""WITH {SQL_MK}

@@ -1,7 +1,7 @@
 """The training table: one row per valid (cell, month) with three driver lags,
 the neighbourhood lag of the target, yearly and static layers.
 
-Plan shape (see ``explain``): the raw layers are scanned once;
+Plan shape (see ``explain``): the raw layers are scanned once for each branch;
 * masked drivers are hash-partitioned on ``pixel_idx`` once and sorted by ``t``
   — the three exact-offset lags of both drivers share that single window pass;
 * the neighbourhood lag is one partial+final hash aggregate of the scattered
@@ -53,9 +53,3 @@ def build_training_table(cells: DataFrame, pop: DataFrame, static: DataFrame, gr
     t = join_static(t, dedupe_static(static.select("pixel_idx", "twi", "soil_snum")), grid.n_cells)
     t = t.withColumn("log_ndvi", log_target("ndvi"))
     return valid_rows(t.select(*TRAINING_COLUMNS), TRAINING_COLUMNS)
-
-
-def with_split(df: DataFrame, train_end: int, val_end: int) -> DataFrame:
-    """M-01 on a year column (re-exported for the plan)."""
-    return df.withColumn("split", F.when(F.col("year") <= train_end, "train")
-                         .when(F.col("year") <= val_end, "val").otherwise("test"))
