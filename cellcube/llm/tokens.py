@@ -15,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED = 900_000
+CACHED = 350_000    # words in each of two generations
 CLOSING = b'.,;:!?#*$%&|<>()-"'
 
-_ids: dict[str, dict[bytes, bytes]] = {}
+_ids: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 _tokenizers: dict = {}
 
 
@@ -36,29 +36,40 @@ def _tokenizer(name: str):
 
 def _word_ids(words: list[bytes], tokenizer: str) -> list[bytes]:
     """Ids of distinct words."""
-    known = _ids.setdefault(tokenizer, {})
-    if len(known) + len(words) > CACHED:
-        known.clear()
-    get = known.get
-    out = [get(w) for w in words]
+    known, older = _ids.get(tokenizer, ({}, {}))
+    if len(known) > CACHED:                 # words seen since the last change stay, the others go
+        known, older = {}, known
+    _ids[tokenizer] = known, older
+    out = [known.get(w) for w in words]
     parted, ask = [], set()
+
+    def find(w: bytes) -> bytes | None:
+        ids = known.get(w)
+        if ids is None:
+            ids = older.get(w)
+            if ids is not None:
+                known[w] = ids
+        return ids
+
     for i, ids in enumerate(out):
         if ids is None:
             w = words[i]
             letters = w.rstrip(CLOSING).lower()
             if letters.isalpha():                       # ASCII letters
                 closing = w[len(letters):]
-                a, b = get(letters), get(closing) if closing else b""
+                a, b = find(letters), find(closing) if closing else b""
                 if a is not None and b is not None:
                     out[i] = a + b
                 else:
                     ask.update((letters, closing))
                     parted.append((i, letters, closing))
             else:
-                ask.add(w)
-                parted.append((i, w, b""))
+                out[i] = find(w)
+                if out[i] is None:
+                    ask.add(w)
+                    parted.append((i, w, b""))
     ask.discard(b"")
-    new = [w for w in ask if w not in known]
+    new = [w for w in ask if find(w) is None]
     if new:
         coded = _tokenizer(tokenizer).encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
         known.update((w, struct.pack(f"<{len(c)}I", *c.ids)) for w, c in zip(new, coded))
@@ -82,14 +93,8 @@ def document_ids(texts: pa.Array, tokenizer: str) -> tuple[np.ndarray, np.ndarra
     split = pc.ascii_split_whitespace(texts)
     coded = split.flatten().dictionary_encode()
     words = _word_ids(_distinct(coded.dictionary), tokenizer)
-    flat = np.frombuffer(b"".join(words), "<u4")
-    wide = np.fromiter(map(len, words), np.int64, len(words)) // 4
-    at = coded.indices.to_numpy()
-    n = wide[at]
-    ends = np.cumsum(n)
-    total = int(ends[-1]) if len(ends) else 0
-    # each token's ids lie together in flat: its place there, less its place in the result
-    ids = flat[np.repeat((np.cumsum(wide) - wide)[at] - (ends - n), n) + np.arange(total)]
+    ids = pa.array(words, pa.large_binary()).take(coded.indices)
+    ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset:ids.offset + len(ids) + 1] // 4
+    flat = np.frombuffer(ids.buffers()[2], "<u4")[:int(ends[-1])] if len(ids) and ids.buffers()[2] is not None else np.zeros(0, "<u4")
     bounds = split.offsets.to_numpy()
-    upto = np.concatenate([[0], ends])[bounds - bounds[0]]
-    return ids, np.diff(upto)
+    return flat, np.diff(ends[bounds - bounds[0]])
