@@ -160,15 +160,13 @@ def grid_rows(spark: SparkSession, df: DataFrame, grid: GridConfig, value: str)
     ``(row, values array<double>)`` of length W, NULL where a cell has no value.
     Ids outside the grid are dropped; a cell with several rows keeps the first
     non-null value.  A group holds at most W entries."""
-    h, w = grid.height, grid.width
-    cells = (df.where(F.col("pixel_idx").between(0, grid.n_cells - 1))
-             .groupBy("pixel_idx").agg(F.first(value, ignorenulls=True).alias("_v"))
-             .select(cell_row("pixel_idx", grid).alias("row"), cell_col("pixel_idx", grid).alias("_c"), "_v"))
-    rows = cells.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_v"))).alias("_m"))
-    all_rows = spark.range(h).select(F.col("id").cast("int").alias("row"))
-    return (all_rows.join(rows, "row", "left")
-            .select("row", F.transform(F.sequence(F.lit(0), F.lit(w - 1)),
-                                       lambda c: F.element_at(F.col("_m"), c)).cast("array<double>").alias("values")))
+    one = (df.where(F.col("pixel_idx").between(0, grid.n_cells - 1))
+           .groupBy(F.col("pixel_idx").cast("long").alias("id")).agg(F.first(value, ignorenulls=True).alias("_v")))
+    # every cell of the grid, so a row's entries in column order are its values by position
+    cells = spark.range(grid.n_cells).join(one, "id", "left")
+    entry = F.struct(cell_col("id", grid).alias("c"), F.col("_v").cast("double").alias("v"))
+    rows = cells.groupBy(cell_row("id", grid).cast("int").alias("row")).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    return rows.select("row", F.transform("_e", lambda e: e["v"]).alias("values"))
 
 
 def unflatten_predictions(spark: SparkSession, flat: DataFrame, n_cells: int, times: DataFrame,

@@ -362,7 +362,7 @@ def q_composite_stream(spark, sf_dir):
     """W-01: daily composite maintained by a streaming aggregate over the scene
     files (watermark 1 day, update mode, versioned upserts), read back."""
     src = fx.read_table(spark, sf_dir, "events")
-    stream = (spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = (spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 64).parquet(sf_dir)
               .select((F.col("user_id") % fx.grid(spark, sf_dir).n_cells).cast("int").alias("pixel_idx"),
                       F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("dn")))
     agg = W.composite_stream(stream, "ts", "dn")
@@ -380,7 +380,7 @@ def q_stream_monthly(spark, sf_dir):
     """W-01 + C-01: calendar-month composite rolled up from the streaming daily
     sums and counts (months are not a valid streaming window length)."""
     src = fx.read_table(spark, sf_dir, "events")
-    stream = (spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = (spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 64).parquet(sf_dir)
               .select((F.col("user_id") % fx.grid(spark, sf_dir).n_cells).cast("int").alias("pixel_idx"),
                       F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("dn")))
     out, ck = TB.scratch_path(spark, "composite-m"), TB.scratch_path(spark, "composite-m-ckpt")

@@ -9,6 +9,7 @@ from cellcube.config import DYNAMIC_COLUMNS
 from cellcube.operators import prep as M
 from cellcube.operators import series as N
 from cellcube.operators import summary as A
+from cellcube.operators.joins import bounded_broadcast
 from cellcube.plans.q_features import TRAINING_FIXTURES, WITH_TRAINING, training, training_stored
 from cellcube.plans.registry import register, rnd, rnd_sql, round_doubles
 from cellcube.sources import fixtures as fx
@@ -208,7 +209,7 @@ def q_unflatten(spark, sf_dir):
     keyed (timestep, cell) rows, padded with NULL where no prediction exists."""
     r = fx.residuals(spark, sf_dir).where(F.col("split") == "test")
     times = N.timesteps(r, calendar=False)
-    flat = (r.join(F.broadcast(times), ["year", "month"])
+    flat = (r.join(bounded_broadcast(times, N.MAX_MONTHS), ["year", "month"])
             .select((F.col("t_idx").cast("long") * fx.grid(spark, sf_dir).n_cells + F.col("pixel_idx")).alias("pos"),
                     F.col("RF_pred").alias("pred")))
     out = N.unflatten_predictions(spark, flat, fx.grid(spark, sf_dir).n_cells, times)
@@ -303,5 +304,5 @@ def q_time_series_folds(spark, sf_dir):
 def q_valid_counts(spark, sf_dir):
     """A-08: rows, timesteps and full-window timesteps per split."""
     t = training(spark, sf_dir)
-    t = t.join(F.broadcast(N.timesteps(t, calendar=False)), ["year", "month"])
+    t = t.join(bounded_broadcast(N.timesteps(t, calendar=False), N.MAX_MONTHS), ["year", "month"])
     return A.valid_counts(M.chrono_split(t, SPLIT.train_end, SPLIT.val_end), "split", 12, "t_idx")
