@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED = 350_000    # words in each of two generations
+CACHED = 250_000    # words in each of two generations
 CLOSING = b'.,;:!?#*$%&|<>()-"'
 
 _ids: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
