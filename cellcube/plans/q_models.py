@@ -28,9 +28,16 @@ KEYS = ["pixel_idx", "year", "month", "split"]
 _MEMO: dict = {}
 
 
+def _stamp(spark, sf_dir):
+    """When the tables behind the training table were last written."""
+    sc = spark.sparkContext
+    paths = [sc._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "part")]
+    return tuple(p.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime() for p in paths)
+
+
 def _memo(kind, spark, sf_dir, build):
-    """Fitted artefacts are reused by the queries of one session (same input, same seed)."""
-    key = (kind, id(spark), spark.sparkContext.applicationId, sf_dir)
+    """Fitted artefacts are reused by the queries of one session (same tables, unchanged; same seed)."""
+    key = (kind, spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir))
     if key not in _MEMO:
         _MEMO[key] = build()
     return _MEMO[key]
