@@ -49,7 +49,7 @@ def sequences(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH,
         task, made = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column("text")
-            for a, b in chunks(byte_lengths(texts)):
+            for a, b in chunks(byte_lengths(texts), 4 << 20):
                 ids, sizes = document_ids(texts.slice(a, b - a), tokenizer)
                 body = memoryview(np.insert(ids, np.cumsum(sizes), end_id).astype("<u4")).cast("B")
                 parts = [body[i:i + 4 * length] for i in range(0, len(body), 4 * length)]

@@ -148,7 +148,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, le
         for batch in batches:
             docs, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             out: list[tuple] = []
-            for a, b in chunks(byte_lengths(texts)):
+            for a, b in chunks(byte_lengths(texts), 4 << 20):
                 ids, sizes = document_ids(texts.slice(a, b - a), tokenizer)
                 ends = np.cumsum(sizes)
                 ids = memoryview(np.insert(ids, ends, end_id).astype("<u4")).cast("B")
