@@ -19,15 +19,14 @@ nothing; extra columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cellcube.llm.blobs import squeeze, unsqueeze
 from cellcube.llm.common import byte_lengths, chunks, prepare, stored
@@ -114,12 +113,10 @@ def permuted(df: DataFrame, source: str, target: str, n: int, key: int = KEY, ba
     back to its own number, which is below n."""
     half = _half_bits(n)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(batch.schema.get_field_index(source)).to_numpy(zero_copy_only=False).astype(np.uint64)
-            yield batch.append_column(target, pa.array(walk(x, n, half, key, back).astype(np.int64)))
+    def slots(x: pd.Series) -> pd.Series:
+        return pd.Series(walk(x.to_numpy().astype(np.uint64), n, half, key, back).astype(np.int64))
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(target, T.LongType())]))
+    return df.withColumn(target, F.pandas_udf(slots, "long")(F.col(source)))
 
 
 def materialise(docs: DataFrame, path: str | None = None, tokenizer: str = TOKENIZER, length: int = LENGTH, stride: int = STRIDE,
@@ -142,7 +139,9 @@ def materialise(docs: DataFrame, path: str | None = None, tokenizer: str = TOKEN
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("tokens")
-            yield batch.set_column(at, "tokens", pa.array([_wide(t, length, pad_id) for t in batch.column(at).to_pylist()], pa.binary()))
+            for lo in range(0, batch.num_rows, 256):        # padded rows are large: few at once
+                some = batch.slice(lo, 256)
+                yield some.set_column(at, "tokens", pa.array([_wide(t, length, pad_id) for t in some.column(at).to_pylist()], pa.binary()))
 
     path = path or scratch_path(spark, "llm-order")
     (placed.mapInArrow(widen, "sequence long, slot long, shard long, n_tokens int, tokens binary")
