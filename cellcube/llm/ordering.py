@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -113,10 +112,10 @@ def permuted(df: DataFrame, source: str, target: str, n: int, key: int = KEY, ba
     back to its own number, which is below n."""
     half = _half_bits(n)
 
-    def slots(x: pd.Series) -> pd.Series:
-        return pd.Series(walk(x.to_numpy().astype(np.uint64), n, half, key, back).astype(np.int64))
+    def slots(x: pa.Array) -> pa.Array:
+        return pa.array(walk(x.to_numpy(zero_copy_only=False).astype(np.uint64), n, half, key, back).astype(np.int64))
 
-    return df.withColumn(target, F.pandas_udf(slots, "long")(F.col(source)))
+    return df.withColumn(target, F.arrow_udf(slots, "long")(F.col(source)))
 
 
 def materialise(docs: DataFrame, path: str | None = None, tokenizer: str = TOKENIZER, length: int = LENGTH, stride: int = STRIDE,
