@@ -15,8 +15,10 @@ first part leaves, so that the probabilities sum to one.
    Elias-Fano sequences with monotone pointers, quantised smoothed probabilities, in a
    flat file that is memory-mapped and queried by successor search relative to the
    context.  It answers each block with codes for pairs and the mass of each context.
-   A context that is parted is smoothed in each part with that part's successors.
-4. Blocks add up the log probabilities of their documents.
+4. A shard holds at most two parted contexts (those of its two bounding splitters) and
+   reports the trained successors of its part.  Their sums over the shards are T(v); the
+   share of a part is smoothed with that part's number, so blocks rescale it to T(v).
+5. Blocks add up the log probabilities of their documents.
 
 Words are known by 64-bit hashes (40 bits for a word after its context).
 
@@ -54,7 +56,7 @@ SHORT = np.uint64(64 - WORD_BITS)
 
 INDEX = "block long, n_bytes long, ids binary, nulls binary, words binary, trained binary, follow binary, second binary, times binary, counted binary, doc binary, sample array<struct<v: long, w: long>>"
 REQUEST = "block long, bucket int, u binary, uc binary, v binary, vn binary, vc binary, w binary, wc binary"
-ANSWER = "block long, bucket int, uc binary, mass binary, code binary, n_tokens long, n_distinct long"
+ANSWER = "block long, bucket int, uc binary, mass binary, code binary, n_tokens long, n_distinct long, parted array<struct<v: long, c: long, t: long>>"
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
@@ -157,8 +159,10 @@ class _Read:
             yield k, slice(int(w0), int(w1)), slice(int(p0), int(p1)), contexts[c0:c1], counts[c0:c1]
 
 
-def _shard(group: pa.Table) -> pa.Table:
-    """Adds up what the blocks sent, builds the shard's trie and answers each block."""
+def _shard(group: pa.Table, parted: np.ndarray) -> pa.Table:
+    """Adds up what the blocks sent, builds the shard's trie and answers each block.
+
+    The first answer also tells, for each of the contexts ``parted``, its count and how many trained successors are here."""
     rows = group.to_pylist()
     # words
     u = [get(r["u"], 8, True) for r in rows]
@@ -199,9 +203,28 @@ def _shard(group: pa.Table) -> pa.Table:
     answers = zip(parts(per_word, [len(x) for x in u]), parts(per_context, [len(x) for x in vs]), parts(per_pair, [int(x.sum()) for x in vns]))
     answers = [(put(a, 5), put(b, 2), put(c.astype(np.int64), 1)) for a, b, c in answers]
     n = len(rows)
+    at = np.flatnonzero(np.isin(contexts, parted))
+    told = [{"v": v, "c": c, "t": t} for v, c, t in zip(contexts[at].view(np.int64).tolist(), c_total[at].tolist(), kinds[at].tolist())]
     return pa.table({"block": pa.array([r["block"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()),
                      **{k: pa.array([a[i] for a in answers], pa.binary()) for i, k in enumerate(("uc", "mass", "code"))},
-                     "n_tokens": pa.array([int(total.sum())] * n, pa.int64()), "n_distinct": pa.array([int((total > 0).sum())] * n, pa.int64())})
+                     "n_tokens": pa.array([int(total.sum())] * n, pa.int64()), "n_distinct": pa.array([int((total > 0).sum())] * n, pa.int64()),
+                     "parted": pa.array([told, *[[]] * (n - 1)], pa.list_(pa.struct([("v", pa.int64()), ("c", pa.int64()), ("t", pa.int64())])))})
+
+
+def _whole(answered: DataFrame) -> dict[int, list[tuple[int, float, float]]]:
+    """For each shard its parted contexts: the context, the factor that takes a share smoothed
+    with the part's successors to one smoothed with all T(v), and the mass of the whole context.
+
+    At most two rows a shard, as many as there are splitters."""
+    rows = answered.select("bucket", F.explode("parted").alias("p")).select("bucket", "p.v", "p.c", "p.t").collect()
+    kinds: dict = {}
+    for r in rows:
+        kinds[r["v"]] = kinds.get(r["v"], 0) + r["t"]
+    out: dict = {}
+    for r in rows:
+        below = max(r["c"] + kinds[r["v"]], 1)
+        out.setdefault(r["bucket"], []).append((r["v"] % (1 << 64), max(r["c"] + r["t"], 1) / below, r["c"] / below))
+    return out
 
 
 def _splitters(index: DataFrame, n: int) -> np.ndarray:
@@ -253,10 +276,16 @@ def score(docs: DataFrame, modulus: int = 7, part: int = 2) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names)
 
     asked = index.select("block", "words", "trained", "follow", "second", "counted").mapInArrow(ask, REQUEST)
-    answered = stored(asked.groupBy("bucket").applyInArrow(_shard, ANSWER), "ngram-answers")
+    parted = np.unique(splitters[:, 0])
+
+    def shard(group: pa.Table) -> pa.Table:
+        return _shard(group, parted)
+
+    answered = stored(asked.groupBy("bucket").applyInArrow(shard, ANSWER), "ngram-answers")
     sums = (answered.groupBy("bucket").agg(F.max("n_tokens").alias("n"), F.max("n_distinct").alias("v"))
             .agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first())
     n_train, n_kinds = int(sums["n"] or 0), int(sums["v"] or 0)
+    whole = _whole(answered)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,14 +293,23 @@ def score(docs: DataFrame, modulus: int = 7, part: int = 2) -> DataFrame:
                 x = _Read(row)
                 answers = {r["bucket"]: r for r in row["answers"] or []}
                 count, mass, code = np.zeros(len(x.words), np.int64), np.zeros(len(x.words)), np.zeros(len(x.second), np.uint8)
+                scale, exact = np.ones(len(x.second)), {}
                 for k, words, pairs, contexts, _ in x.slices(splitters):
                     if k in answers:
                         r = answers[k]
                         count[words] = get(r["uc"], 5).astype(np.int64)
                         mass[contexts] += get(r["mass"], 2).astype(float) / 65535
                         code[pairs] = get(r["code"], 1).astype(np.uint8)
+                        for v, factor, full in whole.get(k, []):
+                            i = int(np.searchsorted(x.words, np.uint64(v)))
+                            if i < len(x.words) and int(x.words[i]) == v:
+                                a, b = pairs.start + np.searchsorted(x.first[pairs], [i, i + 1])
+                                scale[a:b] = factor
+                                exact[i] = full
                 p1 = (count + 1) / (n_train + (n_kinds + 1))
-                p = from_code(code) + (1 - mass[x.first]) * p1[x.second]
+                for i, full in exact.items():
+                    mass[i] = full
+                p = from_code(code) * scale + (1 - mass[x.first]) * p1[x.second]
                 times, doc = get(row["times"], 4).astype(np.int64), get(row["doc"], 4).astype(np.int64)
                 ids = get(row["ids"]).view(np.int64)
                 missing = np.unpackbits(np.frombuffer(row["nulls"], np.uint8))[:len(ids)].astype(bool)

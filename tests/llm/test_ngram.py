@@ -70,6 +70,19 @@ def test_scores(docs, rows, monkeypatch, small):
         assert a[6] == pytest.approx(b[6], abs=(0.15 if small else 0.025) * a[2])
 
 
+@pytest.mark.parametrize("bucket", [1 << 30, 20000, 4000])
+def test_parted_contexts_are_smoothed_whole(spark, monkeypatch, bucket):
+    """A context that half of all tokens follow: one tolerance for any number of shards."""
+    monkeypatch.setattr(ngram, "BLOCK", 3000)
+    monkeypatch.setattr(ngram, "BUCKET", bucket)
+    rows = [(i, " ".join(f"the w{i * 37 + k * 5} of" if k % 3 else f"the v{k}" for k in range(60))) for i in range(80)]
+    got = ngram.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["score"]) for r in got)
+    for a, b in zip(got, brute(rows), strict=True):
+        assert a[:3] == b[:3]
+        assert a[3] == pytest.approx(b[6], abs=0.025 * a[2])
+
+
 def test_probabilities_sum_to_one(spark):
     """Over all continuations of a context, by scoring one-word texts after the begin."""
     rows = [(i, t) for i, t in enumerate(["a b", "a c", "b", "a", "c c c", "", "b a"] * 3)]
