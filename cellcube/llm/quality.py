@@ -3,14 +3,16 @@
 One pass over all documents sums, for every language, the shares of character
 classes and of common words, each document alike; these are the language references (one row each
 language, over the whole corpus).  A second pass compares each document's own
-histograms with the references by the Jensen-Shannon distance (base 2, 0 to 1).  A
-document is rejected when even the nearest reference is farther than the limit, and
-the document is long enough for the comparison (``MIN_CHARS`` characters,
+histograms with the reference of its own language and with the one of all documents
+by the Jensen-Shannon distance (base 2, 0 to 1).  A document is rejected when both are
+farther than the limit, and the document is long enough for the comparison (``MIN_CHARS`` characters,
 ``MIN_COMMON`` words).  Texts under 50 words, and texts of which more than half the
 words lie in repeated three-word windows, fail the base rules.
 
-The references that travel to the workers are bounded: the ``LANGUAGES`` languages
-with the most documents and one for all documents together.
+A language has a reference of its own from ``LEAST`` documents with words on; documents of
+rarer ones are compared with all documents together, so that no document is its own
+measure.  The references that travel to the workers are bounded: the ``LANGUAGES``
+languages with the most documents and the pooled one.
 
 Null text has no words and fails the base rules; a null or unlisted language only
 adds to the pooled reference; repeated rows are judged alike; an empty table has an
@@ -34,6 +36,7 @@ MIN_CHARS = 200
 MIN_COMMON = 150
 CLASS_LIMIT = 0.28
 WORD_LIMIT = 0.32
+LEAST = 10              # documents that make a reference
 LANGUAGES = 256
 
 DIGEST = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -59,8 +62,8 @@ def _shares(counts: np.ndarray) -> np.ndarray:
     return np.rint(counts * (1_000_000 / max(1, counts.sum()))).astype(np.int64)
 
 
-def references(docs: DataFrame, languages: int = LANGUAGES) -> tuple[np.ndarray, np.ndarray]:
-    """Histograms over all documents, one row each language: character classes, common words.
+def references(docs: DataFrame, languages: int = LANGUAGES) -> dict:
+    """By language, and under None for all documents: the histograms of character classes and common words.
 
     Each document has the same weight, so that a few very long ones don't make the reference."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,19 +83,22 @@ def references(docs: DataFrame, languages: int = LANGUAGES) -> tuple[np.ndarray,
     width = 1 + len(CLASSES) + len(WORDS) + 1
     sums = (docs.select("lang", "text").mapInArrow(run, "lang string, counts array<long>")
             .groupBy("lang").agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(width)]))
-    rows = sums.filter("lang IS NOT NULL").orderBy(F.desc("c0"), "lang").limit(languages).collect()
+    rows = sums.filter(f"lang IS NOT NULL AND c0 >= {LEAST}").orderBy(F.desc("c0"), "lang").limit(languages).collect()
     rows += sums.filter("lang IS NULL").collect()
-    table = np.array([[r[f"c{i}"] for i in range(width)] for r in rows], np.int64).reshape(-1, width)
-    return table[:, 1:1 + len(CLASSES)], table[:, 1 + len(CLASSES):]
+    table = {r["lang"]: np.array([r[f"c{i}"] for i in range(width)], np.int64) for r in rows}
+    pooled = table.get(None)
+    both = {lang: np.stack([own] if lang is None else [own, pooled]) for lang, own in table.items()}
+    return {lang: (x[:, 1:1 + len(CLASSES)], x[:, 1 + len(CLASSES):]) for lang, x in both.items()}
 
 
-def _judge(text: bytes, class_refs: np.ndarray, word_refs: np.ndarray) -> tuple:
+def _judge(text: bytes, lang: str | None, refs: dict) -> tuple:
     stats = TextStats(text)
     repeat, (dup, _) = stats.repeat_words(), stats.dup_lines()
     failed = stats.n_words < MIN_WORDS or 100 * repeat > 50 * stats.n_words
     far_class = far_words = None
     kept = not failed
-    if kept and len(class_refs):
+    if kept and refs:
+        class_refs, word_refs = refs.get(lang) or refs[None]
         classes, common = stats.classes(), stats.common()
         if classes.sum() >= MIN_CHARS:
             far_class = float(js_distance(classes, class_refs).min())
@@ -106,27 +112,27 @@ def _judge(text: bytes, class_refs: np.ndarray, word_refs: np.ndarray) -> tuple:
 def judge(docs: DataFrame) -> DataFrame:
     """The statistics, distances and verdict of every document."""
     prepare(docs.sparkSession)
-    class_refs, word_refs = references(docs)
+    refs = references(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
         names = [x.split()[0] for x in DIGEST.split(", ")]
         for batch in batches:
-            rows = [_judge(t, class_refs, word_refs) for t in text_bytes(batch.column("text"))]
+            rows = [_judge(t, lang, refs) for t, lang in zip(text_bytes(batch.column("text")), batch.column("lang").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGEST)
+    return docs.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(run, DIGEST)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they were."""
     prepare(docs.sparkSession)
-    class_refs, word_refs = references(docs)
-    at = docs.columns.index("text")
+    refs = references(docs)
+    at, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [_judge(t, class_refs, word_refs)[6] for t in text_bytes(batch.column(at))]
+            kept = [_judge(t, k, refs)[6] for t, k in zip(text_bytes(batch.column(at)), batch.column(lang).to_pylist())]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -95,3 +95,22 @@ def test_pairs_fit_finds_the_direction():
     w = m["weights"]
     assert w[0] > 0 > w[1] and abs(w[2]) < .3 * abs(w[1])
     assert ((((x - m["mean"]) / m["scale"]) @ w >= m["cut"]) == y).mean() > .93
+
+
+def test_rare_tags_have_no_reference_of_their_own(spark, prose):
+    """Junk under a tag that occurs once or a few times is measured by all documents, and keeps no junk elsewhere."""
+    rng = random.Random(4)
+    junk = [" | ".join("".join(rng.choice("xkqzv") for _ in range(7)) for _ in range(200)) for _ in range(12)]
+    tags = ["aa", "bb", *["cc"] * 9, "en"]
+    rows = [(1000 + i, t, lang, 0) for i, (t, lang) in enumerate(zip(junk, tags))]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(prose.union(spark.createDataFrame(rows, prose.schema))).collect()}
+    assert all(got[i] for i in range(150)) and not any(got[1000 + i] for i in range(12))
+
+
+def test_a_language_keeps_no_junk_of_another(spark, prose):
+    """A tag with enough documents, all junk, is no measure for documents of other tags."""
+    rng = random.Random(6)
+    junk = [" | ".join("".join(rng.choice("xkqzv") for _ in range(7)) for _ in range(200)) for _ in range(30)]
+    rows = [(1000 + i, t, "cc" if i else "en", 0) for i, t in enumerate(junk)]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(prose.union(spark.createDataFrame(rows, prose.schema))).collect()}
+    assert not got[1000] and all(got[i] for i in range(150))
