@@ -5,8 +5,14 @@ classes and of common words, each document alike; these are the language referen
 language, over the whole corpus).  A second pass compares each document's own
 histograms with the reference of its own language and with the one of all documents
 by the Jensen-Shannon distance (base 2, 0 to 1).  A document is rejected when both are
-farther than the limit, and the document is long enough for the comparison (``MIN_CHARS`` characters,
-``MIN_COMMON`` words).  Texts under 50 words, and texts of which more than half the
+farther than the limit, and the document is long enough for the comparison of classes
+(``MIN_CHARS`` characters); common words are compared in every document that passes the
+base rules.  How far a good document's common words lie from the reference depends on its
+length, so the word limits are taken from the corpus: a pass between the two counts the
+distances in bands of length (each 1.41 times as long as the last), and a band's limit is
+the median and ``SPREADS`` times the way from the first decile to the median.  A band of
+fewer than ``BAND_LEAST`` documents has the limit of the next shorter one.  No limit is above
+``SHORT_LIMIT``, or ``WORD_LIMIT`` from ``LONG`` words on, whatever the corpus holds.  Texts under 50 words, and texts of which more than half the
 words lie in repeated three-word windows, fail the base rules.
 
 A language has a reference of its own from ``LEAST`` documents with words on; documents of
@@ -21,6 +27,8 @@ empty result; other columns never matter and pass through the filter untouched.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +41,15 @@ from cellcube.llm.textstats import CLASSES, WORDS, TextStats
 
 MIN_WORDS = 50
 MIN_CHARS = 200
-MIN_COMMON = 150
 CLASS_LIMIT = 0.28
+LONG = 150
+SHORT_LIMIT = 0.34
 WORD_LIMIT = 0.32
+SPREADS = 4
+LEAST_SPREAD = 0.01
+BANDS = 64              # of length; the last one is open
+BAND_LEAST = 100
+STEPS = 1000            # of the distance, for the quantiles
 LEAST = 10              # documents that make a reference
 LANGUAGES = 256
 
@@ -91,10 +105,45 @@ def references(docs: DataFrame, languages: int = LANGUAGES) -> dict:
     return {lang: (x[:, 1:1 + len(CLASSES)], x[:, 1 + len(CLASSES):]) for lang, x in both.items()}
 
 
-def _judge(text: bytes, lang: str | None, refs: dict) -> tuple:
+def _band(n_words: int) -> int:
+    return min(BANDS - 1, int(2 * math.log2(n_words / MIN_WORDS)))
+
+
+def _base_failed(n_words: int, repeat: int) -> bool:
+    return n_words < MIN_WORDS or 100 * repeat > 50 * n_words
+
+
+def limits(docs: DataFrame, refs: dict) -> list[float]:
+    """The word limit of each band of length, from the distances of all documents that pass the base rules."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for text, lang in zip(text_bytes(batch.column("text")), batch.column("lang").to_pylist()):
+                stats = TextStats(text)
+                if not _base_failed(stats.n_words, stats.repeat_words()):
+                    far = js_distance(stats.common(), (refs.get(lang) or refs[None])[1]).min()
+                    seen[_band(stats.n_words), math.ceil(far * STEPS)] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in seen], pa.int32()), pa.array([d for _, d in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())],
+                                             ["band", "step", "n"])
+
+    counts = np.zeros((BANDS, STEPS + 1), np.int64)
+    if refs:
+        # at most BANDS x STEPS sums
+        for r in docs.select("text", "lang").mapInArrow(run, "band int, step int, n long").groupBy("band", "step").agg(F.sum("n").alias("n")).collect():
+            counts[r["band"], r["step"]] = r["n"]
+    out, last = [], 1.0
+    for below in counts.cumsum(axis=1):
+        if below[-1] >= BAND_LEAST:
+            first, median = (int(np.searchsorted(below, share * below[-1])) / STEPS for share in (0.1, 0.5))
+            last = median + SPREADS * max(median - first, LEAST_SPREAD)
+        out.append(last)
+    return out
+
+
+def _judge(text: bytes, lang: str | None, refs: dict, word_limits: list[float]) -> tuple:
     stats = TextStats(text)
     repeat, (dup, _) = stats.repeat_words(), stats.dup_lines()
-    failed = stats.n_words < MIN_WORDS or 100 * repeat > 50 * stats.n_words
+    failed = _base_failed(stats.n_words, repeat)
     far_class = far_words = None
     kept = not failed
     if kept and refs:
@@ -103,9 +152,8 @@ def _judge(text: bytes, lang: str | None, refs: dict) -> tuple:
         if classes.sum() >= MIN_CHARS:
             far_class = float(js_distance(classes, class_refs).min())
             kept = far_class <= CLASS_LIMIT
-        if stats.n_words >= MIN_COMMON:
-            far_words = float(js_distance(common, word_refs).min())
-            kept = kept and far_words <= WORD_LIMIT
+        far_words = float(js_distance(common, word_refs).min())
+        kept = kept and far_words <= min(word_limits[_band(stats.n_words)], WORD_LIMIT if stats.n_words >= LONG else SHORT_LIMIT)
     return stats.n_words, stats.word_chars, stats.n_symbols, dup, repeat, failed, kept, far_class, far_words
 
 
@@ -113,12 +161,13 @@ def judge(docs: DataFrame) -> DataFrame:
     """The statistics, distances and verdict of every document."""
     prepare(docs.sparkSession)
     refs = references(docs)
+    word_limits = limits(docs, refs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
         names = [x.split()[0] for x in DIGEST.split(", ")]
         for batch in batches:
-            rows = [_judge(t, lang, refs) for t, lang in zip(text_bytes(batch.column("text")), batch.column("lang").to_pylist())]
+            rows = [_judge(t, lang, refs, word_limits) for t, lang in zip(text_bytes(batch.column("text")), batch.column("lang").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]], names)
 
     return docs.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(run, DIGEST)
@@ -128,11 +177,12 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they were."""
     prepare(docs.sparkSession)
     refs = references(docs)
+    word_limits = limits(docs, refs)
     at, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [_judge(t, k, refs)[6] for t, k in zip(text_bytes(batch.column(at)), batch.column(lang).to_pylist())]
+            kept = [_judge(t, k, refs, word_limits)[6] for t, k in zip(text_bytes(batch.column(at)), batch.column(lang).to_pylist())]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

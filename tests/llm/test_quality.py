@@ -114,3 +114,17 @@ def test_a_language_keeps_no_junk_of_another(spark, prose):
     rows = [(1000 + i, t, "cc" if i else "en", 0) for i, t in enumerate(junk)]
     got = {r["doc_id"]: r["kept"] for r in quality.judge(prose.union(spark.createDataFrame(rows, prose.schema))).collect()}
     assert not got[1000] and all(got[i] for i in range(150))
+
+
+def test_short_and_diluted_junk_goes(spark):
+    """Letter salad of any length and with some common words among it goes, and no prose does."""
+    rng = random.Random(8)
+    common = "the of and to in a is that it for on was be as with by this are".split()
+    salad = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 9)))
+    text = lambda n, share: " ".join(rng.choice(common) if rng.random() < share else salad() for _ in range(n)) + "."
+    good = [text(rng.choice([60, 90, 130, 200, 350, 800]), .3) for _ in range(1200)]
+    junk = [text(n, share) for n, share in [(60, 0), (90, 0), (130, 0)] * 4 + [(200, 0), (350, .03), (800, .06), (800, .05)] * 4]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(good + junk)], "doc_id long, text string, lang string").repartition(4)
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(df).collect()}
+    assert not any(kept[i] for i in range(1200, len(kept)))
+    assert sum(kept[i] for i in range(1200)) >= 1195
