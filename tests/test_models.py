@@ -89,3 +89,14 @@ def test_search_draws_only_parameters_that_act():
     d = draws()
     assert len(d) == 30 and len({tuple(sorted(x.items())) for x in d}) == 30
     assert set(SEARCH_SPACE) == {"max_depth", "learning_rate", "subsample", "colsample_bytree"}
+
+
+def test_registered_search_is_the_whole_one(spark, monkeypatch):
+    """M-16 / M-18 as registered run the library default: no fewer draws, folds or trees."""
+    from cellcube.plans import q_models
+    seen = []
+    monkeypatch.setattr(q_models, "_memo", lambda key, spark, sf_dir, build: build())
+    monkeypatch.setattr(q_models, "_search_frame", lambda *a: None, raising=False)
+    monkeypatch.setattr(ML, "random_search", lambda spark, frame, **kw: seen.append(kw) or spark.range(1))
+    q_models.q_random_search(spark, "unused")
+    assert seen == [{}]
