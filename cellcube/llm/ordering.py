@@ -8,8 +8,9 @@
 3. A keyed Feistel network over the next even power of two, walked along its cycle
    until it lands below the number of sequences, gives every sequence its global
    slot: a permutation that needs no sort and no memory, and can be inverted.
-4. Sequences are range-partitioned by slot; every shard file holds ``stride`` of them in
-   slot order, each as ``4 * length`` bytes, so slot s is row ``s % stride`` of shard
+4. Sequences are range-partitioned by shard, a column; a shard is ``stride`` of them, each
+   ``4 * length`` bytes.  The ranges come from a sample, so a (compressed Parquet) file may
+   hold several shards or none, whole and in slot order: slot s is row ``s % stride`` of shard
    ``s // stride`` and a reader resumes anywhere.
 
 Null and empty texts still bring their closing id; texts longer than a sequence run
@@ -34,7 +35,7 @@ from cellcube.llm.tokens import document_ids
 from cellcube.session import scratch_path
 
 KEY = 20_26
-STRIDE = 4096       # sequences in a shard file
+STRIDE = 4096       # sequences in a shard
 PAD_ID = 0
 ROUNDS = 4
 
