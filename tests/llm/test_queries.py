@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_simhash": "doc_id fingerprint component_id",
     "op9_ranking": "doc_id held_out score predicted",
     "op10_hnsw": "query_id rank vec_id score",
+    "op11_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op12_token_counts": "doc_id n_bytes n_tokens over_limit",
+    "op13_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
 }
 
 
