@@ -3,6 +3,9 @@ ordering and the streaming composite (C-*, S-*, G-05, G-06, O-*, W-01)."""
 
 from __future__ import annotations
 
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from cellcube.config import GridConfig
@@ -13,10 +16,12 @@ from cellcube.operators import summary as A
 from cellcube.operators.mask import mask_invalid
 from cellcube.plans.q_features import SQL_MASKED, TRAINING_FIXTURES, WITH_TRAINING, training, training_select_sql
 from cellcube.plans.registry import register, rnd, rnd_sql, round_doubles
+from cellcube.sources import commits
 from cellcube.sources import fixtures as fx
 from cellcube.sources import layers as L
 from cellcube.sources import tabular as TB
 from cellcube.streaming import composite as W
+from cellcube.streaming import keyed as K
 
 COMMON = GridConfig(height=6, width=7, origin_year=1995)        # a smaller grid sharing the corner
 BOX = {"north": 0.8, "west": 36.6, "south": 0.0, "east": 37.5}  # query box inside the fixture extent
@@ -386,3 +391,61 @@ def q_stream_monthly(spark, sf_dir):
     out, ck = TB.scratch_path(spark, "composite-m"), TB.scratch_path(spark, "composite-m-ckpt")
     W.run_to_table(W.composite_stream(stream, "ts", "dn"), out, ck)
     return round_doubles(W.monthly_from_daily(W.read_composite(spark, out)))
+
+
+# arrivals: ten days of scenes at a time, in order, but a tenth of all scenes come with the
+# fourth arrival, most of them behind the watermark (a day before the newest scene)
+_ARRIVAL_SQL = """
+    WITH a AS (SELECT pixel_idx, ts, dn, CAST(ts AS DATE) AS day,
+                      CASE WHEN scene_id % 10 = 0 THEN 3 ELSE least((CAST(day(ts) AS INTEGER) - 1) // 10, 2) END AS arrival FROM scenes),
+    wm AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM a WHERE arrival < 3),
+    j AS (SELECT a.*, arrival = 3 AND day + INTERVAL 1 DAY <= mark AS late FROM a, wm)"""
+
+
+def _keyed(spark, sf_dir):
+    """Every arrival drained as it comes by a stream with keyed state; the log compacted in between."""
+    src, out, ck = TB.scratch_path(spark, "arrivals"), TB.scratch_path(spark, "keyed"), TB.scratch_path(spark, "keyed-ckpt")
+    scenes = fx.scenes(spark, sf_dir).select("pixel_idx", "ts", "dn", F.when(F.col("scene_id") % 10 == 0, 3).otherwise(
+        F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))).cast("int").alias("arrival"))
+    columns = ["pixel_idx", "ts", "dn"]
+    for i in range(4):
+        scenes.where(F.col("arrival") == i).select(columns).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(scenes.select(columns).schema).parquet(src)
+        K.run_to_log(K.keyed_composite(stream), out, ck)
+        if i == 1:
+            K.compact(spark, out)
+    return out
+
+
+@register("w01_keyed_composite", f"""{_ARRIVAL_SQL}
+    SELECT pixel_idx, day, {rnd_sql('avg(dn)')} AS mean, count(dn) AS n_scenes FROM j WHERE NOT late GROUP BY 1, 2""", ("scenes",))
+def q_keyed_composite(spark, sf_dir):
+    """W-01 with keyed state and timers over four arrivals: every bucket's newest version,
+    the log's beginning compacted while the stream goes on."""
+    d = K.read_composite(spark, _keyed(spark, sf_dir))
+    return round_doubles(d.select("pixel_idx", F.to_date("bucket_start").alias("day"), "mean", "n_scenes"))
+
+
+@register("w01_late_scenes", f"""{_ARRIVAL_SQL}
+    SELECT pixel_idx, day, count(*) AS n_rows, {rnd_sql('sum(dn)')} AS v_sum FROM j WHERE late GROUP BY 1, 2""", ("scenes",))
+def q_late_scenes(spark, sf_dir):
+    """W-01: the side table of the scenes that came after their bucket had ended, by bucket."""
+    d = K.read_late(spark, _keyed(spark, sf_dir))
+    return round_doubles(d.select("pixel_idx", F.to_date("bucket_start").alias("day"), "n_rows", "v_sum"))
+
+
+@register("s05_concurrent_build", WITH_TRAINING(f"SELECT {training_select_sql()} FROM tt"), TRAINING_FIXTURES)
+def q_concurrent_build(spark, sf_dir):
+    """S-05: two builders of one table at the same time; one commits, both get its version."""
+    path, found = TB.scratch_path(spark, "concurrent"), []
+    gate = threading.Barrier(2, timeout=300)
+
+    def build():
+        gate.wait()         # neither has found a table
+        return training(spark, sf_dir)
+
+    with ThreadPoolExecutor(2) as pool:
+        found = list(pool.map(lambda _: TB.materialize_if_absent(spark, build, path, ["pixel_idx", "log_ndvi"]), range(2)))
+    if commits.current(spark, path).number != 1 or set(found[0].inputFiles()) != set(found[1].inputFiles()):
+        raise RuntimeError("the builders did not agree on one version")
+    return round_doubles(found[1])

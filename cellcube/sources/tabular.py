@@ -6,12 +6,11 @@ where the table has one), so the reference's 100k-row CSV chunking disappears.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellcube.sources import commits
 from cellcube.session import scratch_path  # noqa: F401
 
 TRAINING_SCHEMA = T.StructType([
@@ -28,17 +27,6 @@ TRAINING_SCHEMA = T.StructType([
 ])
 
 
-def _fs(spark: SparkSession, path: str):
-    jp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return jp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jp
-
-
-def _complete(spark: SparkSession, path: str) -> bool:
-    """The folder holds a table whose write was committed."""
-    fs, _ = _fs(spark, path)
-    return fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
-
-
 def scan_tabular(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
     """S-04: read the training table with an explicit schema.
 
@@ -75,26 +63,34 @@ def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def materialize_if_absent(spark: SparkSession, build, path: str, required_cols: list[str]) -> DataFrame:
-    """S-05: reuse the stored table when its write was committed and it has
-    ``required_cols`` (schema read from the Parquet footer); else build, store and
-    read back (which also cuts the lineage).
-
-    The table is written beside ``path`` and moved there when it is whole, so a build
-    that breaks off leaves nothing that could be taken for the table.  A table
-    without rows is refused, by the count of what was stored."""
-    if _complete(spark, path):
-        stored = spark.read.parquet(path)
-        if all(c in stored.columns for c in required_cols):
-            return stored
-    fresh = f"{path.rstrip('/')}-building-{os.urandom(6).hex()}"
-    build().write.parquet(fresh)
-    fs, target = _fs(spark, path)
-    _, made = _fs(spark, fresh)
-    if spark.read.parquet(fresh).limit(1).count() == 0:
-        fs.delete(made, True)
+    """S-05: reuse the committed table when it has ``required_cols`` (schema read from the
+    Parquet footer); else build, store, commit and read back (which also cuts the lineage).
+
+    The table is a versioned one (``sources.commits``): readers see the committed version
+    or none, whatever builders do.  Of two builders the one that commits second drops its
+    own version and uses the first one's, or commits after it when that lacks a column.  A
+    build that breaks off leaves no commit.  A table without rows is refused, by the
+    count of what was stored."""
+    state = commits.current(spark, path)
+    table = _usable(spark, state, required_cols)
+    if table is not None:
+        return table
+    version = commits.new_version(path)
+    build().write.parquet(version)
+    if spark.read.parquet(version).isEmpty():
+        commits.discard(spark, version)
         raise RuntimeError(f"building {path} produced no rows")
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(made, target):
-        raise RuntimeError(f"could not move {fresh} to {path}")
-    return spark.read.parquet(path)
+    while commits.publish(spark, path, version, state) is None:
+        state = commits.current(spark, path)
+        table = _usable(spark, state, required_cols)
+        if table is not None:
+            commits.discard(spark, version)
+            return table
+    return spark.read.parquet(version)
+
+
+def _usable(spark: SparkSession, state: commits.Commit | None, required_cols: list[str]) -> DataFrame | None:
+    if state is None:
+        return None
+    table = spark.read.parquet(state.path)
+    return table if all(c in table.columns for c in required_cols) else None

@@ -31,7 +31,17 @@ def run_to_table(agg: DataFrame, table_path: str, checkpoint_path: str, name: st
     """Drain the available input once (``availableNow``) into the version log; returns
     how many rows came behind the watermark and were dropped (0 when all arrived in time)."""
 
+    dropped: dict[int, int] = {}
+
+    def note(progress) -> None:
+        if progress is not None:
+            dropped[progress.batchId] = sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+
     def write(batch: DataFrame, batch_id: int) -> None:
+        # the query keeps the progress of its last batches only: each is noted as the next one begins
+        for running in batch.sparkSession.streams.active:
+            if running.name == name:
+                note(running.lastProgress)
         (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
          .write.mode("append").parquet(table_path))
 
@@ -39,7 +49,9 @@ def run_to_table(agg: DataFrame, table_path: str, checkpoint_path: str, name: st
          .option("checkpointLocation", checkpoint_path)
          .foreachBatch(write).trigger(availableNow=True).start())
     q.awaitTermination()
-    return sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
+    for progress in q.recentProgress:
+        note(progress)
+    return sum(dropped.values())
 
 
 def _latest(log: DataFrame, keys: list[str]) -> DataFrame:

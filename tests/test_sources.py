@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from cellcube.sources import commits
 from cellcube.sources import layers as L
 from cellcube.sources import tabular as TB
 
@@ -70,7 +71,8 @@ def test_empty_build_leaves_nothing(spark):
     path = TB.scratch_path(spark, "none")
     with pytest.raises(RuntimeError):
         TB.materialize_if_absent(spark, lambda: spark.range(0).withColumnRenamed("id", "pixel_idx"), path, ["pixel_idx"])
-    assert not TB._complete(spark, path)
+    assert commits.current(spark, path) is None
+    assert commits._names(spark, f"{path}/versions") == {}
 
 
 def test_missing_columns_are_refused(spark):
