@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,37 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return out
 
 
+def give_back() -> None:
+    """Hand unused memory back to the system: workers outlive their tasks, and what one
+    task has needed would stay theirs beside the next stage's needs."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # not in every C library
+        if trim is not None:
+            trim(0)
+
+
+def freeing(fn: Callable) -> Callable:
+    """``fn`` for mapInArrow, giving memory back after each of its batches and at its end."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                give_back()
+
+        yield from fn(each())
+        give_back()
+
+    return run
+
+
+def one_by_one(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
+    """Rows as Python values, each made when it is asked for."""
+    for i in range(batch.num_rows):
+        yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellcube.llm.common import prepare, text_bytes
+from cellcube.llm.common import freeing, prepare, text_bytes
 from cellcube.llm.textstats import CLASSES, WORDS, TextStats
 
 MIN_WORDS = 50
@@ -95,7 +95,7 @@ def references(docs: DataFrame, languages: int = LANGUAGES) -> dict:
                                              ["lang", "counts"])
 
     width = 1 + len(CLASSES) + len(WORDS) + 1
-    sums = (docs.select("lang", "text").mapInArrow(run, "lang string, counts array<long>")
+    sums = (docs.select("lang", "text").mapInArrow(freeing(run), "lang string, counts array<long>")
             .groupBy("lang").agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(width)]))
     rows = sums.filter(f"lang IS NOT NULL AND c0 >= {LEAST}").orderBy(F.desc("c0"), "lang").limit(languages).collect()
     rows += sums.filter("lang IS NULL").collect()
@@ -129,7 +129,7 @@ def limits(docs: DataFrame, refs: dict) -> list[float]:
     counts = np.zeros((BANDS, STEPS + 1), np.int64)
     if refs:
         # at most BANDS x STEPS sums
-        for r in docs.select("text", "lang").mapInArrow(run, "band int, step int, n long").groupBy("band", "step").agg(F.sum("n").alias("n")).collect():
+        for r in docs.select("text", "lang").mapInArrow(freeing(run), "band int, step int, n long").groupBy("band", "step").agg(F.sum("n").alias("n")).collect():
             counts[r["band"], r["step"]] = r["n"]
     out, last = [], 1.0
     for below in counts.cumsum(axis=1):
@@ -170,7 +170,7 @@ def judge(docs: DataFrame) -> DataFrame:
             rows = [_judge(t, lang, refs, word_limits) for t, lang in zip(text_bytes(batch.column("text")), batch.column("lang").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(run, DIGEST)
+    return docs.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(freeing(run), DIGEST)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -185,4 +185,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
             kept = [_judge(t, k, refs, word_limits)[6] for t, k in zip(text_bytes(batch.column(at)), batch.column(lang).to_pylist())]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freeing(run), docs.schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellcube.llm.common import prepare, stored, text_bytes
+from cellcube.llm.common import freeing, one_by_one, prepare, stored, text_bytes
 from cellcube.llm.components import components
 
 SHINGLE = 3
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = np.fromiter((fingerprint(t, shingle) for t in text_bytes(batch.column("text"))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(freeing(run), "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------- trie
@@ -247,7 +247,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFram
 
     def join_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in one_by_one(batch):
                 key, fp = np.frombuffer(r["keys_a"], np.uint64), np.frombuffer(r["fps_a"], np.int64)
                 if r["a"] == r["b"]:
                     found = near_pairs(key, None, distance)
@@ -259,7 +259,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFram
                 linked = np.flatnonzero(root != np.arange(len(root)))
                 yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[root[linked]])], ["a", "b"])
 
-    return tasks.mapInArrow(join_leaves, "a long, b long")
+    return tasks.mapInArrow(freeing(join_leaves), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellcube.llm.blobs import get, put, squeeze, unsqueeze
-from cellcube.llm.common import bucketed, chunks, prepare, stored, text_bytes
+from cellcube.llm.common import bucketed, chunks, freeing, give_back, one_by_one, prepare, stored, text_bytes
 
 SPAN = 50               # bytes of a string that counts as repeated
 GRAM = 16               # bytes of an anchor: two leading tokens
@@ -223,7 +223,7 @@ def _blocks(docs: DataFrame) -> tuple[DataFrame, int]:
                     [x.split()[0] for x in BLOCKS.split(", ")])
                 number += 1
 
-    blocks = bucketed(docs.mapInArrow(run, BLOCKS), "block", "blocks")
+    blocks = bucketed(docs.mapInArrow(freeing(run), BLOCKS), "block", "blocks")
     return blocks, blocks.agg(F.sum("n_bytes")).first()[0] or 0
 
 
@@ -259,11 +259,12 @@ def _requests(block: int, bucket: np.ndarray, columns: list[tuple[np.ndarray, in
 def _resolve(read: Callable, split_spans: bool) -> Callable[[pa.Table], pa.Table]:
     """The work of a bucket: sort, compare neighbours, answer each block."""
     def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        parts = [read(r) for r in rows]
+        asked = group.select(["block", "bucket"])
+        parts = [read(r) for r in one_by_one(group)]
         sizes = np.array([len(p[-1]) for p in parts])
-        keys = [np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]) - 1)]
-        doc = np.concatenate([p[-1] for p in parts])
+        columns = list(map(list, zip(*parts)))
+        del parts
+        *keys, doc = (np.concatenate(columns.pop(0)) for _ in range(len(columns)))
         order, first = multikey_sort(keys)
         heads = np.flatnonzero(first)
         least = np.minimum.reduceat(doc[order], heads)          # of equal entries
@@ -284,8 +285,9 @@ def _resolve(read: Callable, split_spans: bool) -> Callable[[pa.Table], pa.Table
             out["doc"].append(put(best[lo:hi][at]))
             at = np.flatnonzero(unsure[lo:hi])
             out["open"].append(put(4 * at + unsure[lo:hi][at], 5, True))
-        return pa.table({"block": pa.array([r["block"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()),
-                         **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
+        del keys, doc, best, unsure, order, first, run_of
+        give_back()
+        return pa.table([*asked.columns, *[pa.array(v, pa.binary()) for v in out.values()]], ["block", "bucket", *out])
 
     return run
 
@@ -353,29 +355,29 @@ def _covered(docs: DataFrame, finish: Callable, schema) -> DataFrame:
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 b, _, _ = _open(row, id_at)
                 yield _requests(row["block"], _bucket_of(b.t0, splitters),
                                 [(b.t0, 8, True), (b.t1, 8, False), (b.span, 8, False), (b.least, 8, False)])
 
-    asked = blocks.select("block", "rest", "lengths", "absent", "text").mapInArrow(entries, REQUEST)
+    asked = blocks.select("block", "rest", "lengths", "absent", "text").mapInArrow(freeing(entries), REQUEST)
     answered = stored(asked.groupBy("bucket").applyInArrow(_resolve(_read_entries, True), ANSWER), "suffix-answers")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 b, _, _ = _open(row, id_at)
                 _, open_, sides = _apply(row["answers0"], _bucket_of(b.t0, splitters), b.least)
                 _, _, _, h, least = b.window_kinds(open_, sides)
                 none = np.zeros(len(h), np.uint64)
                 yield _requests(row["block"], evenly(h), [(h, 8, True), (none, 1, True), (none, 1, True), (least, 8, False)])
 
-    asked = _with_answers(blocks, answered).mapInArrow(windows, REQUEST)
+    asked = _with_answers(blocks, answered).mapInArrow(freeing(windows), REQUEST)
     exact = stored(asked.groupBy("bucket").applyInArrow(_resolve(_read_windows, False), ANSWER), "suffix-windows")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 b, rest, absent = _open(row, id_at)
                 best, open_, sides = _apply(row["answers0"], _bucket_of(b.t0, splitters), b.least)
                 edge = np.zeros(b.n + 1, np.int32)
@@ -390,7 +392,7 @@ def _covered(docs: DataFrame, finish: Callable, schema) -> DataFrame:
                 mask = np.cumsum(edge[:-1], dtype=np.int32) > 0
                 yield from finish(b, rest, absent, mask)
 
-    return _with_answers(blocks, answered, exact).mapInArrow(cut, schema)
+    return _with_answers(blocks, answered, exact).mapInArrow(freeing(cut), schema)
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
