@@ -9,6 +9,8 @@ step; no broadcast whose size grows with the data, no cross join.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +112,58 @@ def khop_mean(df: DataFrame, edges: DataFrame, value: str, k: int = 2, n_cells:
     return x.withColumnRenamed("_x", out)
 
 
+def khop_tiles(df: DataFrame, grid: GridConfig, value: str, k: int = 2, out: str | None = None, tile: int = 64, steps: int = 12) -> DataFrame:
+    """G-05 by tiles with a halo: all k rounds after one shuffle.
+
+    The grid is cut into tiles of ``tile`` x ``tile`` cells.  A row goes to its own tile and to
+    the neighbours whose halo of k cells holds it ((1 + 2 k / tile)^2 copies on average); a
+    group is one tile in ``steps`` steps, at most ``steps * (tile + 2 k)^2`` values.  Inside it
+    every round is eight shifted sums; what a halo cell lacks from outside reaches the
+    tile's own cells only after k rounds.  Same result as ``khop_mean`` over the grid's edges."""
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+    out = out or f"{value}_hop{k}"
+    h, w, side = grid.height, grid.width, tile + 2 * k
+
+    def reach(at, last):
+        # tiles whose halo holds the row (or column): one at least, and those across a near border
+        low = F.greatest(F.floor((at - k) / F.lit(tile)), F.lit(0))
+        return F.sequence(low.cast("int"), F.least(F.floor((at + k) / F.lit(tile)), F.lit(last // tile)).cast("int"))
+
+    rows = (df.select(F.col("pixel_idx").cast("long").alias("id"), F.col("t").cast("long").alias("t"), F.col(value).cast("double").alias("v"))
+            .where(F.col("v").isNotNull() & F.col("id").between(0, grid.n_cells - 1)))
+    rows = rows.select("id", "t", "v", F.floor(F.col("id") / w).alias("r"), (F.col("id") % w).alias("c"))
+    copies = (rows.withColumn("tr", F.explode(reach(F.col("r"), h - 1))).withColumn("tc", F.explode(reach(F.col("c"), w - 1)))
+              .withColumn("chunk", F.floor(F.col("t") / steps)).select("tr", "tc", "chunk", "t", "r", "c", "v"))
+
+    def rounds(group: pa.Table) -> pa.Table:
+        tr, tc, t0 = (group.column(n)[0].as_py() for n in ("tr", "tc", "chunk"))
+        r0, c0, t0 = tr * tile - k, tc * tile - k, t0 * steps
+        at = [group.column(n).to_numpy() for n in ("t", "r", "c")]
+        x = np.full((steps, side + 2, side + 2), np.nan)                # a border that stays empty
+        x[at[0] - t0, at[1] - r0 + 1, at[2] - c0 + 1] = group.column("v").to_numpy()
+        inside = np.zeros((side, side), bool)
+        inside[max(0, -r0):h - r0, max(0, -c0):w - c0] = True
+        for _ in range(k):
+            there = ~np.isnan(x)
+            known = np.where(there, x, 0.0)
+            total, n = np.zeros((steps, side, side)), np.zeros((steps, side, side), np.int8)
+            for dr in range(3):
+                for dc in range(3):
+                    if (dr, dc) != (1, 1):
+                        total += known[:, dr:dr + side, dc:dc + side]
+                        n += there[:, dr:dr + side, dc:dc + side]
+            x[:, 1:-1, 1:-1] = np.where((n > 0) & inside, total / np.maximum(n, 1), np.nan)
+        own = x[:, 1 + k:1 + k + tile, 1 + k:1 + k + tile]
+        step, row, col = np.nonzero(~np.isnan(own))
+        ids = (row + tr * tile).astype(np.int64) * w + col + tc * tile
+        return pa.table({"pixel_idx": ids, "t": step + t0, out: own[step, row, col]})
+
+    found = copies.groupBy("tr", "tc", "chunk").applyInArrow(rounds, f"pixel_idx long, t long, `{out}` double")
+    kinds = dict(df.dtypes)
+    return found.select(F.col("pixel_idx").cast(kinds["pixel_idx"]).alias("pixel_idx"), F.col("t").cast(kinds["t"]).alias("t"), out)
+
+
 def edges_cached(spark: SparkSession, grid: GridConfig, path: str) -> DataFrame:
     """G-06: read stored edges when present with (src, dst), else build, store and read back."""
     from cellcube.sources.tabular import materialize_if_absent

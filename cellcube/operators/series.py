@@ -103,6 +103,26 @@ def static_by_pixel(df: DataFrame, cols: list[str], order: str = "t_idx") -> Dat
     return s.select("pixel_idx", *[F.col(f"_s.{c}").alias(c) for c in cols])
 
 
+def packed_series(dense: DataFrame, cols: list[str], label: str, order: str = "t_idx") -> DataFrame:
+    """One row per cell: ``(pixel_idx, steps array<struct<t, year, month, x array<double>, y>>)``, the
+    dense grid's rows of the cell in order.  Every step is stored once and shuffled once;
+    windows are slices of it (``windows``)."""
+    step = F.struct(F.col(order).alias("t"), "year", "month", F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), F.col(label).alias("y"))
+    return dense.groupBy("pixel_idx").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+
+
+def windows(packed: DataFrame, window: int = SEQUENCE_WINDOW, order: str = "t_idx") -> DataFrame:
+    """N-04 from packed series: ``(pixel_idx, t_idx, year, month, x, y)``, x a slice of the ``window`` steps before."""
+    def sample(i):
+        target = F.get("steps", i)
+        return F.struct(target["t"].alias(order), target["year"].alias("year"), target["month"].alias("month"),
+                        F.transform(F.slice("steps", i + 1 - window, window), lambda s: s["x"]).alias("x"), target["y"].alias("y"))
+
+    last = F.size("steps") - 1
+    places = F.when(last >= window, F.sequence(F.lit(window), last)).otherwise(F.array().cast("array<int>"))
+    return packed.select("pixel_idx", F.inline(F.transform(places, sample)))
+
+
 def sequences(dense: DataFrame, cols: list[str], label: str, window: int = SEQUENCE_WINDOW,
               order: str = "t_idx") -> DataFrame:
     """N-04: for each target month the ``window`` previous feature vectors.
@@ -113,11 +133,20 @@ def sequences(dense: DataFrame, cols: list[str], label: str, window: int = SEQUE
     With the calendar index of N-01 the window is the ``window`` months before the
     target, also where a month has no observation at all.
     """
-    w = _series_window("pixel_idx", order).rowsBetween(-window, -1)
-    feats = F.array(*[F.col(c).cast("double") for c in cols])
-    return (dense.select("pixel_idx", order, "year", "month",
-                         F.collect_list(feats).over(w).alias("x"), F.col(label).alias("y"))
-            .where(F.col(order) >= window))
+    return windows(packed_series(dense, cols, label, order), window, order)
+
+
+def window_at(dense: DataFrame, cols: list[str], label: str, year: int, month: int, window: int = SEQUENCE_WINDOW,
+              order: str = "t_idx") -> DataFrame:
+    """N-05 on the dense grid: the samples whose target is (year, month).
+
+    Only the target's steps and the ``window`` before it are read and shuffled: the filter
+    comes before anything is built.  An error when there is no such sample."""
+    is_target = (F.col("year") == year) & (F.col("month") == month)
+    t = dense.where(is_target).select(F.min(order)).first()[0]
+    if t is None or t < window:
+        raise ValueError(f"no sample targets {year}-{month:02d}")
+    return windows(packed_series(dense.where(F.col(order).between(t - window, t)), cols, label, order), window, order)
 
 
 def find_window(df: DataFrame, year: int, month: int) -> DataFrame:

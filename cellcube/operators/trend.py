@@ -4,8 +4,10 @@ Mann–Kendall (Mann 1945; Kendall 1975) and Sen's slope (Sen 1968) need every
 pair of a series, which SQL can only produce by emitting all pairs as rows.
 Instead each cell's series becomes one array, and whole batches of arrays go
 through one vectorised Arrow function: the shuffle is by cell, an array is one
-cell's series (its length is the number of calendar months, independent of the
-data volume), and the O(T^2) pair work stays inside the task.
+cell's series (its length is the number of calendar steps, independent of the
+data volume).  Pairs of series of up to ``PAIRS_UP_TO`` steps (monthly ones) are
+formed in the task, longer ones (daily) are counted and selected in n log n steps
+and linear memory (``pairs``).
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from pyspark.sql import functions as F
 
 from cellcube.config import TREND_ALPHA, TREND_MIN_VALID
 from cellcube.operators.mask import mask_invalid
+from cellcube.operators.pairs import kendall_s, sen_slope
+
+#: longest series whose pairs are formed (130,816 pairs of 512)
+PAIRS_UP_TO = 512
 
 MK_FIELDS = "n_obs int, s long, var_s double, z double, p double, trend int, slope double"
 
@@ -33,16 +39,23 @@ def mann_kendall_batch(x: np.ndarray, alpha: float = TREND_ALPHA, pairs_at_once:
     """Mann–Kendall S, tie-corrected variance, continuity-corrected z, two-sided p, trend
     flag and Sen's slope of complete series of one length (rows of ``x``, positions 0..n-1).
 
-    The pairs of a series stay in the task: n (n - 1) / 2 of them, 3,486 for 84 months
-    and 28,680 for 240; at most ``pairs_at_once`` (or one series) are held together."""
+    Up to ``PAIRS_UP_TO`` positions the pairs are formed, n (n - 1) / 2 a series (3,486 for 84
+    months, 28,680 for 240), at most ``pairs_at_once`` together; of longer series the
+    inversions are counted and the median slope is selected, without listing pairs."""
     m, n = x.shape
-    i, j = np.triu_indices(n, 1)
     s, slope = np.empty(m, np.int64), np.empty(m)
-    step = max(1, pairs_at_once // max(1, len(i)))
-    for a in range(0, m, step):
-        d = x[a:a + step, j] - x[a:a + step, i]
-        s[a:a + step] = np.sign(d).sum(axis=1).astype(np.int64)
-        slope[a:a + step] = np.median(d / (j - i), axis=1)
+    if n <= PAIRS_UP_TO:
+        i, j = np.triu_indices(n, 1)
+        step = max(1, pairs_at_once // max(1, len(i)))
+        for a in range(0, m, step):
+            d = x[a:a + step, j] - x[a:a + step, i]
+            s[a:a + step] = np.sign(d).sum(axis=1).astype(np.int64)
+            slope[a:a + step] = np.median(d / (j - i), axis=1)
+    else:
+        step = max(1, pairs_at_once // n)
+        for a in range(0, m, step):
+            s[a:a + step] = kendall_s(x[a:a + step])
+            slope[a:a + step] = [sen_slope(y) for y in x[a:a + step]]
     # ties: runs of equal values in each sorted series
     v = np.sort(x, axis=1)
     last = np.ones((m, n), bool)

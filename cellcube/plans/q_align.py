@@ -289,7 +289,7 @@ def q_write_report(spark, sf_dir):
     return spark.read.schema("model string, split string, n long, r2 double, rmse double, mae double").option("header", True).csv(path)
 
 
-@register("g05_khop_mean", f"""
+_HOP_SQL = f"""
     WITH {SQL_MASKED},
     off AS (SELECT unnest([-1, 0, 1]) AS d),
     e AS (SELECT p.pixel_idx AS src, (p.pixel_idx // 10 + a.d) * 10 + (p.pixel_idx % 10 + b.d) AS dst
@@ -298,8 +298,11 @@ def q_write_report(spark, sf_dir):
             AND p.pixel_idx % 10 + b.d BETWEEN 0 AND 9),
     h1 AS (SELECT e.dst AS pixel_idx, m.t, avg(m.ndvi) AS v FROM m JOIN e ON e.src = m.pixel_idx
            WHERE m.ndvi IS NOT NULL GROUP BY 1, 2),
-    h2 AS (SELECT e.dst AS pixel_idx, h1.t, avg(h1.v) AS v FROM h1 JOIN e ON e.src = h1.pixel_idx GROUP BY 1, 2)
-    SELECT pixel_idx, t, {rnd_sql('v')} AS ndvi_hop2 FROM h2""", ("cells",))
+    h2 AS (SELECT e.dst AS pixel_idx, h1.t, avg(h1.v) AS v FROM h1 JOIN e ON e.src = h1.pixel_idx GROUP BY 1, 2),
+    h3 AS (SELECT e.dst AS pixel_idx, h2.t, avg(h2.v) AS v FROM h2 JOIN e ON e.src = h2.pixel_idx GROUP BY 1, 2)"""
+
+
+@register("g05_khop_mean", f"{_HOP_SQL} SELECT pixel_idx, t, {rnd_sql('v')} AS ndvi_hop2 FROM h2", ("cells",))
 def q_khop_mean(spark, sf_dir):
     """G-05: two rounds of row-normalised queen-neighbour mean of masked NDVI per month."""
     m = mask_invalid(fx.cells(spark, sf_dir).select("pixel_idx", "t", "ndvi"), {"ndvi": "positive"})
@@ -307,6 +310,13 @@ def q_khop_mean(spark, sf_dir):
     return round_doubles(G.khop_mean(m, e, "ndvi", 2, n_cells=fx.grid(spark, sf_dir).n_cells))
 
 
+@register("g05_khop_tiles", f"{_HOP_SQL} SELECT pixel_idx, t, {rnd_sql('v')} AS ndvi_hop3 FROM h3", ("cells",))
+def q_khop_tiles(spark, sf_dir):
+    """G-05 by tiles of 4 x 4 cells with a halo of three: three rounds after one shuffle."""
+    m = mask_invalid(fx.cells(spark, sf_dir).select("pixel_idx", "t", "ndvi"), {"ndvi": "positive"})
+    return round_doubles(G.khop_tiles(m, fx.grid(spark, sf_dir), "ndvi", 3, tile=4))
+
+
 @register("g06_edges_cached", """
     WITH cellids AS (SELECT DISTINCT pixel_idx FROM cells), off AS (SELECT unnest([-1, 0, 1]) AS d)
     SELECT count(*) AS n_edges, CAST(sum(CAST(c.pixel_idx AS BIGINT)) AS BIGINT) AS sum_src

@@ -121,9 +121,18 @@ ss AS (SELECT avg(twi) AS mt, stddev_pop(twi) AS dt, avg(soil) AS ms, stddev_pop
 sz AS (SELECT pixel_idx, (twi - mt) / CASE WHEN dt = 0 THEN 1e0 ELSE dt END AS twi, (soil - ms) / CASE WHEN ds = 0 THEN 1e0 ELSE ds END AS soil FROM sp, ss)"""
 
 
-def _sequences(spark, sf_dir):
-    """All dynamic columns and the static block.  Every element of a window enters the
-    result: column ``x_<name>`` is the mean of its twelve steps with weights 1 to 12."""
+def _weighed(s, *more):
+    """Every element of a window enters the result: column ``x_<name>`` is the mean of its twelve
+    steps with weights 1 to 12."""
+    def mean(j: int):
+        steps = F.transform("x", lambda step, k: (k + 1) * step[j])
+        return F.aggregate(steps, F.lit(0.0), lambda total, v: total + v) / 78
+
+    return s.select("pixel_idx", *more, *[mean(j).alias(f"x_{c}") for j, c in enumerate(SEQ_COLS)], "y")
+
+
+def _calendar_grid(spark, sf_dir):
+    """The training table without one month, and its scaled, zero-filled calendar grid."""
     gone = (F.col("year") == GONE[0]) & (F.col("month") == GONE[1])
     t = training_stored(spark, sf_dir).where(~gone)
     grid = fx.grid(spark, sf_dir)
@@ -131,16 +140,17 @@ def _sequences(spark, sf_dir):
     # scaler statistics from the stored table: cells without a row do not count
     sc = M.fit_scaler(t.where(F.col("year") <= SPLIT.train_end), SEQ_COLS, split=None, fit_on=None)
     dense = M.zero_fill(M.standardize(N.dense_grid(spark, t, grid.n_cells, times, SEQ_COLS), SEQ_COLS, sc), SEQ_COLS)
+    return t, dense
+
+
+def _sequences(spark, sf_dir):
+    """All dynamic columns and the static block."""
+    t, dense = _calendar_grid(spark, sf_dir)
     s = N.sequences(dense, SEQ_COLS, "log_ndvi", window=12)
     fixed = N.static_by_pixel(t.withColumn("t_idx", F.col("year") * 12 + F.col("month")), ["twi", "soil_snum"])
     fixed = M.standardize_static(fixed.withColumn("soil_snum", F.col("soil_snum").cast("double")).checkpoint(), ["twi", "soil_snum"])
 
-    def weighed(j: int):
-        steps = F.transform("x", lambda step, k: (k + 1) * step[j])
-        return F.aggregate(steps, F.lit(0.0), lambda total, v: total + v) / 78
-
-    out = s.select("pixel_idx", "t_idx", "year", "month", F.size("x").alias("n_steps"),
-                   *[weighed(j).alias(f"x_{c}") for j, c in enumerate(SEQ_COLS)], "y")
+    out = _weighed(s, "t_idx", "year", "month", F.size("x").alias("n_steps"))
     return out.join(fixed.select("pixel_idx", F.col("twi").alias("static_twi"), F.col("soil_snum").alias("static_soil")), "pixel_idx", "left")
 
 
@@ -168,9 +178,10 @@ def q_sequences(spark, sf_dir):
     SELECT sq.pixel_idx, {_SEQ_OUT}, {rnd_sql('y')} AS y
     FROM sq WHERE t_idx >= 12 AND year = 2000 AND month = 6"""), TRAINING_FIXTURES)
 def q_find_window(spark, sf_dir):
-    """N-05: the samples whose target month is 2000-06, all dynamic columns."""
-    found = N.find_window(_sequences(spark, sf_dir).checkpoint(), 2000, 6)
-    return round_doubles(found.select("pixel_idx", *[f"x_{c}" for c in SEQ_COLS], "y"))
+    """N-05: the samples whose target month is 2000-06, all dynamic columns; only the 13 months
+    that they hold are read."""
+    _, dense = _calendar_grid(spark, sf_dir)
+    return round_doubles(_weighed(N.window_at(dense, SEQ_COLS, "log_ndvi", 2000, 6, window=12)))
 
 
 @register("n07_grid_rows", f"""

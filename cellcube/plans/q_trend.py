@@ -208,3 +208,18 @@ def q_trend_layer_rows(spark, sf_dir):
     """T-04 as stored layers: per variable the z-score, p-value, trend and Sen
     slope layers over all grid cells, missing written as -9999."""
     return round_doubles(T.trend_layer_rows(trends(spark, sf_dir)))
+
+
+@register("t01_t03_daily", f"""
+    WITH d AS (SELECT CAST(l_partkey % 4 AS INTEGER) AS pixel_idx, CAST(l_shipdate AS DATE) AS day, {rnd_sql('avg(l_extendedprice * (1 - l_discount)) / 100000')} AS v
+               FROM lineitem GROUP BY 1, 2),
+    s AS (SELECT pixel_idx, v, row_number() OVER (PARTITION BY pixel_idx ORDER BY day) AS t FROM d)
+    SELECT a.pixel_idx, CAST(max(b.t) AS INTEGER) AS n_obs, CAST(sum(sign(b.v - a.v)) AS BIGINT) AS s, {rnd_fine_sql('median((b.v - a.v) / (b.t - a.t))')} AS slope
+    FROM s a JOIN s b ON b.pixel_idx = a.pixel_idx AND b.t > a.t GROUP BY 1""", ())
+def q_daily_trend(spark, sf_dir):
+    """T-01 + T-03 on daily series of thousands of steps: S by inversion counts, the median of
+    millions of slopes by selection."""
+    li = fx.read_table(spark, sf_dir, "lineitem")
+    d = (li.groupBy((F.col("l_partkey") % 4).cast("int").alias("pixel_idx"), F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date")).alias("t"))
+         .agg(rnd(F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 100000).alias("v")))
+    return round_doubles(T.mann_kendall(d, "v").select("pixel_idx", "n_obs", "s", "slope"), fine=("slope",))

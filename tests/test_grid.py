@@ -90,3 +90,25 @@ def test_repeated_readings_do_not_multiply_in_joins(spark):
     pop = spark.createDataFrame([(0, 2000, 5.0), (0, 2000, 5.0)], "pixel_idx int, year int, pop_density double")
     cells = spark.createDataFrame([(0, 2000), (1, 2000)], "pixel_idx int, year int")
     assert J.join_yearly(cells, pop).count() == 2
+
+
+def test_khop_tiles_equal_the_edge_form(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for h, w, tile in ((7, 11, 4), (3, 3, 4), (9, 5, 2), (1, 6, 3)):
+        g = GridConfig(height=h, width=w)
+        rows = [(p, t, float(rng.normal())) for t in (-1, 0, 5, 12, 13) for p in range(h * w) if rng.uniform() < .6] + [(0, 40, None), (1, 40, 2.0)]
+        df = spark.createDataFrame(rows, "pixel_idx int, t int, x double")
+        edges = G.grid_edges(spark, g)
+        for k in (1, 2, 3):
+            want = {(r["pixel_idx"], r["t"]): r[2] for r in G.khop_mean(df, edges, "x", k, h * w, checkpoint_every=1).collect()}
+            got = {(r["pixel_idx"], r["t"]): r[2] for r in G.khop_tiles(df, g, "x", k, tile=tile, steps=6).collect()}
+            assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+
+
+def test_khop_tiles_shuffle_once(spark):
+    df = spark.range(100).selectExpr("CAST(id AS INT) AS pixel_idx", "1 AS t", "CAST(id AS DOUBLE) AS x")
+    for k in (2, 3):
+        plan = G.khop_tiles(df, GridConfig(height=10, width=10), "x", k)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1

@@ -102,3 +102,37 @@ def test_calendar_windows_span_a_month_without_rows(spark):
     assert sorted(out) == list(range(12, 20))
     assert out[12] == [0.0, 1.0, 2.0, 3.0, 4.0, -1.0, 6.0, 7.0, 8.0, 9.0, 10.0, 11.0]
     assert N.timesteps(df.where("year < 0")).count() == 0
+
+
+def _dense(spark, n_cells=3, n_steps=20):
+    rows = [(p, t, 2000 + t // 12, t % 12 + 1, float(100 * p + t), float(-t)) for p in range(n_cells) for t in range(n_steps)]
+    return spark.createDataFrame(rows, "pixel_idx int, t_idx int, year int, month int, a double, y double").repartition(3)
+
+
+def test_windows_are_the_steps_before_the_target(spark):
+    got = N.sequences(_dense(spark), ["a", "y"], "y", window=12).collect()
+    assert sorted((r["pixel_idx"], r["t_idx"]) for r in got) == [(p, t) for p in range(3) for t in range(12, 20)]
+    for r in got:
+        p, t = r["pixel_idx"], r["t_idx"]
+        assert r["x"] == [[100.0 * p + s, -float(s)] for s in range(t - 12, t)]
+        assert (r["y"], r["year"], r["month"]) == (-float(t), 2000 + t // 12, t % 12 + 1)
+    assert N.sequences(_dense(spark, 2, 12), ["a"], "y", window=12).count() == 0
+
+
+def test_window_at_reads_its_months_only(spark):
+    import pytest
+
+    dense = _dense(spark)
+    found = N.window_at(dense, ["a", "y"], "y", 2001, 4, window=12)
+    want = N.find_window(N.sequences(dense, ["a", "y"], "y", window=12), 2001, 4)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect())) and found.count() == 3
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "t_idx" in plan and ">= 3" in plan and "<= 15" in plan
+    for year, month in ((2000, 12), (2010, 1)):         # a step without full history, a step that is not there
+        with pytest.raises(ValueError):
+            N.window_at(dense, ["a"], "y", year, month, window=12)
+
+
+def test_packed_series_shuffles_each_step_once(spark):
+    plan = N.sequences(_dense(spark), ["a"], "y")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(pixel_idx") == 1 and "Window" not in plan
