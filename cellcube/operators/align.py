@@ -46,7 +46,9 @@ def monthly_first(df: DataFrame, ts: str = "ts", value: str = "value", keys=("pi
 
 
 def clip_bbox(df: DataFrame, lat: str = "lat", lon: str = "lon", box: dict | None = None) -> DataFrame:
-    """C-04: keep points inside the box (inclusive); a plain range filter, pushed to Parquet."""
+    """C-04: keep points inside the box (inclusive).  A range filter on two columns: pushed to Parquet
+    where they are stored, evaluated on every row where they are computed from the cell id.
+    Stored layers are pruned by the box with ``sources.layers.scan_box``."""
     b = box or STUDY_BOX
     return df.where(F.col(lat).between(b["south"], b["north"]) & F.col(lon).between(b["west"], b["east"]))
 

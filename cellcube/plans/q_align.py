@@ -459,3 +459,17 @@ def q_concurrent_build(spark, sf_dir):
     if commits.current(spark, path).number != 1 or set(found[0].inputFiles()) != set(found[1].inputFiles()):
         raise RuntimeError("the builders did not agree on one version")
     return round_doubles(found[1])
+
+
+@register("c04_box_of_stored_layers", f"""
+    WITH xy AS (SELECT *, 36.5e0 + ((pixel_idx % 10) + 0.5e0) * 0.125e0 AS x,
+                       1.0e0 - ((pixel_idx // 10) + 0.5e0) * (1.25e0 / (SELECT h FROM dims)) AS y FROM cells)
+    SELECT year, month, pixel_idx, {rnd_sql('CASE WHEN ndvi <> -9999e0 THEN ndvi END')} AS value FROM xy
+    WHERE y BETWEEN 0.0e0 AND 0.8e0 AND x BETWEEN 36.6e0 AND 37.5e0""", ("cells",))
+def q_box_of_stored_layers(spark, sf_dir):
+    """C-04 on layers stored along the Morton curve in squares of 8 x 8 cells: the box as key
+    ranges, which prune folders and are pushed to Parquet."""
+    path, grid = TB.scratch_path(spark, "morton"), fx.grid(spark, sf_dir)
+    L.write_layer(_layer_rows(spark, sf_dir).where(F.col("variable") == "ndvi"), path, grid=grid, file_cells=64)
+    found = L.scan_box(spark, path, grid, BOX, "ndvi")
+    return round_doubles(found.select(F.col("year").cast("int"), F.col("month").cast("int"), F.col("pixel_idx").cast("int"), "value"))

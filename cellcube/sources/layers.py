@@ -3,18 +3,25 @@ monthly rasters (S-01 .. S-03, S-08, S-09).
 
 Layers are stored as Parquet partitioned by ``variable/year/month`` so that a
 scan of one variable or a year range prunes directories instead of reading
-them.  A flat folder of ``VAR_YYYY_MM`` files is also readable: year and month
+them; along a grid also by squares of cells, so that a box prunes them.  A flat folder of ``VAR_YYYY_MM`` files is also readable: year and month
 then come from the file name via ``_metadata.file_name``.
 """
 
 from __future__ import annotations
 
+import math
+import re
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcube.config import NODATA
+from cellcube.config import NODATA, STUDY_BOX, GridConfig
+from cellcube.functions.morton import box_ranges, morton
+from cellcube.functions.scalar import pixel_x, pixel_y
+
+#: cells of a month in one file (8 MB of values)
+FILE_CELLS = 1 << 20
 
 MONTH_PATTERN = r"(\d{4})_(\d{2})"
 
@@ -58,13 +65,59 @@ def count_mismatch(df: DataFrame, variable: str = "variable", keys=("year", "mon
 
 
 def write_layer(df: DataFrame, path: str, variable: str | None = None, value: str = "value",
-                nodata: float = NODATA, mode: str = "overwrite") -> None:
-    """S-08: write layer rows, missing -> ``nodata``, partitioned by variable/year/month."""
+                nodata: float = NODATA, mode: str = "overwrite", grid: GridConfig | None = None, file_cells: int = FILE_CELLS) -> None:
+    """S-08: write layer rows, missing -> ``nodata``, partitioned by variable/year/month.
+
+    Rows are brought together first, so a month has at most one file for each ``file_cells``
+    cells and not one for each task.  With ``grid`` the cells lie along the Morton curve: a file
+    is one square of cells (folder ``tile<bits>``), sorted by ``cell_key``, and
+    ``scan_box`` reads the squares that a box touches."""
     out = df.withColumn(value, F.coalesce(F.col(value).cast("double"), F.lit(float(nodata))))
     if variable is not None:
         out = out.withColumn("variable", F.lit(variable))
-    (out.select("variable", "year", "month", "pixel_idx", value)
-        .write.mode(mode).partitionBy("variable", "year", "month").parquet(path))
+    folders, kept = ["variable", "year", "month"], ["variable", "year", "month", "pixel_idx", value]
+    if grid is None:
+        together, order = F.floor(F.col("pixel_idx") / file_cells), "pixel_idx"
+    else:
+        # a square of cells: an even number of bits
+        bits = max(0, (file_cells.bit_length() - 1) // 2 * 2)
+        row, col = F.floor(F.col("pixel_idx").cast("long") / grid.width), F.col("pixel_idx").cast("long") % grid.width
+        out = out.withColumn("cell_key", morton(row, col)).withColumn(f"tile{bits}", F.shiftright("cell_key", bits))
+        together, order = F.col(f"tile{bits}"), "cell_key"
+        folders, kept = [*folders, f"tile{bits}"], [*kept, "cell_key", f"tile{bits}"]
+    (out.select(*kept).repartition(*folders[:3], together).sortWithinPartitions(*folders, order)
+        .write.mode(mode).partitionBy(*folders).parquet(path))
+
+
+def box_cells(grid: GridConfig, box: dict) -> tuple[int, int, int, int]:
+    """First and last row and column whose cell centres lie in the box (or within a millionth of a cell of it)."""
+    def span(first: float, last: float, n: int) -> tuple[int, int]:
+        return max(0, math.ceil(first - 0.5 - 1e-6)), min(n - 1, math.floor(last - 0.5 + 1e-6))
+
+    rows = span((grid.north - box["north"]) / grid.y_res, (grid.north - box["south"]) / grid.y_res, grid.height)
+    return *rows, *span((box["west"] - grid.west) / grid.x_res, (box["east"] - grid.west) / grid.x_res, grid.width)
+
+
+def scan_box(spark: SparkSession, path: str, grid: GridConfig, box: dict | None = None, variable: str | None = None,
+             nodata: float | None = NODATA, value: str = "value", ranges: int = 32) -> DataFrame:
+    """C-04 on layers that ``write_layer`` stored with ``grid``: rows whose cell centre lies in the box.
+
+    The box becomes at most about ``ranges`` ranges of cell keys.  They prune folders by tile
+    and are pushed to Parquet on the sorted key, so files and row groups outside the box
+    are not read; the exact box decides last.  Columns as ``scan_layers`` gives them."""
+    box = box or STUDY_BOX
+    df = scan_layers(spark, path, variable, nodata, value)
+    tile = next((c for c in df.columns if re.fullmatch(r"tile\d+", c)), None)
+    if tile is None or "cell_key" not in df.columns:
+        raise ValueError(f"{path} was not written along a grid")
+    bits = int(tile[4:])
+    near_tile = near_key = F.lit(False)
+    for low, high in box_ranges(*box_cells(grid, box), limit=ranges):
+        near_tile = near_tile | F.col(tile).between(low >> bits, high >> bits)
+        near_key = near_key | F.col("cell_key").between(low, high)
+    df = df.where(near_tile).where(near_key)
+    inside = pixel_y("pixel_idx", grid).between(box["south"], box["north"]) & pixel_x("pixel_idx", grid).between(box["west"], box["east"])
+    return df.where(inside).drop(tile, "cell_key")
 
 
 def scan_layer(spark: SparkSession, path: str, nodata: float = NODATA, value: str = "value") -> DataFrame:

@@ -1,7 +1,7 @@
 """Training / residual / report tables on disk (S-04 .. S-07, S-05 reuse).
 
-Tables are written task-parallel (one file per task, partitioned by ``year``
-where the table has one), so the reference's 100k-row CSV chunking disappears.
+Tables are written task-parallel (one file per year and range of cells, where the
+table has a year), so the reference's 100k-row CSV chunking disappears.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellcube.sources import commits
 from cellcube.session import scratch_path  # noqa: F401
+from cellcube.sources import commits
+from cellcube.sources.layers import FILE_CELLS
 
 TRAINING_SCHEMA = T.StructType([
     T.StructField("year", T.IntegerType()),
@@ -43,10 +44,17 @@ def scan_tabular(spark: SparkSession, path: str, fmt: str = "parquet", schema: T
     return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
-def write_tabular(df: DataFrame, path: str, fmt: str = "parquet", partition_by=("year",), mode: str = "overwrite") -> None:
-    """S-06: persist a cell table, partitioned by year when it has one."""
-    w = df.write.mode(mode)
+def write_tabular(df: DataFrame, path: str, fmt: str = "parquet", partition_by=("year",), mode: str = "overwrite",
+                  file_cells: int = FILE_CELLS) -> None:
+    """S-06: persist a cell table, partitioned by year when it has one.
+
+    Rows of one partition and one range of ``file_cells`` cells are brought together first: a
+    year has a file for each range, however many tasks there were."""
     parts = [c for c in partition_by if c in df.columns]
+    if parts:
+        together = [F.floor(F.col("pixel_idx") / file_cells)] if "pixel_idx" in df.columns else []
+        df = df.repartition(*parts, *together)
+    w = df.write.mode(mode)
     if parts:
         w = w.partitionBy(*parts)
     if fmt == "csv":
