@@ -68,3 +68,23 @@ def test_word_ids_are_the_tokenizers(coder):
 
 def test_empty(none):
     assert packing.pack(none).count() == 0
+
+
+def test_kept_words_are_bounded_and_exact(coder, monkeypatch):
+    from cellcube.llm import tokens
+
+    monkeypatch.setattr(tokens, "KNOWN_BYTES", 4_000)
+    monkeypatch.setattr(tokens, "_known", {})
+    batches = [[" ".join(f"Word{i}x{j}, plain{j}. {'y' * 30}{i} {'y' * 30}{i + 1}" for j in range(6))] * 2 + ["", None, "a.", "..."] for i in range(30)]
+    for texts in batches + batches:
+        ids, sizes = tokens.document_ids(pa.array(texts), packing.TOKENIZER)
+        want = [coder.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == list(map(len, want))
+    known = tokens._known[packing.TOKENIZER]
+    assert 0 < known.words.nbytes + known.ids.nbytes + 12 * len(known.hashes) <= 4_000
+    # two words of one hash (length, first and last bytes): both come out right
+    pair = ["a" * 8 + "1" * 8 + "b" * 8, "a" * 8 + "2" * 8 + "b" * 8]
+    assert len(set(tokens._hashes(pa.array(pair, pa.large_string())).tolist())) == 1
+    for _ in range(2):
+        ids, _ = tokens.document_ids(pa.array(pair), packing.TOKENIZER)
+        assert ids.tolist() == [i for t in pair for i in coder.encode(t, add_special_tokens=False).ids]
