@@ -1,14 +1,18 @@
 """Mixing sources to target weights (op 3): systematic sampling within each source.
 
-Every document of a source expects ``target / source size`` copies.  Documents are
-put in one order per source (size class, hash split, size, hash), their expected
-copies are prefix-summed from one random offset, and a copy is emitted for every
-integer boundary crossed.  Ordering by size makes the words taken stay within
-about one long document of the target.
-
-The prefix sum needs no task that holds a source: ranks are taken inside
-(source, size class, hash split) and the groups' counts are prefix-summed; the
-number of splits follows each group's size.  Only the table of sources (one row
+Documents are put in one order per source (size class, hash split, size, hash), their
+expected copies are prefix-summed from one random offset, and a copy is emitted for every
+integer boundary crossed.  The documents of one size class (eight to a doubling) expect
+the same copies, near ``target / source size``: from the longest class down, each class
+expects a whole number of copies in all, the one nearest to what is still to be taken
+that leaves the shorter classes a target they can meet.  So a class's copies are known,
+long documents don't decide the total by chance, and what their rounding leaves is
+settled by short ones.
+
+The prefix sum needs no task that holds a source: a class begins at a whole number, ranks
+are taken inside (source, size class, hash split) and the splits' counts are prefix-summed;
+the number of splits follows each class's size.  The plan of a source is made from its
+classes in one group of at most some hundred rows; only the table of sources (one row
 each) goes through the driver.
 
 Null text has size 0; a null source is a source of its own, last in order; a source
@@ -18,9 +22,11 @@ an empty table gives an empty result; ties fall to the hash and the id.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,6 +58,28 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, ca
     return out
 
 
+def class_copies(n: Sequence[int], words: Sequence[int], target: float, cap: float = MAX_REPEATS) -> list[int]:
+    """Copies that each size class of a source takes, longest documents first, so that the words
+    come near the target: ``n`` documents with ``words`` words each class."""
+    left, rest, out = target, float(sum(words)), []
+    for m, w in zip(n, words):
+        wanted = m * left / rest if rest else 0.0
+        rest -= w
+        most = math.floor(cap * m)
+        if not w:
+            out.append(0)
+            continue
+        each = w / m
+        # the shorter classes can take from nothing to cap times their words
+        low, high = math.ceil((left - cap * rest) / each - 1e-9), math.floor(left / each + 1e-9)
+        k = math.floor(wanted + 0.5)
+        k = min(max(k, low), high) if low <= high else k
+        k = min(max(k, 0), most)
+        out.append(k)
+        left -= k * each
+    return out
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = MAX_REPEATS, seed: int = SEED) -> DataFrame:
     """All columns of ``docs`` with a struct ``mix`` (size, source_size, target, copies) for every row.
 
@@ -84,16 +112,25 @@ def _sample(rows: DataFrame, weights: Sequence[float], cap: float, seed: int) ->
     by_source = {r["src"]: r["words"] for r in counts.groupBy("src").agg(F.sum("words").alias("words")).collect()}
     goal = targets(by_source, weights, cap)
     plan = spark.createDataFrame(
-        [(s, i, by_source[s], goal[s], goal[s] / by_source[s] if by_source[s] else 0.0,
-          random.Random(f"{seed} {s!r}").random()) for i, s in enumerate(goal)],
-        "p_src string, sid int, source_size long, target double, rate double, start double")
-    # a row for each source and size class (eight classes a doubling): bounded by the sources
-    plan = (counts.select(F.col("src").alias("c_src"), F.col("cls").alias("c_cls"), F.ceil(F.col("n") / EACH).alias("parts"))
-            .join(F.broadcast(plan), F.col("c_src").eqNullSafe(F.col("p_src"))).drop("p_src"))
+        [(s, i, by_source[s], goal[s], random.Random(f"{seed} {s!r}").random()) for i, s in enumerate(goal)],
+        "p_src string, sid int, source_size long, target double, start double")
+    classes = (counts.select(F.col("src").alias("c_src"), F.col("cls").alias("c_cls"), "n", "words")
+               .join(F.broadcast(plan), F.col("c_src").eqNullSafe(F.col("p_src"))).drop("p_src"))
+
+    def share(group: pa.Table) -> pa.Table:
+        rows = group.sort_by([("c_cls", "descending")])
+        n, words = rows.column("n").to_pylist(), rows.column("words").to_pylist()
+        copies = class_copies(n, words, rows.column("target")[0].as_py(), cap) if n else []
+        rate = [k / m for k, m in zip(copies, n)]
+        return rows.drop_columns(["words"]).append_column("rate", pa.array(rate, pa.float64()))
+
+    # a row for each source and size class: bounded by the sources
+    plan = classes.groupBy("sid").applyInArrow(share, "c_src string, c_cls int, n long, sid int, source_size long, target double, start double, rate double")
+    plan = stored(plan, "mix-plan").withColumn("parts", F.ceil(F.col("n") / EACH)).drop("n")
     rows = (rows.join(F.broadcast(plan), F.col("src").eqNullSafe(F.col("c_src")) & (F.col("cls") == F.col("c_cls"))).drop("c_src", "c_cls", "src")
             .withColumn("part", F.pmod("h", F.col("parts"))))
     before = (rows.groupBy("sid", "cls", "part").agg(F.count("*").alias("n"))
-              .withColumn("before", F.sum("n").over(W.partitionBy("sid").orderBy("cls", "part")) - F.col("n"))
+              .withColumn("before", F.sum("n").over(W.partitionBy("sid", "cls").orderBy("part")) - F.col("n"))
               .drop("n"))
     rank = F.row_number().over(W.partitionBy("sid", "cls", "part").orderBy("size", "h", "id"))
     rows = rows.withColumn("rank", rank).join(before, ["sid", "cls", "part"])

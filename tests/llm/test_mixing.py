@@ -45,3 +45,47 @@ def test_repeated_keeps_columns_and_copies(docs):
 
 def test_empty(none):
     assert mixing.mix_digest(none).count() == 0 and mixing.repeated(none).count() == 0
+
+
+@pytest.mark.parametrize("target", [0.0, 9.0, 33.0, 57.0, 77.0, 120.0, 171.0])
+def test_classes_come_near_the_target(target):
+    n, words = [1, 2, 1, 8, 4], [20, 18, 7, 8, 4]       # longest first
+    got = mixing.class_copies(n, words, target)
+    assert all(0 <= k <= 3 * m for k, m in zip(got, n))
+    assert abs(sum(k * w / m for k, m, w in zip(got, n, words)) - target) <= 0.5
+    assert mixing.class_copies([], [], 0.0) == [] and mixing.class_copies([3], [0], 0.0) == [0]
+
+
+def test_sources_come_near_their_targets(spark):
+    """A few documents of 20,000 words decide no source: each class is drawn as often as planned."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = mixing.mix_digest(table.select("doc_id", "text", "source"))
+    per = out.groupBy("target", "source_size").agg(F.sum("taken").alias("taken"), F.max("copies").alias("most")).collect()
+    assert len(per) > 10 and all(abs(r["taken"] - r["target"]) <= 0.02 * r["target"] and r["most"] <= 3 for r in per)
+
+
+def test_copies_against_a_plain_version(docs, rows, monkeypatch):
+    """Copies of every class from the plan, drawn by walking the documents in order."""
+    monkeypatch.setattr(mixing, "EACH", 10 ** 9)        # one split a class, so that the order is known
+    import collections
+    import math
+    import random
+
+    out = mixing.mix_digest(docs).join(docs.select("doc_id", "source").distinct(), "doc_id").select("doc_id", "source", "size", "copies").collect()
+    size = collections.defaultdict(lambda: collections.defaultdict(list))
+    for i, t, _, source, *_ in rows:
+        s = len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+        size[source][math.floor(8 * math.log2(s + 1))].append((s, i))
+    goal = mixing.targets({s: sum(x for c in v.values() for x, _ in c) for s, v in size.items()})
+    for source, classes in size.items():
+        order = sorted(classes, reverse=True)
+        planned = mixing.class_copies([len(classes[c]) for c in order], [sum(x for x, _ in classes[c]) for c in order], goal[source])
+        start = random.Random(f"{mixing.SEED} {source!r}").random()
+        for c, k in zip(order, planned):
+            rate = k / len(classes[c])
+            drawn = sorted(math.floor(j * rate + start) - math.floor((j - 1) * rate + start) for j in range(1, len(classes[c]) + 1))
+            ids = {i for _, i in classes[c] if i is not None}
+            got = [r["copies"] for r in out if r["source"] == source and r["doc_id"] in ids and math.floor(8 * math.log2(r["size"] + 1)) == c]
+            assert sum(drawn) == k
+            if len(ids) == len(classes[c]) and len(got) == len(drawn):
+                assert sorted(got) == drawn
