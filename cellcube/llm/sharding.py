@@ -7,7 +7,8 @@ table whose size depends on the number of shards alone, whatever the input.  Uni
 go, largest first, to the least-loaded shard through a heap.
 
 Slots are gapless in each shard without a task that holds a shard: rows are ranked
-inside (unit, hash split) and the splits' counts are prefix-summed.
+inside (unit, hash split), and the counts of the splits and of the units are prefix-summed.
+The number of splits follows the unit's rows, also that of one very frequent text.
 
 Null text counts as empty (null and empty texts form one group, size 8); repeated
 rows each take a slot; an empty table gives an empty result; null ids are ranked
@@ -23,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellcube.llm.common import prepare, stored
+from cellcube.llm.common import prepare, splits, stored
 
 HEAVY = 64      # a group above 1 / (shards * HEAVY) of the bytes is a unit of its own
 BUNDLES = 256   # bundles of small groups for each shard
-PARTS = 32      # hash splits of a unit when its rows are ranked
+EACH = 1_000    # rows of a unit ranked together
 
 
 def lpt(sizes: Sequence[int], shards: int) -> list[int]:
@@ -50,7 +51,7 @@ def shard_rows(docs: DataFrame, shards: int = 24) -> DataFrame:
         "doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("grp"),
     ), "shard-rows")
-    groups = stored(rows.groupBy("grp").agg(F.sum("size").alias("bytes")), "shard-groups")
+    groups = stored(rows.groupBy("grp").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     heavy_at = total // (shards * HEAVY)
     # at most shards * HEAVY groups can be that large
@@ -58,20 +59,22 @@ def shard_rows(docs: DataFrame, shards: int = 24) -> DataFrame:
     n_bundles = shards * BUNDLES
     bundle = F.pmod(F.xxhash64("grp"), F.lit(n_bundles)).cast("int")
     light = (groups.filter(F.col("bytes") <= heavy_at).groupBy(bundle.alias("unit"))
-             .agg(F.sum("bytes").alias("bytes")).orderBy("unit").collect())
-    units = [(r["unit"], r["bytes"]) for r in light] + [(n_bundles + i, r["bytes"]) for i, r in enumerate(heavy)]
-    placed = lpt([b for _, b in units], shards)
-    shard_of = spark.createDataFrame([(u, s) for (u, _), s in zip(units, placed)], "unit int, shard int")
+             .agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).orderBy("unit").collect())
+    units = [(r["unit"], r["bytes"], r["n"]) for r in light] + [(n_bundles + i, r["bytes"], r["n"]) for i, r in enumerate(heavy)]
+    placed = lpt([b for _, b, _ in units], shards)
+    shard_of = spark.createDataFrame([(u, s, splits(n, EACH)) for (u, _, n), s in zip(units, placed)], "unit int, shard int, parts int")
     own = spark.createDataFrame([(r["grp"], n_bundles + i) for i, r in enumerate(heavy)], "grp binary, own int")
 
-    part = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(PARTS)).cast("int")
+    part = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("parts")).cast("int")
     rows = (rows.join(F.broadcast(own), "grp", "left")
             .withColumn("unit", F.coalesce("own", bundle)).drop("own", "grp")
             .join(F.broadcast(shard_of), "unit").withColumn("part", part))
-    # one row for each unit and split: bounded by the number of shards
-    base = (rows.groupBy("shard", "unit", "part").agg(F.count("*").alias("n"))
-            .withColumn("base", F.sum("n").over(W.partitionBy("shard").orderBy("unit", "part")) - F.col("n"))
-            .select("unit", "part", "base"))
+    # prefix sums in two levels: units of a shard (bounded by the number of shards), splits of a unit
+    counts = stored(rows.groupBy("shard", "unit", "part").agg(F.count("*").alias("n")), "shard-splits")
+    ahead = (counts.groupBy("shard", "unit").agg(F.sum("n").alias("n"))
+             .select("unit", (F.sum("n").over(W.partitionBy("shard").orderBy("unit")) - F.col("n")).alias("ahead")))
+    base = (counts.withColumn("base", F.sum("n").over(W.partitionBy("unit").orderBy("part")) - F.col("n"))
+            .join(F.broadcast(ahead), "unit").select("unit", "part", (F.col("base") + F.col("ahead")).alias("base")))
     rank = F.row_number().over(W.partitionBy("unit", "part").orderBy("doc_id", "size", "text_crc32"))
     return (rows.withColumn("rank", rank).join(base, ["unit", "part"])
             .select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - 1).alias("slot")))

@@ -40,3 +40,18 @@ def test_one_group_of_a_third(spark):
 
 def test_empty(none):
     assert sharding.shard_rows(none).count() == 0
+
+
+def test_splits_follow_the_rows(spark, monkeypatch):
+    """The same shards and gapless slots however finely a unit's rows are split."""
+    rows = [(i // 2, "same text" if i % 3 else f"text {i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shards = []
+    for each in (1_000_000, 7):
+        monkeypatch.setattr(sharding, "EACH", each)
+        out = sharding.shard_rows(df, 3).toPandas()
+        assert len(out) == 900
+        for _, s in out.groupby("shard").slot:
+            assert sorted(s) == list(range(len(s)))
+        shards.append(sorted(zip(out.doc_id, out.text_crc32, out["shard"])))
+    assert shards[0] == shards[1]
