@@ -113,9 +113,12 @@ def rank(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: in
     table = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(extract, "doc_id long, x array<double>"), "ranking-features")
     known = (labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y"))
              .filter(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"), modulus, part)))
-    first = known.withColumn("h", F.xxhash64("doc_id", "y"))
-    bounded = [first.filter(F.col("y") == y).orderBy("h", "doc_id").limit(SAMPLE) for y in (0, 1)]
-    sample = bounded[0].unionByName(bounded[1]).join(table, "doc_id").orderBy("h", "doc_id", "y").select("x", "y").toArrow()
+    # labels of documents that are there, each once; only then the bounded sample
+    known = known.distinct().join(table.select("doc_id"), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id", "y"))
+    bounded = [known.filter(F.col("y") == y).orderBy("h", "doc_id").limit(SAMPLE) for y in (0, 1)]
+    # of several documents with one id the least features stand for all
+    sample = bounded[0].unionByName(bounded[1]).join(table, "doc_id").groupBy("h", "doc_id", "y").agg(F.min("x").alias("x"))
+    sample = sample.orderBy("h", "doc_id", "y").select("x", "y").toArrow()
     x = np.array(sample.column("x").to_pylist(), float) if sample.num_rows else np.zeros((0, 1))
     model = fit(x, sample.column("y").to_numpy())
     shift = float(np.log(threshold / (1 - threshold)))
