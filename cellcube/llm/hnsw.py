@@ -38,6 +38,17 @@ GROUP = 1_024       # queries searched together
 INDEX = "shard long, dim int, n int, vectors binary, ids binary, counts binary, entry int, levels array<struct<nodes: binary, links: binary>>"
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to 0.5 .. 1: same
+    directions and digits, and squares that neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
 def _nearest(x: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k most similar other rows of each row, nearest first (ties: smaller index)."""
     n = len(x)
@@ -93,7 +104,7 @@ def _links(x: np.ndarray, width: int, keep: int) -> np.ndarray:
 def build(vectors: np.ndarray, seed: int = 11) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
     """Levels (nodes, links by place among all nodes) from the ground up, and the entry node."""
     n = len(vectors)
-    x = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    x = _unit(vectors)
     draw = np.random.default_rng(seed).random(n)
     height = np.floor(-np.log(np.maximum(draw, 1e-12)) / np.log(LINKS)).astype(int)
     levels = []
@@ -136,8 +147,8 @@ def _beam(x: np.ndarray, place: np.ndarray, links: np.ndarray, queries: np.ndarr
 
 def search(vectors: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], entry: int, queries: np.ndarray, beam: int = BEAM) -> np.ndarray:
     """Nodes found for each query (q, beam), -1 pads."""
-    x = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
-    q = (queries / np.linalg.norm(queries, axis=1, keepdims=True)).astype(np.float32)
+    x = _unit(vectors)
+    q = _unit(queries)
     at = np.full((len(q), 1), entry, np.int32)
     for level in range(len(levels) - 1, -1, -1):
         nodes, links = levels[level]
@@ -156,7 +167,7 @@ def _usable(vectors: DataFrame, id_name: str, vector_name: str) -> DataFrame:
                 if i is None or not v or any(c is None for c in v):
                     continue
                 x = np.array(v, np.float64) + 0.0       # one zero
-                if np.isfinite(x).all() and x.any() and np.isfinite(x @ x) and x @ x > 0:
+                if np.isfinite(x).all() and x.any():
                     found.setdefault(x.tobytes(), []).append(i)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([sorted(set(x)) for x in found.values()], pa.list_(pa.int64()))], ["key", "ids"])
 
@@ -215,6 +226,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_name: str = "vec
             begins = np.concatenate([[0], np.cumsum(counts)])
             q = _matrix(right.column("key").to_pylist())
             found = search(x, levels, row["entry"], q)
+            x, q = _scaled(x), _scaled(q)
             norm, q_norm = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
             for i, query in enumerate(right.column("query_id").to_pylist()):
                 at = np.unique(found[i][found[i] >= 0])

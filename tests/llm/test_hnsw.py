@@ -53,3 +53,25 @@ def test_small_tables_are_exact(spark, size):
 
 def test_empty(spark):
     assert hnsw.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_very_small_and_very_large_vectors(spark):
+    """Finite vectors near the ends of double precision take part; their cosines are those of the directions."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        v = rng.normal(size=4)
+        rows.append((i, (v * 10.0 ** [-300, -200, 0, 200, 300][i % 5]).tolist()))
+    rows += [(100, [5e-324, 0.0, 0.0, 0.0]), (101, [1.7e308, 1.7e308, 0.0, 0.0])]
+    got = {}
+    for r in hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 10).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    unit = {}
+    for i, v in rows:
+        x = np.array(v) / np.abs(v).max()
+        unit[i] = x / np.sqrt((x * x).sum())
+    assert set(got) == {0, 10, 20, 30, 40, 50, 100}
+    for q, near in got.items():
+        want = sorted((-float(unit[q] @ x), i) for i, x in unit.items() if i != q)[:5]
+        assert [i for i, _ in near] == [i for _, i in want]
+        assert [s for _, s in near] == pytest.approx([-s for s, _ in want], abs=1e-12)
