@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellcube.config import BASELINE_CONTINUOUS, INTERACTIONS
+from cellcube.operators.joins import bounded_broadcast
 from cellcube.operators.quantile import exact_quantiles, order_statistics
 
 MAX_CATEGORIES = 1_000
@@ -48,6 +50,40 @@ def one_hot(df: DataFrame, col: str = "soil_snum", cats: list | None = None, dro
     return (out.drop(col) if drop else out), names
 
 
+def category_index(df: DataFrame, col: str) -> DataFrame:
+    """The sorted distinct non-null values of ``col`` with their place from 0: ``(col, place long)``.
+
+    No task holds all values and none reaches the driver: they are sorted by ranges, numbered
+    inside each range, and the ranges' counts (one row each) are prefix-summed.  Cut from
+    its lineage, so that the ranges stay what they were."""
+    values = df.select(col).where(F.col(col).isNotNull()).distinct()
+    # the id's high bits are the range, its low bits the place inside it
+    numbered = values.repartitionByRange(col).sortWithinPartitions(col).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_id", 33).cast("int")
+    counts = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_ahead"))
+    return (numbered.withColumn("_part", part).join(F.broadcast(ahead), "_part")
+            .select(col, (F.col("_ahead") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).alias("place")))
+
+
+def one_hot_sparse(df: DataFrame, col: str = "soil_snum", index: DataFrame | None = None, out: str | None = None) -> tuple[DataFrame, int]:
+    """M-02 for any number of categories: one sparse vector column instead of a column each.
+
+    ``index`` is ``category_index`` of all rows.  The lowest category and a missing value have no
+    entry; category number k (from 1) has a one at place k - 1, which ``<out>_slot`` holds as well.
+    Returns the frame and the number of categories; the driver sees only that number."""
+    out = out or f"{col}_onehot"
+    index = category_index(df, col) if index is None else index
+    n = index.count()
+    found = df.join(bounded_broadcast(index, n), col, "left")
+    found = found.withColumn(f"{out}_slot", F.when(F.col("place") > 0, F.col("place") - 1)).drop("place")
+    # the encoder drops the last of its categories: the one that stands for the lowest and for missing
+    nominal = F.coalesce(F.col(f"{out}_slot"), F.lit(max(0, n - 1))).cast("double")
+    found = found.withColumn("_nominal", nominal.alias("_nominal", metadata={"ml_attr": {"type": "nominal", "num_vals": max(2, n)}}))
+    encoder = OneHotEncoder(inputCols=["_nominal"], outputCols=[out], dropLast=True)
+    return encoder.fit(found).transform(found).drop("_nominal"), n
+
+
 def fit_medians(df: DataFrame, cols: list[str], split: str = "split", fit_on: str = "train") -> dict:
     """Exact train-split medians (linear interpolation) per column."""
     train = df.where(F.col(split) == fit_on) if fit_on else df

@@ -15,7 +15,9 @@ from cellcube.operators import grid as G
 from cellcube.operators import summary as A
 from cellcube.operators.mask import mask_invalid
 from cellcube.plans.q_features import SQL_MASKED, TRAINING_FIXTURES, WITH_TRAINING, training, training_select_sql
+from cellcube.plans.training_table import build_training_table
 from cellcube.plans.registry import register, rnd, rnd_sql, round_doubles
+from cellcube.sources import buckets as B
 from cellcube.sources import commits
 from cellcube.sources import fixtures as fx
 from cellcube.sources import layers as L
@@ -473,3 +475,21 @@ def q_box_of_stored_layers(spark, sf_dir):
     L.write_layer(_layer_rows(spark, sf_dir).where(F.col("variable") == "ndvi"), path, grid=grid, file_cells=64)
     found = L.scan_box(spark, path, grid, BOX, "ndvi")
     return round_doubles(found.select(F.col("year").cast("int"), F.col("month").cast("int"), F.col("pixel_idx").cast("int"), "value"))
+
+
+@register("s06_bucketed_layers", WITH_TRAINING(f"SELECT {training_select_sql()} FROM tt"), TRAINING_FIXTURES)
+def q_bucketed_layers(spark, sf_dir):
+    """S-06, J-01, J-02: layers and the stored neighbourhood lag in buckets of cells; the training
+    table's windows and joins run on them without an exchange by cell (an error otherwise)."""
+    grid, n = fx.grid(spark, sf_dir), 8
+    cells = fx.cells(spark, sf_dir)
+    lag = G.spatial_lag(mask_invalid(cells.select("pixel_idx", "t", "ndvi"), {"ndvi": "positive"}), grid, "ndvi", 1)
+    stored = {}
+    for name, layer in {"cells": cells, "pop": fx.pop(spark, sf_dir), "static": fx.static(spark, sf_dir), "lag": lag}.items():
+        path = TB.scratch_path(spark, f"buckets-{name}")
+        B.write_bucketed(layer, path, n)
+        stored[name] = B.scan_bucketed(spark, path)
+    t = build_training_table(stored["cells"], stored["pop"], stored["static"], grid, neighbourhood=stored["lag"])
+    if "Exchange hashpartitioning" in t._jdf.queryExecution().executedPlan().toString():
+        raise RuntimeError("the stored layers were exchanged")
+    return round_doubles(t)

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from cellcube.config import DYNAMIC_COLUMNS
@@ -238,6 +240,18 @@ def q_one_hot(spark, sf_dir):
     return d.select("pixel_idx", "year", "month", *names)
 
 
+@register("m02_one_hot_sparse", """
+    WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1)
+    SELECT CAST(row_number() OVER (ORDER BY l_partkey) - 2 AS BIGINT) AS slot, CAST(n AS DOUBLE) AS n_rows
+    FROM c QUALIFY row_number() OVER (ORDER BY l_partkey) > 1""", ())
+def q_one_hot_sparse(spark, sf_dir):
+    """M-02 with a category for every part: the sparse vectors of all line items, added up by place."""
+    li = fx.read_table(spark, sf_dir, "lineitem").select("l_partkey")
+    encoded, _ = M.one_hot_sparse(li, "l_partkey")
+    total = encoded.select(Summarizer.sum(F.col("l_partkey_onehot")).alias("v"))
+    return total.select(F.posexplode(vector_to_array("v")).alias("slot", "n_rows")).select(F.col("slot").cast("long"), "n_rows")
+
+
 @register("m03_impute_median", f"""
     WITH m AS (SELECT pixel_idx, t, year, CASE WHEN lst >= -100 THEN lst END AS lst,
                       CASE WHEN precip >= 0 THEN precip END AS precip FROM cells),

@@ -29,11 +29,14 @@ LAG_NAMES = {**{("lst", k): f"lst_driver_lag{k}" for k in (1, 2, 3)},
 
 
 def build_training_table(cells: DataFrame, pop: DataFrame, static: DataFrame, grid: GridConfig,
-                         n_years: int | None = None) -> DataFrame:
+                         n_years: int | None = None, neighbourhood: DataFrame | None = None) -> DataFrame:
     """S-04's table built from layers: P-01 -> G-03, G-04 -> J-02, J-03 -> P-02, P-03 -> P-04.
 
     ``cells(pixel_idx, t, year, month, ndvi, lst, precip)`` with ``t`` a calendar
     month index; several rows of one (cell, month) are averaged after masking.
+    ``neighbourhood(pixel_idx, t, ndvi_spatial_lag)`` is a stored G-03 layer to use
+    instead of computing it.  With all layers stored in the same buckets of cells
+    (``sources.buckets``) every window and join is made where the rows lie.
     """
     m = mask_invalid(cells.select("pixel_idx", "t", "year", "month", "ndvi", "lst", "precip"),
                      {"ndvi": "positive", "lst": "lst", "precip": "non_negative"})
@@ -44,7 +47,8 @@ def build_training_table(cells: DataFrame, pop: DataFrame, static: DataFrame, gr
         F.avg("ndvi").alias("ndvi"), F.avg("lst").alias("lst"), F.avg("precip").alias("precip"))
     drivers = temporal_lags(m.withColumn("log_precip", log1p_driver("precip")),
                             ["lst", "log_precip"], (1, 2, 3), names=LAG_NAMES)
-    neighbourhood = spatial_lag(m, grid, value="ndvi", lag=1, out="ndvi_spatial_lag")
+    if neighbourhood is None:
+        neighbourhood = spatial_lag(m, grid, value="ndvi", lag=1, out="ndvi_spatial_lag")
     t = drivers.join(neighbourhood, ["pixel_idx", "t"], "left")
     t = join_yearly(t, mask_invalid(pop.select("pixel_idx", "year", "pop_density"), {"pop_density": "non_negative"}),
                     grid.n_cells, n_years)

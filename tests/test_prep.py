@@ -77,3 +77,30 @@ def test_histogram_numpy_rules(spark):
     got = [r["count"] for r in A.histogram(spark, df, "x", 50).orderBy("bin").collect()]
     ref, _ = np.histogram(vals, bins=50)
     assert got == list(ref)
+
+
+def test_sparse_one_hot_equals_the_dense_form(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = [(i, [None, 3, 1, 7, 7, 2][i % 6]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, soil int").repartition(4)
+    dense, names = M.one_hot(df, "soil", drop=False)
+    sparse, n = M.one_hot_sparse(df, "soil")
+    assert n == 4 and names == ["soil_2", "soil_3", "soil_7"]
+    want = {r["id"]: [r[c] for c in names] for r in dense.collect()}
+    got = {r["id"]: r["v"] for r in sparse.select("id", vector_to_array("soil_onehot").alias("v")).collect()}
+    assert got == want
+    for few in ([(1, 5), (2, None)], [(1, None)]):
+        sparse, n = M.one_hot_sparse(spark.createDataFrame(few, "id int, soil int"), "soil")
+        assert n == len({v for _, v in few if v is not None}) and all(r["soil_onehot_slot"] is None for r in sparse.collect())
+
+
+def test_many_categories_are_numbered_in_order(spark):
+    df = spark.range(30_000).select((F.col("id") * 7919 % 30_011).alias("c")).union(spark.range(500).select(F.col("id").alias("c")))
+    index = M.category_index(df, "c")
+    got = [(r["c"], r["place"]) for r in index.orderBy("place").collect()]
+    want = sorted({i * 7919 % 30_011 for i in range(30_000)} | set(range(500)))
+    assert got == list(zip(want, range(len(want))))
+    sparse, n = M.one_hot_sparse(df, "c", index)
+    assert n == len(want) and sparse.columns == ["c", "c_onehot_slot", "c_onehot"]
+    assert sparse.first()["c_onehot"].size == n - 1
