@@ -118,7 +118,6 @@ class GbtParams:
     step_size: float = 0.05
     subsampling_rate: float = 0.8
     feature_subset: str = "0.8"
-    validation_tol: float = 1e-4
     seed: int = 42
 
 
@@ -130,6 +129,7 @@ class RfParams:
     max_depth: int = 20
     min_instances_per_node: int = 75
     feature_subset: str = "0.3"
+    bootstrap: bool = True
     seed: int = 42
 
 

@@ -10,11 +10,13 @@ the checkpoint.  Predictions carry their keys (never zipped by row order).
 from __future__ import annotations
 
 import itertools
+import math
+import os
 import random
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import (GBTRegressor, GeneralizedLinearRegression,
+from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, GeneralizedLinearRegression,
                                    RandomForestRegressor)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,7 @@ from cellcube.config import (SEARCH_DRAWS, SEARCH_FOLDS, SEARCH_SPACE, SEARCH_TR
 from cellcube.operators.mask import residual
 from cellcube.operators.metrics import regression_metrics
 
+ROWS_PER_TASK = 50_000  # of a level's pass over the rows, in the search
 MAX_BINS = 256  # histogram split finding, as in the boosted baseline
 # deep trees: keep each row's node id cached (checkpointed every 10 iterations
 # into the shared folder) instead of shipping the trees each level, and let
@@ -57,7 +60,8 @@ def fit_glm(spark: SparkSession, train: DataFrame, features: list[str], label: s
 
 
 def importance_table(spark: SparkSession, model, features: list[str]) -> DataFrame:
-    imp = model.featureImportances.toArray()
+    found = model.featureImportances.toArray()
+    imp = [*found, *[0.0] * (len(features) - len(found))]       # the last features may be in no tree
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double")
 
 
@@ -66,7 +70,7 @@ def fit_rf(spark: SparkSession, train: DataFrame, features: list[str], label: st
     """M-10: random forest (trees, depth, minimum leaf size, feature fraction, seed); importances."""
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=p.num_trees, maxDepth=p.max_depth,
                                minInstancesPerNode=p.min_instances_per_node, featureSubsetStrategy=p.feature_subset,
-                               seed=p.seed, maxBins=MAX_BINS, **TREE_SPEED)
+                               bootstrap=p.bootstrap, seed=p.seed, maxBins=MAX_BINS, **TREE_SPEED)
     model = rf.fit(train)
     return model, importance_table(spark, model, features)
 
@@ -84,39 +88,75 @@ def best_round(val_losses: list[float], patience: int) -> int:
     return best_i + 1
 
 
+def _ensemble(spark: SparkSession, trees: list, weights: list[float]) -> GBTRegressionModel:
+    """A boosted model of these trees (each weighs what its round gave it)."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    kind = jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    j_trees, j_weights = gateway.new_array(kind, len(trees)), gateway.new_array(gateway.jvm.double, len(trees))
+    for i, (t, w) in enumerate(zip(trees, weights)):
+        j_trees[i], j_weights[i] = t._java_obj, float(w)
+    uid = f"GBTRegressor_{os.urandom(6).hex()}"
+    return GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(uid, j_trees, j_weights))
+
+
+def round_losses(model: GBTRegressionModel, df: DataFrame, label: str = "log_ndvi") -> list[float]:
+    """Mean squared error after each round; a model put together from trees has no label column of its own."""
+    name = model.getLabelCol()
+    return list(model.evaluateEachIteration(df if name in df.columns else df.withColumn(name, F.col(label)), "squared"))
+
+
+def first_rounds(spark: SparkSession, model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The model as it was after ``rounds`` rounds; nothing is fitted."""
+    return _ensemble(spark, model.trees[:rounds], model.treeWeights[:rounds])
+
+
+def continue_gbt(spark: SparkSession, model: GBTRegressionModel, train: DataFrame, rounds: int, label: str = "log_ndvi",
+                 p: GbtParams = GbtParams(), checkpoint_every: int = 10) -> GBTRegressionModel:
+    """``rounds`` more rounds on top of a stored ensemble, without refitting it.
+
+    The rows keep the ensemble's prediction so far; each round fits one tree to twice their
+    residual (the squared error's steepest descent) and adds a step of it, so a round
+    costs the same whatever came before.  Round m (from 0) is drawn with seed + m."""
+    trees, weights = list(model.trees), list(model.treeWeights)
+    rows = model.copy().setPredictionCol("_so_far").transform(train.select("features", label)).checkpoint()
+    for m in range(len(trees), len(trees) + rounds):
+        fit = RandomForestRegressor(featuresCol="features", labelCol="_rest", numTrees=1, bootstrap=False, maxDepth=p.max_depth, subsamplingRate=p.subsampling_rate,
+                                    featureSubsetStrategy=p.feature_subset, seed=p.seed + m, maxBins=MAX_BINS, maxMemoryInMB=TREE_SPEED["maxMemoryInMB"])
+        tree = fit.fit(rows.withColumn("_rest", 2 * (F.col(label) - F.col("_so_far")))).trees[0]
+        trees.append(tree)
+        weights.append(p.step_size)
+        rows = tree.copy().setPredictionCol("_step").transform(rows).withColumn("_so_far", F.col("_so_far") + p.step_size * F.col("_step")).drop("_step")
+        if (m + 1) % checkpoint_every == 0:
+            rows = rows.checkpoint()
+    return _ensemble(spark, trees, weights)
+
+
 def fit_gbt(spark: SparkSession, train_val: DataFrame, features: list[str], label: str = "log_ndvi",
-            p: GbtParams = GbtParams(), val_col: str | None = "is_val", patience: int | None = 30):
+            p: GbtParams = GbtParams(), val_col: str | None = "is_val", patience: int = 30):
     """M-11: boosted trees early-stopped on the validation rows flagged by ``val_col``.
 
-    ``patience`` (default 30 rounds, the baseline's rule): rounds are grown in
-    stages (2 x patience, doubling, capped at ``max_iter``); after each stage
-    the validation loss of every round is read (``evaluateEachIteration``, one
-    distributed pass) and growth stops once ``patience`` rounds have passed
-    without a new best.  The model is refit with the rounds up to the best
-    one.  Round m's tree depends only on the seed and m (Spark seeds round m
-    with seed + m), so a shorter fit reproduces the first rounds exactly and
-    the staging changes cost, not the result.
-    ``patience=None`` uses Spark's own ``validationTol`` rule instead."""
-    kw = dict(featuresCol="features", labelCol=label, maxIter=p.max_iter, maxDepth=p.max_depth, stepSize=p.step_size,
-              subsamplingRate=p.subsampling_rate, featureSubsetStrategy=p.feature_subset, seed=p.seed,
-              maxBins=MAX_BINS, **TREE_SPEED)
-    if val_col and patience is None:
-        kw.update(validationIndicatorCol=val_col, validationTol=p.validation_tol)
-        model = GBTRegressor(**kw).fit(train_val)
-    elif val_col:
+    ``patience`` (default 30 rounds, the baseline's rule): the first 2 x patience rounds are
+    grown by one fit, further ones are added to it ``patience`` at a time
+    (``continue_gbt``); after each stage the validation loss of every round is read
+    (``evaluateEachIteration``, one distributed pass) and growth stops once ``patience``
+    rounds have passed without a new best.  The model keeps the rounds up to the best
+    one; no round is fitted twice.  Without ``val_col`` all ``max_iter`` rounds are kept."""
+    gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=p.max_iter, maxDepth=p.max_depth, stepSize=p.step_size,
+                       subsamplingRate=p.subsampling_rate, featureSubsetStrategy=p.feature_subset, seed=p.seed, maxBins=MAX_BINS, **TREE_SPEED)
+    if val_col:
         train = train_val.where(~F.col(val_col))
         val = train_val.where(F.col(val_col))
         rounds = min(2 * patience, p.max_iter)
+        model = gbt.setMaxIter(rounds).fit(train)
         while True:
-            fit = GBTRegressor(**{**kw, "maxIter": rounds}).fit(train)
-            losses = list(fit.evaluateEachIteration(val, "squared"))
-            keep = best_round(losses, patience)
+            keep = best_round(round_losses(model, val, label), patience)
             if rounds >= p.max_iter or keep + patience <= rounds:
                 break
-            rounds = min(2 * rounds, p.max_iter)
-        model = fit if keep == rounds else GBTRegressor(**{**kw, "maxIter": keep}).fit(train)
+            more = min(patience, p.max_iter - rounds)
+            model, rounds = continue_gbt(spark, model, train, more, label, p), rounds + more
+        model = model if keep == rounds else first_rounds(spark, model, keep)
     else:
-        model = GBTRegressor(**kw).fit(train_val)
+        model = gbt.fit(train_val)
     return model, importance_table(spark, model, features)
 
 
@@ -166,9 +206,11 @@ def random_search(spark: SparkSession, frame: DataFrame, label: str = "log_ndvi"
     ``frame`` is assembled and carries the fold ``block`` of M-15; fold i trains
     on blocks < i and scores R^2 on block i.  The search holds only parameters that
     Spark's boosted trees have (there are no L1/L2 leaf penalties).  Fits run
-    concurrently as independent Spark jobs.  Output ``(draw, fold, <params>, r2)``.
+    concurrently as independent Spark jobs, on as many partitions as the rows need
+    (a tree is a job for each level).  Output ``(draw, fold, <params>, r2)``.
     """
     cand = draws(space, n_iter, seed)
+    frame = frame.coalesce(max(2, math.ceil(frame.count() / ROWS_PER_TASK))).persist()
 
     def run(job):
         d, i, prm = job
@@ -185,6 +227,7 @@ def random_search(spark: SparkSession, frame: DataFrame, label: str = "log_ndvi"
     jobs = [(d, i, prm) for d, prm in enumerate(cand) for i in range(1, n_folds + 1)]
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
         rows = list(ex.map(run, jobs))
+    frame.unpersist()
     schema = "draw int, fold int, " + ", ".join(f"{k} double" for k in space) + ", r2 double"
     return spark.createDataFrame(rows, schema)
 
@@ -199,13 +242,12 @@ def fold_scores(results: DataFrame, params: list[str] | None = None) -> DataFram
     return g.withColumn("rank", F.rank().over(Window.orderBy(F.desc("mean_r2"), "draw")))
 
 
-def loss_curves(spark: SparkSession, models: dict, train: DataFrame, val: DataFrame) -> DataFrame:
+def loss_curves(spark: SparkSession, models: dict, train: DataFrame, val: DataFrame, label: str = "log_ndvi") -> DataFrame:
     """R-04: per boosting round the squared-error loss on train and validation
     rows, for every boosted model given; ``(model, epoch, train_loss, val_loss)``."""
     rows = []
     for name, m in models.items():
-        tr = m.evaluateEachIteration(train, "squared")
-        va = m.evaluateEachIteration(val, "squared")
+        tr, va = round_losses(m, train, label), round_losses(m, val, label)
         rows += [(name, i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(tr, va))]
     return spark.createDataFrame(rows, "model string, epoch int, train_loss double, val_loss double")
 

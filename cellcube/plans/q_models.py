@@ -128,6 +128,61 @@ def q_fit_gbt(spark, sf_dir):
     return ML.importance_table(spark, models["GBT"], feats)
 
 
+SPLIT_COLS = ["year", "month", "soil_snum"]
+
+
+def _stump_sql(name: str, label: str) -> str:
+    """CTEs of the best single split of the training rows ``tr`` on ``label``: ``name`` holds its
+    feature, the last value on its left, and the mean of each side."""
+    stacked = " UNION ALL ".join(f"SELECT '{c}' AS f, {c} AS v, {label} AS y FROM tr" for c in SPLIT_COLS)
+    return f"""{name}_d AS (SELECT f, v, count(*) AS n, sum(y) AS s FROM ({stacked}) x GROUP BY 1, 2),
+    {name}_c AS (SELECT f, v, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER (PARTITION BY f) AS nt, sum(s) OVER (PARTITION BY f) AS st
+                 FROM {name}_d WINDOW w AS (PARTITION BY f ORDER BY v)),
+    {name} AS (SELECT f, v, sl / nl AS a, (st - sl) / (nt - nl) AS b FROM {name}_c WHERE nl < nt
+               ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) DESC, f, v LIMIT 1)"""
+
+
+def _side_sql(name: str) -> str:
+    value = "CASE " + " ".join(f"WHEN {name}.f = '{c}' THEN r.{c}" for c in SPLIT_COLS) + " END"
+    return f"CASE WHEN {value} <= {name}.v THEN {name}.a ELSE {name}.b END"
+
+
+_TR = ", tr AS (SELECT year, month, soil_snum, log_ndvi AS y FROM tt WHERE year <= 1999)"
+
+
+def _split_frame(spark, sf_dir):
+    t = M.chrono_split(training(spark, sf_dir), SPLIT.train_end, SPLIT.val_end)
+    return ML.fit_frame(t.withColumn("soil", F.col("soil_snum").cast("double")), ["year", "month", "soil"], keep=KEYS)
+
+
+def _split_scores(model, frame):
+    return round_doubles(ML.score({"T": model}, frame.where(F.col("split") == "test"), ["pixel_idx", "year", "month"]))
+
+
+@register("m10_one_split", WITH_TRAINING(f"""{_TR}, {_stump_sql('s1', 'y')}
+    SELECT r.pixel_idx, r.year, r.month, {rnd_sql(_side_sql('s1'))} AS "T_pred" FROM tt r, s1 WHERE r.year > 2000"""), TRAINING_FIXTURES)
+def q_one_split(spark, sf_dir):
+    """M-10 by value: a forest of one unsampled tree with one split over year, month and soil class."""
+    frame = _split_frame(spark, sf_dir)
+    p = RfParams(num_trees=1, max_depth=1, min_instances_per_node=1, feature_subset="all", bootstrap=False)
+    model, _ = ML.fit_rf(spark, frame.where(F.col("split") == "train"), SPLIT_COLS, p=p)
+    return _split_scores(model, frame)
+
+
+@register("m11_three_rounds", WITH_TRAINING(f"""{_TR}, {_stump_sql('s1', 'y')},
+    r1 AS (SELECT r.*, r.y - ({_side_sql('s1')}) AS rest FROM tr r, s1), {_stump_sql('s2', '2 * rest').replace('FROM tr)', 'FROM r1)').replace('FROM tr UNION', 'FROM r1 UNION')},
+    r2 AS (SELECT r.*, r.rest - 0.1e0 * ({_side_sql('s2')}) AS rest2 FROM r1 r, s2), {_stump_sql('s3', '2 * rest2').replace('FROM tr)', 'FROM r2)').replace('FROM tr UNION', 'FROM r2 UNION')}
+    SELECT r.pixel_idx, r.year, r.month, {rnd_sql(f"({_side_sql('s1')}) + 0.1e0 * ({_side_sql('s2')}) + 0.1e0 * ({_side_sql('s3')})")} AS "T_pred"
+    FROM tt r, s1, s2, s3 WHERE r.year > 2000"""), TRAINING_FIXTURES)
+def q_three_rounds(spark, sf_dir):
+    """M-11 by value: two boosting rounds of one split each by a fit, the third one added to the stored ensemble."""
+    frame = _split_frame(spark, sf_dir)
+    train = frame.where(F.col("split") == "train")
+    p = GbtParams(max_iter=2, max_depth=1, step_size=0.1, subsampling_rate=1.0, feature_subset="all")
+    model, _ = ML.fit_gbt(spark, train, SPLIT_COLS, p=p, val_col=None)
+    return _split_scores(ML.continue_gbt(spark, model, train, 1, p=p), frame)
+
+
 def _fitted(spark, sf_dir):
     def build():
         frame, feats = _prepared(spark, sf_dir)

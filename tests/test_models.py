@@ -100,3 +100,25 @@ def test_registered_search_is_the_whole_one(spark, monkeypatch):
     monkeypatch.setattr(ML, "random_search", lambda spark, frame, **kw: seen.append(kw) or spark.range(1))
     q_models.q_random_search(spark, "unused")
     assert seen == [{}]
+
+
+def test_continued_rounds_equal_a_full_fit(spark):
+    """Six rounds and six more have the losses of twelve; the first rounds are those of the fit."""
+    frame = _signal(spark)
+    train, val = frame.where(~F.col("is_val")), frame.where(F.col("is_val"))
+    for p in (GbtParams(max_iter=12, max_depth=3, step_size=0.2, subsampling_rate=1.0, feature_subset="all"),
+              GbtParams(max_iter=12, max_depth=3, step_size=0.2, subsampling_rate=0.8, feature_subset="0.8")):
+        full, _ = ML.fit_gbt(spark, train, ["a", "b", "c"], p=p, val_col=None)
+        half = ML.first_rounds(spark, full, 6)
+        assert half.getNumTrees == 6
+        whole = ML.continue_gbt(spark, half, train, 6, p=p, checkpoint_every=4)
+        want, got = (ML.round_losses(m, val) for m in (full, whole))
+        assert np.allclose(want[:6], got[:6], atol=1e-12)
+        if p.subsampling_rate == 1:
+            assert np.allclose(want, got, atol=1e-9)
+        else:
+            assert abs(want[-1] - got[-1]) < 0.15 * want[-1] and got[-1] < got[5]
+        # the same continuation in two steps is the same model
+        again = ML.continue_gbt(spark, ML.continue_gbt(spark, half, train, 2, p=p), train, 4, p=p)
+        assert np.allclose(got, ML.round_losses(again, val), atol=1e-12)
+        assert ML.importance_table(spark, whole, ["a", "b", "c"]).count() == 3
