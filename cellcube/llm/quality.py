@@ -17,8 +17,9 @@ words lie in repeated three-word windows, fail the base rules.
 
 A language has a reference of its own from ``LEAST`` documents with words on; documents of
 rarer ones are compared with all documents together, so that no document is its own
-measure.  The references that travel to the workers are bounded: the ``LANGUAGES``
-languages with the most documents and the pooled one.
+measure.  The references that travel to the workers are bounded: those of the ``LANGUAGES``
+languages with the most documents and the pooled one; documents of the other languages get
+theirs by a join, so that every language is judged alike.
 
 Null text has no words and fails the base rules; a null or unlisted language only
 adds to the pooled reference; repeated rows are judged alike; an empty table has an
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellcube.llm.common import freeing, prepare, text_bytes
+from cellcube.llm.common import free_name, freeing, prepare, stored, text_bytes
 from cellcube.llm.textstats import CLASSES, WORDS, TextStats
 
 MIN_WORDS = 50
@@ -76,8 +77,9 @@ def _shares(counts: np.ndarray) -> np.ndarray:
     return np.rint(counts * (1_000_000 / max(1, counts.sum()))).astype(np.int64)
 
 
-def references(docs: DataFrame, languages: int = LANGUAGES) -> dict:
-    """By language, and under None for all documents: the histograms of character classes and common words.
+def references(docs: DataFrame, languages: int = LANGUAGES) -> tuple[References, DataFrame | None]:
+    """The histograms of character classes and common words of all documents and of each language: those of the
+    ``languages`` most frequent ones and the pooled ones at hand, the others as a table (None: there are none).
 
     Each document has the same weight, so that a few very long ones don't make the reference."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,13 +98,53 @@ def references(docs: DataFrame, languages: int = LANGUAGES) -> dict:
 
     width = 1 + len(CLASSES) + len(WORDS) + 1
     sums = (docs.select("lang", "text").mapInArrow(freeing(run), "lang string, counts array<long>")
-            .groupBy("lang").agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(width)]))
-    rows = sums.filter(f"lang IS NOT NULL AND c0 >= {LEAST}").orderBy(F.desc("c0"), "lang").limit(languages).collect()
-    rows += sums.filter("lang IS NULL").collect()
-    table = {r["lang"]: np.array([r[f"c{i}"] for i in range(width)], np.int64) for r in rows}
-    pooled = table.get(None)
-    both = {lang: np.stack([own] if lang is None else [own, pooled]) for lang, own in table.items()}
-    return {lang: (x[:, 1:1 + len(CLASSES)], x[:, 1 + len(CLASSES):]) for lang, x in both.items()}
+            .groupBy("lang").agg(F.array(*[F.sum(F.col("counts")[i]) for i in range(width)]).alias("counts")))
+    # written once, so that the texts are read once for both uses
+    sums = stored(sums.filter(f"lang IS NULL OR counts[0] >= {LEAST}"), "quality-references")
+    own = sums.filter("lang IS NOT NULL")
+    top = own.orderBy(F.desc(F.col("counts")[0]), "lang").limit(languages).collect()
+    pooled = sums.filter("lang IS NULL").collect()
+    refs = References({r["lang"]: np.array(r["counts"], np.int64) for r in top}, np.array(pooled[0]["counts"], np.int64) if pooled else None)
+    # languages that did not fit travel by a join
+    rest = own.filter(~F.col("lang").isin(list(refs.own))) if len(top) == languages else None
+    return refs, rest
+
+
+class References:
+    """Histograms (classes, common words) of the languages that travel with the task, and the pooled ones."""
+
+    def __init__(self, own: dict[str, np.ndarray], pooled: np.ndarray | None):
+        self.own, self.pooled, self._stacked = own, pooled, {}
+
+    def __bool__(self) -> bool:
+        return self.pooled is not None
+
+    def of(self, lang: str | None, joined: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The references that a document of this language is compared with; ``joined`` is its language's, when the row brings it."""
+        own = self.own.get(lang) if joined is None else np.array(joined, np.int64)
+        if own is None or joined is not None:
+            return _parts(self.pooled[None] if own is None else np.stack([own, self.pooled]))
+        if lang not in self._stacked:
+            self._stacked[lang] = _parts(np.stack([own, self.pooled]))
+        return self._stacked[lang]
+
+
+def _parts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return counts[:, 1:1 + len(CLASSES)], counts[:, 1 + len(CLASSES):]
+
+
+def _with_rest(docs: DataFrame, lang: str, refs: References, rest: DataFrame | None, name: str) -> DataFrame:
+    """``docs`` with a column ``name``: the reference of a language that does not travel with the tasks, else null.
+
+    Rows of the other languages pass the join by; those that meet it have rarer languages than
+    any that travels, so no key of the join is a hot one."""
+    kind = "array<bigint>"
+    if rest is None:
+        return docs.withColumn(name, F.lit(None).cast(kind))
+    here = F.col(f"`{lang}`")
+    known = here.isNull() | here.isin(list(refs.own))
+    other = docs.filter(~known).join(rest.select(F.col("lang").alias(f"{name}_lang"), F.col("counts").alias(name)), here == F.col(f"{name}_lang"), "left").drop(f"{name}_lang")
+    return docs.filter(known).withColumn(name, F.lit(None).cast(kind)).unionByName(other)
 
 
 def _band(n_words: int) -> int:
@@ -113,15 +155,15 @@ def _base_failed(n_words: int, repeat: int) -> bool:
     return n_words < MIN_WORDS or 100 * repeat > 50 * n_words
 
 
-def limits(docs: DataFrame, refs: dict) -> list[float]:
+def limits(docs: DataFrame, refs: References, rest: DataFrame | None) -> list[float]:
     """The word limit of each band of length, from the distances of all documents that pass the base rules."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
-            for text, lang in zip(text_bytes(batch.column("text")), batch.column("lang").to_pylist()):
+            for text, lang, joined in zip(text_bytes(batch.column("text")), batch.column("lang").to_pylist(), batch.column("ref").to_pylist()):
                 stats = TextStats(text)
                 if not _base_failed(stats.n_words, stats.repeat_words()):
-                    far = js_distance(stats.common(), (refs.get(lang) or refs[None])[1]).min()
+                    far = js_distance(stats.common(), refs.of(lang, joined)[1]).min()
                     seen[_band(stats.n_words), math.ceil(far * STEPS)] += 1
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in seen], pa.int32()), pa.array([d for _, d in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())],
                                              ["band", "step", "n"])
@@ -129,7 +171,7 @@ def limits(docs: DataFrame, refs: dict) -> list[float]:
     counts = np.zeros((BANDS, STEPS + 1), np.int64)
     if refs:
         # at most BANDS x STEPS sums
-        for r in docs.select("text", "lang").mapInArrow(freeing(run), "band int, step int, n long").groupBy("band", "step").agg(F.sum("n").alias("n")).collect():
+        for r in _with_rest(docs.select("text", "lang"), "lang", refs, rest, "ref").mapInArrow(freeing(run), "band int, step int, n long").groupBy("band", "step").agg(F.sum("n").alias("n")).collect():
             counts[r["band"], r["step"]] = r["n"]
     out, last = [], 1.0
     for below in counts.cumsum(axis=1):
@@ -140,14 +182,14 @@ def limits(docs: DataFrame, refs: dict) -> list[float]:
     return out
 
 
-def _judge(text: bytes, lang: str | None, refs: dict, word_limits: list[float]) -> tuple:
+def _judge(text: bytes, lang: str | None, joined: list[int] | None, refs: References, word_limits: list[float]) -> tuple:
     stats = TextStats(text)
     repeat, (dup, _) = stats.repeat_words(), stats.dup_lines()
     failed = _base_failed(stats.n_words, repeat)
     far_class = far_words = None
     kept = not failed
     if kept and refs:
-        class_refs, word_refs = refs.get(lang) or refs[None]
+        class_refs, word_refs = refs.of(lang, joined)
         classes, common = stats.classes(), stats.common()
         if classes.sum() >= MIN_CHARS:
             far_class = float(js_distance(classes, class_refs).min())
@@ -157,32 +199,35 @@ def _judge(text: bytes, lang: str | None, refs: dict, word_limits: list[float])
     return stats.n_words, stats.word_chars, stats.n_symbols, dup, repeat, failed, kept, far_class, far_words
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, languages: int = LANGUAGES) -> DataFrame:
     """The statistics, distances and verdict of every document."""
     prepare(docs.sparkSession)
-    refs = references(docs)
-    word_limits = limits(docs, refs)
+    refs, rest = references(docs, languages)
+    word_limits = limits(docs, refs, rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
         names = [x.split()[0] for x in DIGEST.split(", ")]
         for batch in batches:
-            rows = [_judge(t, lang, refs, word_limits) for t, lang in zip(text_bytes(batch.column("text")), batch.column("lang").to_pylist())]
+            rows = [_judge(t, lang, joined, refs, word_limits)
+                    for t, lang, joined in zip(text_bytes(batch.column("text")), batch.column("lang").to_pylist(), batch.column("ref").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(freeing(run), DIGEST)
+    return _with_rest(docs.select(F.col("doc_id").cast("long"), "text", "lang"), "lang", refs, rest, "ref").mapInArrow(freeing(run), DIGEST)
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, languages: int = LANGUAGES) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they were."""
     prepare(docs.sparkSession)
-    refs = references(docs)
-    word_limits = limits(docs, refs)
+    refs, rest = references(docs, languages)
+    word_limits = limits(docs, refs, rest)
     at, lang = docs.columns.index("text"), docs.columns.index("lang")
+    name = free_name(docs, "ref")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [_judge(t, k, refs, word_limits)[6] for t, k in zip(text_bytes(batch.column(at)), batch.column(lang).to_pylist())]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            kept = [_judge(t, k, joined, refs, word_limits)[6]
+                    for t, k, joined in zip(text_bytes(batch.column(at)), batch.column(lang).to_pylist(), batch.column(name).to_pylist())]
+            yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(freeing(run), docs.schema)
+    return _with_rest(docs, "lang", refs, rest, name).mapInArrow(freeing(run), docs.schema)

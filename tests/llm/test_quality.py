@@ -4,9 +4,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellcube.llm import quality, ranking
 from cellcube.llm.textstats import CLASSES, TextStats
+from tests.conftest import SF_SMALL
 
 
 def brute(t):
@@ -128,3 +130,32 @@ def test_short_and_diluted_junk_goes(spark):
     kept = {r["doc_id"]: r["kept"] for r in quality.judge(df).collect()}
     assert not any(kept[i] for i in range(1200, len(kept)))
     assert sum(kept[i] for i in range(1200)) >= 1195
+
+
+def test_languages_that_travel_by_a_join_are_judged_alike(spark):
+    """However many references travel with the tasks, every verdict and distance is the same."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").withColumn("ref", F.lit("x"))
+    some = docs.withColumn("lang", F.when(F.col("doc_id") % 11 == 0, F.lit(None)).when(F.col("doc_id") % 13 == 0, F.lit("rare")).otherwise(F.col("lang")))
+    want = sorted(map(str, quality.judge(some).collect()))
+    rows = sorted(map(str, quality.keep_good(some).collect()))
+    assert len(want) == docs.count() and 0 < len(rows) < len(want)
+    for languages in (1, 2, 3):
+        assert sorted(map(str, quality.judge(some, languages).collect())) == want
+        kept = quality.keep_good(some, languages)
+        assert kept.columns == some.columns and sorted(map(str, kept.collect())) == rows
+
+
+def test_texts_are_read_three_times(spark, tmp_path):
+    """References, limits and verdicts: a pass each, the references' sums are not made twice."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    docs.repartition(1).write.parquet(str(tmp_path / "d"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    table = spark.read.parquet(str(tmp_path / "d")).mapInArrow(count, docs.schema)
+    n = quality.judge(table).count()
+    assert n == docs.count() and seen.value == 3 * n
