@@ -50,6 +50,7 @@ HALF = (SPAN - GRAM) // 2   # a window holds that many bytes before its anchor's
 BLOCK = 4 << 20         # bytes of text in a block
 BUCKET = 16 << 20       # bytes of text for each bucket
 SAMPLES = 20_000        # tokens sampled for the splitters, at most about so many
+EACH = 32               # sampled leads for each shard, where that is more
 LAST = np.iinfo(np.int64).max
 STEP = 60_000           # windows handled at once
 
@@ -239,9 +240,10 @@ def _open(row: dict, id_at: int) -> tuple[Block, pa.RecordBatch, np.ndarray]:
 def _splitters(blocks: DataFrame, n: int) -> np.ndarray:
     """Leading tokens that part a bounded sample into n even ranges."""
     count = blocks.count()
-    share = min(1.0, SAMPLES / max(1, 64 * count))
+    wanted = max(SAMPLES, EACH * n)
+    share = min(1.0, wanted / max(1, 64 * count))
     sample = blocks.select("tokens").sample(share, seed=1) if share < 1 else blocks.select("tokens")
-    rows = sample.limit(SAMPLES // 16).collect()
+    rows = sample.limit(wanted // 16).collect()
     tokens = np.sort(np.array([t for r in rows for t in r["tokens"]], np.int64).view(np.uint64))
     return np.unique(tokens[np.linspace(0, len(tokens) - 1, n + 1).astype(int)[1:-1]]) if len(tokens) and n > 1 else np.zeros(0, np.uint64)
 
