@@ -49,6 +49,7 @@ BLOCK = 4 << 20         # bytes of text in a block
 BUCKET = 8 << 20        # bytes of text for each shard
 CACHED = 200_000        # words whose hash a worker keeps
 SAMPLES = 20_000
+EACH = 32               # sampled leads for each shard, where that is more
 SEED = 5
 END = 0x9E3779B97F4A7C15        # fixed values: stand for the end token and for the begin of a text
 BEGIN = 0xC2B2AE3D27D4EB4F
@@ -229,8 +230,9 @@ def _whole(answered: DataFrame) -> dict[int, list[tuple[int, float, float]]]:
 
 def _splitters(index: DataFrame, n: int) -> np.ndarray:
     """Pairs (context, word) that part a bounded sample of the distinct pairs evenly."""
-    share = min(1.0, SAMPLES / max(1, 64 * index.count()))
-    rows = (index.sample(share, seed=1) if share < 1 else index).select("sample").limit(SAMPLES // 16).collect()
+    wanted = max(SAMPLES, EACH * n)
+    share = min(1.0, wanted / max(1, 64 * index.count()))
+    rows = (index.sample(share, seed=1) if share < 1 else index).select("sample").limit(wanted // 16).collect()
     pairs = sorted((s["v"] % (1 << 64), s["w"] % (1 << 64)) for r in rows for s in r["sample"])
     picked = sorted(set(pairs[len(pairs) * i // n] for i in range(1, n))) if pairs else []
     return np.array(picked, np.uint64).reshape(-1, 2)
