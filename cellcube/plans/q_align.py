@@ -420,10 +420,12 @@ def _keyed(spark, sf_dir):
     scenes = fx.scenes(spark, sf_dir).select("pixel_idx", "ts", "dn", F.when(F.col("scene_id") % 10 == 0, 3).otherwise(
         F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))).cast("int").alias("arrival"))
     columns = ["pixel_idx", "ts", "dn"]
+    # a state partition, which is a Python worker in every batch, for a thousand cells
+    partitions = max(4, fx.grid(spark, sf_dir).n_cells // 1_000)
     for i in range(4):
         scenes.where(F.col("arrival") == i).select(columns).write.mode("append").parquet(src)
         stream = spark.readStream.schema(scenes.select(columns).schema).parquet(src)
-        K.run_to_log(K.keyed_composite(stream), out, ck)
+        K.run_to_log(K.keyed_composite(stream), out, ck, partitions=partitions)
         if i == 1:
             K.compact(spark, out)
     return out

@@ -14,12 +14,14 @@ from cellcube.config import GbtParams, RfParams
 from cellcube.operators import metrics as MT
 from cellcube.operators import models as ML
 from cellcube.operators import prep as M
+from cellcube.operators.joins import attach_pixel
 from cellcube.operators.mask import residual
+from cellcube.operators.summary import model_maps
 from cellcube.plans.q_features import TRAINING_FIXTURES, WITH_TRAINING, training
 from cellcube.plans.registry import register, rnd_sql, round_doubles
 from cellcube.session import scratch_path
 from cellcube.sources import fixtures as fx
-from cellcube.sources.tabular import write_report
+from cellcube.sources.tabular import write_report, write_tabular
 
 SPLIT = fx.FIXTURE_SPLIT
 KEYS = ["pixel_idx", "year", "month", "split"]
@@ -169,10 +171,15 @@ def q_one_split(spark, sf_dir):
     return _split_scores(model, frame)
 
 
-@register("m11_three_rounds", WITH_TRAINING(f"""{_TR}, {_stump_sql('s1', 'y')},
+# three rounds: the first tree whole, a tenth of the next two, each fitted to twice what is left
+_ROUNDS_SQL = f"""{_stump_sql('s1', 'y')},
     r1 AS (SELECT r.*, r.y - ({_side_sql('s1')}) AS rest FROM tr r, s1), {_stump_sql('s2', '2 * rest').replace('FROM tr)', 'FROM r1)').replace('FROM tr UNION', 'FROM r1 UNION')},
-    r2 AS (SELECT r.*, r.rest - 0.1e0 * ({_side_sql('s2')}) AS rest2 FROM r1 r, s2), {_stump_sql('s3', '2 * rest2').replace('FROM tr)', 'FROM r2)').replace('FROM tr UNION', 'FROM r2 UNION')}
-    SELECT r.pixel_idx, r.year, r.month, {rnd_sql(f"({_side_sql('s1')}) + 0.1e0 * ({_side_sql('s2')}) + 0.1e0 * ({_side_sql('s3')})")} AS "T_pred"
+    r2 AS (SELECT r.*, r.rest - 0.1e0 * ({_side_sql('s2')}) AS rest2 FROM r1 r, s2), {_stump_sql('s3', '2 * rest2').replace('FROM tr)', 'FROM r2)').replace('FROM tr UNION', 'FROM r2 UNION')}"""
+_ROUNDS_PRED = f"({_side_sql('s1')}) + 0.1e0 * ({_side_sql('s2')}) + 0.1e0 * ({_side_sql('s3')})"
+
+
+@register("m11_three_rounds", WITH_TRAINING(f"""{_TR}, {_ROUNDS_SQL}
+    SELECT r.pixel_idx, r.year, r.month, {rnd_sql(_ROUNDS_PRED)} AS "T_pred"
     FROM tt r, s1, s2, s3 WHERE r.year > 2000"""), TRAINING_FIXTURES)
 def q_three_rounds(spark, sf_dir):
     """M-11 by value: two boosting rounds of one split each by a fit, the third one added to the stored ensemble."""
@@ -183,6 +190,31 @@ def q_three_rounds(spark, sf_dir):
     return _split_scores(ML.continue_gbt(spark, model, train, 1, p=p), frame)
 
 
+@register("e2e_three_model_map", WITH_TRAINING(f"""{_TR}, {_ROUNDS_SQL},
+    f AS (SELECT regr_slope(log_ndvi, lst_driver_lag1) AS a, regr_intercept(log_ndvi, lst_driver_lag1) AS b FROM tt WHERE year <= 1999),
+    lp AS (SELECT r.pixel_idx, r.log_ndvi AS y, 'GLM' AS model, f.a * r.lst_driver_lag1 + f.b AS pred FROM tt r, f WHERE r.year > 2000
+           UNION ALL SELECT r.pixel_idx, r.log_ndvi, 'RF', {_side_sql('s1')} FROM tt r, s1 WHERE r.year > 2000
+           UNION ALL SELECT r.pixel_idx, r.log_ndvi, 'XGBoost', {_ROUNDS_PRED} FROM tt r, s1, s2, s3 WHERE r.year > 2000)
+    SELECT model, pixel_idx, {rnd_sql('avg(exp(pred))')} AS pred_mean, {rnd_sql('avg(abs(exp(pred) - exp(y)))')} AS mae, {rnd_sql('avg(exp(pred) - exp(y))')} AS bias
+    FROM lp GROUP BY 1, 2"""), TRAINING_FIXTURES)
+def q_three_model_map(spark, sf_dir):
+    """M-09 to M-12, J-04, S-06, A-02 in a row: three models fitted on the train split, their keyed
+    scores of the test split joined into one residual table, stored, and mapped per model and cell."""
+    keys = ["pixel_idx", "year", "month"]
+    trees = _split_frame(spark, sf_dir)
+    train = trees.where(F.col("split") == "train")
+    rf, _ = ML.fit_rf(spark, train, SPLIT_COLS, p=RfParams(num_trees=1, max_depth=1, min_instances_per_node=1, feature_subset="all", bootstrap=False))
+    gbt, _ = ML.fit_gbt(spark, train, SPLIT_COLS, p=GbtParams(max_iter=3, max_depth=1, step_size=0.1, subsampling_rate=1.0, feature_subset="all"), val_col=None)
+    line = ML.fit_frame(M.chrono_split(training(spark, sf_dir), SPLIT.train_end, SPLIT.val_end), ["lst_driver_lag1"], keep=KEYS)
+    glm, _ = ML.fit_glm(spark, line.where(F.col("split") == "train"), ["lst_driver_lag1"])
+    test = F.col("split") == "test"
+    table = attach_pixel(ML.score({"RF": rf, "XGBoost": gbt}, trees.where(test), keys),
+                         ML.score({"GLM": glm}, line.where(test), [*keys, "log_ndvi"]).withColumnRenamed("log_ndvi", "true_log_ndvi"))
+    path = scratch_path(spark, "residual-table")
+    write_tabular(table, path)
+    return round_doubles(model_maps(spark.read.parquet(path), ["GLM", "RF", "XGBoost"], space="ndvi", sign="pred_minus_actual"))
+
+
 def _fitted(spark, sf_dir):
     def build():
         frame, feats = _prepared(spark, sf_dir)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -62,6 +63,22 @@ def apply_sql_defaults(spark: SparkSession) -> None:
         spark.conf.set(k, SESSION_DEFAULTS[k])
 
 
+@contextmanager
+def settings(spark: SparkSession, options: dict[str, str]):
+    """Session settings for what is run inside; the caller's come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; a scratch one only on a local master that names none.
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from cellcube.session import settings
 from cellcube.sources import commits
 
 #: what the stream writes beside the keys; kind is open, final or late
@@ -106,15 +107,20 @@ def keyed_composite(scenes: DataFrame, ts: str = "ts", value: str = "dn", keys=(
         statefulProcessor=_Buckets(keys, width), outputStructType=f"{schema}, {FIELDS}", outputMode="Update", timeMode="EventTime")
 
 
-def run_to_log(rows: DataFrame, path: str, checkpoint_path: str, name: str = "keyed-composite") -> None:
-    """Drain the available input once into ``path``; a later call goes on where this one ended."""
+def run_to_log(rows: DataFrame, path: str, checkpoint_path: str, name: str = "keyed-composite", partitions: int | None = None) -> None:
+    """Drain the available input once into ``path``; a later call goes on where this one ended.
+
+    The first call fixes the number of state partitions: ``partitions``, or the session's
+    shuffle partitions.  Each is a Python worker in every micro-batch, so it should follow
+    the number of keys."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/log/batch_id={batch_id}")
 
-    q = (rows.writeStream.outputMode("update").queryName(name).option("checkpointLocation", checkpoint_path)
-         .foreachBatch(write).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with settings(rows.sparkSession, {"spark.sql.shuffle.partitions": str(partitions)} if partitions else {}):
+        q = (rows.writeStream.outputMode("update").queryName(name).option("checkpointLocation", checkpoint_path)
+             .foreachBatch(write).trigger(availableNow=True).start())
+        q.awaitTermination()
 
 
 def _whole_batches(spark: SparkSession, path: str, after: int) -> list[int]:
