@@ -1,8 +1,9 @@
 """W-01 with state of its own: composites per cell with timers, late scenes in a side table.
 
-Each cell keeps its open buckets in a map state (``transformWithState``).  A bucket's timer
-fires when the watermark passes its end: its last version goes out as final and the
-state forgets it.  A scene whose bucket had ended by then is late; it changes nothing and
+Each cell keeps its open buckets in state of its own (``transformWithState``), with a timer
+for the one that ends first.  It fires when the watermark passes that end: the last
+versions of all buckets that have ended go out as final, the state forgets them, and the
+next timer is set.  A scene whose bucket had ended by then is late; it changes nothing and
 goes to the side table instead of being lost.
 
 Before the shuffle every task adds up its scenes by (cell, bucket), so a cell with a third
@@ -34,21 +35,32 @@ from cellcube.sources import commits
 
 #: what the stream writes beside the keys; kind is open, final or late
 FIELDS = "kind string, bucket_start timestamp, v_sum double, v_n long, n_rows long"
-_STATE = "v_sum double, v_n long, n_rows long"
+_STATE = "b array<long>, v_sum array<double>, v_n array<long>, n_rows array<long>"
 
 
 class _Buckets(StatefulProcessor):
-    """Open buckets of one cell."""
+    """Open buckets of one cell: one state value, read and written once a call, and a timer for
+    the bucket that ends first (every call to the state is a round trip to the JVM)."""
 
     def __init__(self, keys: list[str], width: int):
         self.keys, self.width = keys, width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("buckets", "b long", _STATE)
+        self.state = handle.getValueState("buckets", _STATE)
 
-    def _frame(self, key: tuple, kind: str, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["b", "v_sum", "v_n", "n_rows"])
+    def _open(self) -> dict[int, tuple[float, int, int]]:
+        held = self.state.get()
+        return {} if held is None else {int(b): (float(s), int(n), int(r)) for b, s, n, r in zip(*held)}
+
+    def _keep(self, buckets: dict[int, tuple[float, int, int]]) -> None:
+        if buckets:
+            self.state.update(([*buckets], *([v[i] for v in buckets.values()] for i in range(3))))
+        else:
+            self.state.clear()
+
+    def _frame(self, key: tuple, kind: str, rows: dict[int, tuple[float, int, int]]) -> pd.DataFrame:
+        out = pd.DataFrame([(b, *v) for b, v in rows.items()], columns=["b", "v_sum", "v_n", "n_rows"])
         out.insert(0, "kind", kind)
         out["bucket_start"] = pd.to_datetime(out.pop("b"), unit="ms")
         for name, value in zip(self.keys, key):
@@ -58,28 +70,28 @@ class _Buckets(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        part = pd.concat(list(rows)).groupby("b", as_index=False)[["v_sum", "v_n", "n_rows"]].sum()
-        ended = part["b"] + self.width <= watermark
-        late, fresh = part[ended], []
-        for b, s, n, r in part[~ended].itertuples(index=False):
-            b = int(b)
-            if self.open.containsKey((b,)):
-                s0, n0, r0 = self.open.getValue((b,))
-                s, n, r = s + s0, n + n0, r + r0
-            else:
-                self.handle.registerTimer(b + self.width)
-            self.open.updateValue((b,), (float(s), int(n), int(r)))
-            fresh.append((b, float(s), int(n), int(r)))
+        part = pd.concat(list(rows)).groupby("b")[["v_sum", "v_n", "n_rows"]].sum()
+        came = {int(b): (float(s), int(n), int(r)) for b, s, n, r in part.itertuples()}
+        late = {b: v for b, v in came.items() if b + self.width <= watermark}
+        held = self._open()
+        fresh = {b: tuple(x + y for x, y in zip(v, held.get(b, (0.0, 0, 0)))) for b, v in came.items() if b not in late}
         if fresh:
+            if not held or min(fresh) < min(held):
+                self.handle.registerTimer(min(fresh) + self.width)
+            self._keep(held | fresh)
             yield self._frame(key, "open", fresh)
-        if len(late):
-            yield self._frame(key, "late", [tuple(x) for x in late[["b", "v_sum", "v_n", "n_rows"]].itertuples(index=False)])
+        if late:
+            yield self._frame(key, "late", late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        b = expiredTimerInfo.getExpiryTimeInMs() - self.width
-        if self.open.containsKey((b,)):
-            yield self._frame(key, "final", [(b, *self.open.getValue((b,)))])
-            self.open.removeKey((b,))
+        watermark, held = timerValues.getCurrentWatermarkInMs(), self._open()
+        ended = {b: v for b, v in held.items() if b + self.width <= watermark}
+        left = {b: v for b, v in held.items() if b not in ended}
+        if ended:
+            self._keep(left)
+            if left:
+                self.handle.registerTimer(min(left) + self.width)
+            yield self._frame(key, "final", ended)
 
     def close(self) -> None:
         pass
