@@ -12,6 +12,13 @@ columns of ``documents``.
   text (whole characters only); n_chars counts what is left.
 - mixing: documents come as often as the mix takes them.
 - packing: pieces of sequences of 2048 ids (columns of the packing operator).
+
+Null and empty texts have fewer than 50 words, so the quality rules reject them; a null
+doc_id counts as the last one, a null language is compared with all documents together,
+a null source is a source of its own.  Rows that occur twice are near-duplicates of each
+other: one stays.  Very long texts go through whole.  Columns beside those of ``documents``,
+also ones named like an operator's own, pass through the stages but the last.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
