@@ -64,3 +64,17 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "simhash", "suffix", "mixing", "packing"]
     out = corpus_pipeline.run(spark, SF_SMALL)
     assert out.count() > 0 and re.match("doc_id", out.columns[0])
+
+
+def test_pipeline_on_odd_rows(spark, docs, rows, none, tmp_path):
+    """Nulls in any column, empty and repeated rows, a long text and clashing column names go through all stages."""
+    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    long = {r[0] for r in rows if r[1] and len(r[1].split()) >= 50}
+    assert out and {r["doc_id"] for r in out} <= long
+    table = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        table = stage(spark, table, f"{tmp_path}/odd")
+        assert table.dtypes == docs.dtypes
+    none.write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
