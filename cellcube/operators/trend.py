@@ -26,6 +26,9 @@ from cellcube.operators.pairs import kendall_s, sen_slope
 
 #: longest series whose pairs are formed (130,816 pairs of 512)
 PAIRS_UP_TO = 512
+#: pairs of series formed together (2 MB an array), and values of a batch tested together
+PAIRS_AT_ONCE = 1 << 18
+VALUES_AT_ONCE = 1 << 18
 
 MK_FIELDS = "n_obs int, s long, var_s double, z double, p double, trend int, slope double"
 
@@ -35,7 +38,7 @@ def z_critical(alpha: float = TREND_ALPHA) -> float:
     return NormalDist().inv_cdf(1 - alpha / 2)
 
 
-def mann_kendall_batch(x: np.ndarray, alpha: float = TREND_ALPHA, pairs_at_once: int = 4_000_000) -> dict[str, np.ndarray]:
+def mann_kendall_batch(x: np.ndarray, alpha: float = TREND_ALPHA, pairs_at_once: int = PAIRS_AT_ONCE) -> dict[str, np.ndarray]:
     """Mann–Kendall S, tie-corrected variance, continuity-corrected z, two-sided p, trend
     flag and Sen's slope of complete series of one length (rows of ``x``, positions 0..n-1).
 
@@ -102,10 +105,13 @@ def mann_kendall(df: DataFrame, value: str, keys=("pixel_idx",), order: str = "t
             whole = (length >= 2) & (bad[starts + length] == bad[starts])
             out = {name: np.zeros(batch.num_rows, kinds[kind].to_pandas_dtype()) for name, kind in fields}
             for n in np.unique(length[whole]):
-                rows = np.flatnonzero(whole & (length == n))
-                found = mann_kendall_batch(flat[starts[rows][:, None] + np.arange(n)], alpha)
-                for name, _ in fields:
-                    out[name][rows] = found[name]
+                together = np.flatnonzero(whole & (length == n))
+                step = max(1, VALUES_AT_ONCE // int(n))
+                for a in range(0, len(together), step):
+                    rows = together[a:a + step]
+                    found = mann_kendall_batch(flat[starts[rows][:, None] + np.arange(n)], alpha)
+                    for name, _ in fields:
+                        out[name][rows] = found[name]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keys))],
                                               *[pa.array(out[name], kinds[kind], mask=~whole) for name, kind in fields]],
                                              [*keys, *[name for name, _ in fields]])
