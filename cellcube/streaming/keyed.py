@@ -26,15 +26,15 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cellcube.session import settings
 from cellcube.sources import commits
 
-#: what the stream writes beside the keys; kind is open, final or late
-FIELDS = "kind string, bucket_start timestamp, v_sum double, v_n long, n_rows long"
+#: what a cell's processor gives beside the keys; kind is open, final or late, b a bucket's start in milliseconds
+FIELDS = "kind string, b long, v_sum double, v_n long, n_rows long"
 _STATE = "b array<long>, v_sum array<double>, v_n array<long>, n_rows array<long>"
 
 
@@ -43,7 +43,7 @@ class _Buckets(StatefulProcessor):
     the bucket that ends first (every call to the state is a round trip to the JVM)."""
 
     def __init__(self, keys: list[str], width: int):
-        self.keys, self.width = keys, width
+        self.width, self.out = width, Row(*keys, "kind", "b", "v_sum", "v_n", "n_rows")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -59,31 +59,28 @@ class _Buckets(StatefulProcessor):
         else:
             self.state.clear()
 
-    def _frame(self, key: tuple, kind: str, rows: dict[int, tuple[float, int, int]]) -> pd.DataFrame:
-        out = pd.DataFrame([(b, *v) for b, v in rows.items()], columns=["b", "v_sum", "v_n", "n_rows"])
-        out.insert(0, "kind", kind)
-        out["bucket_start"] = pd.to_datetime(out.pop("b"), unit="ms")
-        for name, value in zip(self.keys, key):
-            out[name] = value
-        out["v_sum"] = out["v_sum"].astype(float).where(out["v_n"] > 0)
-        return out[[*self.keys, "kind", "bucket_start", "v_sum", "v_n", "n_rows"]]
+    def _rows(self, key: tuple, kind: str, buckets: dict[int, tuple[float, int, int]]) -> Iterator[Row]:
+        for b, (v_sum, v_n, n_rows) in buckets.items():
+            yield self.out(*key, kind, b, v_sum if v_n else None, v_n, n_rows)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        part = pd.concat(list(rows)).groupby("b")[["v_sum", "v_n", "n_rows"]].sum()
-        came = {int(b): (float(s), int(n), int(r)) for b, s, n, r in part.itertuples()}
+        came: dict[int, tuple[float, int, int]] = {}
+        for row in rows:
+            *_, b, v_sum, v_n, n_rows = row
+            s, n, r = came.get(b, (0.0, 0, 0))
+            came[b] = s + v_sum, n + v_n, r + n_rows
         late = {b: v for b, v in came.items() if b + self.width <= watermark}
-        held = self._open()
-        fresh = {b: tuple(x + y for x, y in zip(v, held.get(b, (0.0, 0, 0)))) for b, v in came.items() if b not in late}
-        if fresh:
+        if len(late) < len(came):
+            held = self._open()
+            fresh = {b: tuple(x + y for x, y in zip(v, held.get(b, (0.0, 0, 0)))) for b, v in came.items() if b not in late}
             if not held or min(fresh) < min(held):
                 self.handle.registerTimer(min(fresh) + self.width)
             self._keep(held | fresh)
-            yield self._frame(key, "open", fresh)
-        if late:
-            yield self._frame(key, "late", late)
+            yield from self._rows(key, "open", fresh)
+        yield from self._rows(key, "late", late)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark, held = timerValues.getCurrentWatermarkInMs(), self._open()
         ended = {b: v for b, v in held.items() if b + self.width <= watermark}
         left = {b: v for b, v in held.items() if b not in ended}
@@ -91,7 +88,7 @@ class _Buckets(StatefulProcessor):
             self._keep(left)
             if left:
                 self.handle.registerTimer(min(left) + self.width)
-            yield self._frame(key, "final", ended)
+            yield from self._rows(key, "final", ended)
 
     def close(self) -> None:
         pass
@@ -115,8 +112,10 @@ def keyed_composite(scenes: DataFrame, ts: str = "ts", value: str = "dn", keys=(
             yield from t.set_column(len(keys) + 1, "v_sum", total).to_batches()
 
     parts = s.mapInArrow(add_up, f"{schema}, b long, v_sum double, v_n long, n_rows long")
-    return parts.groupBy(*keys).transformWithStateInPandas(
+    # rows and not pandas frames: a call for each cell has a few numbers, and a frame costs more than they do
+    versions = parts.groupBy(*keys).transformWithState(
         statefulProcessor=_Buckets(keys, width), outputStructType=f"{schema}, {FIELDS}", outputMode="Update", timeMode="EventTime")
+    return versions.select(*keys, "kind", F.timestamp_millis("b").alias("bucket_start"), "v_sum", "v_n", "n_rows")
 
 
 def run_to_log(rows: DataFrame, path: str, checkpoint_path: str, name: str = "keyed-composite", partitions: int | None = None) -> None:

@@ -130,3 +130,45 @@ def test_more_than_a_hundred_batches_with_compaction_meanwhile(spark, few_partit
 def test_nothing_written_yet(spark):
     with pytest.raises(FileNotFoundError):
         K.read_composite(spark, scratch_path(spark, "none"))
+
+
+def test_a_cell_costs_no_frame(monkeypatch):
+    """The processor adds plain rows up: a call makes no pandas frame, which costs more than its few numbers."""
+    class Held:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        timers = []
+
+        def getValueState(self, name, schema):
+            return Held()
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    monkeypatch.setattr(K.pd, "DataFrame", None)
+    cell = K._Buckets(["pixel_idx"], 10)
+    cell.init(Handle())
+    rows = [(7, 0, 1.0, 1, 1), (7, 20, 2.0, 1, 2), (7, 20, 3.0, 2, 2), (7, 30, 0.0, 0, 1)]
+    got = [tuple(r) for r in cell.handleInputRows((7,), iter(rows), Now(10))]
+    assert got == [(7, "open", 20, 5.0, 3, 4), (7, "open", 30, None, 0, 1), (7, "late", 0, 1.0, 1, 1)]
+    assert Handle.timers == [30] and cell._open() == {20: (5.0, 3, 4), 30: (0.0, 0, 1)}
+    assert [tuple(r) for r in cell.handleExpiredTimer((7,), Now(30), None)] == [(7, "final", 20, 5.0, 3, 4)]
+    assert Handle.timers == [30, 40] and cell._open() == {30: (0.0, 0, 1)}
+    assert [tuple(r) for r in cell.handleExpiredTimer((7,), Now(40), None)] == [(7, "final", 30, None, 0, 1)] and cell._open() == {}
