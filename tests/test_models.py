@@ -122,3 +122,33 @@ def test_continued_rounds_equal_a_full_fit(spark):
         again = ML.continue_gbt(spark, ML.continue_gbt(spark, half, train, 2, p=p), train, 4, p=p)
         assert np.allclose(got, ML.round_losses(again, val), atol=1e-12)
         assert ML.importance_table(spark, whole, ["a", "b", "c"]).count() == 3
+
+
+def test_a_query_fits_its_own_model_only(spark, monkeypatch):
+    """M-10 fits the forest, M-11 and R-04 the boosted trees; M-12 and M-17 all three, side by side."""
+    import threading
+
+    from cellcube.plans import q_models as Q
+    fits, gate = [], threading.Barrier(3, timeout=60)
+
+    def fit(name, wait=False):
+        def run(*a, **kw):
+            fits.append(name)
+            if wait:
+                gate.wait()
+            return name, None
+        return run
+
+    frame = spark.range(1).select(F.lit("train").alias("split"))
+    monkeypatch.setattr(Q, "_prepared", lambda *a: (frame, ["a"]))
+    monkeypatch.setattr(Q, "_memo", lambda kind, spark, sf_dir, build: build())
+    monkeypatch.setattr(ML, "importance_table", lambda spark, model, feats: (model, feats))
+    monkeypatch.setattr(ML, "loss_curves", lambda spark, models, train, val: models)
+    for name in ("GLM", "RF", "GBT"):
+        monkeypatch.setattr(ML, f"fit_{name.lower()}", fit(name))
+    assert Q.q_fit_rf(spark, "unused") == ("RF", ["a"]) and fits == ["RF"]
+    assert Q.q_fit_gbt(spark, "unused") == ("GBT", ["a"]) and fits == ["RF", "GBT"]
+    assert Q.q_loss_curves(spark, "unused") == {"GBT": "GBT"} and fits == ["RF", "GBT", "GBT"]
+    for name in ("GLM", "RF", "GBT"):
+        monkeypatch.setattr(ML, f"fit_{name.lower()}", fit(name, wait=True))
+    assert Q._fitted(spark, "unused")[2] == {"GLM": "GLM", "RF": "RF", "GBT": "GBT"}
