@@ -471,8 +471,8 @@ def q_concurrent_build(spark, sf_dir):
     SELECT year, month, pixel_idx, {rnd_sql('CASE WHEN ndvi <> -9999e0 THEN ndvi END')} AS value FROM xy
     WHERE y BETWEEN 0.0e0 AND 0.8e0 AND x BETWEEN 36.6e0 AND 37.5e0""", ("cells",))
 def q_box_of_stored_layers(spark, sf_dir):
-    """C-04 on layers stored along the Morton curve in squares of 8 x 8 cells: the box as key
-    ranges, which prune folders and are pushed to Parquet."""
+    """C-04 on layers stored along the Morton curve in squares of 8 x 8 cells (larger ones on a
+    grid of more than 16 of them): the box as key ranges, which prune folders and are pushed to Parquet."""
     path, grid = TB.scratch_path(spark, "morton"), fx.grid(spark, sf_dir)
     L.write_layer(_layer_rows(spark, sf_dir).where(F.col("variable") == "ndvi"), path, grid=grid, file_cells=64)
     found = L.scan_box(spark, path, grid, BOX, "ndvi")

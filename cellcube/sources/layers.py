@@ -22,6 +22,8 @@ from cellcube.functions.scalar import pixel_x, pixel_y
 
 #: cells of a month in one file (8 MB of values)
 FILE_CELLS = 1 << 20
+#: squares of a month with a folder each; a grid of more has larger squares, up to FILE_CELLS
+MONTH_SQUARES = 16
 
 MONTH_PATTERN = r"(\d{4})_(\d{2})"
 
@@ -64,6 +66,14 @@ def count_mismatch(df: DataFrame, variable: str = "variable", keys=("year", "mon
     return counts
 
 
+def square_bits(grid: GridConfig, file_cells: int) -> int:
+    """Bits of a cell key inside a file's square (an even number)."""
+    bits, most = (max(0, (n.bit_length() - 1) // 2 * 2) for n in (file_cells, FILE_CELLS))
+    while bits < most and math.ceil(grid.height / (1 << bits // 2)) * math.ceil(grid.width / (1 << bits // 2)) > MONTH_SQUARES:
+        bits += 2
+    return bits
+
+
 def write_layer(df: DataFrame, path: str, variable: str | None = None, value: str = "value",
                 nodata: float = NODATA, mode: str = "overwrite", grid: GridConfig | None = None, file_cells: int = FILE_CELLS) -> None:
     """S-08: write layer rows, missing -> ``nodata``, partitioned by variable/year/month.
@@ -71,7 +81,9 @@ def write_layer(df: DataFrame, path: str, variable: str | None = None, value: st
     Rows are brought together first, so a month has at most one file for each ``file_cells``
     cells and not one for each task.  With ``grid`` the cells lie along the Morton curve: a file
     is one square of cells (folder ``tile<bits>``), sorted by ``cell_key``, and
-    ``scan_box`` reads the squares that a box touches."""
+    ``scan_box`` reads the squares that a box touches.  Where squares of ``file_cells`` would be
+    more than ``MONTH_SQUARES`` a month, squares grow up to ``FILE_CELLS``, so that the number of
+    files does not grow with the grid; inside a file Parquet's statistics of the sorted key prune."""
     out = df.withColumn(value, F.coalesce(F.col(value).cast("double"), F.lit(float(nodata))))
     if variable is not None:
         out = out.withColumn("variable", F.lit(variable))
@@ -79,8 +91,7 @@ def write_layer(df: DataFrame, path: str, variable: str | None = None, value: st
     if grid is None:
         together, order = F.floor(F.col("pixel_idx") / file_cells), "pixel_idx"
     else:
-        # a square of cells: an even number of bits
-        bits = max(0, (file_cells.bit_length() - 1) // 2 * 2)
+        bits = square_bits(grid, file_cells)
         row, col = F.floor(F.col("pixel_idx").cast("long") / grid.width), F.col("pixel_idx").cast("long") % grid.width
         out = out.withColumn("cell_key", morton(row, col)).withColumn(f"tile{bits}", F.shiftright("cell_key", bits))
         together, order = F.col(f"tile{bits}"), "cell_key"

@@ -79,3 +79,19 @@ def test_few_files_a_month(spark):
     assert 4 <= len(spark.read.parquet(path).inputFiles()) <= 16 and L.scan_layer(spark, path).count() == 4000
     TB.write_tabular(rows, path + "-t")
     assert len(spark.read.parquet(path + "-t").inputFiles()) == 1
+
+
+def test_files_of_a_month_do_not_grow_with_the_grid(spark):
+    """A long grid has larger squares, not more files; the box is the same."""
+    grid = GridConfig(height=400, width=10, west=0.0, north=400.0, xres=1.0, yres=1.0)
+    rows = spark.range(8000).select((F.col("id") % 4000).cast("int").alias("pixel_idx"), F.lit(2000).alias("year"),
+                                    (F.col("id") / 4000 + 1).cast("int").alias("month"), F.col("id").cast("double").alias("value"))
+    path = scratch_path(spark, "long")
+    L.write_layer(rows, path, variable="v", grid=grid, file_cells=64)
+    assert len(spark.read.parquet(path).inputFiles()) <= 2 * L.MONTH_SQUARES        # 100 squares of 8 x 8 a month
+    box = {"south": 100, "north": 140, "west": 2, "east": 5}
+    got = L.scan_box(spark, path, grid, box, "v")
+    assert {(r["pixel_idx"], r["month"]) for r in got.collect()} == {(r * 10 + c, m) for r in range(260, 300) for c in range(2, 5) for m in (1, 2)}
+    assert _files(got)[0][0] <= 4
+    # a large grid keeps files of FILE_CELLS
+    assert L.square_bits(GridConfig(height=1 << 20, width=1 << 20), 64) == 20 and L.square_bits(GridConfig(height=32, width=32), 64) == 6
