@@ -152,3 +152,30 @@ def test_a_query_fits_its_own_model_only(spark, monkeypatch):
     for name in ("GLM", "RF", "GBT"):
         monkeypatch.setattr(ML, f"fit_{name.lower()}", fit(name, wait=True))
     assert Q._fitted(spark, "unused")[2] == {"GLM": "GLM", "RF": "RF", "GBT": "GBT"}
+
+
+def test_search_fills_the_cores_with_the_same_rows(spark, monkeypatch):
+    """M-16: a small frame's search runs a fit for every core; fits at once and checkpoints change no row."""
+    assert [ML.fits_at_once(*x) for x in ((12, 1), (8, 2), (12, 6), (1, 1))] == [12, 4, 4, 4]
+    frame = _signal(spark).withColumn("block", F.col("pixel_idx") % 3).coalesce(1).checkpoint()
+    pools, fits = [], []
+
+    class Pool(ML.ThreadPoolExecutor):
+        def __init__(self, max_workers):
+            pools.append(max_workers)
+            super().__init__(max_workers=max_workers)
+
+    class Fit(ML.GBTRegressor):
+        def fit(self, *a):
+            fits.append(self.getCheckpointInterval())
+            return super().fit(*a)
+
+    monkeypatch.setattr(ML, "ThreadPoolExecutor", Pool)
+    monkeypatch.setattr(ML, "GBTRegressor", Fit)
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 6)
+    space = {"max_depth": [3, 5], "learning_rate": [0.1], "subsample": [0.8], "colsample_bytree": [0.8]}
+    rows = ML.random_search(spark, frame, n_iter=2, n_folds=2, trees=5, space=space).orderBy("draw", "fold").collect()
+    assert pools == [6] and fits == [2] * 4
+    monkeypatch.setattr(ML, "SEARCH_CHECKPOINT", 10)
+    assert ML.random_search(spark, frame, n_iter=2, n_folds=2, trees=5, space=space, parallelism=1).orderBy("draw", "fold").collect() == rows
+    assert pools == [6, 1] and fits[4:] == [10] * 4
