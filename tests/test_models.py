@@ -179,3 +179,38 @@ def test_search_fills_the_cores_with_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(ML, "SEARCH_CHECKPOINT", 10)
     assert ML.random_search(spark, frame, n_iter=2, n_folds=2, trees=5, space=space, parallelism=1).orderBy("draw", "fold").collect() == rows
     assert pools == [6, 1] and fits[4:] == [10] * 4
+
+
+def test_a_large_forest_is_fitted_some_trees_at_a_time(spark, monkeypatch):
+    """M-10: rows times trees of a fit and its histograms stay bounded; all trees, all rows, own draws, known signal."""
+    from cellcube.config import RfParams
+    from cellcube.operators.metrics import regression_metrics
+
+    assert ML.forest_parts(4_508, 400) == [400] and sum(ML.forest_parts(2_700_000, 400)) == 400
+    assert ML.forest_parts(269_437, 400) == [19] * 4 + [18] * 18 and max(ML.forest_parts(2_700_000, 400)) == 4
+    assert ML.forest_parts(10**9, 3) == [3] and ML.forest_parts(10**9, 9) == [5, 4] and ML.forest_parts(0, 5) == [5]
+    frame = _signal(spark)
+    train, val = frame.where(~F.col("is_val")), frame.where(F.col("is_val"))
+    fits = []
+
+    class Fit(ML.RandomForestRegressor):
+        def fit(self, df):
+            fits.append((self.getNumTrees(), self.getSeed(), self.getMaxMemoryInMB(), df.count()))
+            return super().fit(df)
+
+    monkeypatch.setattr(ML, "RandomForestRegressor", Fit)
+    p = RfParams(num_trees=20, max_depth=8, min_instances_per_node=5, feature_subset="0.7")
+    small, _ = ML.fit_rf(spark, train, ["a", "b", "c"], p=p)
+    assert fits == [(20, 42, ML.TREE_SPEED["maxMemoryInMB"], 960)]
+    monkeypatch.setattr(ML, "FOREST_DRAWS", 960 * 6)
+    forests = [ML.fit_rf(spark, train, ["a", "b", "c"], p=p, parallelism=k) for k in (1, 3)]
+    assert sorted(f[0] for f in fits[1:5]) == [5] * 4 and len({f[1] for f in fits[1:5]}) == 4
+    assert {f[2:] for f in fits[1:]} == {(ML.FOREST_GROUP_MB, 960)} and len(fits) == 9
+    model, imp = forests[0]
+    assert model.getNumTrees == 20 and len({t.toDebugString for t in model.trees}) == 20
+    assert [t.toDebugString.split("\n", 1)[1] for t in model.trees] == [t.toDebugString.split("\n", 1)[1] for t in forests[1][0].trees]
+    w = {r["feature"]: r["importance"] for r in imp.collect()}
+    assert w["a"] > w["b"] > w["c"] and abs(sum(w.values()) - 1) < 1e-9
+    for m in (small, model):
+        scored = ML.score({"RF": m}, val, ["pixel_idx", "log_ndvi"]).withColumns({"split": F.lit("val"), "model": F.lit("RF")})
+        assert regression_metrics(scored, "log_ndvi", "RF_pred").first()["r2"] > 0.8
