@@ -199,15 +199,15 @@ def test_a_large_forest_is_fitted_some_trees_at_a_time(spark, monkeypatch):
             return super().fit(df)
 
     monkeypatch.setattr(ML, "RandomForestRegressor", Fit)
-    p = RfParams(num_trees=20, max_depth=8, min_instances_per_node=5, feature_subset="0.7")
+    p = RfParams(num_trees=24, max_depth=8, min_instances_per_node=5, feature_subset="0.7")
     small, _ = ML.fit_rf(spark, train, ["a", "b", "c"], p=p)
-    assert fits == [(20, 42, ML.TREE_SPEED["maxMemoryInMB"], 960)]
+    assert fits == [(24, 42, ML.TREE_SPEED["maxMemoryInMB"], 960)]
     monkeypatch.setattr(ML, "FOREST_DRAWS", 960 * 6)
     forests = [ML.fit_rf(spark, train, ["a", "b", "c"], p=p, parallelism=k) for k in (1, 3)]
-    assert sorted(f[0] for f in fits[1:5]) == [5] * 4 and len({f[1] for f in fits[1:5]}) == 4
+    assert sorted(f[0] for f in fits[1:5]) == [6] * 4 and len({f[1] for f in fits[1:5]}) == 4
     assert {f[2:] for f in fits[1:]} == {(ML.FOREST_GROUP_MB, 960)} and len(fits) == 9
     model, imp = forests[0]
-    assert model.getNumTrees == 20 and len({t.toDebugString for t in model.trees}) == 20
+    assert model.getNumTrees == model.copy().getNumTrees == 24 and len({t.toDebugString for t in model.trees}) == 24
     assert [t.toDebugString.split("\n", 1)[1] for t in model.trees] == [t.toDebugString.split("\n", 1)[1] for t in forests[1][0].trees]
     w = {r["feature"]: r["importance"] for r in imp.collect()}
     assert w["a"] > w["b"] > w["c"] and abs(sum(w.values()) - 1) < 1e-9
